@@ -138,3 +138,7 @@ def sim_bleu(spark, sf):
 def recall_prec_f1(spark, sf):
     """Mean recall / precision BLEU over queries and their F1."""
     return _round_all(B.recall_prec_f1(B.sim_bleu(nbest_fixture(spark, sf))))
+
+
+# further query groups register themselves on import
+from seqforge.plans import catalog_text  # noqa: E402,F401
