@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.functions import bleu_math as bm
-from seqforge.functions.text import TOKENIZERS, lower_text, split_puncts, strip_text, tokens_ws
+from seqforge.functions.text import TOKENIZERS, lower_text, split_puncts, strip_text, tokens_ws  # noqa: F401
 from seqforge.operators.ngrams import multi_ref_stats, pair_stats
 
 M = ["m1", "m2", "m3", "m4"]
