@@ -143,3 +143,4 @@ def recall_prec_f1(spark, sf):
 # further query groups register themselves on import
 from seqforge.plans import catalog_text  # noqa: E402,F401
 from seqforge.plans import catalog_smoothed  # noqa: E402,F401
+from seqforge.plans import catalog_seq  # noqa: E402,F401
