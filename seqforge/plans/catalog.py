@@ -144,3 +144,4 @@ def recall_prec_f1(spark, sf):
 from seqforge.plans import catalog_text  # noqa: E402,F401
 from seqforge.plans import catalog_smoothed  # noqa: E402,F401
 from seqforge.plans import catalog_seq  # noqa: E402,F401
+from seqforge.plans import catalog_runlog  # noqa: E402,F401

@@ -143,18 +143,18 @@ EVENT_SEQUENCES_SQL = f"""
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training-metric log: run = user_id, epoch = day of ts, step = event_id (monotone in ts),
-    loss = value, tokens = event_id % 50 + 1."""
+    loss = value / 100 (a natural-log loss scale, 4 decimals), tokens = event_id % 50 + 1."""
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("user_id").alias("run"),
                      F.dayofmonth("ts").cast("int").alias("epoch"),
                      F.col("event_id").alias("step"),
-                     F.col("value").alias("loss"),
+                     (F.col("value") / 100.0).alias("loss"),
                      (F.col("event_id") % 50 + 1).cast("bigint").alias("tokens"),
                      F.col("event_type").alias("name"),
                      F.col("ts"))
 
 
 RUN_LOG_SQL = """
-  SELECT user_id AS run, CAST(dayofmonth(ts) AS INTEGER) AS epoch, event_id AS step, value AS loss,
+  SELECT user_id AS run, CAST(dayofmonth(ts) AS INTEGER) AS epoch, event_id AS step, value / 100.0 AS loss,
          CAST(event_id % 50 + 1 AS BIGINT) AS tokens, event_type AS name, ts
   FROM events"""
