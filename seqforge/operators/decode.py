@@ -27,3 +27,143 @@ def log_softmax_group(df: DataFrame, group: list[str], score: str = "score") ->
     mx = F.max(score).over(w)
     z = F.ln(F.sum(F.exp(F.col(score) - mx)).over(w))
     return df.withColumn("logp", F.col(score) - mx - z)
+
+
+# ---------------------------------------------------------------------------- beam search
+def prune_next(nxt: DataFrame, k: int) -> DataFrame:
+    """Keep the best ``k`` successors per state (an exact prune: a slot never needs more
+    than k children to fill a top-k beam). Ties by token id."""
+    w = Window.partitionBy("state").orderBy(F.desc("logp"), "token")
+    return nxt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def beam_search(queries: DataFrame, nxt: DataFrame, beam: int, max_len: int, eos: int = 2, sos: int = 1,
+                forced: bool = False, state_bound: int = 10000, lineage_every: int = 1):
+    """Beam search over a bigram next-token table, one query per row.
+
+    queries: (qid, prefix array<bigint>) -- the prefix is forced first when ``forced``
+    (its score is ignored and EOS is blocked at the first free step); otherwise decoding
+    starts from SOS. The state of a slot is its last token.
+
+    Every round: live slots JOIN the pruned table (broadcast, at most
+    ``state_bound * (beam+1)`` rows) -> per-query top-``beam`` by (score desc,
+    parent slot, token). EOS slots get no children; a query stops once slot 0 was EOS
+    at some step and at least ``beam`` hypotheses finished. The frontier is written to
+    the checkpoint folder each ``lineage_every`` rounds, so the plan does not grow.
+
+    Returns all frontiers: (qid, step, k, tokens, score, last).
+    """
+    from seqforge.operators.joins import bounded_broadcast
+    from seqforge.session import cut_lineage
+
+    width = beam + (1 if forced else 0)
+    nk = bounded_broadcast(prune_next(nxt, width).select("state", "token", "logp"), state_bound * width)
+    start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
+    front = (queries.select("qid", F.lit(0).alias("k"), F.array().cast("array<bigint>").alias("tokens"),
+                            F.lit(0.0).alias("score"), start.alias("last"),
+                            F.lit(False).alias("eos_top"), F.lit(0).cast("bigint").alias("nfin"))
+             .repartition("qid"))
+    wq = Window.partitionBy("qid")
+    wr = wq.orderBy(F.desc("score"), "parent", "token")
+    fronts = []
+    for t in range(1, max_len + 1):
+        live = front.where(F.col("last") != eos)
+        cand = live.join(nk, live["last"] == nk["state"]).select(
+            "qid", F.col("k").alias("parent"), "tokens", (F.col("score") + F.col("logp")).alias("score"),
+            "token", "eos_top", "nfin")
+        if t == 1 and forced:
+            cand = cand.where(F.col("token") != eos)
+        ranked = cand.withColumn("_rn", F.row_number().over(wr)).where(F.col("_rn") <= beam)
+        new = ranked.select(
+            "qid", (F.col("_rn") - 1).alias("k"), F.concat("tokens", F.array("token")).alias("tokens"), "score",
+            F.col("token").alias("last"),
+            (F.col("eos_top") | F.max((F.col("_rn") == 1) & (F.col("token") == eos)).over(wq)).alias("eos_top"),
+            (F.col("nfin") + F.sum((F.col("token") == eos).cast("bigint")).over(wq)).alias("nfin"))
+        if lineage_every and t % lineage_every == 0:
+            new = cut_lineage(new)
+        fronts.append(new.select("qid", F.lit(t).alias("step"), "k", "tokens", "score", "last"))
+        front = new.where(~(F.col("eos_top") & (F.col("nfin") >= beam)))
+    out = fronts[0]
+    for f in fronts[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def beam_final(fronts: DataFrame, beam: int, eos: int = 2, rank_by: str = "sum") -> DataFrame:
+    """n-best per query from all frontiers: finished hypotheses (EOS) by score, then --
+    when fewer than ``beam`` finished -- unfinished slots of the last step by score; with
+    none finished, slot 0 of the last step leads (and may appear twice, as published).
+    ``rank_by='avg'`` ranks by average log-probability per generated token.
+    Output: qid, rank (0-based), tokens (EOS cut), score."""
+    last_step = F.max("step").over(Window.partitionBy("qid"))
+    f = fronts.withColumn("_last", last_step)
+    key = F.col("score") if rank_by == "sum" else F.col("score") / (F.size("tokens") + F.lit(1e-6))
+    fin = f.where(F.col("last") == eos).select("qid", F.lit(0).alias("grp"), key.alias("_key"), "step", "k",
+                                                "tokens", "score")
+    nfin = F.sum(F.when(F.col("last") == eos, 1).otherwise(0)).over(Window.partitionBy("qid"))
+    lastrows = f.withColumn("_nfin", nfin).where(F.col("step") == F.col("_last"))
+    slot0 = lastrows.where((F.col("_nfin") == 0) & (F.col("k") == 0)).select(
+        "qid", F.lit(0).alias("grp"), key.alias("_key"), "step", "k", "tokens", "score")
+    unfin = lastrows.where(F.col("last") != eos).select(
+        "qid", F.lit(1).alias("grp"), key.alias("_key"), "step", "k", "tokens", "score")
+    allc = fin.unionByName(slot0).unionByName(unfin)
+    w = Window.partitionBy("qid").orderBy("grp", F.desc("_key"), "step", "k")
+    r = allc.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < beam)
+    from seqforge.functions.arrays import eos_cut
+    return r.select("qid", F.col("rank").cast("bigint").alias("rank"), eos_cut("tokens", eos).alias("tokens"),
+                    "score")
+
+
+def best_successor(nxt: DataFrame) -> DataFrame:
+    """argmax token per state (ties: lower token id)."""
+    return nxt.groupBy("state").agg(F.max_by("token", F.struct("logp", -F.col("token"))).alias("token"))
+
+
+def greedy_decode(queries: DataFrame, nxt: DataFrame, max_len: int, eos: int = 2, sos: int = 1,
+                  pad: int = 0, state_bound: int = 10000) -> DataFrame:
+    """Greedy decoding for ``max_len`` steps from SOS (or the prefix's last token).
+    After EOS (or a state without successors) PAD is emitted. ``len`` counts tokens
+    before the first EOS. Output: qid, tokens (length max_len), len."""
+    from seqforge.operators.joins import bounded_broadcast
+    best = bounded_broadcast(best_successor(nxt).select(F.col("state").alias("_s"), F.col("token").alias("_t")),
+                             state_bound)
+    start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
+    cur = queries.select("qid", F.array().cast("array<bigint>").alias("tokens"), start.alias("last"))
+    for _ in range(max_len):
+        j = cur.join(best, cur["last"] == best["_s"], "left")
+        nxt_tok = F.when((F.col("last") == eos) | (F.col("last") == pad) | F.col("_t").isNull(), F.lit(pad)) \
+                   .otherwise(F.col("_t")).cast("bigint")
+        cur = j.select("qid", F.concat("tokens", F.array(nxt_tok)).alias("tokens"), nxt_tok.alias("last"))
+    p = F.array_position("tokens", eos)
+    length = F.when(p > 0, p - 1).otherwise(F.size(F.filter("tokens", lambda x: x != pad)))
+    return cur.select("qid", "tokens", length.cast("bigint").alias("len"))
+
+
+def uniform_from_md5(*parts) -> F.Column:
+    """Deterministic u in (0, 1) from md5 of the key parts (52 bits)."""
+    h = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    x = F.conv(F.substring(h, 1, 13), 16, 10).cast("double")
+    return (x + 0.5) / float(2 ** 52)
+
+
+def sample_decode(queries: DataFrame, nxt: DataFrame, max_len: int, seed: int = 42, eos: int = 2, sos: int = 1,
+                  pad: int = 0, state_bound: int = 10000, vocab_bound: int = 10000) -> DataFrame:
+    """Sampled decoding: at every step draw the next token from the successor distribution
+    (Gumbel-max with md5-seeded uniforms: reproducible in any engine). The whole
+    successor table is broadcast (bounded by states x vocabulary) and each draw is a
+    per-query max over the successors of one state."""
+    from seqforge.operators.joins import bounded_broadcast
+    nb = bounded_broadcast(nxt.select(F.col("state").alias("_s"), F.col("token").alias("_t"), "logp"),
+                           state_bound * vocab_bound)
+    start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
+    cur = queries.select("qid", F.array().cast("array<bigint>").alias("tokens"), start.alias("last")).repartition("qid")
+    for step in range(max_len):
+        j = cur.join(nb, cur["last"] == nb["_s"], "left")
+        g = F.col("logp") - F.ln(-F.ln(uniform_from_md5(F.lit(seed), F.col("qid"), F.lit(step), F.col("_t"))))
+        drawn = j.groupBy("qid", "tokens", "last").agg(F.max_by("_t", F.struct(g, -F.col("_t"))).alias("_d"))
+        nxt_tok = F.when((F.col("last") == eos) | (F.col("last") == pad) | F.col("_d").isNull(), F.lit(pad)) \
+                   .otherwise(F.col("_d")).cast("bigint")
+        cur = drawn.select("qid", F.concat("tokens", F.array(nxt_tok)).alias("tokens"), nxt_tok.alias("last"))
+    p = F.array_position("tokens", eos)
+    length = F.when(p > 0, p - 1).otherwise(F.size(F.filter("tokens", lambda x: x != pad)))
+    return cur.select("qid", "tokens", length.cast("bigint").alias("len"))
