@@ -22,6 +22,21 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx") -> Data
     return out.select(*df.columns, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint").alias(name))
 
 
+def prefix_offsets(df: DataFrame, order_cols: list[str], value: str, name: str = "offset") -> DataFrame:
+    """Exclusive running sum of ``value`` over the whole table in ``order_cols`` order
+    (e.g. start positions of ragged rows in a flat array), computed like dense_index:
+    a window inside range partitions plus per-partition totals."""
+    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    tagged = ranged.select("*", F.spark_partition_id().alias("_pid"))
+    w_in = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("_loc", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
+    parts = tagged.groupBy("_pid").agg(F.sum(value).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = parts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    out = local.join(F.broadcast(offs), "_pid")
+    return out.select(*df.columns, (F.col("_off") + F.col("_loc")).cast("bigint").alias(name))
+
+
 def batch_assign(df: DataFrame, idx: str, batch_size: int) -> DataFrame:
     """Sequential batches of ``batch_size`` rows (the last one partial)."""
     return df.withColumn("batch", F.floor(F.col(idx) / batch_size).cast("bigint"))

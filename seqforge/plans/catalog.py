@@ -146,3 +146,4 @@ from seqforge.plans import catalog_smoothed  # noqa: E402,F401
 from seqforge.plans import catalog_seq  # noqa: E402,F401
 from seqforge.plans import catalog_runlog  # noqa: E402,F401
 from seqforge.plans import catalog_decode  # noqa: E402,F401
+from seqforge.plans import catalog_io  # noqa: E402,F401

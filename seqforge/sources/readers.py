@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqforge.functions.text import fill_missing, lower_text, sentinel_to_null, strip_text
-from seqforge.sources.position import with_position
+from seqforge.sources.position import with_position  # noqa: F401  (re-exported)
 
 CORPUS_COLUMNS = ["annotation", "source_code", "target_api", "api_seq", "related_so_question"]
 # Cells pandas' CSV reader treats as missing by default (opt-in via na_values="pandas").

@@ -21,13 +21,23 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/seqforge-io/{tag}-{uuid.uuid4().hex}"
 
 
-def write_ordered_text(df: DataFrame, col: str, pos: str, path: str) -> None:
-    """Write one text line per row in ``pos`` order."""
-    (df.select(pos, F.coalesce(F.col(col).cast("string"), F.lit("")).alias("value"))
-       .repartitionByRange(pos).sortWithinPartitions(pos)
+def write_ordered_text(df: DataFrame, col: str, pos, path: str) -> None:
+    """Write one text line per row in ``pos`` order (a column name or a list of them).
+    A null value is written as an empty line."""
+    order = [pos] if isinstance(pos, str) else list(pos)
+    (df.select(*order, F.coalesce(F.col(col).cast("string"), F.lit("")).alias("value"))
+       .repartitionByRange(*order).sortWithinPartitions(*order)
        .select("value").write.mode("overwrite").text(path))
 
 
+def write_ordered_csv(df: DataFrame, cols: list[str], pos, path: str, header: bool) -> None:
+    """CSV (quoted as needed, multi-line cells allowed, whitespace kept) in ``pos`` order."""
+    order = [pos] if isinstance(pos, str) else list(pos)
+    (df.select(*order, *cols).repartitionByRange(*order).sortWithinPartitions(*order).select(*cols)
+       .write.mode("overwrite").option("header", header).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def split_annotation(df: DataFrame) -> DataFrame:
     """Variant 'annotation': stripped annotation, all API sequence, target API."""
     return df.select("idx", strip_text("annotation").alias("annotation"),
@@ -62,8 +72,7 @@ def write_hyp_ref_csv(pairs: DataFrame, pos: str, hyp: str, ref: str, prefix: st
     paths = []
     for col, suffix in ((hyp, "hyp"), (ref, "ref")):
         p = f"{prefix}_{suffix}.csv"
-        (pairs.select(pos, col).repartitionByRange(pos).sortWithinPartitions(pos)
-              .select(col).write.mode("overwrite").option("header", False).option("escape", '"').csv(p))
+        write_ordered_csv(pairs, [col], pos, p, header=False)
         paths.append(p)
     return paths[0], paths[1]
 
@@ -74,16 +83,17 @@ def id_text_lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def eval_report(nbest: DataFrame, qid: str = "qid", query: str = "query", target: str = "target",
-                r_id: str = "r_id", sample: str = "sample") -> DataFrame:
+                r_id: str = "r_id", sample: str = "sample", batch: str = "batch") -> DataFrame:
     """Per query report block: ``Batch n``, ``Query:``, ``Target >>``, ``Sample k >>``.
 
     One row per query (qid, block); samples are bounded by the n-best size.
+    ``batch`` is the 1-based position of the query in evaluation order.
     """
-    samples = (nbest.groupBy(qid, query, target)
+    samples = (nbest.groupBy(qid, batch, query, target)
                .agg(F.array_sort(F.collect_list(F.struct(F.col(r_id).alias("r"), F.col(sample).alias("s"))))
                     .alias("ss")))
     lines = F.transform("ss", lambda x: F.format_string("Sample %d >> %s", x["r"], quote_repair(x["s"])))
-    block = F.concat_ws("\n", F.format_string("Batch %d ", F.col(qid) + 1),
+    block = F.concat_ws("\n", F.format_string("Batch %d ", F.col(batch)),
                         F.format_string("Query: %s ", F.col(query)),
                         F.format_string("Target >> %s", quote_repair(F.col(target))),
                         F.array_join(lines, "\n"))
