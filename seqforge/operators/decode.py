@@ -51,7 +51,7 @@ def beam_search(queries: DataFrame, nxt: DataFrame, beam: int, max_len: int, eos
     at some step and at least ``beam`` hypotheses finished. The frontier is written to
     the checkpoint folder each ``lineage_every`` rounds, so the plan does not grow.
 
-    Returns all frontiers: (qid, step, k, tokens, score, last).
+    Returns all frontiers: (qid, step, k, parent, tokens, score, last).
     """
     from seqforge.operators.joins import bounded_broadcast
     from seqforge.session import cut_lineage
@@ -75,13 +75,14 @@ def beam_search(queries: DataFrame, nxt: DataFrame, beam: int, max_len: int, eos
             cand = cand.where(F.col("token") != eos)
         ranked = cand.withColumn("_rn", F.row_number().over(wr)).where(F.col("_rn") <= beam)
         new = ranked.select(
-            "qid", (F.col("_rn") - 1).alias("k"), F.concat("tokens", F.array("token")).alias("tokens"), "score",
+            "qid", (F.col("_rn") - 1).alias("k"), "parent",
+            F.concat("tokens", F.array("token")).alias("tokens"), "score",
             F.col("token").alias("last"),
             (F.col("eos_top") | F.max((F.col("_rn") == 1) & (F.col("token") == eos)).over(wq)).alias("eos_top"),
             (F.col("nfin") + F.sum((F.col("token") == eos).cast("bigint")).over(wq)).alias("nfin"))
         if lineage_every and t % lineage_every == 0:
             new = cut_lineage(new)
-        fronts.append(new.select("qid", F.lit(t).alias("step"), "k", "tokens", "score", "last"))
+        fronts.append(new.select("qid", F.lit(t).alias("step"), "k", "parent", "tokens", "score", "last"))
         front = new.where(~(F.col("eos_top") & (F.col("nfin") >= beam)))
     out = fronts[0]
     for f in fronts[1:]:
@@ -111,7 +112,26 @@ def beam_final(fronts: DataFrame, beam: int, eos: int = 2, rank_by: str = "sum")
     r = allc.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < beam)
     from seqforge.functions.arrays import eos_cut
     return r.select("qid", F.col("rank").cast("bigint").alias("rank"), eos_cut("tokens", eos).alias("tokens"),
-                    "score")
+                    "score", "step", "k")
+
+
+def backtrace(fronts: DataFrame, finals: DataFrame, max_len: int) -> DataFrame:
+    """Rebuild hypotheses from parent pointers only: start at (qid, step, k) of each final
+    entry and follow ``parent`` down to step 1, one equi-join per step.
+    ``fronts``: (qid, step, k, parent, last); ``finals``: (qid, rank, step, k).
+    Output: qid, rank, tokens (oldest first)."""
+    edges = fronts.select("qid", F.col("step").alias("_st"), F.col("k").alias("_k"), "parent",
+                          F.col("last").alias("_tok"))
+    cur = finals.select("qid", "rank", F.col("step").alias("_st"), F.col("k").alias("_k"),
+                        F.array().cast("array<bigint>").alias("tokens"))
+    for _ in range(max_len):
+        j = cur.join(edges, ["qid", "_st", "_k"], "left")
+        hit = F.col("_tok").isNotNull()
+        cur = j.select("qid", "rank",
+                       F.when(hit, F.col("_st") - 1).otherwise(F.col("_st")).alias("_st"),
+                       F.when(hit, F.col("parent")).otherwise(F.col("_k")).alias("_k"),
+                       F.when(hit, F.concat(F.array("_tok"), "tokens")).otherwise(F.col("tokens")).alias("tokens"))
+    return cur.select("qid", "rank", "tokens")
 
 
 def best_successor(nxt: DataFrame) -> DataFrame:

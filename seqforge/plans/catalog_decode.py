@@ -66,6 +66,7 @@ def _beam_out(df):
     return _round_all(df.select("qid", "rank", A.ids_text("tokens").alias("tokens"), "score"))
 
 
+
 def _beam_out_sql(inner: str) -> str:
     return f"SELECT qid, rank, array_to_string(tokens, ' ') AS tokens, round(score, 6) AS score FROM ({inner})"
 
@@ -237,3 +238,29 @@ def nbest_predict(spark, sf):
     j = r.join(inv, "id", "left")
     g = j.groupBy("qid", "rank").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
     return g.select("qid", "rank", F.array_join(F.transform("s", lambda x: x["token"]), " ").alias("text"))
+
+
+@register("beam_final", _beam_out_sql(beam_sql(12, STEPS, False)))
+def beam_final(spark, sf):
+    """Final n-best at width 12: finished by score, topped up with unfinished slots."""
+    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), 12, STEPS)
+    return _beam_out(D.beam_final(f, 12))
+
+
+@register("backtrace", f"""
+  SELECT qid, rank, array_to_string(tokens, ' ') AS tokens FROM ({beam_sql(12, STEPS, False)})""")
+def backtrace(spark, sf):
+    """Hypotheses rebuilt from parent pointers (iterated equi-joins), EOS cut: must equal
+    the carried token arrays of the same search."""
+    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), 12, STEPS)
+    finals = D.beam_final(f, 12)
+    b = D.backtrace(f, finals, STEPS)
+    return b.select("qid", "rank", A.ids_text(A.eos_cut("tokens")).alias("tokens"))
+
+
+@register("filter_pad", f"""
+  SELECT seq_id, array_to_string(list_filter(framed, lambda x: x <> 0), ' ') AS ids FROM ({FRAMED_SQL})""")
+def filter_pad(spark, sf):
+    """Drop PAD ids from framed rows before decoding."""
+    e = encoded(spark, sf)
+    return e.select("seq_id", A.ids_text(A.filter_pad(A.frame_sos_eos_pad("ids", 50))).alias("ids"))

@@ -177,6 +177,18 @@ def src_vectors(spark, sf):
                                            lambda a, x: a + x).alias("total")))
 
 
+@register("sink_vectors", """
+  SELECT vec_id, CAST(p AS BIGINT) AS pos, round(CAST(x AS DOUBLE), 6) AS value FROM (
+    SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)""")
+def sink_vectors(spark, sf):
+    """save_vecs / load_vecs: float vectors written (compressed Parquet) and read back element-exact."""
+    path = S.scratch_path(spark, "vecs")
+    (fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+     .write.option("compression", "zstd").parquet(path))
+    v = R.read_vectors(spark, path).select("vec_id", F.posexplode("vec").alias("pos", "value"))
+    return _round_all(v.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.col("value").cast("double").alias("value")))
+
+
 # ------------------------------------------------------------------ split line files
 def _split_lines_sql(cols: dict[str, str]) -> str:
     """Lines of each written file: a value containing newlines spans several lines."""
