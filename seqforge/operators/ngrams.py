@@ -36,8 +36,17 @@ def explode_ngrams(df: DataFrame, key_cols: list[str], tokens: str, max_n: int =
     return df.select(*key_cols, F.inline(grams))
 
 
-def ngram_count(df: DataFrame, key_cols: list[str], tokens: str, max_n: int = MAX_N) -> DataFrame:
-    """Counts of every n-gram per key: key_cols + (n, gram, cnt)."""
+def ngram_count(df: DataFrame, key_cols: list[str], tokens: str, max_n: int = MAX_N,
+                colocate: bool = True) -> DataFrame:
+    """Counts of every n-gram per key: key_cols + (n, gram, cnt).
+
+    ``colocate`` (for keys that identify one row each, e.g. a document id): the rows
+    are hash-partitioned on the key first, so the token arrays are shuffled once and
+    the n-gram rows never are. Keys that may repeat heavily should pass False and
+    rely on partial aggregation instead.
+    """
+    if colocate:
+        df = df.repartition(*key_cols)
     return (explode_ngrams(df, key_cols, tokens, max_n)
             .groupBy(*key_cols, "n", "gram").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -85,8 +94,9 @@ def multi_ref_stats(hyps: DataFrame, refs: DataFrame, seg: str, tokens: str, ref
     rf = refs.select(F.col(seg).alias("seg"), F.col(ref_no).alias("ref_no"), F.col(tokens).alias("_t"))
 
     # reference side: per reference counts, then max over the references (cook_refs)
-    ref_max = (explode_ngrams(rf, ["seg", "ref_no"], "_t", max_n)
-               .groupBy("seg", "ref_no", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    # one row per (seg, ref_no): colocated counting; the max over references is a
+    # partial+final aggregation, safe when a segment has very many references
+    ref_max = (ngram_count(rf, ["seg", "ref_no"], "_t", max_n)
                .groupBy("seg", "n", "gram").agg(F.max("cnt").alias("r")))
     hyp_rows = explode_ngrams(h, ["seg"], "_t", max_n).select("seg", "n", "gram", F.lit(1).alias("h"),
                                                               F.lit(0).cast("bigint").alias("r"))

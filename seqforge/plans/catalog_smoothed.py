@@ -129,7 +129,7 @@ def _ngrams(spark, sf):
     """All n-grams (n = 1..4) of every document: occurrences and distinct grams per order."""
     from seqforge.operators.ngrams import explode_ngrams
     d = fx.table(spark, sf, "documents").select("doc_id", B.tokens_ws(F.lower("text")).alias("t"))
-    e = explode_ngrams(d, ["doc_id"], "t")
+    e = explode_ngrams(d.repartition("doc_id"), ["doc_id"], "t")   # one row per doc: colocate, then count locally
     return e.groupBy("doc_id", "n").agg(F.count(F.lit(1)).cast("bigint").alias("n_grams"),
                                         F.countDistinct("gram").cast("bigint").alias("n_distinct"))
 
