@@ -47,12 +47,14 @@ def encode_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len:
     (vocabulary size is capped) and the regroup then run without another shuffle.
     """
     base = df.select(F.col(key).alias("_k"), take(F.col(tokens), max_len).alias("_t")).repartition("_k")
-    ex = base.select("_k", F.posexplode("_t").alias("pos", "token"))
+    # outer explode keeps rows without tokens; their null entry is skipped by collect_list
+    ex = base.select("_k", F.posexplode_outer("_t").alias("pos", "token"))
     v = bounded_broadcast(vocab.select("token", "id"), vocab_rows)
-    looked = ex.join(v, "token", "left").select("_k", "pos", F.coalesce("id", F.lit(UNK_ID)).cast("bigint").alias("id"))
-    grouped = looked.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
-    out = base.join(grouped, "_k", "left").select(
-        "_k", F.coalesce(F.transform("s", lambda x: x["id"]), F.array().cast("array<bigint>")).alias("_ids"))
+    looked = ex.join(v, "token", "left").select(
+        "_k", F.when(F.col("pos").isNotNull(),
+                     F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).cast("bigint").alias("id"))).alias("e"))
+    out = looked.groupBy("_k").agg(F.array_sort(F.collect_list("e")).alias("s")).select(
+        "_k", F.transform("s", lambda x: x["id"]).alias("_ids"))
     return out.select(F.col("_k").alias(key),
                       F.concat("_ids", F.array_repeat(F.lit(PAD_ID).cast("bigint"),
                                                       (F.lit(max_len) - F.size("_ids")).cast("int"))).alias("ids"),
@@ -66,13 +68,12 @@ def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, ignore_tok:
     base = (df.select(F.col(key).alias("_k"),
                       keep_through_eos(F.filter(F.col(ids), lambda x: x != F.lit(ignore_tok)), EOS_ID).alias("_i"))
             .repartition("_k"))
-    ex = base.select("_k", F.posexplode("_i").alias("pos", "id"))
+    ex = base.select("_k", F.posexplode_outer("_i").alias("pos", "id"))
     inv = bounded_broadcast(invert_vocab(vocab), vocab_rows)
+    strict = F.coalesce("token", F.raise_error(F.concat(F.lit("id not in vocabulary: "), F.col("id").cast("string"))))
     looked = ex.join(inv, "id", "left").select(
-        "_k", "pos", F.coalesce("token", F.raise_error(F.concat(F.lit("id not in vocabulary: "),
-                                                               F.col("id").cast("string")))).alias("token"))
-    grouped = looked.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
-    out = base.join(grouped, "_k", "left")
-    toks = F.coalesce(F.transform("s", lambda x: x["token"]), F.array().cast("array<string>"))
+        "_k", F.when(F.col("pos").isNotNull(), F.struct("pos", strict.alias("token"))).alias("e"))
+    out = looked.groupBy("_k").agg(F.array_sort(F.collect_list("e")).alias("s"))
+    toks = F.transform("s", lambda x: x["token"])
     return out.select(F.col("_k").alias(key), F.array_join(toks, " ").alias("text"),
                       F.size(toks).cast("bigint").alias("len"))
