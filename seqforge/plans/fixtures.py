@@ -29,17 +29,19 @@ def star_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seg, hyp, ref): within a prefix group the lowest doc_id is the reference,
     every other document is a hypothesis; seg = hypothesis doc_id.
 
-    The anchor per prefix comes from a partial+final aggregation (skew safe);
-    the join back to the documents is a shuffle join that AQE may split when a
-    prefix is hot.
+    Anchors come from a hash aggregation over narrow (prefix, doc_id) rows (partial +
+    final, skew safe); texts only travel through joins: documents -> their anchor id
+    by prefix, then hypotheses -> the reference text by anchor id. A hot prefix or a
+    hot reference is a skewed join key on the streamed side only, which AQE splits.
     """
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.substring("text", 1, PREFIX_LEN).alias("prefix"))
-    anchors = docs.groupBy("prefix").agg(F.min("doc_id").alias("ref_id"),
-                                         F.min_by("text", "doc_id").alias("ref"))
-    return (docs.join(anchors, "prefix")
-            .where(F.col("doc_id") != F.col("ref_id"))
-            .select(F.col("doc_id").alias("seg"), F.col("text").alias("hyp"), "ref", "ref_id"))
+    anchors = docs.groupBy("prefix").agg(F.min("doc_id").alias("ref_id"))
+    tagged = docs.join(anchors, "prefix")
+    refs = tagged.where(F.col("doc_id") == F.col("ref_id")).select("ref_id", F.col("text").alias("ref"))
+    hyps = tagged.where(F.col("doc_id") != F.col("ref_id")).select(
+        F.col("doc_id").alias("seg"), F.col("text").alias("hyp"), "ref_id")
+    return hyps.join(refs, "ref_id").select("seg", "hyp", "ref", "ref_id")
 
 
 STAR_PAIRS_SQL = f"""
@@ -68,14 +70,16 @@ TURN_PAIRS_SQL = """
 
 def ranked_groups(spark: SparkSession, sf_dir: str, k: int = N_REFS) -> DataFrame:
     """(prefix, doc_id, text, rn): the k+1 lowest doc_ids of every prefix group that
-    has at least two members. row_number <= k+1 plans as a partial top-k before
-    the shuffle, so a hot prefix never reaches one task whole."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.substring("text", 1, PREFIX_LEN).alias("prefix"))
+    has at least two members. The ranking runs on narrow (prefix, doc_id) rows and
+    ``row_number <= k+1`` plans as a partial top-k before the shuffle, so a hot prefix
+    never reaches one task whole; texts are joined to the few winners afterwards."""
+    docs = table(spark, sf_dir, "documents")
+    keys = docs.select("doc_id", F.substring("text", 1, PREFIX_LEN).alias("prefix"))
     w = Window.partitionBy("prefix").orderBy("doc_id")
-    top = docs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1)
+    top = keys.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1)
     multi = top.where(F.col("rn") == 2).select("prefix")
-    return top.join(multi, "prefix", "left_semi")
+    winners = top.join(multi, "prefix", "left_semi")
+    return winners.join(docs.select("doc_id", "text"), "doc_id").select("prefix", "doc_id", "text", "rn")
 
 
 def ranked_groups_sql(k: int = N_REFS) -> str:
