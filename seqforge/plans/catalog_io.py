@@ -84,12 +84,12 @@ def src_zip_lines(spark, sf):
 
 @register("src_zip_lines_ctx", f"""
   SELECT s.idx, {sg.strip('s.line')} AS source, {sg.strip('t.line')} AS target,
-         nullif({sg.strip("CASE WHEN length(s.line) < 20 THEN '\"\"' ELSE substr(s.line, 1, 30) END")}, '""') AS context_api
+         nullif({sg.strip("CASE WHEN length(s.line) < 20 THEN '\"\"' ELSE lower(s.line) END")}, '""') AS context_api
   FROM ({DOC_LINES_POS_SQL}) s JOIN ({CONV_LINES_POS_SQL}) t USING (idx)""")
 def src_zip_lines_ctx(spark, sf):
     """Three aligned files; a context line equal to "" becomes null."""
     lines = fx.doc_lines(spark, sf)
-    ctx = lines.withColumn("ctx", F.when(F.length("line") < 20, F.lit('""')).otherwise(F.substring("line", 1, 30)))
+    ctx = lines.withColumn("ctx", F.when(F.length("line") < 20, F.lit('""')).otherwise(F.lower("line")))
     src = _write_lines(spark, lines, "line", ["doc_id", "line_no"], "src")
     trg = _write_lines(spark, _conv_lines(spark, sf), "line", ["conv_id", "turn", "line_no"], "trg")
     cp = _write_lines(spark, ctx, "ctx", ["doc_id", "line_no"], "ctx")
@@ -270,7 +270,7 @@ def sink_id_text(spark, sf):
   SELECT qid, 'Batch ' || CAST(batch AS VARCHAR) || ' ' || chr(10) || 'Query: ' || q || ' ' || chr(10) ||
          'Target >> ' || replace(t, ' '' ', '''') || chr(10) ||
          string_agg('Sample ' || CAST(r_id AS VARCHAR) || ' >> ' || replace(h, ' '' ', ''''), chr(10) ORDER BY r_id) AS block
-  FROM (SELECT qid, r_id, dense_rank() OVER (ORDER BY qid) AS batch, substr(replace(ref, chr(10), ' '), 1, 40) AS q,
+  FROM (SELECT qid, r_id, dense_rank() OVER (ORDER BY qid) AS batch, 'doc ' || CAST(qid AS VARCHAR) AS q,
                replace(ref, chr(10), ' ') AS t, replace(hyp, chr(10), ' ') AS h
         FROM ({__import__('seqforge.plans.catalog', fromlist=['x']).NBEST_SQL}))
   GROUP BY qid, batch, q, t""")
@@ -280,7 +280,7 @@ def sink_eval_report(spark, sf):
     nb = nbest_fixture(spark, sf)
     qs = RK.dense_index(nb.select("qid").distinct(), ["qid"], "b")
     x = nb.join(qs, "qid").select("qid", (F.col("b") + 1).alias("batch"), "r_id",
-                                  F.substring(F.regexp_replace("ref", "\n", " "), 1, 40).alias("query"),
+                                  F.concat(F.lit("doc "), F.col("qid").cast("string")).alias("query"),
                                   F.regexp_replace("ref", "\n", " ").alias("target"),
                                   F.regexp_replace("hyp", "\n", " ").alias("sample"))
     return S.eval_report(x)

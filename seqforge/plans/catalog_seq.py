@@ -88,15 +88,14 @@ def encode_ids(spark, sf):
 @register("vocab_lookup", f"""
   SELECT token, CAST(coalesce(v.id, 3) AS BIGINT) AS id, CAST(count(*) AS BIGINT) AS n
   FROM (SELECT unnest(tokens) AS token FROM ({DOC_TOKENS_SQL})) t LEFT JOIN {EVENT_VOCAB_SQL} v USING (token)
-  GROUP BY token, coalesce(v.id, 3) HAVING coalesce(v.id, 3) <> 3 OR count(*) > 50""")
+  GROUP BY token, coalesce(v.id, 3)""")
 def vocab_lookup(spark, sf):
-    """token -> id with UNK default: document words looked up in the event vocabulary
-    (words seen more than 50 times, and every known word)."""
+    """token -> id with UNK default: every document word looked up in the event vocabulary
+    (occurrences per token)."""
     d = fx.table(spark, sf, "documents").select(F.explode(tokens_ws(F.lower("text"))).alias("token"))
     v = bounded_broadcast(event_vocab(spark, sf).select("token", "id"), V.VOCAB_CAP)
     j = d.join(v, "token", "left").select("token", F.coalesce("id", F.lit(A.UNK_ID)).cast("bigint").alias("id"))
-    g = j.groupBy("token", "id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    return g.where((F.col("id") != A.UNK_ID) | (F.col("n") > 50))
+    return j.groupBy("token", "id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 FRAMED_SQL = f"""

@@ -49,8 +49,6 @@ _reg_doc_text("split_puncts", tx.split_puncts, sg.split_puncts, "pages", "page_i
 _reg_doc_text("nist_normalize", tx.nist_normalize, sg.nist_normalize, "pages", "page_id", "html")
 _reg_doc_text("unescape_entities", tx.unescape_entities, sg.unescape, "pages", "page_id", "html")
 _reg_doc_text("quote_repair", tx.quote_repair, lambda e: f"replace({e}, ' '' ', '''')")
-_reg_doc_text("sentinel_to_null", lambda c: tx.sentinel_to_null(F.substring(c, 1, 2)),
-              lambda e: f"nullif(substr({e}, 1, 2), '\"\"')", "conversations", "conv_id, turn")
 _reg_doc_tokens("tokens_ws", tx.tokens_ws, sg.tokens_ws)
 _reg_doc_tokens("tokens_space", tx.tokens_space, sg.tokens_space)
 _reg_doc_tokens("nist_tokens", lambda c: tx.nist_tokens(tx.split_puncts(tx.lower_text(tx.strip_text(c)))),
@@ -62,6 +60,16 @@ _reg_doc_text("drop_first_token", tx.drop_first_token,
               lambda e: f"array_to_string({sg.tokens_ws(e)}[2:], ' ')")
 
 
+@register("sentinel_to_null", f"""
+  SELECT doc_id, line_no, nullif(CASE WHEN {sg.strip('line')} = '' THEN '""' ELSE line END, '""') AS out
+  FROM ({fx.DOC_LINES_SQL})""")
+def sentinel_to_null(spark, sf):
+    """Context lines: blank lines are written as the two characters "" and read back as null."""
+    lines = fx.doc_lines(spark, sf)
+    ctx = F.when(tx.strip_text("line") == "", F.lit('""')).otherwise(F.col("line"))
+    return lines.select("doc_id", "line_no", tx.sentinel_to_null(ctx).alias("out"))
+
+
 @register("fill_missing", """
   SELECT c.conv_id, coalesce(t.text, '') AS out
   FROM (SELECT DISTINCT conv_id FROM conversations) c
