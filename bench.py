@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "sent_bleu4", "bleu_stats_pair", "sim_bleu", "bleu_from_maps", "bleu_cli", "bleu_corpus_smoothed",
     "ngram_count", "nist_tokens", "encode_ids", "decode_ids", "frame_cls_sep_mask", "vocab_doc_size",
-    "next_token_table", "beam_search", "greedy_decode", "running_loss", "token_weighted_loss_ppl",
+    "next_token_table", "beam_search", "beam_search_words", "greedy_decode", "running_loss", "token_weighted_loss_ppl",
     "best_checkpoint", "src_zip_lines", "dev_sample", "l2_normalize",
 ]
 

@@ -57,7 +57,12 @@ def beam_search(queries: DataFrame, nxt: DataFrame, beam: int, max_len: int, eos
     from seqforge.session import cut_lineage
 
     width = beam + (1 if forced else 0)
-    nk = bounded_broadcast(prune_next(nxt, width).select("state", "token", "logp"), state_bound * width)
+    # the pruned table is small (bounded by states x width) and read by every round:
+    # materialise it once instead of recomputing it from the corpus per round
+    pruned = prune_next(nxt, width).select("state", "token", "logp")
+    if lineage_every:
+        pruned = cut_lineage(pruned)
+    nk = bounded_broadcast(pruned, state_bound * width)
     start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
     front = (queries.select("qid", F.lit(0).alias("k"), F.array().cast("array<bigint>").alias("tokens"),
                             F.lit(0.0).alias("score"), start.alias("last"),

@@ -29,14 +29,17 @@ def decode_queries(spark, sf):
     return encoded(spark, sf).select(F.col("seq_id").alias("qid"), F.slice("ids", 1, 1).alias("prefix"))
 
 
-def beam_sql(beam: int, steps: int, forced: bool, rank_by: str = "sum") -> str:
+def beam_sql(beam: int, steps: int, forced: bool, rank_by: str = "sum", next_sql: str | None = None,
+             queries_sql: str | None = None) -> str:
     """Unrolled SQL twin of decode.beam_search + decode.beam_final."""
     width = beam + (1 if forced else 0)
+    next_sql = next_sql or NEXT_SQL
+    queries_sql = queries_sql or QUERIES_SQL
     ctes = [f"""nk AS (SELECT state, token, logp FROM (
-        SELECT *, row_number() OVER (PARTITION BY state ORDER BY logp DESC, token) AS r FROM ({NEXT_SQL})) WHERE r <= {width})""",
+        SELECT *, row_number() OVER (PARTITION BY state ORDER BY logp DESC, token) AS r FROM ({next_sql})) WHERE r <= {width})""",
             f"""a0 AS (SELECT qid, 0 AS k, CAST([] AS BIGINT[]) AS tokens, CAST(0.0 AS DOUBLE) AS score,
         CAST(CASE WHEN len(prefix) > 0 THEN prefix[len(prefix)] ELSE 1 END AS BIGINT) AS last,
-        false AS eos_top, CAST(0 AS BIGINT) AS nfin FROM ({QUERIES_SQL}))"""]
+        false AS eos_top, CAST(0 AS BIGINT) AS nfin FROM ({queries_sql}))"""]
     for t in range(1, steps + 1):
         block = f" AND n.token <> {EOS}" if (forced and t == 1) else ""
         ctes.append(f"""r{t} AS (SELECT a.qid, a.k AS parent, a.tokens, a.score + n.logp AS score, n.token, a.eos_top, a.nfin,
@@ -264,3 +267,65 @@ def filter_pad(spark, sf):
     """Drop PAD ids from framed rows before decoding."""
     e = encoded(spark, sf)
     return e.select("seq_id", A.ids_text(A.filter_pad(A.frame_sos_eos_pad("ids", 50))).alias("ids"))
+
+
+# ------------------------------------------------------------------ word-level decoding over documents
+WORD_STEPS = 6
+
+
+def word_inputs(spark, sf):
+    """Documents as framed word ids (<s> w1 .. wn </s>) in the capped document vocabulary
+    (unknown -> UNK): returns (ids(doc_id, pos, id), queries(qid, prefix)).
+
+    The vocabulary (at most 10,000 rows) is materialised once in the checkpoint folder
+    and broadcast; the exploded corpus is partitioned by doc_id once."""
+    from seqforge.functions.text import tokens_ws
+    from seqforge.operators import vocab as V
+    from seqforge.operators.joins import bounded_broadcast
+    from seqforge.plans import fixtures as fx
+    from seqforge.session import cut_lineage
+    d = fx.table(spark, sf, "documents").select("doc_id", tokens_ws(F.lower("text")).alias("tokens"))
+    v = cut_lineage(V.build_vocab(d, "tokens").select("token", "id"))
+    look = bounded_broadcast(v, V.VOCAB_CAP)
+    framed = F.concat(F.array(F.lit("<s>")), F.col("tokens"), F.array(F.lit("</s>")))
+    ex = d.repartition("doc_id").select("doc_id", F.posexplode(framed).alias("pos", "token"))
+    ids = ex.join(look, "token", "left").select("doc_id", "pos", F.coalesce("id", F.lit(A.UNK_ID)).alias("id"))
+    first = d.select("doc_id", F.coalesce(F.element_at("tokens", 1), F.lit("</s>")).alias("token"))
+    queries = first.join(look, "token", "left").select(
+        F.col("doc_id").alias("qid"), F.array(F.coalesce("id", F.lit(A.UNK_ID))).alias("prefix"))
+    return ids, queries
+
+
+def word_next_table(ids):
+    """Bigram successor table over the whole documents (window per document: one row's words)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    pairs = ids.select("doc_id", F.col("id").alias("input_id"), F.lead("id").over(w).alias("label_id")) \
+               .where(F.col("label_id").isNotNull())
+    return D.next_token_table(pairs, "input_id", "label_id")
+
+
+def _word_sqls():
+    from seqforge.plans.catalog_seq import DOC_TOKENS_SQL, DOC_VOCAB_SQL
+    ids = f"""SELECT t.doc_id, t.pos, CAST(coalesce(v.id, 3) AS BIGINT) AS id FROM (
+        SELECT doc_id, unnest(list_concat(['<s>'], tokens, ['</s>'])) AS token,
+               generate_subscripts(list_concat(['<s>'], tokens, ['</s>']), 1) - 1 AS pos FROM ({DOC_TOKENS_SQL})) t
+        LEFT JOIN {DOC_VOCAB_SQL} v USING (token)"""
+    nxt = f"""SELECT state, token, ln(CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY state)) AS logp FROM (
+        SELECT input_id AS state, label_id AS token, count(*) AS cnt FROM (
+          SELECT id AS input_id, lead(id) OVER (PARTITION BY doc_id ORDER BY pos) AS label_id FROM ({ids}))
+        WHERE label_id IS NOT NULL GROUP BY 1, 2)"""
+    qs = f"SELECT doc_id AS qid, [id] AS prefix FROM ({ids}) WHERE pos = 1"
+    return nxt, qs
+
+
+_WN, _WQ = _word_sqls()
+
+
+@register("beam_search_words", _beam_out_sql(beam_sql(BEAM, WORD_STEPS, False, next_sql=_WN, queries_sql=_WQ)))
+def beam_search_words(spark, sf):
+    """Word-level beam search (width 5, 6 rounds) for every document, conditioned on its first
+    word, over the bigram table of the whole corpus (up to 10,000 states)."""
+    ids, queries = word_inputs(spark, sf)
+    f = D.beam_search(queries, word_next_table(ids), BEAM, WORD_STEPS)
+    return _beam_out(D.beam_final(f, BEAM))
