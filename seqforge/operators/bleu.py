@@ -67,10 +67,17 @@ def cli_tokens(text: Column) -> Column:
 
 def smoothed_stats(hyps: DataFrame, refs: DataFrame, seg: str = "seg", text: str = "text",
                    ref_no: str = "ref_no", eff_ref_len: str = "shortest",
-                   tokens=cli_tokens) -> DataFrame:
-    """Per-segment mteval statistics of one hypothesis vs. several references."""
+                   tokens=cli_tokens, materialize: bool = True) -> DataFrame:
+    """Per-segment mteval statistics of one hypothesis vs. several references.
+
+    Each side feeds two consumers (n-gram counts and lengths); with ``materialize``
+    the tokenised rows are written once to the shared checkpoint folder instead of
+    re-running the input plan and the normaliser for every consumer."""
     h = hyps.select(F.col(seg).alias("seg"), tokens(F.col(text)).alias("_t"))
     r = refs.select(F.col(seg).alias("seg"), F.col(ref_no).alias("ref_no"), tokens(F.col(text)).alias("_t"))
+    if materialize:
+        from seqforge.session import cut_lineage
+        h, r = cut_lineage(h), cut_lineage(r)
     return multi_ref_stats(h, r, "seg", "_t", "ref_no", eff_ref_len)
 
 

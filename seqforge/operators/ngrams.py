@@ -90,13 +90,16 @@ def multi_ref_stats(hyps: DataFrame, refs: DataFrame, seg: str, tokens: str, ref
     ``closest_shorter`` (shorter on ties).
     Output: seg, c, r, m1..m{max_n}.
     """
-    h = hyps.select(F.col(seg).alias("seg"), F.col(tokens).alias("_t"))
-    rf = refs.select(F.col(seg).alias("seg"), F.col(ref_no).alias("ref_no"), F.col(tokens).alias("_t"))
+    # each side is shuffled once on its row key; n-gram counts and lengths both read
+    # that exchange (reused), so tokenisation upstream runs once per side
+    h = hyps.select(F.col(seg).alias("seg"), F.col(tokens).alias("_t")).repartition("seg")
+    rf = (refs.select(F.col(seg).alias("seg"), F.col(ref_no).alias("ref_no"), F.col(tokens).alias("_t"))
+          .repartition("seg", "ref_no"))
 
     # reference side: per reference counts, then max over the references (cook_refs)
-    # one row per (seg, ref_no): colocated counting; the max over references is a
+    # one row per (seg, ref_no): counting is local; the max over references is a
     # partial+final aggregation, safe when a segment has very many references
-    ref_max = (ngram_count(rf, ["seg", "ref_no"], "_t", max_n)
+    ref_max = (ngram_count(rf, ["seg", "ref_no"], "_t", max_n, colocate=False)
                .groupBy("seg", "n", "gram").agg(F.max("cnt").alias("r")))
     hyp_rows = explode_ngrams(h, ["seg"], "_t", max_n).select("seg", "n", "gram", F.lit(1).alias("h"),
                                                               F.lit(0).cast("bigint").alias("r"))
