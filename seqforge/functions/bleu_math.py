@@ -50,10 +50,12 @@ def sentence_bleu(c, r, m: list, order: int = 4) -> Column:
     return F.when(_c(m[0]) == 0, F.lit(0.0)).otherwise(brevity_penalty(c, r) * F.exp(s))
 
 
-def mteval_bleu(c, r, m: list, smooth: bool = True) -> list[Column]:
+def mteval_bleu(c, r, m: list, smooth: bool = True, g: list | None = None) -> list[Column]:
     """Smoothed (mteval style) BLEU -> [bleu, p1, p2, p3, p4] as fractions.
 
     Add-one smoothing for orders 2..4, brevity penalty min(0, 1-(r+1)/(c+1)).
+    ``g``: guesses per order; by default max(c-n+1, 0) of a single segment (pooled
+    statistics must pass the summed per-segment guesses).
     """
     c = _c(c).cast("double")
     r = _c(r).cast("double")
@@ -61,11 +63,11 @@ def mteval_bleu(c, r, m: list, smooth: bool = True) -> list[Column]:
     precs = []
     for n in range(1, 5):
         mn = _c(m[n - 1]).cast("double")
-        g = guess(c, n, 0).cast("double")
+        gcol = (_c(g[n - 1]) if g is not None else guess(c, n, 0)).cast("double")
         a = 1.0 if (smooth and n > 1) else 0.0
-        d = F.ln(mn + F.lit(a) + F.lit(TINY)) - F.ln(g + F.lit(a) + F.lit(TINY))
+        d = F.ln(mn + F.lit(a) + F.lit(TINY)) - F.ln(gcol + F.lit(a) + F.lit(TINY))
         logb = d if logb is None else logb + d
-        precs.append(F.when(g == 0, F.lit(0.0)).otherwise(F.exp(F.ln(mn + F.lit(TINY)) - F.ln(g))))
+        precs.append(F.when(gcol == 0, F.lit(0.0)).otherwise(F.exp(F.ln(mn + F.lit(TINY)) - F.ln(gcol))))
     bp = F.least(F.lit(0.0), F.lit(1.0) - (r + 1) / (c + 1))
     return [F.exp(logb / 4.0 + bp)] + precs
 

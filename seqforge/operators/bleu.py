@@ -96,8 +96,10 @@ def bleu_from_maps(stats: DataFrame) -> DataFrame:
 def bleu_corpus_smoothed(stats: DataFrame) -> DataFrame:
     """Pool the statistics over all segments, then score once -> [bleu, p1..p4] (one row)."""
     tot = stats.agg(F.sum("c").alias("c"), F.sum("r").alias("r"),
-                    *[F.sum(m).alias(m) for m in M], F.count(F.lit(1)).alias("n_segments"))
-    b = bm.mteval_bleu("c", "r", M)
+                    *[F.sum(m).alias(m) for m in M],
+                    *[F.sum(bm.guess(F.col("c"), n, 0)).alias(f"g{n}") for n in range(1, 5)],
+                    F.count(F.lit(1)).alias("n_segments"))
+    b = bm.mteval_bleu("c", "r", M, g=[f"g{n}" for n in range(1, 5)])
     return tot.select("n_segments", b[0].alias("bleu"), *[b[k].alias(f"p{k}") for k in range(1, 5)])
 
 

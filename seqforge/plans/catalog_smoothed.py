@@ -56,9 +56,11 @@ def bleu_from_maps(spark, sf):
 
 @register("bleu_corpus_smoothed", f"""
   WITH t AS (SELECT CAST(count(*) AS BIGINT) AS n_segments, sum(c) AS c, sum(r) AS r, sum(m1) AS m1, sum(m2) AS m2,
-                    sum(m3) AS m3, sum(m4) AS m4 FROM {sg.multi_ref_stats(HYPS_TOK, REFS_TOK)} s)
-  SELECT n_segments, {sg.r6(sg.mteval_bleu()[0])} AS bleu,
-         {', '.join(sg.r6(sg.mteval_bleu()[k]) + f' AS p{k}' for k in range(1, 5))} FROM t""")
+                    sum(m3) AS m3, sum(m4) AS m4, sum(greatest(c, 0)) AS g1, sum(greatest(c - 1, 0)) AS g2,
+                    sum(greatest(c - 2, 0)) AS g3, sum(greatest(c - 3, 0)) AS g4
+             FROM {sg.multi_ref_stats(HYPS_TOK, REFS_TOK)} s)
+  SELECT n_segments, {sg.r6(sg.mteval_bleu(pooled=True)[0])} AS bleu,
+         {', '.join(sg.r6(sg.mteval_bleu(pooled=True)[k]) + f' AS p{k}' for k in range(1, 5))} FROM t""")
 def bleu_corpus_smoothed(spark, sf):
     """Statistics pooled over all segments, then one smoothed score."""
     return _round_all(B.bleu_corpus_smoothed(_stats(spark, sf)))

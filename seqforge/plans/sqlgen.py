@@ -136,10 +136,11 @@ def sentence_bleu(order: int, c: str = "c", r: str = "r") -> str:
     return f"(CASE WHEN m1 = 0 THEN 0.0 ELSE {bp(c, r)} * exp({' + '.join(terms)}) END)"
 
 
-def mteval_bleu(c: str = "c", r: str = "r", smooth: bool = True) -> list[str]:
+def mteval_bleu(c: str = "c", r: str = "r", smooth: bool = True, pooled: bool = False) -> list[str]:
+    """``pooled``: guesses come from columns g1..g4 (sums of per-segment guesses)."""
     ds, ps = [], []
     for n in range(1, 5):
-        g = f"CAST(greatest({c} - {n - 1}, 0) AS DOUBLE)"
+        g = f"CAST(g{n} AS DOUBLE)" if pooled else f"CAST(greatest({c} - {n - 1}, 0) AS DOUBLE)"
         a = "1.0" if (smooth and n > 1) else "0.0"
         ds.append(f"(ln(CAST(m{n} AS DOUBLE) + {a} + {TINY}) - ln({g} + {a} + {TINY}))")
         ps.append(f"(CASE WHEN {g} = 0 THEN 0.0 ELSE exp(ln(CAST(m{n} AS DOUBLE) + {TINY}) - ln({g})) END)")
