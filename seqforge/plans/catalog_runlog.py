@@ -221,7 +221,7 @@ def nbest_sort(spark, sf):
     """Order each query's samples by score (here: text length) descending, ties by r_id."""
     nb = nbest_fixture(spark, sf)
     w = Window.partitionBy("qid").orderBy(F.desc(F.length("hyp")), "r_id")
-    return nb.select("qid", "r_id", F.row_number().over(w).cast("bigint").alias("rank"))
+    return nb.select("qid", F.col("r_id").cast("bigint").alias("r_id"), F.row_number().over(w).cast("bigint").alias("rank"))
 
 
 # ------------------------------------------------------------------ corpus statistics

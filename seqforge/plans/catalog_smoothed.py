@@ -90,7 +90,8 @@ def ref_max_count(spark, sf):
     t = refs.select("seg", "ref_no", B.cli_tokens(F.col("text")).alias("t"))
     c = ngram_count(t, ["seg", "ref_no"], "t")
     return (c.groupBy("seg", "n", "gram").agg(F.max("cnt").cast("bigint").alias("maxcount"))
-            .select("seg", "n", F.regexp_replace("gram", "\u0001", " ").alias("gram"), "maxcount"))
+            .select("seg", F.col("n").cast("bigint").alias("n"), F.regexp_replace("gram", "\u0001", " ").alias("gram"),
+                    "maxcount"))
 
 
 @register("cook_refs", f"""
@@ -116,7 +117,7 @@ def ngram_count_q(spark, sf):
     """n-gram counts per document (orders 1..4), summarised per order."""
     d = fx.table(spark, sf, "documents").select("doc_id", B.tokens_ws(F.lower("text")).alias("t"))
     c = ngram_count(d, ["doc_id"], "t")
-    return c.groupBy("n").agg(F.count(F.lit(1)).cast("bigint").alias("distinct_grams"),
+    return c.groupBy(F.col("n").cast("bigint").alias("n")).agg(F.count(F.lit(1)).cast("bigint").alias("distinct_grams"),
                               F.sum("cnt").cast("bigint").alias("occurrences"),
                               F.max("cnt").cast("bigint").alias("max_count"))
 
@@ -132,7 +133,7 @@ def _ngrams(spark, sf):
     from seqforge.operators.ngrams import explode_ngrams
     d = fx.table(spark, sf, "documents").select("doc_id", B.tokens_ws(F.lower("text")).alias("t"))
     e = explode_ngrams(d.repartition("doc_id"), ["doc_id"], "t")   # one row per doc: colocate, then count locally
-    return e.groupBy("doc_id", "n").agg(F.count(F.lit(1)).cast("bigint").alias("n_grams"),
+    return e.groupBy("doc_id", F.col("n").cast("bigint").alias("n")).agg(F.count(F.lit(1)).cast("bigint").alias("n_grams"),
                                         F.countDistinct("gram").cast("bigint").alias("n_distinct"))
 
 

@@ -67,7 +67,7 @@ def sentinel_to_null(spark, sf):
     """Context lines: blank lines are written as the two characters "" and read back as null."""
     lines = fx.doc_lines(spark, sf)
     ctx = F.when(tx.strip_text("line") == "", F.lit('""')).otherwise(F.col("line"))
-    return lines.select("doc_id", "line_no", tx.sentinel_to_null(ctx).alias("out"))
+    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), tx.sentinel_to_null(ctx).alias("out"))
 
 
 @register("fill_missing", """

@@ -37,6 +37,23 @@ def _rows(cols, rows):
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), str(x)) for x in r))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
+def type_mismatches(sdf, cur) -> list:
+    """Columns whose Spark type does not map to the DuckDB result type."""
+    duck_types = {d[0]: str(d[1]).upper() for d in cur.description}
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+        got = duck_types.get(f.name, "?")
+        if want != got:
+            out.append((f.name, f.dataType.simpleString(), got))
+    return out
+
+
 def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> dict:
     from seqforge.plans import catalog  # noqa: F401  (registers queries)
     from seqforge.plans.registry import REGISTRY
@@ -59,7 +76,10 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> di
         res["status"] = f"COLUMNS spark={sorted(scols)} duck={sorted(dcols)}"
         return res
     a, b = _rows(scols, srows), _rows(dcols, drows)
-    if a == b:
+    tm = type_mismatches(df, cur)
+    if a == b and tm:
+        res["status"] = f"TYPES {tm}"
+    elif a == b:
         res["status"] = "ok"
     else:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
