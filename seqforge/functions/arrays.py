@@ -141,6 +141,8 @@ def strip_prefix(ids: ColumnOrName, n_prefix: ColumnOrName) -> Column:
 def ngram_windows(tokens: ColumnOrName, n: int) -> Column:
     """All contiguous n-grams of one order as ``\\u0001``-joined strings (empty if size<n)."""
     t = _c(tokens)
+    if n == 1:
+        return F.coalesce(t, F.array().cast("array<string>"))   # unigrams are the tokens themselves
     cnt = F.size(t) - F.lit(n) + 1
     return F.when(cnt > 0, F.transform(F.sequence(F.lit(1), cnt),
                                        lambda i: F.array_join(F.slice(t, i, F.lit(n)), "\u0001"))) \
