@@ -23,11 +23,19 @@ def join_by_position(a: DataFrame, b: DataFrame, idx: str = "idx") -> DataFrame:
     return a.join(b, idx)
 
 
-def join_pred_gold(pred: DataFrame, gold: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+def join_pred_gold(pred: DataFrame, gold: DataFrame, id_col: str = "id",
+                   gold_pos: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Keep gold rows only for ids that have a prediction, and predictions with gold.
-    Returns (pred, gold) restricted to the common ids."""
-    g = gold.join(pred.select(id_col), id_col, "left_semi")
-    p = pred.join(g.select(id_col), id_col, "left_semi")
+    Returns (pred, gold) restricted to the common ids.
+
+    One id may carry very many gold lines; with ``gold_pos`` (a unique gold row id)
+    the semi join is salted so such an id is spread over tasks."""
+    if gold_pos:
+        g = skew_safe_join(gold, pred.select(id_col), [id_col], gold_pos, how="left_semi")
+    else:
+        g = gold.join(pred.select(id_col), id_col, "left_semi")
+    gold_ids = g.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).select(id_col)   # partial aggregation
+    p = pred.join(gold_ids, id_col, "left_semi")
     return p, g
 
 
@@ -45,3 +53,35 @@ def inverse_lookup_strict(df: DataFrame, key: str, lookup: DataFrame, lkey: str,
     others = [c for c in lookup.columns if c != lkey]
     return j.where(F.when(F.col(others[0]).isNull(), F.raise_error(F.lit("lookup key missing")))
                    .otherwise(F.lit(True)))
+
+
+# Rows per task a hot key is split into by the salted join.
+SALT_ROWS = 1_000_000
+
+
+def skew_safe_join(big: DataFrame, small: DataFrame, keys: list[str], big_id: str,
+                   key_counts: DataFrame | None = None, how: str = "inner",
+                   salt_rows: int | None = None) -> DataFrame:
+    """Join ``big`` (any number of rows per key, keys possibly hot) with ``small`` (at
+    most one row per key) so that no task sees more than about ``salt_rows`` rows of
+    one key.
+
+    Hot keys are those with more than ``salt_rows`` rows in ``big``; there are at most
+    rows(big) / salt_rows of them, so their narrow (key, salts) table is broadcast.
+    Rows of a hot key get a salt from a hash of ``big_id``; the matching ``small`` row
+    is replicated once per salt. Other keys join as usual (salt 0).
+    ``key_counts``: optional (keys..., cnt) if the caller already has the counts.
+    ``how``: "inner" or "left_semi".
+    """
+    salt_rows = salt_rows or SALT_ROWS
+    if key_counts is None:
+        key_counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))   # partial aggregation
+    hot = (key_counts.where(F.col("cnt") > salt_rows)
+           .select(*keys, F.ceil(F.col("cnt") / salt_rows).cast("int").alias("_ns")))
+    hot_b = F.broadcast(hot)
+    b = big.join(hot_b, keys, "left").withColumn(
+        "_salt", F.when(F.col("_ns").isNull(), F.lit(0))
+                  .otherwise(F.pmod(F.xxhash64(F.col(big_id)), F.col("_ns")).cast("int"))).drop("_ns")
+    s = small.join(hot_b, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ns"), F.lit(1)) - 1))).drop("_ns")
+    return b.join(s, [*keys, "_salt"], how).drop("_salt")

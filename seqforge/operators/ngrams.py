@@ -112,7 +112,9 @@ def multi_ref_stats(hyps: DataFrame, refs: DataFrame, seg: str, tokens: str, ref
 
     hl = h.select("seg", F.size("_t").cast("bigint").alias("c"))
     rl = rf.select("seg", "ref_no", F.size("_t").cast("bigint").alias("rlen"))
-    lens = rl.join(hl, "seg")
+    # a segment may have very many references: salted join against its one hypothesis length
+    from seqforge.operators.joins import skew_safe_join
+    lens = skew_safe_join(rl, hl, ["seg"], "ref_no")
     if eff_ref_len == "shortest":
         r = F.min("rlen").cast("double")
     elif eff_ref_len == "average":

@@ -180,9 +180,10 @@ _CLI_STATS = sg.multi_ref_stats(f"SELECT id AS seg, {sg.cli_tokens('text')} AS t
 def bleu_cli(spark, sf):
     """TSV predictions + gold lines -> parse -> keep ids on both sides -> smoothed BLEU (first number)."""
     pred_lines, gold_lines = _pred_gold_lines(spark, sf)
+    from seqforge.operators.joins import join_pred_gold as jpg
     pred = parse_predictions(pred_lines)
-    gold = parse_gold(gold_lines).join(pred.select("id"), "id", "left_semi")
-    gold = gold.withColumn("ref_no", F.monotonically_increasing_id())
+    gold = parse_gold(gold_lines).withColumn("ref_no", F.monotonically_increasing_id())
+    pred, gold = jpg(pred, gold, gold_pos="ref_no")
     stats = B.smoothed_stats(pred.withColumnRenamed("id", "seg"), gold.withColumnRenamed("id", "seg"))
     return _round_all(B.bleu_from_maps(stats).select("bleu"))
 
@@ -201,7 +202,8 @@ def join_pred_gold(spark, sf):
     """Gold kept only for ids with a prediction (left semi join); golds per id."""
     from seqforge.operators.joins import join_pred_gold as jpg
     pred_lines, gold_lines = _pred_gold_lines(spark, sf)
-    _, g = jpg(parse_predictions(pred_lines), parse_gold(gold_lines))
+    gold = parse_gold(gold_lines).withColumn("_pos", F.monotonically_increasing_id())
+    _, g = jpg(parse_predictions(pred_lines), gold, gold_pos="_pos")
     return g.groupBy("id").agg(F.count(F.lit(1)).cast("bigint").alias("n_golds"))
 
 

@@ -29,19 +29,24 @@ def star_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seg, hyp, ref): within a prefix group the lowest doc_id is the reference,
     every other document is a hypothesis; seg = hypothesis doc_id.
 
-    Anchors come from a hash aggregation over narrow (prefix, doc_id) rows (partial +
-    final, skew safe); texts only travel through joins: documents -> their anchor id
-    by prefix, then hypotheses -> the reference text by anchor id. A hot prefix or a
-    hot reference is a skewed join key on the streamed side only, which AQE splits.
+    Anchors and group sizes come from a hash aggregation over narrow (prefix, doc_id)
+    rows (partial + final); texts only travel through joins: documents -> their anchor
+    by prefix, then hypotheses -> the reference text by anchor id. Both joins have one
+    row per key on one side and a possibly hot key on the other, so they are salted
+    joins (``skew_safe_join``): a prefix holding a third of all documents is spread
+    over many tasks.
     """
+    from seqforge.operators.joins import skew_safe_join
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.substring("text", 1, PREFIX_LEN).alias("prefix"))
-    anchors = docs.groupBy("prefix").agg(F.min("doc_id").alias("ref_id"))
-    tagged = docs.join(anchors, "prefix")
+    anchors = docs.groupBy("prefix").agg(F.min("doc_id").alias("ref_id"), F.count(F.lit(1)).alias("cnt"))
+    tagged = skew_safe_join(docs, anchors.select("prefix", "ref_id"), ["prefix"], "doc_id",
+                            key_counts=anchors.select("prefix", "cnt"))
     refs = tagged.where(F.col("doc_id") == F.col("ref_id")).select("ref_id", F.col("text").alias("ref"))
     hyps = tagged.where(F.col("doc_id") != F.col("ref_id")).select(
         F.col("doc_id").alias("seg"), F.col("text").alias("hyp"), "ref_id")
-    return hyps.join(refs, "ref_id").select("seg", "hyp", "ref", "ref_id")
+    return skew_safe_join(hyps, refs, ["ref_id"], "seg",
+                          key_counts=anchors.select(F.col("ref_id"), "cnt")).select("seg", "hyp", "ref", "ref_id")
 
 
 STAR_PAIRS_SQL = f"""
