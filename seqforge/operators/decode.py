@@ -172,23 +172,28 @@ def uniform_from_md5(*parts) -> F.Column:
 
 
 def sample_decode(queries: DataFrame, nxt: DataFrame, max_len: int, seed: int = 42, eos: int = 2, sos: int = 1,
-                  pad: int = 0, state_bound: int = 10000, vocab_bound: int = 10000) -> DataFrame:
+                  pad: int = 0) -> DataFrame:
     """Sampled decoding: at every step draw the next token from the successor distribution
-    (Gumbel-max with md5-seeded uniforms: reproducible in any engine). The whole
-    successor table is broadcast (bounded by states x vocabulary) and each draw is a
-    per-query max over the successors of one state."""
-    from seqforge.operators.joins import bounded_broadcast
-    nb = bounded_broadcast(nxt.select(F.col("state").alias("_s"), F.col("token").alias("_t"), "logp"),
-                           state_bound * vocab_bound)
+    (Gumbel-max with md5-seeded uniforms: reproducible in any engine).
+
+    Drawing needs every successor of a state, so the table is not pruned. The frontier
+    meets it in a salted left join: a state shared by very many queries (every query
+    starts at SOS) is spread over tasks, and AQE still broadcasts the table at run time
+    when it is small. Each draw is a per-query max over the successors of one state. The
+    frontier is written to the checkpoint folder every step."""
+    from seqforge.operators.joins import skew_safe_join
+    from seqforge.session import cut_lineage
+    table = nxt.select(F.col("state").alias("last"), F.col("token").alias("_t"), "logp")
     start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
-    cur = queries.select("qid", F.array().cast("array<bigint>").alias("tokens"), start.alias("last")).repartition("qid")
+    cur = queries.select("qid", F.array().cast("array<bigint>").alias("tokens"), start.alias("last"))
     for step in range(max_len):
-        j = cur.join(nb, cur["last"] == nb["_s"], "left")
+        j = skew_safe_join(cur, table, ["last"], "qid", how="left")
         g = F.col("logp") - F.ln(-F.ln(uniform_from_md5(F.lit(seed), F.col("qid"), F.lit(step), F.col("_t"))))
         drawn = j.groupBy("qid", "tokens", "last").agg(F.max_by("_t", F.struct(g, -F.col("_t"))).alias("_d"))
         nxt_tok = F.when((F.col("last") == eos) | (F.col("last") == pad) | F.col("_d").isNull(), F.lit(pad)) \
                    .otherwise(F.col("_d")).cast("bigint")
-        cur = drawn.select("qid", F.concat("tokens", F.array(nxt_tok)).alias("tokens"), nxt_tok.alias("last"))
+        cur = cut_lineage(drawn.select("qid", F.concat("tokens", F.array(nxt_tok)).alias("tokens"),
+                                       nxt_tok.alias("last")))
     p = F.array_position("tokens", eos)
     length = F.when(p > 0, p - 1).otherwise(F.size(F.filter("tokens", lambda x: x != pad)))
     return cur.select("qid", "tokens", length.cast("bigint").alias("len"))

@@ -62,16 +62,16 @@ SALT_ROWS = 1_000_000
 def skew_safe_join(big: DataFrame, small: DataFrame, keys: list[str], big_id: str,
                    key_counts: DataFrame | None = None, how: str = "inner",
                    salt_rows: int | None = None) -> DataFrame:
-    """Join ``big`` (any number of rows per key, keys possibly hot) with ``small`` (at
-    most one row per key) so that no task sees more than about ``salt_rows`` rows of
-    one key.
+    """Join ``big`` (any number of rows per key, keys possibly hot) with ``small`` (one
+    or a bounded number of rows per key) so that no task sees more than about
+    ``salt_rows`` rows of one key.
 
     Hot keys are those with more than ``salt_rows`` rows in ``big``; there are at most
     rows(big) / salt_rows of them, so their narrow (key, salts) table is broadcast.
     Rows of a hot key get a salt from a hash of ``big_id``; the matching ``small`` row
     is replicated once per salt. Other keys join as usual (salt 0).
     ``key_counts``: optional (keys..., cnt) if the caller already has the counts.
-    ``how``: "inner" or "left_semi".
+    ``how``: "inner", "left" or "left_semi" (``big`` is the left side).
     """
     salt_rows = salt_rows or SALT_ROWS
     if key_counts is None:

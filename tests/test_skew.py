@@ -45,3 +45,14 @@ def test_star_pairs_hot_prefix(spark, monkeypatch):
     for r in docs.select(F.substring("text", 1, fx.PREFIX_LEN).alias("p")).collect():
         sizes[r.p] = sizes.get(r.p, 0) + 1
     assert got == base and len(got) == sum(v - 1 for v in sizes.values())
+
+
+def test_sample_decode_salted_path_equals_broadcast(spark, monkeypatch):
+    from seqforge.operators import decode as D
+    nxt = spark.createDataFrame([(1, 4, -0.1), (1, 5, -0.5), (4, 5, -0.2), (4, 2, -0.9), (5, 2, -0.1), (5, 4, -2.0)],
+                                "state long, token long, logp double")
+    q = spark.range(0, 300).select(F.col("id").alias("qid"), F.array().cast("array<bigint>").alias("prefix"))
+    a = {r.qid: r.tokens for r in D.sample_decode(q, nxt, 5).collect()}
+    monkeypatch.setattr(J, "SALT_ROWS", 20)          # every query starts at SOS: a hot state
+    b = {r.qid: r.tokens for r in D.sample_decode(q, nxt, 5).collect()}
+    assert a == b
