@@ -65,18 +65,17 @@ def pair_stats(pairs: DataFrame, seg: str, hyp: str, ref: str, max_n: int = MAX_
     p = pairs.select(F.col(seg).alias("seg"), F.col(hyp).alias("_h"), F.col(ref).alias("_r"))
     if colocate:
         p = p.repartition("seg")
+    # one sentinel row per pair (n = 0) carries the lengths and keeps empty pairs
     sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"),
-                                F.lit(0).alias("h"), F.lit(0).alias("r")))
-    rows = p.select("seg", F.size("_h").alias("c"), F.size("_r").alias("rl"),
-                    F.inline(F.concat(sentinel, _gram_structs(F.col("_h"), max_n, 1, 0),
-                                      _gram_structs(F.col("_r"), max_n, 0, 1))))
-    clipped = (rows.groupBy("seg", "c", "rl", "n", "gram")
-               .agg(F.least(F.sum("h"), F.sum("r")).alias("clip")))
-    return (clipped.groupBy("seg", "c", "rl")
-            .agg(*[F.sum(F.when(F.col("n") == k, F.col("clip")).otherwise(0)).cast("bigint").alias(f"m{k}")
-                   for k in range(1, max_n + 1)])
-            .select("seg", F.col("c").cast("bigint").alias("c"), F.col("rl").cast("bigint").alias("r"),
-                    *[f"m{k}" for k in range(1, max_n + 1)]))
+                                F.size("_h").alias("h"), F.size("_r").alias("r")))
+    rows = p.select("seg", F.inline(F.concat(sentinel, _gram_structs(F.col("_h"), max_n, 1, 0),
+                                             _gram_structs(F.col("_r"), max_n, 0, 1))))
+    per_gram = rows.groupBy("seg", "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    return (per_gram.groupBy("seg")
+            .agg(F.max(F.when(F.col("n") == 0, F.col("h"))).cast("bigint").alias("c"),
+                 F.max(F.when(F.col("n") == 0, F.col("r"))).cast("bigint").alias("r"),
+                 *[F.sum(F.when(F.col("n") == k, F.least("h", "r")).otherwise(0)).cast("bigint").alias(f"m{k}")
+                   for k in range(1, max_n + 1)]))
 
 
 def multi_ref_stats(hyps: DataFrame, refs: DataFrame, seg: str, tokens: str, ref_no: str,
