@@ -231,3 +231,26 @@ def group_golds(spark, sf):
     return g.groupBy("id").agg(F.count(F.lit(1)).cast("bigint").alias("n_golds"),
                                F.min("ref_no").cast("bigint").alias("first_ref"),
                                F.min_by("text", "ref_no").alias("first_text"))
+
+
+_DEV_STATS = sg.multi_ref_stats(f"SELECT seg, {sg.cli_tokens('hyp')} AS t FROM ({fx.STAR_PAIRS_SQL})",
+                                f"SELECT seg, 0 AS ref_no, {sg.cli_tokens('ref')} AS t FROM ({fx.STAR_PAIRS_SQL})")
+
+
+@register("dev_eval", f"""
+  SELECT b.n_segments, b.dev_bleu, x.xmatch FROM
+    (SELECT CAST(count(*) AS BIGINT) AS n_segments, round(avg({sg.mteval_bleu()[0]}) * 100, 2) AS dev_bleu
+     FROM {_DEV_STATS} s) b,
+    (SELECT round(avg(CASE WHEN hyp = ref THEN 1.0 ELSE 0.0 END) * 100, 4) AS xmatch FROM ({fx.STAR_PAIRS_SQL})) x""")
+def dev_eval(spark, sf):
+    """Evaluation of predictions against gold: smoothed BLEU over the id maps (2 digits) and
+    exact match (4 digits), predictions = hypotheses of the document pairs."""
+    pairs = fx.star_pairs(spark, sf)
+    hyps = pairs.select("seg", F.col("hyp").alias("text"))
+    refs = pairs.select("seg", F.lit(0).alias("ref_no"), F.col("ref").alias("text"))
+    scored = B.with_smoothed_bleu(B.smoothed_stats(hyps, refs))
+    eq = pairs.select("seg", (F.col("hyp") == F.col("ref")).cast("double").alias("eq"))
+    j = scored.join(eq, "seg")                      # one row per segment on both sides
+    return j.agg(F.count(F.lit(1)).cast("bigint").alias("n_segments"),
+                 F.round(F.avg("bleu") * 100, 2).alias("dev_bleu"),
+                 F.round(F.avg("eq") * 100, 4).alias("xmatch"))
