@@ -67,12 +67,13 @@ def cli_tokens(text: Column) -> Column:
 
 def smoothed_stats(hyps: DataFrame, refs: DataFrame, seg: str = "seg", text: str = "text",
                    ref_no: str = "ref_no", eff_ref_len: str = "shortest",
-                   tokens=cli_tokens, materialize: bool = True) -> DataFrame:
+                   tokens=cli_tokens, materialize: bool = False) -> DataFrame:
     """Per-segment mteval statistics of one hypothesis vs. several references.
 
-    Each side feeds two consumers (n-gram counts and lengths); with ``materialize``
-    the tokenised rows are written once to the shared checkpoint folder instead of
-    re-running the input plan and the normaliser for every consumer."""
+    Each side feeds two consumers (n-gram counts and lengths). By default the input is
+    simply read twice (cheap when it comes from files); ``materialize`` writes the
+    tokenised rows once to the shared checkpoint folder, which pays off only when the
+    input is itself an expensive derived plan."""
     h = hyps.select(F.col(seg).alias("seg"), tokens(F.col(text)).alias("_t"))
     r = refs.select(F.col(seg).alias("seg"), F.col(ref_no).alias("ref_no"), tokens(F.col(text)).alias("_t"))
     if materialize:
