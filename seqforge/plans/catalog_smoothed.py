@@ -19,8 +19,10 @@ REFS_TOK = f"SELECT seg, ref_no, {sg.cli_tokens('text')} AS t FROM ({_R})"
 
 
 def _stats(spark, sf, eff="shortest"):
+    # the inputs are a derived plan (window + joins over documents) read by two consumers
+    # each: materialise the tokenised rows once inside this query
     hyps, refs = fx.anchor_and_refs(spark, sf)
-    return B.smoothed_stats(hyps, refs, eff_ref_len=eff)
+    return B.smoothed_stats(hyps, refs, eff_ref_len=eff, materialize=True)
 
 
 def _seg_sql(eff):
@@ -184,7 +186,8 @@ def bleu_cli(spark, sf):
     pred = parse_predictions(pred_lines)
     gold = parse_gold(gold_lines).withColumn("ref_no", F.monotonically_increasing_id())
     pred, gold = jpg(pred, gold, gold_pos="ref_no")
-    stats = B.smoothed_stats(pred.withColumnRenamed("id", "seg"), gold.withColumnRenamed("id", "seg"))
+    stats = B.smoothed_stats(pred.withColumnRenamed("id", "seg"), gold.withColumnRenamed("id", "seg"),
+                             materialize=True)
     return _round_all(B.bleu_from_maps(stats).select("bleu"))
 
 
@@ -245,7 +248,8 @@ _DEV_STATS = sg.multi_ref_stats(f"SELECT seg, {sg.cli_tokens('hyp')} AS t FROM (
 def dev_eval(spark, sf):
     """Evaluation of predictions against gold: smoothed BLEU over the id maps (2 digits) and
     exact match (4 digits), predictions = hypotheses of the document pairs."""
-    pairs = fx.star_pairs(spark, sf)
+    from seqforge.session import cut_lineage
+    pairs = cut_lineage(fx.star_pairs(spark, sf))    # derived input read by three consumers
     hyps = pairs.select("seg", F.col("hyp").alias("text"))
     refs = pairs.select("seg", F.lit(0).alias("ref_no"), F.col("ref").alias("text"))
     scored = B.with_smoothed_bleu(B.smoothed_stats(hyps, refs))
