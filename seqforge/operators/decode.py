@@ -116,8 +116,9 @@ def beam_final(fronts: DataFrame, beam: int, eos: int = 2, rank_by: str = "sum")
     w = Window.partitionBy("qid").orderBy("grp", F.desc("_key"), "step", "k")
     r = allc.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < beam)
     from seqforge.functions.arrays import eos_cut
+    finished = F.array_position("tokens", eos) > 0
     return r.select("qid", F.col("rank").cast("bigint").alias("rank"), eos_cut("tokens", eos).alias("tokens"),
-                    "score", "step", "k")
+                    "score", "step", "k", finished.alias("finished"))
 
 
 def backtrace(fronts: DataFrame, finals: DataFrame, max_len: int) -> DataFrame:

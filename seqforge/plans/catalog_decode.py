@@ -61,7 +61,7 @@ def beam_sql(beam: int, steps: int, forced: bool, rank_by: str = "sum", next_sql
         UNION ALL SELECT qid, 1, {key}, step, k, tokens, score FROM fx WHERE step = lst AND last <> {EOS})""")
     ctes.append(f"""fin AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY grp, kk DESC, step, k) - 1 AS rank,
         CASE WHEN coalesce(list_position(tokens, {EOS}), 0) > 0 THEN tokens[1:list_position(tokens, {EOS}) - 1]
-             ELSE tokens END AS tokens, score FROM cand)""")
+             ELSE tokens END AS tokens, score, coalesce(list_position(tokens, {EOS}), 0) > 0 AS fin FROM cand)""")
     return "WITH " + ",\n".join(ctes) + f"\nSELECT qid, CAST(rank AS BIGINT) AS rank, tokens, score FROM fin WHERE rank < {beam}"
 
 
@@ -329,3 +329,66 @@ def beam_search_words(spark, sf):
     ids, queries = word_inputs(spark, sf)
     f = D.beam_search(queries, word_next_table(ids), BEAM, WORD_STEPS)
     return _beam_out(D.beam_final(f, BEAM))
+
+
+# ------------------------------------------------------------------ n-best evaluation end to end
+def _ivocab_sql():
+    from seqforge.plans.catalog_seq import EVENT_VOCAB_SQL
+    return f"(SELECT list(token ORDER BY id) AS tok FROM (SELECT id, max(token) AS token FROM {EVENT_VOCAB_SQL} GROUP BY id))"
+
+
+def _nbest_eval_sql() -> str:
+    beam = beam_sql(BEAM, STEPS, False)
+    iv = _ivocab_sql()
+    gold = f"""SELECT f.seq_id AS qid, array_to_string(list_transform(
+                 CASE WHEN coalesce(list_position(nz, 2), 0) > 0 THEN nz[1:list_position(nz, 2)] ELSE nz END,
+                 lambda x: v.tok[x + 1]), ' ') AS ref
+               FROM (SELECT seq_id, list_filter(framed, lambda x: x <> 0) AS nz FROM ({FRAMED_SQL})) f, {iv} v"""
+    samples = f"""SELECT b.qid, b.rank AS r_id, array_to_string(list_transform(
+                    CASE WHEN b.fin THEN list_append(b.tokens, CAST(2 AS BIGINT)) ELSE b.tokens END,
+                    lambda x: v.tok[x + 1]), ' ') AS hyp
+                  FROM (SELECT qid, rank, tokens, fin FROM ({beam.replace(
+                      'SELECT qid, CAST(rank AS BIGINT) AS rank, tokens, score FROM fin',
+                      'SELECT qid, CAST(rank AS BIGINT) AS rank, tokens, score, fin FROM fin')})) b, {iv} v"""
+    return gold, samples
+
+
+def _nbest_eval_sql_full() -> str:
+    gold, samples = _nbest_eval_sql()
+    from seqforge.plans import sqlgen as sg
+    pairs = (f"SELECT CAST(s.qid AS VARCHAR) || ':' || CAST(s.r_id AS VARCHAR) AS seg, s.hyp, g.ref "
+             f"FROM ({samples}) s JOIN ({gold}) g USING (qid)")
+    stats = sg.pair_stats(pairs, sg.tokens_space("hyp"), sg.tokens_space("ref"))
+    per_q = (f"SELECT split_part(seg, ':', 1) AS qid, max(b) AS max_bleu, avg(b) AS avg_bleu FROM "
+             f"(SELECT seg, {sg.sentence_bleu(4)} AS b FROM {stats} s) GROUP BY 1")
+    return (f"SELECT CAST(count(*) AS BIGINT) AS n_queries, round(avg(max_bleu), 6) AS recall_bleu, "
+            f"round(avg(avg_bleu), 6) AS prec_bleu, round({sg.f1('avg(avg_bleu)', 'avg(max_bleu)')}, 6) AS f1 "
+            f"FROM ({per_q})")
+
+
+def nbest_eval_frames(spark, sf):
+    """(qid, r_id, hyp, ref): decoded n-best samples (EOS kept when finished) and the decoded
+    gold row (only PAD skipped, so SOS and EOS stay) of every event sequence."""
+    from seqforge.operators import vocab as V
+    from seqforge.plans.catalog_seq import event_vocab
+    vocab = event_vocab(spark, sf)
+    e = encoded(spark, sf)
+    gold = V.decode_ids(e.select("seq_id", A.frame_sos_eos_pad("ids", 50).alias("framed")), "seq_id", "framed", vocab) \
+        .select(F.col("seq_id").alias("qid"), F.col("text").alias("ref"))
+    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS)
+    nb = D.beam_final(f, BEAM).select(
+        "qid", F.col("rank").alias("r_id"),
+        F.when(F.col("finished"), F.concat("tokens", F.array(F.lit(EOS).cast("bigint")))).otherwise(F.col("tokens"))
+        .alias("ids"))
+    nb = nb.select(F.struct("qid", "r_id").alias("k"), "ids")
+    dec = V.decode_ids(nb, "k", "ids", vocab, ignore_tok=-1)
+    samples = dec.select(F.col("k.qid").alias("qid"), F.col("k.r_id").alias("r_id"), F.col("text").alias("hyp"))
+    return samples.join(gold, "qid")
+
+
+@register("nbest_eval", _nbest_eval_sql_full())
+def nbest_eval(spark, sf):
+    """n-best evaluation end to end: decode gold and samples, per-query max/mean sentence
+    BLEU over space tokens, then recall/precision BLEU and F1."""
+    from seqforge.operators import bleu as B
+    return _round_all(B.recall_prec_f1(B.sim_bleu(nbest_eval_frames(spark, sf))))
