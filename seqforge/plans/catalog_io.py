@@ -331,3 +331,15 @@ def inverse_lookup_strict(spark, sf):
 
 
 _unused = (collapse_ws, lower_text, strip_text, DOC_TOKENS_SQL)
+
+
+@register("run_args_json", f"""
+  SELECT run, CAST(to_json(struct_pack(run := run, epochs := epochs, steps := steps, first_step := first_step)) AS VARCHAR) AS args
+  FROM (SELECT run, CAST(count(DISTINCT epoch) AS BIGINT) AS epochs, CAST(count(*) AS BIGINT) AS steps,
+               min(step) AS first_step FROM ({fx.RUN_LOG_SQL}) GROUP BY run)""")
+def run_args_json(spark, sf):
+    """Run configuration saved as one JSON object per run (written next to the metric log)."""
+    log = fx.run_log(spark, sf)
+    cfg = log.groupBy("run").agg(F.countDistinct("epoch").cast("bigint").alias("epochs"),
+                                 F.count(F.lit(1)).cast("bigint").alias("steps"), F.min("step").alias("first_step"))
+    return cfg.select("run", S.args_json_col("run", "epochs", "steps", "first_step").alias("args"))

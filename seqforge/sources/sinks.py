@@ -111,6 +111,11 @@ def append_metrics(df: DataFrame, path: str) -> None:
       .write.mode("append").parquet(path)
 
 
+def args_json_col(*cols: str):
+    """Run arguments as one JSON object (column expression)."""
+    return F.to_json(F.struct(*cols))
+
+
 def args_json(df: DataFrame) -> DataFrame:
     """Run arguments as one JSON object per row."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("args"))
+    return df.select(args_json_col(*df.columns).alias("args"))

@@ -206,3 +206,18 @@ def test_text_scalars(spark):
 def test_format_elapsed(spark):
     df = spark.createDataFrame([(3725.0, 0.5)], "s double, p double")
     assert df.select(tx.format_elapsed("s", "p").alias("e")).first().e == "1:2:5<1:2:5"
+
+
+def test_corpus_csv_reader(spark, tmp_path):
+    p = tmp_path / "c.csv"
+    p.write_text('annotation,source_code,target_api,api_seq,related_so_question\n'
+                 '"A b","  x = 1\nprint(x)",T1,S1,null\n'
+                 ',code,T2,S2,Post\n')
+    df = R.read_corpus_csv(spark, str(p)).orderBy("idx").collect()
+    assert [r.idx for r in df] == [0, 1]
+    assert df[0].source_code == "  x = 1\nprint(x)" and df[0].related_so_question == "null"
+    assert df[1].annotation is None
+    na = R.read_corpus_csv(spark, str(p), na_values="pandas").orderBy("idx").collect()
+    assert na[0].related_so_question is None
+    ex = R.examples_from_corpus(R.read_corpus_csv(spark, str(p))).orderBy("idx").collect()
+    assert ex[0].src_ant == "" and ex[0].src_code == "  x = 1\nprint(x)" and ex[1].sim_post == "post"
