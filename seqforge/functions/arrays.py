@@ -149,6 +149,21 @@ def ngram_windows(tokens: ColumnOrName, n: int) -> Column:
             .otherwise(F.array().cast("array<string>"))
 
 
+def ngram_ladder(tokens: ColumnOrName, max_n: int) -> list[Column]:
+    """n-gram strings of orders 1..max_n, each order built from the previous one
+    (``g_n[i] = g_{n-1}[i] + sep + t[i+n-1]``) with ``zip_with`` over shifted slices:
+    no intermediate array per n-gram."""
+    t = F.coalesce(_c(tokens), F.array().cast("array<string>"))
+    out = [t]
+    prev = t
+    for n in range(2, max_n + 1):
+        cnt = F.greatest(F.size(t) - F.lit(n - 1), F.lit(0))
+        prev = F.zip_with(F.slice(prev, F.lit(1), cnt), F.slice(t, F.lit(n), cnt),
+                          lambda a, b: F.concat(a, F.lit("\u0001"), b))
+        out.append(prev)
+    return out
+
+
 def l2_normalize(vec: ColumnOrName, eps: float = 1e-12) -> Column:
     """Unit-length vector, divisor ``max(||v||, eps)``."""
     v = F.transform(_c(vec), lambda x: x.cast("double"))

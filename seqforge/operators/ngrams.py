@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqforge.functions.arrays import ngram_windows
+from seqforge.functions.arrays import ngram_ladder, ngram_windows
 
 MAX_N = 4
 
@@ -24,15 +24,15 @@ def _tagger(n: int, *extra):
 
 def _gram_structs(tokens: Column, max_n: int, h: int, r: int) -> Column:
     """Array of struct(n, gram, h, r) over all orders 1..max_n."""
-    return F.concat(*[F.transform(ngram_windows(tokens, n),
-                                  _tagger(n, F.lit(h).alias("h"), F.lit(r).alias("r")))
+    ladder = ngram_ladder(tokens, max_n)
+    return F.concat(*[F.transform(ladder[n - 1], _tagger(n, F.lit(h).alias("h"), F.lit(r).alias("r")))
                       for n in range(1, max_n + 1)])
 
 
 def explode_ngrams(df: DataFrame, key_cols: list[str], tokens: str, max_n: int = MAX_N) -> DataFrame:
     """One row per n-gram occurrence: key_cols + (n, gram)."""
-    grams = F.concat(*[F.transform(ngram_windows(F.col(tokens), n), _tagger(n))
-                       for n in range(1, max_n + 1)])
+    ladder = ngram_ladder(F.col(tokens), max_n)
+    grams = F.concat(*[F.transform(ladder[n - 1], _tagger(n)) for n in range(1, max_n + 1)])
     return df.select(*key_cols, F.inline(grams))
 
 
