@@ -13,7 +13,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -31,7 +30,6 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     from pyspark.sql import SparkSession
-    scratch = tempfile.mkdtemp(prefix="seqforge-bench-")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("seqforge-bench")
              .config("spark.sql.shuffle.partitions", str(int(cpus) * 2))
              .config("spark.sql.adaptive.enabled", "true")
@@ -40,10 +38,10 @@ def main() -> None:
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
-             .config("spark.checkpoint.dir", os.path.join(scratch, "ckpt"))
-             .config("spark.local.dir", os.path.join(scratch, "local"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    from seqforge.session import checkpoint_dir
+    checkpoint_dir(spark)   # the session's shared folder; a private one only if none is configured
     from seqforge.plans import catalog  # noqa: F401
     from seqforge.plans.registry import REGISTRY
     spark.range(0, 2_000_000, 1, int(cpus)).selectExpr("sum(id % 7)").collect()        # warm-up only

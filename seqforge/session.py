@@ -50,8 +50,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = sc._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        # only when the deployment names no shared folder (local tests)
         d = tempfile.mkdtemp(prefix="seqforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001  (core conf not settable at runtime: the context dir below suffices)
+            pass
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(d)
     return d

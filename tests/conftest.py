@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -10,16 +9,16 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    tmp = tempfile.mkdtemp(prefix="seqforge-test-")
     s = (SparkSession.builder.master("local[4]").appName("seqforge-tests")
          .config("spark.sql.shuffle.partitions", "4")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.checkpoint.dir", os.path.join(tmp, "ckpt"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from seqforge.session import checkpoint_dir
+    checkpoint_dir(s)   # uses spark.checkpoint.dir when configured; creates a private one only if unset
     yield s
     s.stop()
 
