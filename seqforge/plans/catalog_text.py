@@ -139,5 +139,5 @@ def format_elapsed(spark, sf):
     of the remaining time from progress = epoch / 30, as ``h:m:s<h:m:s``."""
     log = fx.run_log(spark, sf)
     e = log.groupBy("run", "epoch").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    sec = (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6
+    sec = F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("t1")) / 1e6   # no time-zone dependence
     return e.select("run", "epoch", tx.format_elapsed(sec, F.col("epoch") / 30.0).alias("elapsed"))
