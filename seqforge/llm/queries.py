@@ -3,8 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
+from seqforge.llm.common import held_out
+from seqforge.llm.containment import containment_search
+from seqforge.llm.content_sort import content_sort_dedup
+from seqforge.llm.fixity import archive_records, damaged, fixity_report
+from seqforge.llm.language import fit_language_model, identify_language
+from seqforge.llm.license_scan import scan_licenses
+from seqforge.llm.mixing import mix_to_weights
 from seqforge.llm.ngram_join import ngram_jaccard_join
+from seqforge.llm.quality import fit_quality_model, score_quality
+from seqforge.llm.suffix_tree import score_with_suffix_tree
+from seqforge.llm.toxicity import fit_toxicity_model, score_toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -46,3 +58,84 @@ FROM s JOIN comp ON comp.a = s.doc_id LEFT JOIN deg ON deg.a = s.doc_id
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share 75% of their five-word shingles, and the components of those links."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed to weights 5, 2, 1 over 150% of all words, none above twice its size."""
+    return mix_to_weights(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=(3, 2), cap=2, seed=17)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+dg AS (SELECT doc_id, least(5, len(w)) AS wide, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5
+       THEN [{{'g': array_to_string(w, ' '), 'at': 0}}]
+       ELSE [{{'g': array_to_string(w[k:k + 4], ' '), 'at': k - 1}} for k in range(1, len(w) - 3)] END) AS s FROM d),
+ig AS (SELECT item_id, len(g) AS n, unnest(g) AS gram FROM (SELECT item_id, {SHINGLES} AS g FROM i)),
+hit AS (SELECT doc_id, item_id, n, count(DISTINCT gram) AS c, min(s['at']) AS f, max(s['at'] + wide - 1) AS l
+        FROM dg JOIN ig ON s['g'] = gram GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item, CAST(c AS BIGINT) AS n_shared, c / n AS containment,
+  CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word FROM hit WHERE 100 * c >= 75 * n
+""")
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item: 75% of its five-word shingles."""
+    return containment_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records in two replicas, the second with seeded damage; what a Merkle audit finds."""
+    pages = table(spark, sf_dir, "pages")
+    out = fixity_report(archive_records(pages), archive_records(damaged(pages)))
+    return out.select((F.col("archive") * 4096 + F.col("record_no")).alias("page_id"), *out.columns)
+
+
+@query()
+def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    out = identify_language(docs, fit_language_model(docs))
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("""
+SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
+""")
+def op6_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates of whole texts; the largest id stays."""
+    return content_sort_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query()
+def op7_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from trusted and unlabelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality_model(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+@query()
+def op8_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document under a probabilistic suffix tree and a word model."""
+    return score_with_suffix_tree(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity_model(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+@query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence wording in every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline over documents."""
+    return corpus_pipeline.run(spark, sf_dir)
