@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-Method: the lines of a text that read like licence wording form candidate blocks. A block is compressed alone
+Method: the lines of a text that read like licence wording form candidate blocks. A block, lower-cased, is compressed alone
 and with each template as zstandard raw dictionary; templates are ranked by how much smaller that makes it.
 From the top, a template wins when its exact wording differs from the block's by few enough words; the words
 that differ are told. Words around the template inside the block do not count as differences of the wording, but
@@ -69,7 +69,7 @@ class Scanner:
 
     def _ready(self) -> None:
         if self.packers is None:
-            raw = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw = lambda t: zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             make = lambda **k: zstandard.ZstdCompressor(level=self.level, write_content_size=False, **k)
             self.alone, self.packers = make(), [make(dict_data=raw(text)) for _, _, text, _ in self.templates]
 
@@ -109,7 +109,7 @@ class Scanner:
         out = []
         for no, (start, end) in enumerate(self.blocks(text or "")):
             block = text[start:end]
-            raw, have = block.encode("utf-8", "surrogatepass"), said(block)
+            raw, have = block.lower().encode("utf-8", "surrogatepass"), said(block)
             size = len(self.alone.compress(raw))
             ranked = sorted(((size - len(p.compress(raw))) / size, -k) for k, p in enumerate(self.packers))
             for reduction, k in reversed(ranked):

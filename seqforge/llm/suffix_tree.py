@@ -3,8 +3,8 @@
 Method: the symbols of a text are the bytes of its lower-cased words, a blank between words and one end sign.
 All runs of ``DEPTH`` symbols with the next one are counted over every training document. Contexts seen often
 enough (a share ``least_share`` of all symbols, which bounds their number) are candidates; one is retained when a
-divergence test (the log-likelihood gained over its parent's distribution against the Bayesian information
-criterion) says that it predicts differently, and then its suffixes are too. Next-symbol distributions are
+divergence test (the log-likelihood gained over its parent's distribution against Akaike's criterion, one for
+each next symbol) says that it predicts differently, and then its suffixes are too. Next-symbol distributions are
 smoothed by absolute discounting towards the parent's, the root's by additive counts. A text is scored with
 the longest retained suffix at each symbol; the product over all symbols is a probability of its word sequence.
 
@@ -105,7 +105,6 @@ class SuffixTree:
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         """levels: for each depth from 0, the grams (context, next symbol) of the candidate contexts and their counts."""
-        self.root = np.zeros(257)
         self.levels: list[tuple] = []
         raw = []
         for depth, (gram, n) in enumerate(levels):
@@ -127,7 +126,7 @@ class SuffixTree:
             mask = np.uint64((1 << 8 * depth) - 1)
             up = pn[np.searchsorted(pg, gram & mask)] / pt[np.searchsorted(pc, context & (mask >> _EIGHT))][of]
             gain = np.bincount(of, n * np.log(n / total[of] / up), len(context))
-            retained.append(gain > 0.5 * seen * np.log(np.maximum(total, 2)))
+            retained.append(gain > seen)
         for depth in range(len(raw) - 1, 1, -1):                 # suffixes of the retained are retained
             parents = np.unique(raw[depth][2][retained[depth - 1]] & np.uint64((1 << 8 * (depth - 1)) - 1))
             retained[depth - 2][np.searchsorted(raw[depth - 1][2], parents)] = True
@@ -242,7 +241,7 @@ def _scored(sent):
     return run
 
 
-def score_with_suffix_tree(docs: DataFrame, least_share: float = 2e-6, id_col: str = "doc_id",
+def score_with_suffix_tree(docs: DataFrame, least_share: float = 1e-6, id_col: str = "doc_id",
                            text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``.
 

@@ -47,13 +47,13 @@ def test_planted_passages(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1))
     q = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     want = brute(docs, items)
-    assert len(want) > 100
+    assert len(want) > 50
     assert got(containment_search(d, q)) == want
     assert got(containment_search(d, q, block=300)) == want
-    hit = {(r[0]) for r in want}
     clean = drop_contaminated(d, q)
     assert clean.columns == d.columns
-    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in docs if i not in hit)
+    held = [{i for i, *_ in brute([row], items)} for row in docs]
+    assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((i for (i, _), h in zip(docs, held) if not h), key=str)
 
 
 def test_documents(spark):
