@@ -28,7 +28,8 @@ def features(text: str | None) -> np.ndarray:
     """Root shares of the text's character 1-, 2- and 3-grams, over the whole text, letter kinds folded.
 
     Letters become one of four signs (lower or upper case, first or later in a word), digits one; everything
-    else stays, so that layout and punctuation show rather than vocabulary or language.
+    else stays, so that layout and punctuation show rather than vocabulary or language. The last slot is the root
+    share of words that repeat the word before.
     """
     out = np.zeros(SPACE)
     every = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -49,7 +50,10 @@ def features(text: str | None) -> np.ndarray:
                 break
             out += np.bincount(((h + np.uint32(n)) * _LAST) >> np.uint32(20), minlength=SPACE)
     total = out.sum()
-    return np.sqrt(out / total).astype(np.float32) if total else out.astype(np.float32)
+    out = np.sqrt(out / total) if total else out
+    ws = (text or "").split()
+    out[-1] = np.sqrt(sum(map(str.__eq__, ws, ws[1:])) / (len(ws) - 1)) if len(ws) > 1 else 0
+    return out.astype(np.float32)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from seqforge.llm.common import batches_of, binaries, from_numpy, held_out, sign
 from seqforge.llm.sampling import labelled_sample
 
 LEAST = 4                  # documents that an n-gram needs for counts of its own
-SPAN = 3                   # words of a stretch
+SPAN = 2                   # words of a stretch
 MARKS = b".,;:!?\"()[]{}*#$%&|<>"
 _START = np.uint64(1)
 
@@ -92,8 +92,8 @@ class LogRatio:
         base = (w["k"] + 0.5) / (total.k + 0.5 * (total.v + 1))
         rest = {c: max(1e-9, 1 - np.maximum(w[c] - drop[c], 0).sum() / total[c]) for c in "to"}
         p = {c: np.maximum(w[c] - drop[c], 0) / total[c] + rest[c] * base for c in "to"}
-        self.words = _sorted(w["w"], np.log(p["t"] / p["o"]))
         self.rare = float(np.log(rest["t"] / rest["o"]))
+        self.words = _sorted(w["w"], np.log(p["t"] / p["o"]))
         # word pairs: discounted counts over what precedes, backed off to the words' models
         heads = grams.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo")).where(F.col("ut") + F.col("uo") >= least)
         pairs = grams.where(F.col("t") + F.col("o") >= least).join(heads, "u").toPandas()
@@ -115,17 +115,18 @@ class LogRatio:
         n = counts.agg(F.count(F.when(F.col(c) == 1, 1)).alias("one"), F.count(F.when(F.col(c) == 2, 1)).alias("two")).first()
         return n.one / (n.one + 2 * n.two) if n.one else 0.5
 
-    def evidence(self, text: bytes | None) -> tuple[float, float]:
-        """Difference of log-likelihoods a word: over the document, and over its most toxic stretch."""
+    def evidence(self, text: bytes | None) -> tuple[float, float, float]:
+        """Difference of log-likelihoods a word: over the document, and over its most toxic stretch; the
+        logarithm of the number of words, of which that stretch is the best."""
         h = tokens(text)
         if self.none or not len(h):
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         before = follows(h)
         x = _lookup(*self.pairs, pair_keys(before, h), np.nan)
         x = np.where(np.isnan(x), _lookup(*self.words, h, self.rare) + _lookup(*self.heads, before, 0.0), x)
         run = np.concatenate([[0.0], np.cumsum(x)])
         k = min(self.span, len(x))
-        return float(run[-1] / len(x)), float((run[k:] - run[:-k]).max() / k)
+        return float(run[-1] / len(x)), float((run[k:] - run[:-k]).max() / k), float(np.log(len(x)))
 
 
 class Toxicity:
@@ -148,12 +149,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e
 
 
 def _evidence(ratio):
-    schema = pa.schema([("label", pa.int32()), ("whole", pa.float64()), ("span", pa.float64())])
+    schema = pa.schema([("label", pa.int32()), ("whole", pa.float64()), ("span", pa.float64()), ("size", pa.float64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(rows):
             e = [ratio.value.evidence(t) for t in binaries(batch.column("text"))]
-            yield from_numpy(schema, batch.column("label"), [a for a, _ in e], [b for _, b in e])
+            yield from_numpy(schema, batch.column("label"), *map(list, zip(*e)))
 
     return run
 
@@ -180,13 +181,13 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, toxic: int = 3000, or
                      least, span)
     sent = docs.sparkSession.sparkContext.broadcast(half)
     seen = sample.where("fold = 1").select("label", "text").mapInArrow(
-        _evidence(sent), "label int, whole double, span double").collect()
+        _evidence(sent), "label int, whole double, span double, size double").collect()
     grams.unpersist()
     sample.unpersist()
     y = np.array([r.label for r in seen], float)
     if half.none or whole.none or len(set(y)) < 2:
-        return Toxicity(whole, np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0, 0]))
-    x = np.array([[1.0, r.whole, r.span] for r in seen])
+        return Toxicity(whole, np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0, 0, 0]))
+    x = np.array([[1.0, r.whole, r.span, r["size"]] for r in seen])
     # the sample's classes weigh what they weigh among all marked documents
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return Toxicity(whole, logistic(x, y, weight))
