@@ -38,35 +38,33 @@ def prune_next(nxt: DataFrame, k: int) -> DataFrame:
 
 
 def beam_search(queries: DataFrame, nxt: DataFrame, beam: int, max_len: int, eos: int = 2, sos: int = 1,
-                forced: bool = False, state_bound: int = 10000, lineage_every: int = 1):
+                forced: bool = False, lineage_every: int = 1):
     """Beam search over a bigram next-token table, one query per row.
 
     queries: (qid, prefix array<bigint>) -- the prefix is forced first when ``forced``
-    (its score is ignored and EOS is blocked at the first free step); otherwise decoding
+    (its score is ignored and EOS is blocked at the first free step of a query that has one); otherwise decoding
     starts from SOS. The state of a slot is its last token.
 
-    Every round: live slots JOIN the pruned table (broadcast, at most
-    ``state_bound * (beam+1)`` rows) -> per-query top-``beam`` by (score desc,
+    Every round: live slots JOIN the pruned table (broadcast if its count allows) -> per-query top-``beam`` by (score desc,
     parent slot, token). EOS slots get no children; a query stops once slot 0 was EOS
     at some step and at least ``beam`` hypotheses finished. The frontier is written to
     the checkpoint folder each ``lineage_every`` rounds, so the plan does not grow.
 
     Returns all frontiers: (qid, step, k, parent, tokens, score, last).
     """
-    from seqforge.operators.joins import bounded_broadcast
+    from seqforge.operators.joins import checked_broadcast
     from seqforge.session import cut_lineage
 
     width = beam + (1 if forced else 0)
     # the pruned table is small (bounded by states x width) and read by every round:
     # materialise it once instead of recomputing it from the corpus per round
     pruned = prune_next(nxt, width).select("state", "token", "logp")
-    if lineage_every:
-        pruned = cut_lineage(pruned)
-    nk = bounded_broadcast(pruned, state_bound * width)
+    nk = checked_broadcast(cut_lineage(pruned))
     start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
     front = (queries.select("qid", F.lit(0).alias("k"), F.array().cast("array<bigint>").alias("tokens"),
                             F.lit(0.0).alias("score"), start.alias("last"),
-                            F.lit(False).alias("eos_top"), F.lit(0).cast("bigint").alias("nfin"))
+                            F.lit(False).alias("eos_top"), F.lit(0).cast("bigint").alias("nfin"),
+                            (F.size("prefix") > 0).alias("led"))
              .repartition("qid"))
     wq = Window.partitionBy("qid")
     wr = wq.orderBy(F.desc("score"), "parent", "token")
@@ -75,12 +73,12 @@ def beam_search(queries: DataFrame, nxt: DataFrame, beam: int, max_len: int, eos
         live = front.where(F.col("last") != eos)
         cand = live.join(nk, live["last"] == nk["state"]).select(
             "qid", F.col("k").alias("parent"), "tokens", (F.col("score") + F.col("logp")).alias("score"),
-            "token", "eos_top", "nfin")
-        if t == 1 and forced:
-            cand = cand.where(F.col("token") != eos)
+            "token", "eos_top", "nfin", "led")
+        if t == 1 and forced:       # only what follows a prefix may not end at once
+            cand = cand.where(~F.col("led") | (F.col("token") != eos))
         ranked = cand.withColumn("_rn", F.row_number().over(wr)).where(F.col("_rn") <= beam)
         new = ranked.select(
-            "qid", (F.col("_rn") - 1).alias("k"), "parent",
+            "qid", (F.col("_rn") - 1).alias("k"), "parent", "led",
             F.concat("tokens", F.array("token")).alias("tokens"), "score",
             F.col("token").alias("last"),
             (F.col("eos_top") | F.max((F.col("_rn") == 1) & (F.col("token") == eos)).over(wq)).alias("eos_top"),
@@ -100,7 +98,7 @@ def beam_final(fronts: DataFrame, beam: int, eos: int = 2, rank_by: str = "sum")
     when fewer than ``beam`` finished -- unfinished slots of the last step by score; with
     none finished, slot 0 of the last step leads (and may appear twice, as published).
     ``rank_by='avg'`` ranks by average log-probability per generated token.
-    Output: qid, rank (0-based), tokens (EOS cut), score."""
+    Output: qid, rank (0-based), tokens (EOS cut), score, step, k, finished, rank_key (what it was ranked by)."""
     last_step = F.max("step").over(Window.partitionBy("qid"))
     f = fronts.withColumn("_last", last_step)
     key = F.col("score") if rank_by == "sum" else F.col("score") / (F.size("tokens") + F.lit(1e-6))
@@ -118,7 +116,7 @@ def beam_final(fronts: DataFrame, beam: int, eos: int = 2, rank_by: str = "sum")
     from seqforge.functions.arrays import eos_cut
     finished = F.array_position("tokens", eos) > 0
     return r.select("qid", F.col("rank").cast("bigint").alias("rank"), eos_cut("tokens", eos).alias("tokens"),
-                    "score", "step", "k", finished.alias("finished"))
+                    "score", "step", "k", finished.alias("finished"), F.col("_key").alias("rank_key"))
 
 
 def backtrace(fronts: DataFrame, finals: DataFrame, max_len: int) -> DataFrame:
@@ -146,20 +144,22 @@ def best_successor(nxt: DataFrame) -> DataFrame:
 
 
 def greedy_decode(queries: DataFrame, nxt: DataFrame, max_len: int, eos: int = 2, sos: int = 1,
-                  pad: int = 0, state_bound: int = 10000) -> DataFrame:
+                  pad: int = 0, lineage_every: int = 10) -> DataFrame:
     """Greedy decoding for ``max_len`` steps from SOS (or the prefix's last token).
     After EOS (or a state without successors) PAD is emitted. ``len`` counts tokens
     before the first EOS. Output: qid, tokens (length max_len), len."""
-    from seqforge.operators.joins import bounded_broadcast
-    best = bounded_broadcast(best_successor(nxt).select(F.col("state").alias("_s"), F.col("token").alias("_t")),
-                             state_bound)
+    from seqforge.operators.joins import checked_broadcast
+    from seqforge.session import cut_lineage
+    best = checked_broadcast(cut_lineage(best_successor(nxt).select(F.col("state").alias("_s"), F.col("token").alias("_t"))))
     start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
     cur = queries.select("qid", F.array().cast("array<bigint>").alias("tokens"), start.alias("last"))
-    for _ in range(max_len):
+    for t in range(1, max_len + 1):
         j = cur.join(best, cur["last"] == best["_s"], "left")
         nxt_tok = F.when((F.col("last") == eos) | (F.col("last") == pad) | F.col("_t").isNull(), F.lit(pad)) \
                    .otherwise(F.col("_t")).cast("bigint")
         cur = j.select("qid", F.concat("tokens", F.array(nxt_tok)).alias("tokens"), nxt_tok.alias("last"))
+        if t % lineage_every == 0:
+            cur = cut_lineage(cur)
     p = F.array_position("tokens", eos)
     length = F.when(p > 0, p - 1).otherwise(F.size(F.filter("tokens", lambda x: x != pad)))
     return cur.select("qid", "tokens", length.cast("bigint").alias("len"))

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest number of rows we broadcast on a structural bound (not a runtime guess).
+# Largest number of rows that is broadcast.
 BROADCAST_ROW_LIMIT = 1_000_000
 
 
-def bounded_broadcast(df: DataFrame, bound_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when the caller proves it holds at most ``bound_rows`` rows and
-    that bound is below BROADCAST_ROW_LIMIT; otherwise leave the choice to AQE, which
-    broadcasts from the measured shuffle size or keeps a shuffle join."""
-    if bound_rows <= BROADCAST_ROW_LIMIT:
-        return F.broadcast(df)
-    return df
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast a table that is already written (a checkpoint) after counting it; a larger one keeps a shuffle join."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def join_by_position(a: DataFrame, b: DataFrame, idx: str = "idx") -> DataFrame:
@@ -39,24 +35,16 @@ def join_pred_gold(pred: DataFrame, gold: DataFrame, id_col: str = "id",
     return p, g
 
 
-def group_golds(gold: DataFrame, id_col: str = "id", text: str = "text", pos: str | None = None) -> DataFrame:
-    """Display form: several golds of an id as one list (ordered by ``pos`` when given)."""
-    if pos:
-        return gold.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))),
-                                                    lambda x: x[text]).alias("golds"))
-    return gold.groupBy(id_col).agg(F.array_sort(F.collect_list(text)).alias("golds"))
-
-
-def inverse_lookup_strict(df: DataFrame, key: str, lookup: DataFrame, lkey: str, bound_rows: int) -> DataFrame:
-    """Left join on a bounded lookup table; a key without a match raises."""
-    j = df.join(bounded_broadcast(lookup, bound_rows), df[key] == lookup[lkey], "left")
+def inverse_lookup_strict(df: DataFrame, key: str, lookup: DataFrame, lkey: str) -> DataFrame:
+    """Left join on a lookup table; a key without a match raises."""
+    j = df.join(lookup, df[key] == lookup[lkey], "left")
     others = [c for c in lookup.columns if c != lkey]
     return j.where(F.when(F.col(others[0]).isNull(), F.raise_error(F.lit("lookup key missing")))
                    .otherwise(F.lit(True)))
 
 
 # Rows per task a hot key is split into by the salted join.
-SALT_ROWS = 1_000_000
+SALT_ROWS = 50_000
 
 
 def skew_safe_join(big: DataFrame, small: DataFrame, keys: list[str], big_id: str,

@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqforge.session import cut_lineage
+
+
+def _ranged(df: DataFrame, order_cols: list[str]) -> DataFrame:
+    """Rows in order, with the partition and a rising number, as written once to the shared folder.
+
+    Range bounds are sampled and partitions may be coalesced anew in every execution, so counts and rows must come
+    from one and the same execution.
+    """
+    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    return cut_lineage(ranged.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
+
 
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx") -> DataFrame:
     """0-based position of every row in ``order_cols`` order (keys must be unique).
@@ -13,12 +25,11 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx") -> Data
     one row per partition, so no task ever sees the whole table (unlike
     ``row_number()`` over an unpartitioned window).
     """
-    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    tagged = ranged.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    tagged = _ranged(df, order_cols)
     parts = tagged.groupBy("_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = parts.select("_pid", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = tagged.join(F.broadcast(offs), "_pid")
+    out = tagged.join(offs, "_pid")
     return out.select(*df.columns, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint").alias(name))
 
 
@@ -26,14 +37,13 @@ def prefix_offsets(df: DataFrame, order_cols: list[str], value: str, name: str =
     """Exclusive running sum of ``value`` over the whole table in ``order_cols`` order
     (e.g. start positions of ragged rows in a flat array), computed like dense_index:
     a window inside range partitions plus per-partition totals."""
-    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    tagged = ranged.select("*", F.spark_partition_id().alias("_pid"))
-    w_in = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    tagged = _ranged(df, order_cols)
+    w_in = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.withColumn("_loc", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
     parts = tagged.groupBy("_pid").agg(F.sum(value).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = parts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = local.join(F.broadcast(offs), "_pid")
+    out = local.join(offs, "_pid")
     return out.select(*df.columns, (F.col("_off") + F.col("_loc")).cast("bigint").alias(name))
 
 
@@ -72,9 +82,3 @@ def shuffle_rows(df: DataFrame, idx: str, epoch: Column | int, seed: int = 42) -
     e = epoch if isinstance(epoch, Column) else F.lit(epoch)
     return df.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(str(seed)), e.cast("string"),
                                                          F.col(idx).cast("string"))))
-
-
-def topk(df: DataFrame, part: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    """Per-group top-k; ``row_number() <= k`` plans as a partial top-k before the shuffle."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)

@@ -54,9 +54,19 @@ def running_loss(log: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def epoch_step_counter(log: DataFrame, accum: int) -> DataFrame:
-    """Global optimizer steps per run: a step happens when (steps + 1) % accum == 0."""
-    r = running_sum_count(log, ["run"], "step", "loss")
-    return r.withColumn("global_step", F.floor(F.col("run_cnt") / accum).cast("bigint"))
+    """Global optimizer steps per run: batch n of an epoch (from 1) makes a step when (n + 1) % accum == 0.
+
+    Batches count anew in every epoch; the steps of finished epochs stay.
+    """
+    def steps(n):
+        return F.floor((n + (1 if accum > 1 else 0)) / accum).cast("bigint")
+
+    r = running_sum_count(log, ["run", "epoch"], "step", "loss")
+    per = log.groupBy("run", "epoch").agg(steps(F.count(F.lit(1))).alias("_made"))
+    w = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    done = per.select("run", "epoch", F.coalesce(F.sum("_made").over(w), F.lit(0)).alias("_done"))
+    return (r.join(done, ["run", "epoch"])
+            .withColumn("global_step", F.col("_done") + steps(F.col("run_cnt"))).drop("_done"))
 
 
 def eval_metrics(log: DataFrame) -> DataFrame:

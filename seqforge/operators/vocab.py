@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.functions.arrays import EOS_ID, PAD_ID, UNK_ID, keep_through_eos, take
-from seqforge.operators.joins import bounded_broadcast
+from seqforge.operators.rank import dense_index
 
 # Fixed special tokens of the recurrent model's vocabulary (ids 0..3).
 SPECIALS = [("<pad>", PAD_ID), ("<s>", 1), ("</s>", EOS_ID), ("<unk>", UNK_ID)]
-VOCAB_CAP = 10000
 
+def build_vocab(tokens: DataFrame, col: str = "tokens", cap: int | None = None) -> DataFrame:
+    """Token -> id: the 4 specials, then all tokens (count desc, token asc) with ids from 4; with ``cap`` only
+    the first ``cap`` ids. Output: token, id, cnt.
 
-def build_vocab(tokens: DataFrame, col: str = "tokens", cap: int = VOCAB_CAP) -> DataFrame:
-    """Token -> id: the 4 specials, then the ``cap-4`` most frequent tokens (count desc,
-    token asc) with ids from 4. Output: token, id, cnt.
-
-    The top-k is a distributed ``TakeOrderedAndProject`` over the partial+final
-    counts; only the ``cap`` winners are ranked in one task.
+    Ids are positions in a range-partitioned order, so no task ranks the whole vocabulary.
     """
     counts = (tokens.select(F.explode(F.col(col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
-    top = counts.orderBy(F.desc("cnt"), "token").limit(cap - len(SPECIALS))
-    w = Window.orderBy(F.desc("cnt"), "token")
-    ranked = top.select("token", (F.row_number().over(w) + len(SPECIALS) - 1).cast("bigint").alias("id"),
-                        F.col("cnt").cast("bigint").alias("cnt"))
+    if cap is not None:
+        counts = counts.orderBy(F.desc("cnt"), "token").limit(cap - len(SPECIALS))
+    ranked = dense_index(counts.withColumn("_less", -F.col("cnt")), ["_less", "token"], "id").select(
+        "token", (F.col("id") + len(SPECIALS)).cast("bigint").alias("id"), F.col("cnt").cast("bigint").alias("cnt"))
     spark = tokens.sparkSession
     specials = spark.createDataFrame([(t, i, 0) for t, i in SPECIALS], "token string, id bigint, cnt bigint")
     return specials.unionByName(ranked)
@@ -38,18 +35,17 @@ def invert_vocab(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("id").agg(F.max("token").alias("token"))
 
 
-def encode_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int,
-               vocab_rows: int = VOCAB_CAP) -> DataFrame:
+def encode_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int) -> DataFrame:
     """``sent2indexes``: the first ``max_len`` tokens looked up (unknown -> UNK), PAD on the
     right. Output: key, ids (length max_len), len.
 
-    Rows are hash-partitioned on ``key`` once; the explode, the broadcast lookup
-    (vocabulary size is capped) and the regroup then run without another shuffle.
+    Rows are hash-partitioned on ``key`` once; while the vocabulary is small enough for AQE to broadcast it, the
+    lookup and the regroup need no other shuffle.
     """
     base = df.select(F.col(key).alias("_k"), take(F.col(tokens), max_len).alias("_t")).repartition("_k")
     # outer explode keeps rows without tokens; their null entry is skipped by collect_list
     ex = base.select("_k", F.posexplode_outer("_t").alias("pos", "token"))
-    v = bounded_broadcast(vocab.select("token", "id"), vocab_rows)
+    v = vocab.select("token", "id")
     looked = ex.join(v, "token", "left").select(
         "_k", F.when(F.col("pos").isNotNull(),
                      F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).cast("bigint").alias("id"))).alias("e"))
@@ -61,15 +57,14 @@ def encode_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len:
                       F.size("_ids").cast("bigint").alias("len"))
 
 
-def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, ignore_tok: int = PAD_ID,
-               vocab_rows: int = VOCAB_CAP) -> DataFrame:
+def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, ignore_tok: int = PAD_ID) -> DataFrame:
     """``indexes2sent``: skip ``ignore_tok``, stop after EOS (kept), map ids to tokens; an id
     missing from the vocabulary is an error. Output: key, text, len."""
     base = (df.select(F.col(key).alias("_k"),
                       keep_through_eos(F.filter(F.col(ids), lambda x: x != F.lit(ignore_tok)), EOS_ID).alias("_i"))
             .repartition("_k"))
     ex = base.select("_k", F.posexplode_outer("_i").alias("pos", "id"))
-    inv = bounded_broadcast(invert_vocab(vocab), vocab_rows)
+    inv = invert_vocab(vocab)
     strict = F.coalesce("token", F.raise_error(F.concat(F.lit("id not in vocabulary: "), F.col("id").cast("string"))))
     looked = ex.join(inv, "id", "left").select(
         "_k", F.when(F.col("pos").isNotNull(), F.struct("pos", strict.alias("token"))).alias("e"))

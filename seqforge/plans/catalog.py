@@ -105,10 +105,11 @@ def exact_match(spark, sf):
 
 # ---------------------------------------------------------------- n-best (sim_bleu, F1)
 def nbest_fixture(spark, sf):
-    """(qid, r_id, hyp, ref): the anchor of a prefix group is the gold text, the next
-    N_REFS documents are its samples (r_id by doc_id)."""
+    """(qid, r_id, hyp, ref): the anchor of a prefix group is the gold text, all other
+    members are its samples (r_id is the doc_id)."""
     hyps, refs = fx.anchor_and_refs(spark, sf)
-    return refs.join(hyps.withColumnRenamed("text", "ref"), "seg").select(
+    from seqforge.operators.joins import skew_safe_join
+    return skew_safe_join(refs, hyps.withColumnRenamed("text", "ref"), ["seg"], "ref_no").select(
         F.col("seg").alias("qid"), F.col("ref_no").alias("r_id"), F.col("text").alias("hyp"), "ref")
 
 

@@ -39,13 +39,13 @@ def beam_sql(beam: int, steps: int, forced: bool, rank_by: str = "sum", next_sql
         SELECT *, row_number() OVER (PARTITION BY state ORDER BY logp DESC, token) AS r FROM ({next_sql})) WHERE r <= {width})""",
             f"""a0 AS (SELECT qid, 0 AS k, CAST([] AS BIGINT[]) AS tokens, CAST(0.0 AS DOUBLE) AS score,
         CAST(CASE WHEN len(prefix) > 0 THEN prefix[len(prefix)] ELSE 1 END AS BIGINT) AS last,
-        false AS eos_top, CAST(0 AS BIGINT) AS nfin FROM ({queries_sql}))"""]
+        false AS eos_top, CAST(0 AS BIGINT) AS nfin, len(prefix) > 0 AS led FROM ({queries_sql}))"""]
     for t in range(1, steps + 1):
-        block = f" AND n.token <> {EOS}" if (forced and t == 1) else ""
-        ctes.append(f"""r{t} AS (SELECT a.qid, a.k AS parent, a.tokens, a.score + n.logp AS score, n.token, a.eos_top, a.nfin,
+        block = f" AND (NOT a.led OR n.token <> {EOS})" if (forced and t == 1) else ""
+        ctes.append(f"""r{t} AS (SELECT a.qid, a.k AS parent, a.tokens, a.score + n.logp AS score, n.token, a.eos_top, a.nfin, a.led,
         row_number() OVER (PARTITION BY a.qid ORDER BY a.score + n.logp DESC, a.k, n.token) AS rn
         FROM a{t - 1} a JOIN nk n ON n.state = a.last WHERE a.last <> {EOS}{block})""")
-        ctes.append(f"""f{t} AS (SELECT qid, rn - 1 AS k, list_append(tokens, token) AS tokens, score, token AS last,
+        ctes.append(f"""f{t} AS (SELECT qid, rn - 1 AS k, list_append(tokens, token) AS tokens, score, token AS last, led,
         (eos_top OR bool_or(rn = 1 AND token = {EOS}) OVER (PARTITION BY qid)) AS eos_top,
         nfin + sum(CASE WHEN token = {EOS} THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS nfin
         FROM r{t} WHERE rn <= {beam})""")
@@ -61,8 +61,8 @@ def beam_sql(beam: int, steps: int, forced: bool, rank_by: str = "sum", next_sql
         UNION ALL SELECT qid, 1, {key}, step, k, tokens, score FROM fx WHERE step = lst AND last <> {EOS})""")
     ctes.append(f"""fin AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY grp, kk DESC, step, k) - 1 AS rank,
         CASE WHEN coalesce(list_position(tokens, {EOS}), 0) > 0 THEN tokens[1:list_position(tokens, {EOS}) - 1]
-             ELSE tokens END AS tokens, score, coalesce(list_position(tokens, {EOS}), 0) > 0 AS fin FROM cand)""")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT qid, CAST(rank AS BIGINT) AS rank, tokens, score FROM fin WHERE rank < {beam}"
+             ELSE tokens END AS tokens, score, kk, coalesce(list_position(tokens, {EOS}), 0) > 0 AS fin FROM cand)""")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT qid, CAST(rank AS BIGINT) AS rank, tokens, score, kk AS rank_key FROM fin WHERE rank < {beam}"
 
 
 def _beam_out(df):
@@ -136,24 +136,27 @@ def forced_prefix(spark, sf):
 
 
 @register("avg_logp_rank", _beam_out_sql(beam_sql(12, STEPS, False, "avg")).replace(
-    "round(score, 6) AS score", "round(score / (len(tokens) + 1e-6), 6) AS score"))
+    "round(score, 6) AS score", "round(rank_key, 6) AS score"))
 def avg_logp_rank(spark, sf):
     """Width-12 search, n-best ranked by average log-probability per generated token."""
     f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), 12, STEPS)
     r = D.beam_final(f, 12, rank_by="avg")
     return _round_all(r.select("qid", "rank", A.ids_text("tokens").alias("tokens"),
-                               (F.col("score") / (F.size("tokens") + F.lit(1e-6))).alias("score")))
+                               F.col("rank_key").alias("score")))
 
 
 @register("strip_prefix", f"""
-  SELECT qid, rank, array_to_string(CASE WHEN len(tokens) > 1 THEN tokens[2:] ELSE tokens END, ' ') AS tokens
-  FROM ({beam_sql(BEAM, STEPS, True)})""")
+  SELECT b.qid, b.rank, array_to_string(list_concat(q.prefix, b.tokens), ' ') AS whole, array_to_string(CASE
+           WHEN len(b.tokens) > 0 THEN b.tokens ELSE q.prefix END, ' ') AS tokens
+  FROM ({beam_sql(BEAM, STEPS, True)}) b JOIN ({QUERIES_SQL}) q ON q.qid = b.qid""")
 def strip_prefix(spark, sf):
-    """Prefixed hypotheses (context + forced continuation) with the context removed when longer."""
+    """Prefixed hypotheses (context + forced continuation), and with each query's own context removed when longer."""
     q = decode_queries(spark, sf)
     f = D.beam_search(q, next_table(spark, sf), BEAM, STEPS, forced=True)
     r = D.beam_final(f, BEAM)
-    return r.select("qid", "rank", A.ids_text(A.strip_prefix("tokens", F.lit(1))).alias("tokens"))
+    whole = r.join(q, "qid").select("qid", "rank", F.concat("prefix", "tokens").alias("whole"), F.size("prefix").alias("led"))
+    return whole.select("qid", "rank", A.ids_text("whole").alias("whole"),
+                        A.ids_text(A.strip_prefix("whole", F.col("led"))).alias("tokens"))
 
 
 @register("pad_hyps", f"""
@@ -237,7 +240,7 @@ def nbest_predict(spark, sf):
     from seqforge.operators.vocab import invert_vocab
     f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS)
     r = D.beam_final(f, BEAM).select("qid", "rank", F.posexplode_outer("tokens").alias("pos", "id"))
-    inv = F.broadcast(invert_vocab(event_vocab(spark, sf)))
+    inv = invert_vocab(event_vocab(spark, sf))
     j = r.join(inv, "id", "left")
     g = j.groupBy("qid", "rank").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
     return g.select("qid", "rank", F.array_join(F.transform("s", lambda x: x["token"]), " ").alias("text"))
@@ -277,16 +280,16 @@ def word_inputs(spark, sf):
     """Documents as framed word ids (<s> w1 .. wn </s>) in the capped document vocabulary
     (unknown -> UNK): returns (ids(doc_id, pos, id), queries(qid, prefix)).
 
-    The vocabulary (at most 10,000 rows) is materialised once in the checkpoint folder
-    and broadcast; the exploded corpus is partitioned by doc_id once."""
+    The vocabulary is materialised once in the checkpoint folder
+    and broadcast if its count allows; the exploded corpus is partitioned by doc_id once."""
     from seqforge.functions.text import tokens_ws
     from seqforge.operators import vocab as V
-    from seqforge.operators.joins import bounded_broadcast
+    from seqforge.operators.joins import checked_broadcast
     from seqforge.plans import fixtures as fx
     from seqforge.session import cut_lineage
     d = fx.table(spark, sf, "documents").select("doc_id", tokens_ws(F.lower("text")).alias("tokens"))
     v = cut_lineage(V.build_vocab(d, "tokens").select("token", "id"))
-    look = bounded_broadcast(v, V.VOCAB_CAP)
+    look = checked_broadcast(v)
     framed = F.concat(F.array(F.lit("<s>")), F.col("tokens"), F.array(F.lit("</s>")))
     ex = d.repartition("doc_id").select("doc_id", F.posexplode(framed).alias("pos", "token"))
     ids = ex.join(look, "token", "left").select("doc_id", "pos", F.coalesce("id", F.lit(A.UNK_ID)).alias("id"))

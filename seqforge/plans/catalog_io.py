@@ -35,14 +35,18 @@ def _write_corpus_csv(spark, sf) -> str:
 CORPUS_IDX_SQL = f"SELECT *, CAST(row_number() OVER (ORDER BY conv_id) - 1 AS BIGINT) AS idx FROM ({CORPUS_SQL})"
 
 
+def _filled(col: str) -> str:
+    return f"CASE WHEN {col} IS NULL OR {col} IN ({', '.join(sg.q(v) for v in R.PANDAS_NA)}) THEN '' ELSE {col} END"
+
+
 @register("src_examples_csv", f"""
-  SELECT idx, '' AS src_ant, lower(coalesce(source_code, '')) AS src_code,
-         lower(coalesce(related_so_question, '')) AS sim_post, lower(coalesce(target_api, '')) AS target
+  SELECT idx, '' AS src_ant, lower({_filled('source_code')}) AS src_code,
+         lower({_filled('related_so_question')}) AS sim_post, lower({_filled('target_api')}) AS target
   FROM ({CORPUS_IDX_SQL})""")
 def src_examples_csv(spark, sf):
     """Corpus CSV (multi-line quoted cells) -> examples: fill "", lower-case, position idx,
     annotation blanked as in the shared reader."""
-    df = R.read_corpus_csv(spark, _write_corpus_csv(spark, sf))
+    df = R.read_corpus_csv(spark, _write_corpus_csv(spark, sf), na_values="pandas")
     return R.examples_from_corpus(df)
 
 
@@ -219,16 +223,16 @@ def sink_split_annotation(spark, sf):
     return _split_query(spark, sf, S.split_annotation)
 
 
-@register("sink_split_code", _split_lines_sql({"code": sg.collapse_ws("source_code"), "seq": "api_seq"}))
+@register("sink_split_code", _split_lines_sql({"code": sg.collapse_ws("source_code"), "seq": "target_api"}))
 def sink_split_code(spark, sf):
-    """Variant 'code': whitespace-collapsed code + API sequence files."""
+    """Variant 'code': whitespace-collapsed code + target API files."""
     return _split_query(spark, sf, S.split_code)
 
 
 @register("sink_split_bimodal", _split_lines_sql({
-    "bimodal": sg.collapse_ws("annotation || ' ' || source_code"), "seq": "api_seq"}))
+    "bimodal": sg.collapse_ws("annotation || ' ' || source_code"), "seq": "target_api"}))
 def sink_split_bimodal(spark, sf):
-    """Variant 'bimodal': annotation + code collapsed + API sequence files."""
+    """Variant 'bimodal': annotation + code collapsed + target API files."""
     return _split_query(spark, sf, S.split_bimodal)
 
 
@@ -326,7 +330,7 @@ def inverse_lookup_strict(spark, sf):
     from seqforge.plans.catalog_seq import event_vocab
     e = encoded(spark, sf).select(F.explode("ids").alias("id"))
     inv = V.invert_vocab(event_vocab(spark, sf)).withColumnRenamed("id", "vid")
-    j = ils(e, "id", inv, "vid", V.VOCAB_CAP)
+    j = ils(e, "id", inv, "vid")
     return j.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 

@@ -46,8 +46,10 @@ def running_loss(spark, sf):
 
 
 @register("epoch_step_counter", f"""
-  SELECT run, step, CAST(floor((row_number() OVER (PARTITION BY run ORDER BY step)) / {ACCUM}) AS BIGINT) AS global_step
-  FROM ({LOG})""")
+  SELECT run, step, CAST(coalesce((SELECT sum((m + 1) // {ACCUM}) FROM
+           (SELECT run AS r, epoch AS e, count(*) AS m FROM ({LOG}) GROUP BY 1, 2) WHERE r = x.run AND e < x.epoch), 0)
+         + (n + 1) // {ACCUM} AS BIGINT) AS global_step
+  FROM (SELECT run, epoch, step, row_number() OVER (PARTITION BY run, epoch ORDER BY step) AS n FROM ({LOG})) x""")
 def epoch_step_counter(spark, sf):
     """Global optimizer step per run with gradient accumulation 4."""
     r = RL.epoch_step_counter(fx.run_log(spark, sf), ACCUM)
@@ -195,9 +197,7 @@ def dev_sample(spark, sf):
   FROM ({ENC_SQL}), (SELECT unnest(range(3)) AS e)""")
 def shuffle_rows(spark, sf):
     """Per-epoch seeded random order key for three epochs."""
-    e = encoded(spark, sf).select("seq_id")
-    epochs = spark.range(3).select(F.col("id").alias("epoch"))
-    x = e.join(F.broadcast(epochs), how="inner", on=F.lit(True))
+    x = encoded(spark, sf).select("seq_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("epoch"))
     return RK.shuffle_rows(x, "seq_id", F.col("epoch")).select("seq_id", "epoch", "order_key")
 
 
@@ -208,10 +208,10 @@ def eval_cap(spark, sf):
     return nbest_fixture(spark, sf).select("qid").distinct().orderBy("qid").limit(1001)
 
 
-@register("top1_sample", f"SELECT qid, hyp FROM ({NBEST_SQL}) WHERE r_id = 0")
+@register("top1_sample", f"SELECT qid, arg_min(hyp, r_id) AS hyp FROM ({NBEST_SQL}) GROUP BY qid")
 def top1_sample(spark, sf):
-    """Sample 0 of every query (the single-best output file)."""
-    return nbest_fixture(spark, sf).where(F.col("r_id") == 0).select("qid", "hyp")
+    """The first sample of every query (the single-best output file)."""
+    return nbest_fixture(spark, sf).groupBy("qid").agg(F.min_by("hyp", "r_id").alias("hyp"))
 
 
 @register("nbest_sort", f"""
@@ -226,15 +226,16 @@ def nbest_sort(spark, sf):
 
 # ------------------------------------------------------------------ corpus statistics
 CORPUS_SQL = """
-  SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS annotation, max(CASE WHEN turn = 1 THEN text END) AS source_code,
-         max(CASE WHEN turn = 2 THEN text END) AS related_so_question, max(CASE WHEN turn = 3 THEN text END) AS target_api,
-         max(CASE WHEN turn = 4 THEN text END) AS api_seq
-  FROM conversations GROUP BY conv_id"""
+  SELECT conv_id * 1000 + turn // 5 AS conv_id, max(CASE WHEN turn % 5 = 0 THEN text END) AS annotation, max(CASE WHEN turn % 5 = 1 THEN text END) AS source_code,
+         max(CASE WHEN turn % 5 = 2 THEN text END) AS related_so_question, max(CASE WHEN turn % 5 = 3 THEN text END) AS target_api,
+         max(CASE WHEN turn % 5 = 4 THEN text END) AS api_seq
+  FROM conversations GROUP BY conv_id * 1000 + turn // 5"""
 
 
 def corpus_frame(spark, sf):
-    """Corpus CSV stand-in: conversation turns 0..4 pivoted per conv_id (missing -> null)."""
-    c = fx.table(spark, sf, "conversations")
+    """Corpus CSV stand-in: five turns of a conversation at a time, pivoted (missing -> null); ``conv_id`` numbers them."""
+    c = fx.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.floor(F.col("turn") / 5)).cast("bigint").alias("conv_id"), (F.col("turn") % 5).alias("turn"), "text")
     cols = ["annotation", "source_code", "related_so_question", "target_api", "api_seq"]
     return c.groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(n)
                                       for i, n in enumerate(cols)])

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from seqforge.functions import arrays as A
 from seqforge.functions.text import tokens_ws
 from seqforge.operators import vocab as V
-from seqforge.operators.joins import bounded_broadcast
 from seqforge.operators.rank import batch_assign, dense_index
 from seqforge.plans import fixtures as fx
 from seqforge.plans.catalog import _round_all
@@ -33,14 +32,14 @@ def event_vocab(spark, sf):
     return V.build_vocab(fx.event_sequences(spark, sf), "tokens")
 
 
-def vocab_sql(tokens_sql: str, cap: int = V.VOCAB_CAP) -> str:
+def vocab_sql(tokens_sql: str) -> str:
     """Vocabulary over a list column ``tokens`` of ``tokens_sql``."""
     spec = " UNION ALL ".join(f"SELECT '{t}' AS token, CAST({i} AS BIGINT) AS id, CAST(0 AS BIGINT) AS cnt"
                               for t, i in V.SPECIALS)
     return f"""({spec} UNION ALL
       SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 3 AS BIGINT) AS id, cnt FROM (
         SELECT token, CAST(count(*) AS BIGINT) AS cnt FROM (SELECT unnest(tokens) AS token FROM ({tokens_sql}))
-        GROUP BY token ORDER BY cnt DESC, token LIMIT {cap - len(V.SPECIALS)}))"""
+        GROUP BY token))"""
 
 
 EVENT_VOCAB_SQL = vocab_sql(fx.EVENT_SEQUENCES_SQL)
@@ -57,7 +56,7 @@ def build_vocab(spark, sf):
 @register("vocab_doc_size", f"SELECT CAST(count(*) AS BIGINT) AS n_tokens, CAST(max(id) AS BIGINT) AS max_id, "
                             f"CAST(sum(cnt) AS BIGINT) AS covered FROM {DOC_VOCAB_SQL}")
 def vocab_doc_size(spark, sf):
-    """Capped (10000) vocabulary of document words: size, top id, covered occurrences."""
+    """Vocabulary of document words: size, top id, covered occurrences."""
     d = fx.table(spark, sf, "documents").select(tokens_ws(F.lower("text")).alias("tokens"))
     v = V.build_vocab(d, "tokens")
     return v.agg(F.count(F.lit(1)).cast("bigint").alias("n_tokens"), F.max("id").cast("bigint").alias("max_id"),
@@ -93,7 +92,7 @@ def vocab_lookup(spark, sf):
     """token -> id with UNK default: every document word looked up in the event vocabulary
     (occurrences per token)."""
     d = fx.table(spark, sf, "documents").select(F.explode(tokens_ws(F.lower("text"))).alias("token"))
-    v = bounded_broadcast(event_vocab(spark, sf).select("token", "id"), V.VOCAB_CAP)
+    v = event_vocab(spark, sf).select("token", "id")
     j = d.join(v, "token", "left").select("token", F.coalesce("id", F.lit(A.UNK_ID)).cast("bigint").alias("id"))
     return j.groupBy("token", "id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 

@@ -168,7 +168,7 @@ def _pred_gold_lines(spark, sf):
     hyps, refs = fx.anchor_and_refs(spark, sf)
     pred = hyps.select(F.col("seg").alias("line_no"),
                        F.concat_ws("\t", F.col("seg").cast("string"), F.regexp_replace("text", "\n", " ")).alias("value"))
-    gold = refs.select(F.concat_ws("\t", F.col("seg").cast("string"), F.regexp_replace("text", "\n", " ")).alias("value"))
+    gold = refs.select(F.col("ref_no").alias("line_no"), F.concat_ws("\t", F.col("seg").cast("string"), F.regexp_replace("text", "\n", " ")).alias("value"))
     return pred, gold
 
 
@@ -184,7 +184,7 @@ def bleu_cli(spark, sf):
     pred_lines, gold_lines = _pred_gold_lines(spark, sf)
     from seqforge.operators.joins import join_pred_gold as jpg
     pred = parse_predictions(pred_lines)
-    gold = parse_gold(gold_lines).withColumn("ref_no", F.monotonically_increasing_id())
+    gold = parse_gold(gold_lines).withColumnRenamed("line_no", "ref_no")
     pred, gold = jpg(pred, gold, gold_pos="ref_no")
     stats = B.smoothed_stats(pred.withColumnRenamed("id", "seg"), gold.withColumnRenamed("id", "seg"),
                              materialize=True)
@@ -205,8 +205,7 @@ def join_pred_gold(spark, sf):
     """Gold kept only for ids with a prediction (left semi join); golds per id."""
     from seqforge.operators.joins import join_pred_gold as jpg
     pred_lines, gold_lines = _pred_gold_lines(spark, sf)
-    gold = parse_gold(gold_lines).withColumn("_pos", F.monotonically_increasing_id())
-    _, g = jpg(parse_predictions(pred_lines), gold, gold_pos="_pos")
+    _, g = jpg(parse_predictions(pred_lines), parse_gold(gold_lines), gold_pos="line_no")
     return g.groupBy("id").agg(F.count(F.lit(1)).cast("bigint").alias("n_golds"))
 
 

@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-PREFIX_LEN = 20       # documents are grouped by their first 20 characters
-N_REFS = 3            # references / samples per anchor in the several-reference fixtures
-EVENT_BLOCK = 2000    # events are cut into sequences per (user, event_id block)
+PREFIX_LEN = 20       # documents that begin alike belong together; the others go by source
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,37 +23,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- documents
-def star_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seg, hyp, ref): within a prefix group the lowest doc_id is the reference,
-    every other document is a hypothesis; seg = hypothesis doc_id.
-
-    Anchors and group sizes come from a hash aggregation over narrow (prefix, doc_id)
-    rows (partial + final); texts only travel through joins: documents -> their anchor
-    by prefix, then hypotheses -> the reference text by anchor id. Both joins have one
-    row per key on one side and a possibly hot key on the other, so they are salted
-    joins (``skew_safe_join``): a prefix holding a third of all documents is spread
-    over many tasks.
+def grouped_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, grp) of every document, and (grp, first, second, cnt) of every group.
+
+    ``grp`` is the first PREFIX_LEN characters where another document shares them, else the source. Groups are
+    counted on narrow rows with partial aggregation, and rows meet their group in salted joins, so a group that
+    holds a third of all documents is spread over many tasks.
     """
     from seqforge.operators.joins import skew_safe_join
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.substring("text", 1, PREFIX_LEN).alias("prefix"))
-    anchors = docs.groupBy("prefix").agg(F.min("doc_id").alias("ref_id"), F.count(F.lit(1)).alias("cnt"))
-    tagged = skew_safe_join(docs, anchors.select("prefix", "ref_id"), ["prefix"], "doc_id",
-                            key_counts=anchors.select("prefix", "cnt"))
-    refs = tagged.where(F.col("doc_id") == F.col("ref_id")).select("ref_id", F.col("text").alias("ref"))
-    hyps = tagged.where(F.col("doc_id") != F.col("ref_id")).select(
-        F.col("doc_id").alias("seg"), F.col("text").alias("hyp"), "ref_id")
-    return skew_safe_join(hyps, refs, ["ref_id"], "seg",
-                          key_counts=anchors.select(F.col("ref_id"), "cnt")).select("seg", "hyp", "ref", "ref_id")
+        "doc_id", "text", "source", F.substring("text", 1, PREFIX_LEN).alias("prefix"))
+    shared = docs.groupBy("prefix").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+    rows = skew_safe_join(docs, shared.select("prefix", F.lit(True).alias("_shared")), ["prefix"], "doc_id",
+                          key_counts=shared, how="left")
+    rows = rows.select("doc_id", "text", F.when(F.col("_shared"), F.col("prefix")).otherwise(F.col("source")).alias("grp"))
+    narrow = rows.select("grp", "doc_id")
+    first = narrow.groupBy("grp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy("grp").orderBy("doc_id")
+    second = (narrow.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 2)   # partial top-2 before the shuffle
+              .where(F.col("_rn") == 2).select("grp", F.col("doc_id").alias("second")))
+    return rows, first.join(second, "grp", "left").select("grp", "first", F.coalesce("second", "first").alias("second"), "cnt")
+
+
+GROUPED_SQL = f"""
+  SELECT doc_id, text, CASE WHEN count(*) OVER (PARTITION BY substr(text, 1, {PREFIX_LEN})) > 1
+                            THEN substr(text, 1, {PREFIX_LEN}) ELSE source END AS grp FROM documents"""
+
+
+def star_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seg, hyp, ref, ref_id): every document is a hypothesis against the lowest doc_id of its group; that one
+    itself against the second lowest (a document alone in its group against itself)."""
+    from seqforge.operators.joins import skew_safe_join
+    rows, groups = grouped_documents(spark, sf_dir)
+    tagged = skew_safe_join(rows, groups.select("grp", "first", "second"), ["grp"], "doc_id",
+                            key_counts=groups.select("grp", "cnt"))
+    hyps = tagged.select(F.col("doc_id").alias("seg"), F.col("text").alias("hyp"),
+                         F.when(F.col("doc_id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("ref_id"))
+    ids = groups.select(F.explode(F.array_distinct(F.array("first", "second"))).alias("ref_id"))
+    refs = (table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref_id"), F.col("text").alias("ref"))
+            .join(ids, "ref_id", "left_semi"))
+    counts = groups.select(F.col("first").alias("ref_id"), "cnt")
+    return skew_safe_join(hyps, refs, ["ref_id"], "seg", key_counts=counts).select("seg", "hyp", "ref", "ref_id")
 
 
 STAR_PAIRS_SQL = f"""
-  SELECT d.doc_id AS seg, d.text AS hyp, a.ref AS ref, a.ref_id AS ref_id
-  FROM (SELECT doc_id, text, substr(text, 1, {PREFIX_LEN}) AS prefix FROM documents) d
-  JOIN (SELECT substr(text, 1, {PREFIX_LEN}) AS prefix, min(doc_id) AS ref_id,
-               arg_min(text, doc_id) AS ref
-        FROM documents GROUP BY 1) a USING (prefix)
-  WHERE d.doc_id <> a.ref_id"""
+  SELECT x.doc_id AS seg, x.text AS hyp, r.text AS ref, r.doc_id AS ref_id
+  FROM (SELECT doc_id, text, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY grp)
+               THEN coalesce(lead(doc_id) OVER (PARTITION BY grp ORDER BY doc_id), doc_id)
+               ELSE min(doc_id) OVER (PARTITION BY grp) END AS ref_id FROM ({GROUPED_SQL})) x
+  JOIN documents r ON r.doc_id = x.ref_id"""
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,48 +89,22 @@ TURN_PAIRS_SQL = """
   FROM conversations r JOIN conversations h ON h.conv_id = r.conv_id AND h.turn = r.turn + 1"""
 
 
-def ranked_groups(spark: SparkSession, sf_dir: str, k: int = N_REFS) -> DataFrame:
-    """(prefix, doc_id, text, rn): the k+1 lowest doc_ids of every prefix group that
-    has at least two members. The ranking runs on narrow (prefix, doc_id) rows and
-    ``row_number <= k+1`` plans as a partial top-k before the shuffle, so a hot prefix
-    never reaches one task whole; texts are joined to the few winners afterwards."""
-    docs = table(spark, sf_dir, "documents")
-    keys = docs.select("doc_id", F.substring("text", 1, PREFIX_LEN).alias("prefix"))
-    w = Window.partitionBy("prefix").orderBy("doc_id")
-    top = keys.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1)
-    multi = top.where(F.col("rn") == 2).select("prefix")
-    winners = top.join(multi, "prefix", "left_semi")
-    return winners.join(docs.select("doc_id", "text"), "doc_id").select("prefix", "doc_id", "text", "rn")
-
-
-def ranked_groups_sql(k: int = N_REFS) -> str:
-    return f"""
-  SELECT * FROM (
-    SELECT doc_id, text, substr(text, 1, {PREFIX_LEN}) AS prefix,
-           row_number() OVER (PARTITION BY substr(text, 1, {PREFIX_LEN}) ORDER BY doc_id) AS rn
-    FROM documents) g
-  WHERE rn <= {k + 1}
-    AND prefix IN (SELECT prefix FROM (SELECT substr(text, 1, {PREFIX_LEN}) AS prefix
-                                       FROM documents) GROUP BY prefix HAVING count(*) >= 2)"""
-
-
-def anchor_and_refs(spark: SparkSession, sf_dir: str, k: int = N_REFS):
-    """Several-reference fixture: the anchor (rn 1) is the hypothesis, rn 2..k+1 the references.
-    Returns (hyps(seg, text), refs(seg, ref_no, text))."""
-    g = ranked_groups(spark, sf_dir, k)
-    anchor = g.where(F.col("rn") == 1).select("prefix", F.col("doc_id").alias("seg"))
-    hyps = g.where(F.col("rn") == 1).select(F.col("doc_id").alias("seg"), "text")
-    refs = (g.where(F.col("rn") > 1).join(anchor, "prefix")
-            .select("seg", (F.col("rn") - 2).alias("ref_no"), "text"))
+def anchor_and_refs(spark: SparkSession, sf_dir: str):
+    """Several-reference fixture: the lowest doc_id of a group is the hypothesis, every other member a reference.
+    Returns (hyps(seg, text), refs(seg, ref_no, text)); ``ref_no`` is the reference's doc_id."""
+    from seqforge.operators.joins import skew_safe_join
+    rows, groups = grouped_documents(spark, sf_dir)
+    tagged = skew_safe_join(rows, groups.where("cnt > 1").select("grp", F.col("first").alias("seg")), ["grp"], "doc_id",
+                            key_counts=groups.select("grp", "cnt"))
+    hyps = tagged.where(F.col("doc_id") == F.col("seg")).select("seg", "text")
+    refs = tagged.where(F.col("doc_id") != F.col("seg")).select("seg", F.col("doc_id").alias("ref_no"), "text")
     return hyps, refs
 
 
-def anchor_refs_sql(k: int = N_REFS) -> tuple[str, str]:
-    g = ranked_groups_sql(k)
-    hyps = f"SELECT doc_id AS seg, text FROM ({g}) WHERE rn = 1"
-    refs = (f"SELECT a.doc_id AS seg, g.rn - 2 AS ref_no, g.text FROM ({g}) g "
-            f"JOIN ({g}) a ON a.prefix = g.prefix AND a.rn = 1 WHERE g.rn > 1")
-    return hyps, refs
+def anchor_refs_sql() -> tuple[str, str]:
+    g = f"SELECT *, min(doc_id) OVER (PARTITION BY grp) AS seg, count(*) OVER (PARTITION BY grp) AS cnt FROM ({GROUPED_SQL})"
+    return (f"SELECT seg, text FROM ({g}) WHERE doc_id = seg AND cnt > 1",
+            f"SELECT seg, doc_id AS ref_no, text FROM ({g}) WHERE doc_id <> seg")
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,23 +121,19 @@ DOC_LINES_SQL = """
 
 # ---------------------------------------------------------------- events
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token sequences: event_type per (user_id, event_id block) ordered by (ts, event_id).
-
-    A block holds at most EVENT_BLOCK event ids, so every collected group has a
-    proven size bound whatever the user distribution. Output: (seq_id, user_id, tokens).
-    """
+    """Token sequences: event_type per user and day, ordered by (ts, event_id). Output: (seq_id, user_id, tokens)."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    seqs = (ev.groupBy("user_id", F.floor(F.col("event_id") / EVENT_BLOCK).alias("block"))
+    seqs = (ev.groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"))
             .agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("s")))
     return seqs.select(
-        (F.col("user_id") * 1_000_000 + F.col("block")).cast("bigint").alias("seq_id"), "user_id",
+        (F.col("user_id") * 1_000_000 + F.col("day")).cast("bigint").alias("seq_id"), "user_id",
         F.transform("s", lambda x: x["event_type"]).alias("tokens"))
 
 
-EVENT_SEQUENCES_SQL = f"""
-  SELECT CAST(user_id * 1000000 + floor(event_id / {EVENT_BLOCK}) AS BIGINT) AS seq_id, user_id,
+EVENT_SEQUENCES_SQL = """
+  SELECT CAST(user_id * 1000000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS seq_id, user_id,
          list(event_type ORDER BY ts, event_id) AS tokens
-  FROM events GROUP BY user_id, floor(event_id / {EVENT_BLOCK})"""
+  FROM events GROUP BY user_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))"""
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) a private folder is created.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; without it this raises. Only
+    a local master (one machine: tests, benches) gets a private folder when it is unset.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -50,7 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = sc._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
-        # only when the deployment names no shared folder (local tests)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="seqforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -24,10 +24,12 @@ def with_position(df: DataFrame, name: str = "idx") -> DataFrame:
     # a split never spans tasks, so (path, block start) plus the task-local id orders rows
     splits = (tagged.groupBy("_fp", "_fb")
               .agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")))
-    # the split table has one row per input split: bounded by the number of tasks
-    w = Window.orderBy("_fp", "_fb").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per input split; runs of digits in names compare as numbers (part-99999 before part-100000)
+    natural = F.expr("""array_join(transform(regexp_extract_all(_fp, '([0-9]+|[^0-9]+)', 1),
+                        x -> if(x rlike '^[0-9]', lpad(x, greatest(20, length(x)), '0'), x)), '')""")
+    w = Window.orderBy(natural, "_fp", "_fb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_fp", "_fb", "_first",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = tagged.join(F.broadcast(offsets), ["_fp", "_fb"])
+    out = tagged.join(offsets, ["_fp", "_fb"])
     return out.select(*[F.col(c) for c in df.columns],
                       (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint").alias(name))

@@ -19,20 +19,17 @@ PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 
 def read_corpus_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
                     na_values: str | None = None) -> DataFrame:
-    """Corpus CSV with header; quoted cells may span lines. Adds ``idx`` (file position).
+    """Corpus CSV read by the names in its header, in any order and beside any other columns; quoted cells may
+    span lines. Adds ``idx`` (file position).
 
-    ``columns`` prunes the read (``usecols``); ``na_values='pandas'`` also maps the
+    ``columns`` prunes the read (``usecols``; all corpus columns by default); ``na_values='pandas'`` also maps the
     pandas default missing markers to null.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in CORPUS_COLUMNS])
-    df = (spark.read.schema(schema)
-          .option("header", True).option("multiLine", True)
+    df = (spark.read.option("header", True).option("multiLine", True)
           .option("quote", '"').option("escape", '"')
           .option("enforceSchema", False)
           .csv(path))
-    df = with_position(df)
-    if columns:
-        df = df.select(*columns, "idx")
+    df = with_position(df).select(*(columns or CORPUS_COLUMNS), "idx")
     if na_values == "pandas":
         df = df.select(*[F.when(F.col(c).isin(PANDAS_NA), None).otherwise(F.col(c)).alias(c)
                          if c != "idx" else F.col(c) for c in df.columns])
@@ -83,10 +80,11 @@ def paired_lines_strict(spark: SparkSession, ref_path: str, cand_path: str) -> D
     r = read_lines(spark, ref_path, "reference")
     c = read_lines(spark, cand_path, "candidate")
     j = r.join(c, "line_no", "full_outer")
-    check = F.when(F.col("reference").isNull() | F.col("candidate").isNull(),
-                   F.raise_error(F.lit("The number of sentences in both files do not match.")))
-    return j.select(F.col("line_no").alias("idx"), F.coalesce(check.cast("string"), F.col("reference")).alias("reference"),
-                    "candidate")
+    # in a filter, so that no choice of columns leaves the check out
+    alone = F.col("reference").isNull() | F.col("candidate").isNull()
+    j = j.where(F.when(alone, F.raise_error(F.lit("The number of sentences in both files do not match.")))
+                .otherwise(F.lit(True)))
+    return j.select(F.col("line_no").alias("idx"), "reference", "candidate")
 
 
 def parse_predictions(lines: DataFrame, value: str = "value", pos: str = "line_no") -> DataFrame:
@@ -104,11 +102,12 @@ def last_prediction_wins(p: DataFrame, id_col: str = "id", text: str = "text", p
 
 
 def parse_gold(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Gold ``id\\ttext`` lines must have exactly two fields. Output: id, text (one row per line)."""
+    """Gold ``id\\ttext`` lines must have exactly two fields. Output: id, text and the other columns of ``lines``
+    (``line_no``), one row per line."""
     cols = F.split(F.col(value), "\t", -1)
-    checked = F.when(F.size(cols) != 2, F.raise_error(F.lit("gold line must have exactly 2 tab-separated fields")))
-    return lines.select(F.coalesce(checked.cast("string"), cols.getItem(0)).alias("id"),
-                        F.col(value).alias("_v"), cols.getItem(1).alias("text")).drop("_v")
+    good = lines.where(F.when(F.size(cols) != 2, F.raise_error(F.lit("gold line must have exactly 2 tab-separated fields")))
+                       .otherwise(F.lit(True)))
+    return good.select(cols.getItem(0).alias("id"), cols.getItem(1).alias("text"), *[c for c in lines.columns if c != value])
 
 
 def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
@@ -119,12 +118,6 @@ def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
     return first.select(F.posexplode(m).alias("pos", "token", "id"))
 
 
-def vocab_from_json_column(df: DataFrame, col: str) -> DataFrame:
-    """Same as ``read_vocab_json`` for a JSON text column already in a table."""
-    m = F.from_json(col, T.MapType(T.StringType(), T.LongType()))
-    return df.select(F.posexplode(m).alias("pos", "token", "id"))
-
-
 def read_packed(spark: SparkSession, desc_path: str, api_path: str, ctx_path: str | None = None) -> DataFrame:
     """Packed id arrays (Parquet ``row bigint, ids array<bigint>``) for description, API
     and optional context, aligned on ``row``; row counts must match."""
@@ -151,18 +144,11 @@ def ragged_slice(phrases: DataFrame, index: DataFrame, max_len: int) -> DataFram
     """Ragged layout: flat ``phrases(pos, id)`` + ``index(row, pos, length)`` ->
     ``row, ids`` with ``length`` capped at ``max_len-2``.
 
-    Expressed as a range join on the flat position (equi-join on a block of
-    positions + filter), so neither side is collected.
+    Every index row is set out to its positions (``max_len`` at most) and met by position.
     """
-    block = 1024
-    idx = index.select("row", "pos", F.least(F.col("length"), F.lit(max_len - 2)).alias("len"))
-    # every block a row touches
-    idx_b = idx.select("*", F.explode(F.sequence(F.floor(F.col("pos") / block),
-                                                 F.floor((F.col("pos") + F.greatest(F.col("len"), F.lit(1)) - 1) / block)))
-                       .alias("blk"))
-    ph = phrases.select(F.col("pos").alias("p"), F.col("id"), F.floor(F.col("pos") / block).alias("blk"))
-    hit = (idx_b.join(ph, "blk")
-           .where((F.col("p") >= F.col("pos")) & (F.col("p") < F.col("pos") + F.col("len"))))
+    idx = index.select("row", "pos", F.greatest(F.least(F.col("length"), F.lit(max_len - 2)), F.lit(0)).alias("len"))
+    wanted = idx.where("len > 0").select("row", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)).alias("p"))
+    hit = wanted.join(phrases.select(F.col("pos").alias("p"), "id"), "p")
     toks = hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("s"))
     out = idx.join(toks, "row", "left")
     return out.select("row", F.coalesce(F.transform("s", lambda x: x["id"]),

@@ -45,14 +45,14 @@ def split_annotation(df: DataFrame) -> DataFrame:
 
 
 def split_code(df: DataFrame) -> DataFrame:
-    """Variant 'code': whitespace-collapsed source code + API sequence."""
-    return df.select("idx", collapse_ws("source_code").alias("code"), F.col("api_seq").alias("seq"))
+    """Variant 'code': whitespace-collapsed source code + target API."""
+    return df.select("idx", collapse_ws("source_code").alias("code"), F.col("target_api").alias("seq"))
 
 
 def split_bimodal(df: DataFrame) -> DataFrame:
-    """Variant 'bimodal': annotation + ' ' + source code, collapsed + API sequence."""
+    """Variant 'bimodal': annotation + ' ' + source code, collapsed + target API."""
     return df.select("idx", collapse_ws(bimodal_concat("annotation", "source_code")).alias("bimodal"),
-                     F.col("api_seq").alias("seq"))
+                     F.col("target_api").alias("seq"))
 
 
 def write_split(df: DataFrame, prefix: str) -> dict[str, str]:
@@ -100,22 +100,6 @@ def eval_report(nbest: DataFrame, qid: str = "qid", query: str = "query", target
     return samples.select(qid, block.alias("block"))
 
 
-def report_summary(recall: float, prec: float, f1: float) -> str:
-    return "Avg recall BLEU %f, avg precision BLEU %f, F1 %f" % (recall, prec, f1)
-
-
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Append scalar metrics (run, epoch, step, name, value) to the metric log (Parquet)."""
-    df.select(F.col("run").cast("string"), F.col("epoch").cast("int"), F.col("step").cast("bigint"),
-              F.col("name").cast("string"), F.col("value").cast("double")) \
-      .write.mode("append").parquet(path)
-
-
 def args_json_col(*cols: str):
     """Run arguments as one JSON object (column expression)."""
     return F.to_json(F.struct(*cols))
-
-
-def args_json(df: DataFrame) -> DataFrame:
-    """Run arguments as one JSON object per row."""
-    return df.select(args_json_col(*df.columns).alias("args"))

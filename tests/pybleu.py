@@ -27,44 +27,27 @@ def sentence_bleu(ref, hyp, order=4):
     return bp * math.exp(s)
 
 
-def cook(refs, hyp, eff="shortest"):
-    maxc = Counter()
-    for rf in refs:
-        for n in range(1, 5):
-            for g, v in ngrams(rf, n).items():
-                maxc[g] = max(maxc[g], v)
-    lens = [len(x) for x in refs]
-    if eff == "shortest":
-        r = min(lens)
-    elif eff == "average":
-        r = sum(lens) / len(lens)
-    else:
-        r = None
-        best = None
-        for L in lens:
-            if best is None or abs(L - len(hyp)) < best:
-                best, r = abs(L - len(hyp)), L
-    correct = [0] * 4
-    for n in range(1, 5):
-        for g, v in ngrams(hyp, n).items():
-            correct[n - 1] += min(maxc[g], v)
-    return len(hyp), r, [max(len(hyp) - k + 1, 0) for k in range(1, 5)], correct
+class Segment:
+    """Plain counts of one hypothesis against its references: lengths, shared and possible n-grams by order."""
 
+    def __init__(self, refs, hyp, eff="shortest"):
+        self.length = len(hyp)
+        sizes = [len(r) for r in refs]
+        self.against = {"shortest": min(sizes), "average": sum(sizes) / len(sizes),
+                        "closest": min(sizes, key=lambda n: abs(n - len(hyp)))}[eff]
+        self.possible = [max(0, len(hyp) + 1 - n) for n in (1, 2, 3, 4)]
+        self.shared = [sum(min(k, max(ngrams(r, n)[g] for r in refs)) for g, k in ngrams(hyp, n).items()) for n in (1, 2, 3, 4)]
 
-def score_cooked(comps):
-    c = sum(x[0] for x in comps)
-    r = sum(x[1] for x in comps)
-    guess = [sum(x[2][k] for x in comps) for k in range(4)]
-    correct = [sum(x[3][k] for x in comps) for k in range(4)]
-    logb = 0.0
-    out = []
-    for k in range(4):
-        a = 1 if k > 0 else 0
-        logb += math.log(correct[k] + a + TINY) - math.log(guess[k] + a + TINY)
-        out.append(-10000000 if guess[k] == 0 else math.log(correct[k] + TINY) - math.log(guess[k]))
-    logb /= 4
-    bp = min(0, 1 - (r + 1) / (c + 1))
-    return [math.exp(logb + bp)] + [math.exp(x) for x in out]
+
+def smoothed_bleu(segments):
+    """[bleu, p1..p4] of summed counts: fourth root of the product of precisions, orders above 1 with one added
+    to both counts, times the brevity factor with one added to both lengths."""
+    hyp, ref = (1 + sum(getattr(s, what) for s in segments) for what in ("length", "against"))
+    shared, possible = ([sum(getattr(s, what)[n] for s in segments) for n in range(4)] for what in ("shared", "possible"))
+    bleu = math.exp(min(0, 1 - ref / hyp))
+    for more, hit, of in zip((0, 1, 1, 1), shared, possible):
+        bleu *= ((hit + more + TINY) / (of + more + TINY)) ** 0.25
+    return [bleu] + [hit / of if of else 0.0 for hit, of in zip(shared, possible)]
 
 
 def nist_tokens(s):

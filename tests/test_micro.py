@@ -9,6 +9,7 @@ from seqforge.functions import arrays as A
 from seqforge.functions import text as tx
 from seqforge.operators import bleu as B
 from seqforge.operators import decode as D
+from seqforge.operators import runlog as RL
 from seqforge.operators import vocab as V
 from seqforge.sources import readers as R
 from tests import pybleu
@@ -72,7 +73,7 @@ def test_smoothed_multi_reference(spark):
             toks = lambda s: pybleu.nist_tokens(pybleu.split_puncts(s.strip().lower()))
             mine = [t for t in refs if t[0] == row.seg]
             hyp = toks([t for t in hyps if t[0] == row.seg][0][1])
-            exp = pybleu.score_cooked([pybleu.cook([toks(m[2]) for m in mine], hyp, eff)])
+            exp = pybleu.smoothed_bleu([pybleu.Segment([toks(m[2]) for m in mine], hyp, eff)])
             got = [row.bleu, row.p1, row.p2, row.p3, row.p4]
             for a, b in zip(got, exp):
                 assert math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-300), (eff, row.seg)
@@ -192,8 +193,27 @@ def test_beam_final_rules(spark):
     f = D.beam_search(q, nxt, 2, 4)
     final = D.beam_final(f, 2).orderBy("rank").collect()
     assert [r.tokens for r in final] == [[4], []]          # '4 EOS' (-0.15) before 'EOS' (-0.2)
-    forced = D.beam_final(D.beam_search(q, nxt, 2, 4, forced=True), 2).orderBy("rank").collect()
-    assert all(len(r.tokens) > 0 for r in forced)          # EOS blocked at the first free step
+    q = spark.createDataFrame([(0, []), (1, [7, 1])], "qid long, prefix array<bigint>")
+    forced = D.beam_final(D.beam_search(q, nxt, 2, 4, forced=True), 2).orderBy("qid", "rank").collect()
+    assert [r.tokens for r in forced if r.qid == 0] == [[4], []]          # no prefix, nothing blocked
+    assert all(len(r.tokens) > 0 for r in forced if r.qid == 1)           # EOS blocked after a prefix
+    avg = D.beam_final(f, 2, rank_by="avg").orderBy("rank").collect()
+    # '4 EOS' scores -0.15 over two generated tokens, 'EOS' -0.2 over one
+    assert [round(r.rank_key, 4) for r in avg] == [-0.075, -0.2]
+
+
+def test_epoch_step_counter(spark):
+    log = spark.createDataFrame([("r", e, 100 * e + n, 1.0) for e, m in ((1, 9), (2, 3), (3, 4)) for n in range(m)],
+                                "run string, epoch int, step long, loss double")
+    got = {a: [r.global_step for r in RL.epoch_step_counter(log, a).orderBy("step").collect()] for a in (1, 4)}
+    # accumulation 4: a step at batches 3 and 7 of an epoch, the next epoch counts anew
+    assert got[4] == [0, 0, 1, 1, 1, 1, 2, 2, 2, 2, 2, 3, 3, 3, 4, 4]
+    assert got[1] == list(range(1, 17))
+
+
+def test_strip_prefix_of_several_lengths(spark):
+    df = spark.createDataFrame([([5, 6, 7, 8], 2), ([5], 1), ([5, 6], 0), ([], 0)], "t array<bigint>, n int")
+    assert [r.s for r in df.select(A.strip_prefix("t", F.col("n")).alias("s")).collect()] == [[7, 8], [5], [5, 6], []]
 
 
 def test_text_scalars(spark):
@@ -221,3 +241,34 @@ def test_corpus_csv_reader(spark, tmp_path):
     assert na[0].related_so_question is None
     ex = R.examples_from_corpus(R.read_corpus_csv(spark, str(p))).orderBy("idx").collect()
     assert ex[0].src_ant == "" and ex[0].src_code == "  x = 1\nprint(x)" and ex[1].sim_post == "post"
+
+
+def test_smoothed_bleu_by_hand():
+    same, short = pybleu.Segment([list("abcd")], list("abcd")), pybleu.Segment([list("abcd")], list("ab"))
+    assert pybleu.smoothed_bleu([same]) == [1.0, 1.0, 1.0, 1.0, 1.0]
+    # 2 of 2 words, 1 of 1 pair, nothing longer; lengths 2 and 4
+    got = pybleu.smoothed_bleu([short])
+    assert got[0] == pytest.approx(math.exp(1 - 5 / 3)) and got[1:] == [1.0, 1.0, 0.0, 0.0]
+    # both together: 6 of 6 words, 4 of 4 pairs, 2 of 2, 1 of 1; lengths 6 and 8
+    assert pybleu.smoothed_bleu([same, short])[0] == pytest.approx(math.exp(1 - 9 / 7))
+
+
+def test_csv_is_read_by_name(spark, tmp_path):
+    p = tmp_path / "c.csv"
+    p.write_text('more,target_api,related_so_question,source_code,annotation,api_seq\n'
+                 '1,NA,null,"int x =\n 1;",get it,a b\n2,t,post,code,N/A,c\n')
+    rows = R.read_corpus_csv(spark, str(p), na_values="pandas").orderBy("idx").collect()
+    assert [tuple(r) for r in rows] == [("get it", "int x =\n 1;", None, "a b", None, 0), (None, "code", "t", "c", "post", 1)]
+    assert R.read_corpus_csv(spark, str(p), ["api_seq"]).columns == ["api_seq", "idx"]
+
+
+def test_unequal_line_files_fail_whatever_is_selected(spark, tmp_path):
+    (tmp_path / "a").write_text("1\n2\n3\n")
+    (tmp_path / "b").write_text("1\n2\n")
+    df = R.paired_lines_strict(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    for x in (lambda: df.count(), lambda: df.select("candidate").collect()):
+        with pytest.raises(Exception, match="do not match"):
+            x()
+    gold = R.parse_gold(spark.createDataFrame([("1\ta\tb",)], "value string"))
+    with pytest.raises(Exception, match="exactly 2"):
+        gold.select("text").collect()

@@ -32,7 +32,7 @@ def test_no_python_udfs_anywhere(spark):
 
 
 def test_partial_topk_for_groups(spark):
-    g = fx.ranked_groups(spark, SF_SMALL)
+    _, g = fx.grouped_documents(spark, SF_SMALL)
     assert "WindowGroupLimit" in optimized(g)
 
 

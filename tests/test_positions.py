@@ -1,5 +1,6 @@
 """Positional ids stay exact when files are split across many tasks and many files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqforge.operators.rank import dense_index, prefix_offsets
@@ -26,6 +27,34 @@ def test_line_numbers_with_many_splits(spark, tmp_path):
     assert [g[1] for g in got] == expected
 
 
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.coalescePartitions.enabled": "false"},
+                                  {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}, {"spark.sql.adaptive.enabled": "false"}])
+def test_positions_of_a_million_rows(spark, conf):
+    old = {k: spark.conf.get(k) for k in conf} | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}
+    for k, v in ({"spark.sql.shuffle.partitions": "24"} | conf).items():
+        spark.conf.set(k, v)
+    try:
+        n = 1_000_000
+        df = spark.range(0, n, 1, 13).select((F.col("id") * 7919 % n).alias("k"), (F.col("id") % 5).alias("v"),
+                                             F.md5(F.col("id").cast("string")).alias("t"))
+        got = dense_index(df, ["k"]).agg(F.count("*").alias("n"), F.sum((F.col("k") == F.col("idx")).cast("int")).alias("right")).first()
+        assert (got.n, got.right) == (n, n)
+        offs = prefix_offsets(df.withColumn("one", F.lit(1)), ["k"], "one", "o")
+        assert tuple(offs.agg(F.count("*"), F.sum((F.col("o") == F.col("k")).cast("int"))).first()) == (n, n)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_numbers_in_file_names_count(spark, tmp_path):
+    d = tmp_path / "parts"
+    d.mkdir()
+    for k in (99_998, 99_999, 100_000):
+        (d / f"part-{k}").write_text(f"line of {k}\n")
+    assert [r.line for r in read_lines(spark, str(d), "line").orderBy("line_no").collect()] == \
+        [f"line of {k}" for k in (99_998, 99_999, 100_000)]
+
+
 def test_dense_index_and_offsets(spark):
     df = spark.range(0, 5000, 1, 13).select((F.col("id") * 7 % 5000).alias("k"), (F.col("id") % 5).alias("v"))
     idx = {r.k: r.idx for r in dense_index(df, ["k"]).collect()}

@@ -39,12 +39,12 @@ def test_random_smoothed_multi_ref(spark):
         per_seg = []
         for s, text in hyps:
             mine = [t for t in refs if t[0] == s]
-            comp = pybleu.cook([m[2].split() for m in mine], text.split(), eff)
+            comp = pybleu.Segment([m[2].split() for m in mine], text.split(), eff)
             per_seg.append(comp)
-            exp = pybleu.score_cooked([comp])
+            exp = pybleu.smoothed_bleu([comp])
             row = got[s]
             for a, b in zip([row.bleu, row.p1, row.p2, row.p3, row.p4], exp):
                 assert math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-300), (eff, s)
         corpus = B.bleu_corpus_smoothed(stats).first()
-        exp = pybleu.score_cooked(per_seg)
+        exp = pybleu.smoothed_bleu(per_seg)
         assert math.isclose(corpus.bleu, exp[0], rel_tol=1e-12)
