@@ -8,24 +8,24 @@ never lands whole in one window partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096   # order-key width of one chunk of the split running aggregate
-LOSS_UNITS = 10000   # losses carry 4 decimals; sums are kept exact in these integer units
+LOSS_UNITS = 10 ** 12   # sums of losses are exact whole numbers of these units; only results are rounded
+WIDE = "decimal(38,0)"
 
 
 def loss_units(loss: str = "loss"):
-    """Loss as an exact integer count of 1e-4 units."""
-    return F.round(F.col(loss) * LOSS_UNITS).cast("bigint")
+    """Loss as a whole number of 1e-12 units, so that sums do not depend on their order."""
+    return F.round(F.col(loss) * float(LOSS_UNITS)).cast(WIDE)
 
 
 def round_ratio(num, den, digits: int):
     """round(num / den, digits) half-up in exact integer arithmetic (num >= 0, den > 0)."""
     scale = 10 ** digits
-    n = num * (2 * scale) + den
-    d = den * 2
-    q = ((n - F.pmod(n, d)) / d).cast("bigint")   # exact integer quotient
+    num, den = num.cast(WIDE), den.cast(WIDE)
+    q = F.call_function("div", (num * F.lit(2 * scale) + den).cast(WIDE), (den * F.lit(2)).cast(WIDE))
     return q / float(scale)
 
 
@@ -50,7 +50,7 @@ def running_loss(log: DataFrame, digits: int = 4) -> DataFrame:
     half-up from exact sums."""
     r = running_sum_count(log.withColumn("_lu", loss_units()), ["run", "epoch"], "step", "_lu")
     return r.drop("_lu").withColumn(
-        "running_loss", round_ratio(F.col("run_sum"), F.col("run_cnt") * LOSS_UNITS, digits))
+        "running_loss", round_ratio(F.col("run_sum"), F.col("run_cnt").cast(WIDE) * F.lit(LOSS_UNITS), digits))
 
 
 def epoch_step_counter(log: DataFrame, accum: int) -> DataFrame:
@@ -69,27 +69,27 @@ def epoch_step_counter(log: DataFrame, accum: int) -> DataFrame:
             .withColumn("global_step", F.col("_done") + steps(F.col("run_cnt"))).drop("_done"))
 
 
-def eval_metrics(log: DataFrame) -> DataFrame:
+def eval_metrics(log: DataFrame, hit: Column) -> DataFrame:
     """Per (run, epoch): token-weighted loss sum(loss*tokens)/sum(tokens), perplexity
-    exp(loss), and a dev score (share of 'purchase' rows x 100) standing in for dev BLEU.
-    Sums are exact integers (``loss_num`` in 1e-4 units, ``hits``, ``n``) so reported
+    exp(loss), and a dev score (share of rows with ``hit`` x 100).
+    Sums are exact whole numbers (``loss_num`` in 1e-12 units, ``hits``, ``n``) so reported
     roundings agree everywhere."""
     g = log.groupBy("run", "epoch").agg(
-        F.sum(loss_units() * F.col("tokens")).cast("bigint").alias("loss_num"),
+        F.sum((loss_units() * F.col("tokens")).cast(WIDE)).cast(WIDE).alias("loss_num"),
         F.sum("tokens").cast("bigint").alias("tokens"),
-        F.sum((F.col("name") == "purchase").cast("bigint")).alias("hits"),
+        F.sum(hit.cast("bigint")).alias("hits"),
         F.count(F.lit(1)).cast("bigint").alias("n"))
-    loss = (F.col("loss_num") / float(LOSS_UNITS)) / F.col("tokens")
+    loss = (F.col("loss_num").cast("double") / float(LOSS_UNITS)) / F.col("tokens")
     return g.select("run", "epoch", "loss_num", "tokens", "hits", "n", loss.alias("eval_loss"),
                     (F.col("hits") * 100.0 / F.col("n")).alias("bleu"), F.exp(loss).alias("ppl"))
 
 
 def reported(metrics: DataFrame) -> DataFrame:
     """Reported precision: bleu 2 digits, loss 4, perplexity 5 (half-up, exact for bleu/loss)."""
-    return metrics.select("run", "epoch",
+    return metrics.select("run", "epoch", "tokens",
                           round_ratio(F.col("hits") * 100, F.col("n"), 2).alias("bleu"),
-                          round_ratio(F.col("loss_num"), F.col("tokens") * LOSS_UNITS, 4).alias("loss"),
-                          round_ratio(F.col("loss_num"), F.col("tokens") * LOSS_UNITS, 5).alias("eval_loss5"),
+                          round_ratio(F.col("loss_num"), F.col("tokens").cast(WIDE) * F.lit(LOSS_UNITS), 4).alias("loss"),
+                          round_ratio(F.col("loss_num"), F.col("tokens").cast(WIDE) * F.lit(LOSS_UNITS), 5).alias("eval_loss5"),
                           F.round("ppl", 5).alias("ppl"))
 
 
@@ -105,11 +105,11 @@ def best_so_far(metrics: DataFrame) -> DataFrame:
 
 
 def best_checkpoint(metrics: DataFrame) -> DataFrame:
-    """Per run: last epoch, first epoch reaching the lowest perplexity, first epoch reaching
+    """Per run: last epoch, first epoch reaching the lowest loss (and so perplexity), first epoch reaching
     the highest (positive) bleu. One aggregation, partial+final."""
     return metrics.groupBy("run").agg(
         F.max("epoch").alias("last_epoch"),
-        F.min_by("epoch", F.struct("ppl", "epoch")).alias("best_ppl_epoch"),
+        F.min_by("epoch", F.struct("eval_loss", "epoch")).alias("best_ppl_epoch"),
         F.min_by(F.when(F.col("bleu") > 0, F.col("epoch")),
                  F.struct(F.when(F.col("bleu") > 0, -F.col("bleu")).otherwise(F.lit(float("inf"))), "epoch"))
         .alias("best_bleu_epoch"))

@@ -271,15 +271,16 @@ def sink_id_text(spark, sf):
 
 
 @register("sink_eval_report", f"""
-  SELECT qid, 'Batch ' || CAST(batch AS VARCHAR) || ' ' || chr(10) || 'Query: ' || q || ' ' || chr(10) ||
-         'Target >> ' || replace(t, ' '' ', '''') || chr(10) ||
-         string_agg('Sample ' || CAST(r_id AS VARCHAR) || ' >> ' || replace(h, ' '' ', ''''), chr(10) ORDER BY r_id) AS block
-  FROM (SELECT qid, r_id, dense_rank() OVER (ORDER BY qid) AS batch, 'doc ' || CAST(qid AS VARCHAR) AS q,
+  WITH x AS (SELECT qid, r_id, dense_rank() OVER (ORDER BY qid) AS batch, 'doc ' || CAST(qid AS VARCHAR) AS q,
                replace(ref, chr(10), ' ') AS t, replace(hyp, chr(10), ' ') AS h
-        FROM ({__import__('seqforge.plans.catalog', fromlist=['x']).NBEST_SQL}))
-  GROUP BY qid, batch, q, t""")
+        FROM ({__import__('seqforge.plans.catalog', fromlist=['x']).NBEST_SQL})),
+  l AS (SELECT DISTINCT batch, 0 AS part, 0 AS r_id, 'Batch ' || CAST(batch AS VARCHAR) || ' ' AS line FROM x
+        UNION ALL SELECT DISTINCT batch, 1, 0, 'Query: ' || q || ' ' FROM x
+        UNION ALL SELECT DISTINCT batch, 2, 0, 'Target >> ' || replace(t, ' '' ', '''') FROM x
+        UNION ALL SELECT batch, 3, r_id, 'Sample ' || CAST(r_id AS VARCHAR) || ' >> ' || replace(h, ' '' ', '''') FROM x)
+  SELECT CAST(row_number() OVER (ORDER BY batch, part, r_id) - 1 AS BIGINT) AS line_no, line FROM l""")
 def sink_eval_report(spark, sf):
-    """Human-readable n-best report block per query (Batch, Query, Target, Samples)."""
+    """Human-readable n-best report file (Batch, Query, Target, Samples), read back line by line."""
     from seqforge.plans.catalog import nbest_fixture
     nb = nbest_fixture(spark, sf)
     qs = RK.dense_index(nb.select("qid").distinct(), ["qid"], "b")
@@ -287,7 +288,9 @@ def sink_eval_report(spark, sf):
                                   F.concat(F.lit("doc "), F.col("qid").cast("string")).alias("query"),
                                   F.regexp_replace("ref", "\n", " ").alias("target"),
                                   F.regexp_replace("hyp", "\n", " ").alias("sample"))
-    return S.eval_report(x)
+    path = S.scratch_path(spark, "report")
+    S.write_ordered_text(S.eval_report(x), "line", ["batch", "part", "r_id"], path)
+    return R.read_lines(spark, path, "line").select("line_no", "line")
 
 
 @register("sink_metric_log", f"""
@@ -296,7 +299,7 @@ def sink_eval_report(spark, sf):
     UNION ALL SELECT run, epoch, 'eval_tokens', CAST(tokens AS DOUBLE) FROM ({METRICS_SQL}))""")
 def sink_metric_log(spark, sf):
     """Scalar metrics appended epoch by epoch to the metric log (two appends) and read back."""
-    m = RL.eval_metrics(fx.run_log(spark, sf))
+    m = RL.eval_metrics(fx.run_log(spark, sf), F.col("name") == "purchase")
     long = m.select("run", "epoch", F.col("epoch").cast("bigint").alias("step"), F.explode(F.array(
         F.struct(F.lit("eval_ppl").alias("name"), F.round("ppl", 5).alias("value")),
         F.struct(F.lit("eval_tokens").alias("name"), F.col("tokens").cast("double").alias("value")))).alias("kv")) \

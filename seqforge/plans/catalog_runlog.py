@@ -19,15 +19,20 @@ BATCH = 32
 EPOCHS = 30
 
 METRICS_SQL = f"""
-  SELECT run, epoch, loss_num, tokens, hits, n, (loss_num / 10000.0) / tokens AS eval_loss,
-         hits * 100.0 / n AS bleu, exp((loss_num / 10000.0) / tokens) AS ppl
-  FROM (SELECT run, epoch, CAST(sum(CAST(round(loss * 10000) AS BIGINT) * tokens) AS BIGINT) AS loss_num,
+  SELECT run, epoch, loss_num, tokens, hits, n, (CAST(loss_num AS DOUBLE) / 1e12) / tokens AS eval_loss,
+         hits * 100.0 / n AS bleu, exp((CAST(loss_num AS DOUBLE) / 1e12) / tokens) AS ppl
+  FROM (SELECT run, epoch, CAST(sum(CAST(round(loss * 1e12) AS HUGEINT) * tokens) AS HUGEINT) AS loss_num,
                CAST(sum(tokens) AS BIGINT) AS tokens,
                CAST(sum(CASE WHEN name = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS hits,
                CAST(count(*) AS BIGINT) AS n
         FROM ({LOG}) GROUP BY run, epoch)"""
 
 
+def _metrics(spark, sf):
+    """Evaluation metrics of the run log; the share of purchases stands in for the dev score."""
+    return RL.eval_metrics(fx.run_log(spark, sf), F.col("name") == "purchase")
+
+
 def rr(num: str, den: str, digits: int) -> str:
     """SQL twin of runlog.round_ratio."""
     scale = 10 ** digits
@@ -35,9 +40,9 @@ def rr(num: str, den: str, digits: int) -> str:
 
 
 @register("running_loss", f"""
-  SELECT run, epoch, step, {rr('s', 'c * 10000', 4)} AS running_loss FROM (
+  SELECT run, epoch, step, {rr('s', 'c * CAST(1000000000000 AS HUGEINT)', 4)} AS running_loss FROM (
     SELECT run, epoch, step,
-           sum(CAST(round(loss * 10000) AS BIGINT)) OVER w AS s, count(*) OVER w AS c
+           CAST(sum(CAST(round(loss * 1e12) AS HUGEINT)) OVER w AS HUGEINT) AS s, count(*) OVER w AS c
     FROM ({LOG}) WINDOW w AS (PARTITION BY run, epoch ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 def running_loss(spark, sf):
     """Running mean of the loss inside each epoch (reset per epoch), 4 digits."""
@@ -57,13 +62,11 @@ def epoch_step_counter(spark, sf):
 
 
 @register("token_weighted_loss_ppl", f"""
-  SELECT run, epoch, {rr('loss_num', 'tokens * 10000', 5)} AS eval_loss, tokens, round(ppl, 5) AS ppl
+  SELECT run, epoch, {rr('loss_num', 'tokens * CAST(1000000000000 AS HUGEINT)', 5)} AS eval_loss, tokens, round(ppl, 5) AS ppl
   FROM ({METRICS_SQL})""")
 def token_weighted_loss_ppl(spark, sf):
     """Per run/epoch: sum(loss*tokens)/sum(tokens) and its exp (perplexity), 5 digits."""
-    m = RL.reported(RL.eval_metrics(fx.run_log(spark, sf)))
-    t = RL.eval_metrics(fx.run_log(spark, sf)).select("run", "epoch", "tokens")
-    return m.join(t, ["run", "epoch"]).select("run", "epoch", F.col("eval_loss5").alias("eval_loss"), "tokens", "ppl")
+    return RL.reported(_metrics(spark, sf)).select("run", "epoch", F.col("eval_loss5").alias("eval_loss"), "tokens", "ppl")
 
 
 @register("mean_by_loss_name", f"""
@@ -82,19 +85,19 @@ def mean_by_loss_name(spark, sf):
   WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def best_so_far(spark, sf):
     """Strict improvement flags per epoch (loss < best so far, bleu > best so far)."""
-    b = RL.best_so_far(RL.eval_metrics(fx.run_log(spark, sf)))
+    b = RL.best_so_far(_metrics(spark, sf))
     return b.select("run", "epoch", F.col("loss_improved").cast("int").alias("loss_improved"),
                     F.col("bleu_improved").cast("int").alias("bleu_improved"))
 
 
 @register("best_checkpoint", f"""
-  SELECT run, max(epoch) AS last_epoch, arg_min(epoch, [ppl, epoch]) AS best_ppl_epoch,
+  SELECT run, max(epoch) AS last_epoch, arg_min(epoch, [eval_loss, epoch]) AS best_ppl_epoch,
          arg_min(CASE WHEN bleu > 0 THEN epoch END, [CASE WHEN bleu > 0 THEN -bleu ELSE 'infinity'::DOUBLE END, epoch])
            AS best_bleu_epoch
   FROM ({METRICS_SQL}) GROUP BY run""")
 def best_checkpoint(spark, sf):
     """Per run: last epoch, best-perplexity epoch, best-bleu epoch (first to reach the optimum)."""
-    return RL.best_checkpoint(RL.eval_metrics(fx.run_log(spark, sf)))
+    return RL.best_checkpoint(_metrics(spark, sf))
 
 
 @register("every_n_steps", f"SELECT run, step, round(loss, 6) AS loss FROM ({LOG}) WHERE step % 10 = 0")
@@ -104,22 +107,22 @@ def every_n_steps(spark, sf):
 
 
 @register("round_metrics", f"""
-  SELECT run, epoch, {rr('hits * 100', 'n', 2)} AS bleu, {rr('loss_num', 'tokens * 10000', 4)} AS loss,
+  SELECT run, epoch, {rr('hits * 100', 'n', 2)} AS bleu, {rr('loss_num', 'tokens * CAST(1000000000000 AS HUGEINT)', 4)} AS loss,
          round(ppl, 5) AS ppl FROM ({METRICS_SQL})""")
 def round_metrics(spark, sf):
     """Reported precision: bleu 2 digits, loss 4, perplexity 5."""
-    m = RL.reported(RL.eval_metrics(fx.run_log(spark, sf)))
+    m = RL.reported(_metrics(spark, sf))
     return m.select("run", "epoch", "bleu", "loss", "ppl")
 
 
 @register("sorted_report", f"""
   SELECT run, epoch, name, value, CAST(row_number() OVER (PARTITION BY run, epoch ORDER BY name) AS BIGINT) AS line
   FROM (SELECT run, epoch, 'bleu' AS name, {rr('hits * 100', 'n', 2)} AS value FROM ({METRICS_SQL})
-        UNION ALL SELECT run, epoch, 'eval_loss', {rr('loss_num', 'tokens * 10000', 4)} FROM ({METRICS_SQL})
+        UNION ALL SELECT run, epoch, 'eval_loss', {rr('loss_num', 'tokens * CAST(1000000000000 AS HUGEINT)', 4)} FROM ({METRICS_SQL})
         UNION ALL SELECT run, epoch, 'eval_ppl', round(ppl, 5) FROM ({METRICS_SQL}))""")
 def sorted_report(spark, sf):
     """Metrics of an evaluation printed in key order (line number per name)."""
-    m = RL.reported(RL.eval_metrics(fx.run_log(spark, sf)))
+    m = RL.reported(_metrics(spark, sf))
     long = m.select("run", "epoch", F.explode(F.array(
         F.struct(F.lit("bleu").alias("name"), F.col("bleu").alias("value")),
         F.struct(F.lit("eval_loss").alias("name"), F.col("loss").alias("value")),

@@ -84,20 +84,25 @@ def id_text_lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def eval_report(nbest: DataFrame, qid: str = "qid", query: str = "query", target: str = "target",
                 r_id: str = "r_id", sample: str = "sample", batch: str = "batch") -> DataFrame:
-    """Per query report block: ``Batch n``, ``Query:``, ``Target >>``, ``Sample k >>``.
+    """Lines of the n-best report: ``Batch n``, ``Query:``, ``Target >>`` and a ``Sample k >>`` a sample.
 
-    One row per query (qid, block); samples are bounded by the n-best size.
-    ``batch`` is the 1-based position of the query in evaluation order.
+    One row per line (batch, part, r_id, line), to be written in the order of the first three; a query with very
+    many samples is never gathered. ``batch`` is the 1-based position of the query in evaluation order.
     """
-    samples = (nbest.groupBy(qid, batch, query, target)
-               .agg(F.array_sort(F.collect_list(F.struct(F.col(r_id).alias("r"), F.col(sample).alias("s"))))
-                    .alias("ss")))
-    lines = F.transform("ss", lambda x: F.format_string("Sample %d >> %s", x["r"], quote_repair(x["s"])))
-    block = F.concat_ws("\n", F.format_string("Batch %d ", F.col(batch)),
-                        F.format_string("Query: %s ", F.col(query)),
-                        F.format_string("Target >> %s", quote_repair(F.col(target))),
-                        F.array_join(lines, "\n"))
-    return samples.select(qid, block.alias("block"))
+    heads = nbest.groupBy(batch).agg(F.min(query).alias("q"), F.min(target).alias("t"))
+    head = heads.select(F.col(batch).alias("batch"), F.posexplode(F.array(
+        F.format_string("Batch %d ", F.col(batch)), F.format_string("Query: %s ", F.col("q")),
+        F.format_string("Target >> %s", quote_repair(F.col("t"))))).alias("part", "line"))
+    body = nbest.select(F.col(batch).alias("batch"), F.lit(3).alias("part"), F.col(r_id).cast("bigint").alias("r_id"),
+                        F.format_string("Sample %d >> %s", F.col(r_id), quote_repair(F.col(sample))).alias("line"))
+    return head.select("batch", "part", F.lit(0).cast("bigint").alias("r_id"), "line").unionByName(body)
+
+
+def append_metrics(df: DataFrame, path: str) -> None:
+    """Append scalar metrics (run, epoch, step, name, value) to the metric log (Parquet)."""
+    df.select(F.col("run").cast("string"), F.col("epoch").cast("int"), F.col("step").cast("bigint"),
+              F.col("name").cast("string"), F.col("value").cast("double")) \
+      .write.mode("append").parquet(path)
 
 
 def args_json_col(*cols: str):
