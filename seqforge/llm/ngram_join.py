@@ -34,7 +34,7 @@ from seqforge.session import cut_lineage
 COUNTER_BITS = 20          # 2^20 counters: 4 MB, whatever the corpus
 SLAB = 1 << 14             # counters in one row of a partial table
 FLUSH = 400_000            # postings reduced together before they are written
-BLOCK = 200_000            # n-grams of one verification block
+BLOCK = 1_000_000          # n-grams of one verification block
 PIVOTS = 16                # buckets of the suffix filter
 
 
@@ -304,9 +304,10 @@ def ngram_jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (75, 100),
     # equal sets outside every candidate group link with each other alone
     own = nodes.where("n > 0 and doc_id is not null").groupBy("h1", "h2", F.col("n").alias("size")).agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    whole = (own.join(found, ["h1", "h2", "size"], "left")
-             .select("h1", "h2", "size", F.coalesce("component", "rep").alias("component"),
-                     (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    # written, so that the last join deals both sides anew and a large group of copies can be split there
+    whole = cut_lineage(own.join(found, ["h1", "h2", "size"], "left")
+                        .select("h1", "h2", "size", F.coalesce("component", "rep").alias("component"),
+                                (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
     key = [nodes.h1 == whole.h1, nodes.h2 == whole.h2, nodes.n == whole["size"], nodes.doc_id.isNotNull()]
     return (nodes.join(whole, key, "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
