@@ -2,8 +2,10 @@
 
 Method: two bigram models, one of toxic and one of ordinary documents, each absolute-discounted and backed
 off to its unigrams, and those to one distribution that both share: in how many different contexts, of either
-class, a word is seen. Expressions seen in fewer than ``LEAST`` documents have no counts of their own and
-fall back to the shared ones, so rare words say the same under both models. A document's evidence is the
+class, a word is seen. Lower orders count contexts, not occurrences: a pair the different
+words after it, a word those before it, a stem (first ``STEM`` bytes) its different words, so that a family of near copies does not vouch for the
+words it repeats. Words with fewer than ``LEAST`` contexts have no counts of their own and fall back to their stem,
+rare stems to the shared counts, which say the same under both models. A document's evidence is the
 difference of its two log-likelihoods, length-normalised over the document and over every stretch of ``SPAN`` words;
 a logistic curve, fitted on documents that the counted models have not seen, turns it into a score.
 N-grams are counted once a document, so repeated lines count once.
@@ -22,15 +24,17 @@ from pyspark.sql import functions as F
 from seqforge.llm.common import batches_of, binaries, from_numpy, held_out, signed, two_columns, word_hashes
 from seqforge.llm.sampling import labelled_sample
 
-LEAST = 4                  # documents that an n-gram needs for counts of its own
-SPAN = 2                   # words of a stretch
+LEAST = 6                  # contexts needed for counts of its own
+STEM = 5                   # bytes of a word's stem
+SPAN = 1                   # words of a stretch
 MARKS = b".,;:!?\"()[]{}*#$%&|<>"
-_START = np.uint64(1)
+_START, _END = np.uint64(1), np.uint64(2)
 
 
-def tokens(text: bytes | None) -> np.ndarray:
-    """Hashes of the words, A-Z lower-cased and without punctuation marks."""
-    return word_hashes((text or b"").lower().translate(None, MARKS).split())
+def tokens(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, A-Z lower-cased and without punctuation marks, and of their stems."""
+    ws = (text or b"").lower().translate(None, MARKS).split()
+    return word_hashes(ws), word_hashes([w[:STEM] for w in ws])
 
 
 def follows(h: np.ndarray) -> np.ndarray:
@@ -45,18 +49,19 @@ def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-GRAM = pa.schema([("fold", pa.int32()), ("label", pa.int32()), ("u", pa.int64()), ("w", pa.int64())])
+GRAM = pa.schema([("kind", pa.int32()), ("fold", pa.int32()), ("label", pa.int32()), ("u", pa.int64()), ("w", pa.int64())])
 
 
 def _grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of(rows, 256):
         for fold, label, text in zip(batch.column("fold").to_pylist(), batch.column("label").to_pylist(),
                                      binaries(batch.column("text"))):
-            h = tokens(text)
+            h, stems = tokens(text)
             if len(h):
-                pairs = np.unique(np.stack([signed(follows(h)), signed(h)], 1), axis=0)
-                full = np.ones(len(pairs), np.int32)
-                yield from_numpy(GRAM, full * fold, full * label, pairs[:, 0].copy(), pairs[:, 1].copy())
+                for kind, (u, w) in enumerate(((follows(h), h), (h, stems), (np.append(h[1:], _END), pair_keys(follows(h), h)))):
+                    pairs = np.unique(np.stack([signed(u), signed(w)], 1), axis=0)
+                    full = np.ones(len(pairs), np.int32)
+                    yield from_numpy(GRAM, full * kind, full * fold, full * label, pairs[:, 0].copy(), pairs[:, 1].copy())
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, default) -> np.ndarray:
@@ -76,12 +81,16 @@ class LogRatio:
     """log P(word | before, toxic) - log P(word | before, ordinary), as tables."""
 
     def __init__(self, grams: DataFrame, least: int = LEAST, span: int = SPAN):
-        """grams: u, w, t, o - a word pair and the toxic and ordinary documents that hold it.
+        """grams: kind, u, w, t, o - a word pair (0), a word and its stem (1), or what follows a pair and the pair (2);
+        the toxic and ordinary documents that hold it.
 
         Everything is grouped in Spark; only n-grams of ``least`` documents come to the driver.
         """
         self.span = span
-        words = grams.groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count("*").alias("k"))
+        contexts = [F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in "to"] + [F.count("*").alias("k")]
+        stems, after = (grams.where(F.col("kind") == k).groupBy("w").agg(*contexts) for k in (1, 2))
+        grams = grams.where("kind = 0")
+        words = grams.groupBy("w").agg(*contexts)
         words = words.withColumn("own", F.col("t") + F.col("o") >= least)
         total = words.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("k").alias("k"), F.count("*").alias("v")).first()
         self.none = not (total.t and total.o)
@@ -94,10 +103,23 @@ class LogRatio:
         p = {c: np.maximum(w[c] - drop[c], 0) / total[c] + rest[c] * base for c in "to"}
         self.rare = float(np.log(rest["t"] / rest["o"]))
         self.words = _sorted(w["w"], np.log(p["t"] / p["o"]))
+        # stems: discounted counts, backed off to those of both classes
+        total_stem = stems.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
+        drop = {c: self._discount(stems, c) for c in "to"}
+        s = stems.where(F.col("t") + F.col("o") >= least).select("w", "t", "o").toPandas()
+        both = (s["t"] + s["o"]) / (total_stem.t + total_stem.o)
+        left = {c: max(1e-9, 1 - np.maximum(s[c] - drop[c], 0).sum() / total_stem[c]) for c in "to"}
+        ps = {c: np.maximum(s[c] - drop[c], 0) / total_stem[c] + left[c] * both for c in "to"}
+        self.stems = _sorted(s["w"], np.log(ps["t"] / ps["o"]))
         # word pairs: discounted counts over what precedes, backed off to the words' models
         heads = grams.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo")).where(F.col("ut") + F.col("uo") >= least)
         pairs = grams.where(F.col("t") + F.col("o") >= least).join(heads, "u").toPandas()
-        gap = {c: self._discount(grams, c) for c in "to"}
+        key = pair_keys(pairs["u"].to_numpy(np.int64).view(np.uint64), pairs["w"].to_numpy(np.int64).view(np.uint64))
+        seen = after.where(F.col("t") + F.col("o") >= least).select("w", "t", "o").toPandas()
+        for c in "to":
+            pairs[c] = _lookup(*_sorted(seen["w"], seen[c]), key, 0.0)
+        pairs = pairs[pairs["t"] + pairs["o"] > 0].reset_index(drop=True)
+        gap = {c: self._discount(after, c) for c in "to"}
         kept = {c: np.maximum(pairs[c] - gap[c], 0) for c in "to"}
         head = pairs.assign(kt=kept["t"], ko=kept["o"]).groupby("u").agg({"ut": "first", "uo": "first", "kt": "sum", "ko": "sum"})
         left = {c: np.where(head["u" + c] > 0, 1 - head["k" + c] / np.maximum(head["u" + c], 1), 1).clip(1e-6) for c in "to"}
@@ -118,12 +140,14 @@ class LogRatio:
     def evidence(self, text: bytes | None) -> tuple[float, float, float]:
         """Difference of log-likelihoods a word: over the document, and over its most toxic stretch; the
         logarithm of the number of words, of which that stretch is the best."""
-        h = tokens(text)
+        h, stems = tokens(text)
         if self.none or not len(h):
             return 0.0, 0.0, 0.0
         before = follows(h)
         x = _lookup(*self.pairs, pair_keys(before, h), np.nan)
-        x = np.where(np.isnan(x), _lookup(*self.words, h, self.rare) + _lookup(*self.heads, before, 0.0), x)
+        word = _lookup(*self.words, h, np.nan)
+        word = np.where(np.isnan(word), _lookup(*self.stems, stems, self.rare), word)
+        x = np.where(np.isnan(x), word + _lookup(*self.heads, before, 0.0), x)
         run = np.concatenate([[0.0], np.cumsum(x)])
         k = min(self.span, len(x))
         return float(run[-1] / len(x)), float((run[k:] - run[:-k]).max() / k), float(np.log(len(x)))
@@ -172,12 +196,12 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, toxic: int = 3000, or
     sample = labelled_sample(docs, marks, {1: toxic, 0: ordinary}, seed, id_col, text_col)
     sample = (sample.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)).cast("int"))
               .dropDuplicates(["label", "text"]).persist())
-    grams = (sample.select("fold", "label", "text").mapInArrow(_grams, "fold int, label int, u long, w long")
-             .groupBy("u", "w").agg(*[F.count(F.when((F.col("fold") == f) & (F.col("label") == c), 1)).alias(f"{n}{f}")
+    grams = (sample.select("fold", "label", "text").mapInArrow(_grams, "kind int, fold int, label int, u long, w long")
+             .groupBy("kind", "u", "w").agg(*[F.count(F.when((F.col("fold") == f) & (F.col("label") == c), 1)).alias(f"{n}{f}")
                                       for f in (0, 1) for c, n in ((1, "t"), (0, "o"))]).persist())
-    half = LogRatio(grams.where("t0 + o0 > 0").select("u", "w", F.col("t0").alias("t"), F.col("o0").alias("o")),
+    half = LogRatio(grams.where("t0 + o0 > 0").select("kind", "u", "w", F.col("t0").alias("t"), F.col("o0").alias("o")),
                     least, span)
-    whole = LogRatio(grams.select("u", "w", (F.col("t0") + F.col("t1")).alias("t"), (F.col("o0") + F.col("o1")).alias("o")),
+    whole = LogRatio(grams.select("kind", "u", "w", (F.col("t0") + F.col("t1")).alias("t"), (F.col("o0") + F.col("o1")).alias("o")),
                      least, span)
     sent = docs.sparkSession.sparkContext.broadcast(half)
     seen = sample.where("fold = 1").select("label", "text").mapInArrow(
