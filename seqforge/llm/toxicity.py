@@ -187,14 +187,14 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, toxic: int = 3000, or
                        id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = LEAST, span: int = SPAN) -> Toxicity:
     """Learns from at most ``toxic`` documents marked 1 and ``ordinary`` marked 0.
 
-    Only documents whose crc32(id) modulo 4 is not 2 are used. One half counts the models whose evidence on
-    the other half fits the score curve; the final models count both.
+    Only documents whose crc32(id) modulo 4 is not 2 are used. Three quarters count the models whose evidence on
+    the last quarter fits the score curve; the final models count all.
     """
     marks = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where("label in (0, 1)").where(~held_out("doc_id", 4, 2)))
     share = marks.agg(F.avg("label")).first()[0] or 0.5
     sample = labelled_sample(docs, marks, {1: toxic, 0: ordinary}, seed, id_col, text_col)
-    sample = (sample.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)).cast("int"))
+    sample = (sample.withColumn("fold", (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(4)) == 3).cast("int"))
               .dropDuplicates(["label", "text"]).persist())
     grams = (sample.select("fold", "label", "text").mapInArrow(_grams, "kind int, fold int, label int, u long, w long")
              .groupBy("kind", "u", "w").agg(*[F.count(F.when((F.col("fold") == f) & (F.col("label") == c), 1)).alias(f"{n}{f}")
