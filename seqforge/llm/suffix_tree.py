@@ -1,15 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Method: the symbols of a text are the bytes of its lower-cased words, a blank between words and one end sign.
-All runs of ``DEPTH`` symbols with the next one are counted over every training document. Contexts seen often
-enough (a share ``least_share`` of all symbols, which bounds their number) are candidates; one is retained when a
+All runs of ``DEPTH`` symbols with the next one are counted over every training document. Contexts seen a fixed
+number of times (twice, whatever the corpus) are candidates; one is retained when a
 divergence test (the log-likelihood gained over its parent's distribution against Akaike's criterion, one for
 each next symbol) says that it predicts differently, and then its suffixes are too. Next-symbol distributions are
 smoothed by absolute discounting towards the parent's, the root's by additive counts. A text is scored with
 the longest retained suffix at each symbol; the product over all symbols is a probability of its word sequence.
 
-The base score is a unigram model of words. Word counts grow with the corpus: the most frequent words, a bounded
-table, are sent to the tasks; all other words of the documents are joined with their counts.
+The tree grows with the corpus, so it is a table: each level is tested, closed under suffixes and smoothed by joins
+with the level of the parents. What comes out is the probability of each distinct run of the documents.
+
+The base score is a unigram model of words. Words and runs are looked up alike: the most frequent, a bounded
+table, are sent to the tasks; all others of the documents are joined.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqforge.llm.common import batches_of, binaries, from_numpy, held_out, signed, two_columns, word_hashes, words
@@ -27,7 +30,7 @@ from seqforge.session import cut_lineage
 
 DEPTH = 5                  # longest context
 CHUNK = 3_000_000          # symbols worked on at a time
-FREQUENT = 1 << 18         # words in the table that is sent to the tasks, at most
+FREQUENT = 1 << 18         # words in the table that is sent to the tasks, at most; four times as many runs
 DISCOUNT = 0.75
 END = b"\n"
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
@@ -67,27 +70,34 @@ def _owned(texts: list[bytes]) -> np.ndarray:
 
 
 def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (kind 0) and grams (kind 1) of training documents, added up in each task."""
+    """Words (kind 0) and grams (kind 1) of training documents, added up in each task; other documents' grams at 0."""
     held: dict[int, list] = {0: [], 1: []}
-    texts: list[bytes] = []
+    texts: dict[bool, list[bytes]] = {True: [], False: []}
     tokens: list[np.ndarray] = []
 
+    def add(kind: int, every: np.ndarray, train: bool) -> None:
+        keys, n = np.unique(every, return_counts=True)
+        held[kind].append((keys, n if train else np.zeros_like(n)))
+        if sum(len(k) for k, _ in held[kind]) > 3_000_000:
+            held[kind] = [_gathered(held[kind])]
+
     def take() -> None:
-        nonlocal texts, tokens
-        if texts:
-            for kind, every in ((0, np.concatenate(tokens)), (1, grams(b"".join(texts))[_owned(texts)])):
-                held[kind].append(tuple(np.unique(every, return_counts=True)))
-                if sum(len(k) for k, _ in held[kind]) > 3_000_000:
-                    held[kind] = [_gathered(held[kind])]
-            texts, tokens = [], []
+        if tokens:
+            add(0, np.concatenate(tokens), True)
+        for train, some in texts.items():
+            if some:
+                add(1, grams(b"".join(some))[_owned(some)], train)
+            some.clear()
+        tokens.clear()
 
     size = 0
     for batch in batches_of(rows):
-        for text in binaries(batch.column("text")):
+        for train, text in zip(batch.column("train").to_pylist(), binaries(batch.column("text"))):
             ws = words(text)
-            texts.append(symbols(ws))
-            tokens.append(np.append(word_hashes(ws), END_HASH))
-            size += len(texts[-1])
+            texts[train].append(symbols(ws))
+            if train:
+                tokens.append(np.append(word_hashes(ws), END_HASH))
+            size += len(texts[train][-1])
             if size >= CHUNK:
                 take()
                 size = 0
@@ -101,7 +111,10 @@ def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SuffixTree:
-    """Retained contexts by depth, with what their next symbols' logarithms (base 10) are."""
+    """The tree of one process's counts: retained contexts by depth, with their next symbols' logarithms (base 10).
+
+    For counts that fit memory; :func:`_model` does the same with tables.
+    """
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         """levels: for each depth from 0, the grams (context, next symbol) of the candidate contexts and their counts."""
@@ -166,29 +179,77 @@ class SuffixTree:
         return self._log(gram, len(self.levels))
 
 
-def _levels(counts: DataFrame, least_share: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Candidate contexts of each depth: at most ``1 / least_share`` a depth, whatever the corpus."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    out = []
+def _model(runs: DataFrame, least_count: int, least_share: float) -> DataFrame:
+    """key, n, log: what the tree says (base 10) of the last symbol of each gram, in training (n > 0) or not."""
+    levels, now = [], runs
     for depth in range(DEPTH, -1, -1):
-        mask = F.lit((1 << 8 * (depth + 1)) - 1)
-        counts = counts.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n"))
-        heads = counts.withColumn("context", F.shiftright("key", 8)).groupBy("context").agg(
-            F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("next"))    # 256 symbols at most
-        t = heads.where(F.col("total") >= least_share * total).select(F.inline("next")).toArrow()
-        out.append((t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()))
-    return out[::-1]
+        if depth < DEPTH:
+            mask = F.lit((1 << 8 * (depth + 1)) - 1)
+            now = now.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n"))
+        w = Window.partitionBy("context")                       # 256 symbols at most
+        now = cut_lineage(now.select("key", "n", F.shiftright("key", 8).alias("context"))
+                          .withColumns({"total": F.sum("n").over(w), "seen": F.count_if(F.col("n") > 0).over(w)}))
+        levels.insert(0, now)
+    everything = levels[0].agg(F.sum("n")).first()[0] or 0
+    least = max(1, least_count, least_share * everything)
+    up_key = [None] + [F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("up_key") for d in range(1, DEPTH + 1)]
+    # divergence tests, each against the parent's own distribution; suffixes of the retained are retained
+    retained: dict[int, DataFrame] = {}
+    for d in range(DEPTH, 0, -1):
+        parent = levels[d - 1].where("n > 0").select(F.col("key").alias("up_key"), (F.col("n") / F.col("total")).alias("up"))
+        gain = F.sum(F.col("n") * F.ln(F.col("n") / F.col("total") / F.col("up")))
+        keep = (levels[d].where((F.col("n") > 0) & (F.col("total") >= least)).select("*", up_key[d]).join(parent, "up_key")
+                .groupBy("context").agg(gain.alias("gain"), F.max("seen").alias("seen")).where("gain > seen").select("context"))
+        if d < DEPTH:
+            suffix = F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context")
+            keep = keep.union(retained[d + 1].select(suffix)).distinct()
+        retained[d] = cut_lineage(keep.withColumn("kept", F.lit(True)))
+    p = levels[0].select("key", "n", ((F.col("n") + 0.1) / F.lit(everything + 25.6)).alias("p"))
+    for d in range(1, DEPTH + 1):
+        total = F.greatest("total", F.lit(1))
+        own = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("seen") * F.col("up")) / total
+        p = (levels[d].join(retained[d], "context", "left").select("*", up_key[d])
+             .join(p.select(F.col("key").alias("up_key"), F.col("p").alias("up")), "up_key")
+             .select("key", "n", F.when(F.col("kept"), own).otherwise(F.col("up")).alias("p")))
+    return cut_lineage(p.select("key", "n", F.log10("p").alias("log")))
+
+
+def _frequent(table: DataFrame, room: int) -> Column:
+    """Whether ``n`` reaches the least count that leaves at most ``room`` rows, by eighths of powers of two."""
+    step, least = F.floor(F.log2("n") * 8).cast("int"), None
+    for s, v in sorted(map(tuple, table.where("n > 0").groupBy(step.alias("s")).count().collect()), reverse=True):
+        if v > room:
+            break
+        room, least = room - v, s
+    return (F.col("n") > 0) & F.coalesce(step >= least, F.lit(False)) if least is not None else F.lit(False)
+
+
+def _sent(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    t = table.select("key", "log").toArrow()
+    keys, log = t["key"].to_numpy().view(np.uint64), t["log"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], log[order]
+
+
+def _looked_up(keys: np.ndarray, logs: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the asked keys are there, and their values (0 for others)."""
+    known, log = np.zeros(len(asked), bool), np.zeros(len(asked))
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        known = keys[at] == asked
+        log[known] = logs[at[known]]
+    return known, log
 
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("token", pa.int64()), ("tf", pa.int32()),
+SCORED = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("kind", pa.int32()), ("token", pa.int64()), ("tf", pa.int32()),
                     ("docs", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("part", pa.float64()),
                     ("score", pa.float64())])
 
 
 def _scored(sent):
-    """A row for each document with what the sent tables tell, and a row for each other word of it."""
+    """A row for each document with what the sent tables tell, and a row for each other word (kind 0) and run (1) of it."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, logs = sent.value
+        frequent_words, frequent_runs = sent.value
 
         def out(docs: list, texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
             joined = [symbols(ws) for ws in texts]
@@ -198,33 +259,34 @@ def _scored(sent):
             g = g[own]
             u, inverse = np.unique(g, return_inverse=True)
             del g, own
-            score = np.add.reduceat(tree.log10(u)[inverse], np.concatenate([[0], np.cumsum(length)[:-1]]))
-            del u, inverse
+            known, log = _looked_up(*frequent_runs, u)
+            score = np.add.reduceat(log[inverse], np.concatenate([[0], np.cumsum(length)[:-1]]))
+            other = np.flatnonzero(~known[inverse])
+            rare = [(1, u, np.repeat(np.arange(len(texts)), length)[other], inverse[other])]
+            del u, inverse, other
             n = np.array([len(ws) + 1 for ws in texts], np.int64)
             token, inverse = np.unique(np.concatenate([np.append(word_hashes(ws), END_HASH) for ws in texts]),
                                        return_inverse=True)
             owner = np.repeat(np.arange(len(texts)), n)
-            known = np.zeros(len(token), bool)
-            log = np.zeros(len(token))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, token), len(keys) - 1)
-                known = keys[at] == token
-                log[known] = logs[at[known]]
+            known, log = _looked_up(*frequent_words, token)
             doc = np.array([-1 if d is None else d for d in docs], np.int64)
             none = np.array([d is None for d in docs])
             digest = np.array([xxhash.xxh3_64_intdigest(t) for t in joined], np.uint64).view(np.int64)
             zero = np.zeros(len(texts))
-            yield from_numpy(SCORED, pa.array(doc, mask=none), digest, digest, zero.astype(np.int32),
-                             np.ones(len(texts), np.int32), n, np.bincount(owner, known[inverse], len(texts)).astype(np.int64),
+            yield from_numpy(SCORED, pa.array(doc, mask=none), digest, zero.astype(np.int32), digest,
+                             zero.astype(np.int32), np.ones(len(texts), np.int32), n, np.bincount(owner, known[inverse], len(texts)).astype(np.int64),
                              np.bincount(owner, log[inverse], len(texts)), score)
-            rare = np.flatnonzero(~known[inverse])
-            pair, tf = np.unique(owner[rare].astype(np.int64) << 32 | inverse[rare], return_counts=True)
-            owner, token = pair >> 32, signed(token[pair & 0xFFFFFFFF])
-            for a in range(0, len(pair), 50_000):
-                o = owner[a:a + 50_000]
-                z = np.zeros(len(o), np.int64)
-                yield from_numpy(SCORED, pa.array(doc[o], mask=none[o]), digest[o], token[a:a + 50_000],
-                                 tf[a:a + 50_000].astype(np.int32), z.astype(np.int32), z, z, z.astype(float), z.astype(float))
+            other = np.flatnonzero(~known[inverse])
+            rare.append((0, token, owner[other], inverse[other]))
+            for kind, keys, owner, which in rare:
+                pair, tf = np.unique(owner.astype(np.int64) << 32 | which, return_counts=True)
+                owner, token = pair >> 32, signed(keys[pair & 0xFFFFFFFF])
+                for a in range(0, len(pair), 50_000):
+                    o = owner[a:a + 50_000]
+                    z = np.zeros(len(o), np.int64)
+                    yield from_numpy(SCORED, pa.array(doc[o], mask=none[o]), digest[o], np.full(len(o), kind, np.int32),
+                                     token[a:a + 50_000], tf[a:a + 50_000].astype(np.int32), z.astype(np.int32), z, z,
+                                     z.astype(float), z.astype(float))
 
         docs, texts, size = [], [], 0
         for batch in batches_of(rows):
@@ -241,43 +303,36 @@ def _scored(sent):
     return run
 
 
-def score_with_suffix_tree(docs: DataFrame, least_share: float = 1e-6, id_col: str = "doc_id",
-                           text_col: str = "text") -> DataFrame:
+def score_with_suffix_tree(docs: DataFrame, least_share: float = 0.0, id_col: str = "doc_id",
+                           text_col: str = "text", least_count: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``.
 
-    Learns from every document whose crc32(id) modulo 10 is not 0 and scores all. ``score`` is the tree's
+    Learns from every document whose crc32(id) modulo 10 is not 0 and scores all. Contexts seen less than
+    ``least_count`` times are not tested; ``least_share`` asks for a share of all symbols too (none unless given). ``score`` is the tree's
     log10 probability of the whole text, ``base_score`` the word model's. A null text counts as empty: its one
     token is the end. Rows without id are training documents. Repeated rows count each time and get equal
     scores. Without training documents every symbol and word has the smoothed share of an empty count. An
     empty table gives an empty result; other columns are not looked at.
     """
     two = two_columns(docs, id_col, text_col)
-    counts = cut_lineage(two.where(~held_out("doc_id", 10, 0)).mapInArrow(_counted, "kind int, key long, n long")
+    counts = cut_lineage(two.select("text", (~held_out("doc_id", 10, 0)).alias("train"))
+                         .mapInArrow(_counted, "kind int, key long, n long")
                          .groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    vocabulary = counts.where("kind = 0").select("key", "n")
+    vocabulary = counts.where("kind = 0").select("key", "n", F.log10(F.col("n") + 0.1).alias("log"))
     size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    # the least count that leaves at most FREQUENT words, from a histogram of counts by eighths of powers of two
-    step = F.floor(F.log2("n") * 8).cast("int")
-    room, least = FREQUENT, None
-    for s, v in sorted(map(tuple, vocabulary.groupBy(step.alias("s")).count().collect()), reverse=True):
-        if v > room:
-            break
-        room, least = room - v, s
-    often = step >= least if least is not None else F.lit(False)
-    t = vocabulary.where(often).toArrow()
-    keys, n = t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()
-    order = np.argsort(keys)
-    tree = SuffixTree(_levels(counts.where("kind = 1").select("key", "n"), least_share))
-    sent = docs.sparkSession.sparkContext.broadcast((tree, keys[order], np.log10(n[order] + 0.1)))
-    rows = two.mapInArrow(_scored(sent), "doc_id long, digest long, token long, tf int, docs int, n_tokens long, "
+    runs = _model(counts.where("kind = 1").select("key", "n"), least_count, least_share)
+    often = {0: _frequent(vocabulary, FREQUENT), 1: _frequent(runs, 4 * FREQUENT)}
+    sent = docs.sparkSession.sparkContext.broadcast((_sent(vocabulary.where(often[0])), _sent(runs.where(often[1]))))
+    rows = two.mapInArrow(_scored(sent), "doc_id long, digest long, kind int, token long, tf int, docs int, n_tokens long, "
                                          "n_known long, part double, score double")
-    other = vocabulary.where(~often).select(F.col("key").alias("token"), "n")
+    rest = lambda table, kind: table.where(~often[kind]).select(F.lit(kind).alias("kind"), F.col("key").alias("token"), "log")
     each = float(np.log10(size.n + 0.1 * (size.v + 1)))
-    c = F.coalesce("n", F.lit(0))
-    return (rows.join(other, "token", "left").groupBy("doc_id", "digest").agg(
+    word = F.col("kind") == 0
+    return (rows.join(rest(vocabulary, 0).union(rest(runs, 1)), ["kind", "token"], "left").groupBy("doc_id", "digest").agg(
                 F.sum("docs").alias("m"), F.sum("n_tokens").alias("n_tokens"),
-                F.sum(F.col("n_known") + F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-                F.sum(F.col("part") + F.col("tf") * F.log10(c + 0.1)).alias("part"), F.sum("score").alias("score"))
+                F.sum(F.col("n_known") + F.when(word & F.col("log").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
+                F.sum(F.col("part") + F.when(word, F.col("tf") * F.coalesce("log", F.lit(-1.0))).otherwise(0.0)).alias("part"),
+                F.sum(F.col("score") + F.when(~word, F.col("tf") * F.col("log")).otherwise(0.0)).alias("score"))
             .withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
             .select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), (F.col("n_tokens") / F.col("m")).cast("long").alias("n_tokens"),
                     (F.col("n_known") / F.col("m")).cast("long").alias("n_known"), F.lit(size.n).cast("long").alias("train_tokens"),

@@ -119,3 +119,15 @@ def test_held_out_text_is_better_foretold_than_by_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = S.score_with_suffix_tree(docs, 2e-7).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
+
+
+def test_a_context_is_kept_whatever_the_rest_of_the_corpus(spark):
+    """A wording seen three times predicts itself, also among millions of other symbols."""
+    asked = next(i for i in range(100) if held(i))
+    few = [(i, "xvjk") for i in [k for k in range(100) if not held(k)][:3] + [asked]]
+    other = [(1_000 + k, "ab ba " * 20_000) for k in range(60)]
+    score = {}
+    for name, rows in (("small", few), ("large", few + other)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        score[name] = S.score_with_suffix_tree(df).where(f"doc_id = {asked}").first().score
+    assert score["large"] > score["small"] - 6
