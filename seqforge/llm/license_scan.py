@@ -4,7 +4,10 @@ Method: the lines of a text that read like licence wording form candidate blocks
 and with each template as zstandard raw dictionary; templates are ranked by how much smaller that makes it.
 From the top, a template wins when its exact wording differs from the block's by few enough words; the words
 that differ are told. Words around the template inside the block do not count as differences of the wording, but
-words missing, changed or added within it do.
+words missing, changed or added within it do. What stands before and after a confirmed wording is scanned again.
+
+A line is looked at when it holds a word that speaks of licences or one of the given templates' telling words: of each
+template its longest words, one more than it may miss.
 """
 
 from __future__ import annotations
@@ -62,6 +65,8 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]], tolerance: float, level: int = 9):
         self.templates = [(name, k, text, said(text)) for name, texts in templates.items() for k, text in enumerate(texts)]
         self.vocabulary = {w for *_, ws in self.templates for w in ws}
+        self.telling = {w for *_, ws in self.templates
+                        for w in sorted(set(ws), key=lambda w: (-len(w), w))[:int(tolerance * len(ws)) + 1]}
         self.tolerance, self.level, self.packers = tolerance, level, None
 
     def __getstate__(self):                   # compressors are made anew where they are used
@@ -73,13 +78,16 @@ class Scanner:
             make = lambda **k: zstandard.ZstdCompressor(level=self.level, write_content_size=False, **k)
             self.alone, self.packers = make(), [make(dict_data=raw(text)) for _, _, text, _ in self.templates]
 
+    def candidate(self, text: str) -> bool:
+        return bool(TRIGGER.search(text)) or not self.telling.isdisjoint(said(text))
+
     def blocks(self, text: str) -> list[tuple[int, int]]:
         """Runs of neighbouring lines in licence vocabulary around lines with a trigger, as (start, end)."""
-        if not TRIGGER.search(text):
+        if not self.candidate(text):
             return []
         out, run, fired = [], None, False
         for line in re.finditer(r"[^\r\n]+", text):
-            hit = bool(TRIGGER.search(line.group()))
+            hit = self.candidate(line.group())
             ws = said(line.group()) if not hit else []
             near = hit or (len(ws) > 2 and 4 * sum(w in self.vocabulary for w in ws) >= 3 * len(ws))
             if near:
@@ -92,8 +100,8 @@ class Scanner:
             out.append(run)
         return out
 
-    def differences(self, have: list[str], want: list[str]) -> list[str]:
-        """Words missing (-) from and added (+) within the template's wording."""
+    def differences(self, have: list[str], want: list[str]) -> tuple[list[str], int, int]:
+        """Words missing (-) from and added (+) within the template's wording, and the words it spans."""
         edits = difflib.SequenceMatcher(None, have, want, autojunk=False).get_opcodes()
         out = []
         for at, (kind, a, b, c, d) in enumerate(edits):
@@ -102,30 +110,41 @@ class Scanner:
             out += [f"-{w}" for w in want[c:d]]
             if 0 < at < len(edits) - 1:       # what stands before or after the wording is not part of it
                 out += [f"+{w}" for w in have[a:b]]
-        return out
+        same = [(a, b) for kind, a, b, _, _ in edits if kind == "equal"]
+        return out, *((same[0][0], same[-1][1]) if same else (0, 0))
+
+    def confirmed(self, block: str) -> tuple[tuple, int, int] | None:
+        """The first confirmed template of the ranking, and the characters of its wording."""
+        raw, at = block.lower().encode("utf-8", "surrogatepass"), list(WORDS.finditer(block))
+        have = [m.group().lower() for m in at]
+        size = len(self.alone.compress(raw))
+        ranked = sorted(((size - len(p.compress(raw))) / size, -k) for k, p in enumerate(self.packers))
+        for reduction, k in reversed(ranked):
+            if reduction <= 0:
+                break
+            name, turn, _, want = self.templates[-k]
+            diff, a, b = self.differences(have, want)
+            if a < b and len(diff) <= self.tolerance * len(want):
+                return (name, turn, reduction, len(diff), not diff, diff), at[a].start(), at[b - 1].end()
+        return None
 
     def scan(self, text: str | None) -> list[tuple]:
         self._ready()
         out = []
         for no, (start, end) in enumerate(self.blocks(text or "")):
-            block = text[start:end]
-            raw, have = block.lower().encode("utf-8", "surrogatepass"), said(block)
-            size = len(self.alone.compress(raw))
-            ranked = sorted(((size - len(p.compress(raw))) / size, -k) for k, p in enumerate(self.packers))
-            for reduction, k in reversed(ranked):
-                if reduction <= 0:
-                    break
-                name, turn, _, want = self.templates[-k]
-                diff = self.differences(have, want)
-                if len(diff) <= self.tolerance * len(want):
-                    out.append((no, start, end, name, turn, reduction, len(diff), not diff, diff))
-                    break
+            rest = [(start, end)]
+            while rest:
+                a, b = rest.pop()
+                hit = self.confirmed(text[a:b]) if self.candidate(text[a:b]) else None
+                if hit:
+                    out.append((no, start, end, *hit[0]))
+                    rest += [(a + hit[2], b), (a, a + hit[1])]
         return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, tolerance: float = 0.2,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each block in which a template is confirmed.
+    """One row for each template confirmed in a block.
 
     doc_id; block_no among the text's candidate blocks; start and end, its characters; license_id and
     template_no; reduction, the share of its compressed size that the template saves; n_differences, exact and the

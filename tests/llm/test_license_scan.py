@@ -51,3 +51,19 @@ def test_documents_against_a_plain_search(spark):
     want = sorted((r.doc_id, lines[x]) for r in docs.collect() for x in r.text.split("\n") if x in lines)
     got = sorted((r.doc_id, r.license_id) for r in scan_licenses(docs).where("exact").collect())
     assert got == want and want
+
+
+def test_every_notice_of_a_block_is_found():
+    s = Scanner(TEMPLATES, 0.2)
+    names = lambda text: sorted(r[3] for r in s.scan(text))
+    apache, mit, reserved = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "All rights reserved."
+    assert names(f"Copyright 2020 X. {reserved}\n\n{apache}") == ["All-rights-reserved", "Apache-2.0"]
+    assert names(f"{apache}\n{mit}") == ["Apache-2.0", "MIT"]
+    assert names(f"{mit} {'plain talk ' * 200}{apache} {'more of it ' * 200}{mit}") == ["Apache-2.0", "MIT", "MIT"]
+
+
+def test_words_of_given_templates_make_candidates():
+    s = Scanner({"PD": ["Dedicated to the public domain."]}, 0.2)
+    assert [r[3] for r in s.scan("one\nDedicated to the public domain.\ntwo")] == ["PD"]
+    assert [r[3] for r in s.scan("Given to the public domain.")] == ["PD"]
+    assert s.scan("a plain line") == []
