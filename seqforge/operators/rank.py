@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqforge.session import cut_lineage
 
 
-def _ranged(df: DataFrame, order_cols: list[str]) -> DataFrame:
+def ranged(df: DataFrame, order_cols: list[str]) -> DataFrame:
     """Rows in order, with the partition and a rising number, as written once to the shared folder.
 
     Range bounds are sampled and partitions may be coalesced anew in every execution, so counts and rows must come
@@ -25,7 +25,7 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx") -> Data
     one row per partition, so no task ever sees the whole table (unlike
     ``row_number()`` over an unpartitioned window).
     """
-    tagged = _ranged(df, order_cols)
+    tagged = ranged(df, order_cols)
     parts = tagged.groupBy("_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = parts.select("_pid", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -37,7 +37,7 @@ def prefix_offsets(df: DataFrame, order_cols: list[str], value: str, name: str =
     """Exclusive running sum of ``value`` over the whole table in ``order_cols`` order
     (e.g. start positions of ragged rows in a flat array), computed like dense_index:
     a window inside range partitions plus per-partition totals."""
-    tagged = _ranged(df, order_cols)
+    tagged = ranged(df, order_cols)
     w_in = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.withColumn("_loc", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
     parts = tagged.groupBy("_pid").agg(F.sum(value).alias("_n"))

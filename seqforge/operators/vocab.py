@@ -15,9 +15,11 @@ def build_vocab(tokens: DataFrame, col: str = "tokens", cap: int | None = None)
     """Token -> id: the 4 specials, then all tokens (count desc, token asc) with ids from 4; with ``cap`` only
     the first ``cap`` ids. Output: token, id, cnt.
 
-    Ids are positions in a range-partitioned order, so no task ranks the whole vocabulary.
+    ``col`` holds one token or an array of tokens a row. Ids are positions in a range-partitioned order, so no task
+    ranks the whole vocabulary.
     """
-    counts = (tokens.select(F.explode(F.col(col)).alias("token"))
+    many = tokens.schema[col].dataType.typeName() == "array"
+    counts = (tokens.select((F.explode(F.col(col)) if many else F.col(col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
     if cap is not None:
         counts = counts.orderBy(F.desc("cnt"), "token").limit(cap - len(SPECIALS))

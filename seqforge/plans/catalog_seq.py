@@ -9,6 +9,7 @@ from seqforge.functions import arrays as A
 from seqforge.functions.text import tokens_ws
 from seqforge.operators import vocab as V
 from seqforge.operators.rank import batch_assign, dense_index
+from seqforge.operators.sequence import shift_pairs
 from seqforge.plans import fixtures as fx
 from seqforge.plans.catalog import _round_all
 from seqforge.plans.registry import register
@@ -29,7 +30,7 @@ def ids_out(c):
 
 # ------------------------------------------------------------------ vocabulary
 def event_vocab(spark, sf):
-    return V.build_vocab(fx.event_sequences(spark, sf), "tokens")
+    return V.build_vocab(fx.event_tokens(spark, sf), "event_type")
 
 
 def vocab_sql(tokens_sql: str) -> str:
@@ -64,7 +65,7 @@ def vocab_doc_size(spark, sf):
 
 
 def encoded(spark, sf, max_len=MAX_SEQ):
-    return V.encode_ids(fx.event_sequences(spark, sf), "seq_id", "tokens", event_vocab(spark, sf), max_len)
+    return V.encode_ids(fx.event_sequences(spark, sf, max_len), "seq_id", "tokens", event_vocab(spark, sf), max_len)
 
 
 ENC_SQL = f"""
@@ -251,23 +252,30 @@ def length_mask(spark, sf):
     return e.select("seq_id", "batch", ids_out(F.transform(m, lambda b: b.cast("int"))).alias("mask"))
 
 
+WHOLE_SQL = f"""
+  SELECT seq_id, list(coalesce(v.id, 3) ORDER BY pos) AS ids FROM (
+    SELECT seq_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM ({fx.EVENT_SEQUENCES_SQL})) t
+  LEFT JOIN {EVENT_VOCAB_SQL} v USING (token) GROUP BY seq_id"""
 SHIFT_SQL = f"""
   SELECT seq_id, pos, framed[pos] AS input_id, framed[pos + 1] AS label_id FROM (
-    SELECT seq_id, framed, unnest(range(1, {MAX_SEQ})) AS pos FROM ({FRAMED_SQL})) WHERE framed[pos + 1] <> 0"""
+    SELECT seq_id, framed, unnest(range(1, len(framed))) AS pos FROM (
+      SELECT seq_id, list_concat([CAST(1 AS BIGINT)], ids, [CAST(2 AS BIGINT)]) AS framed FROM ({WHOLE_SQL})))"""
+
+
+def event_ids(spark, sf):
+    """Every event with its vocabulary id, sequences uncut: (seq_id, ts, event_id, id)."""
+    v = event_vocab(spark, sf).select(F.col("token").alias("event_type"), "id")
+    ev = fx.event_tokens(spark, sf).join(v, "event_type", "left")
+    return ev.select("seq_id", "ts", "event_id", F.coalesce("id", F.lit(A.UNK_ID)).alias("id"))
 
 
 def shifted(spark, sf):
-    e = encoded(spark, sf)
-    framed = e.select("seq_id", A.frame_sos_eos_pad("ids", MAX_SEQ).alias("f"))
-    pairs = F.arrays_zip(F.slice("f", 1, MAX_SEQ - 1).alias("i"), F.slice("f", 2, MAX_SEQ - 1).alias("l"))
-    x = framed.select("seq_id", F.posexplode(pairs).alias("p", "z"))
-    return x.select("seq_id", (F.col("p") + 1).cast("bigint").alias("pos"), F.col("z.i").alias("input_id"),
-                    F.col("z.l").alias("label_id")).where(F.col("label_id") != A.PAD_ID)
+    return shift_pairs(event_ids(spark, sf), "seq_id", ["ts", "event_id"], "id")
 
 
 @register("shift_labels", f"SELECT seq_id, CAST(pos AS BIGINT) AS pos, input_id, label_id FROM ({SHIFT_SQL})")
 def shift_labels(spark, sf):
-    """Next-token pairs of framed rows: inputs [:-1], labels [1:], PAD labels excluded."""
+    """Next-token pairs of whole framed sequences: inputs [:-1], labels [1:]; there is no padding to exclude."""
     return shifted(spark, sf)
 
 
@@ -277,7 +285,7 @@ def shift_labels(spark, sf):
 def next_token_table(spark, sf):
     """Successor counts of framed event sequences -> log relative frequency per state."""
     from seqforge.operators.decode import next_token_table as ntt
-    return _round_all(ntt(shifted(spark, sf), "input_id", "label_id"))
+    return _round_all(ntt(shifted(spark, sf), "input_id", "label_id").select("state", "token", "cnt", "logp"))
 
 
 # ------------------------------------------------------------------ vectors

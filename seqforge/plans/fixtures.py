@@ -120,14 +120,20 @@ DOC_LINES_SQL = """
 
 
 # ---------------------------------------------------------------- events
-def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token sequences: event_type per user and day, ordered by (ts, event_id). Output: (seq_id, user_id, tokens)."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    seqs = (ev.groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"))
-            .agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("s")))
-    return seqs.select(
-        (F.col("user_id") * 1_000_000 + F.col("day")).cast("bigint").alias("seq_id"), "user_id",
-        F.transform("s", lambda x: x["event_type"]).alias("tokens"))
+def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences as rows: the events of a user and day in (ts, event_id) order. Output: (seq_id, ts, event_id, event_type)."""
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") * 1_000_000 + day).cast("bigint").alias("seq_id"), "ts", "event_id", "event_type")
+
+
+def event_sequences(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
+    """The first ``first`` tokens of every sequence as an array: (seq_id, tokens). Longer sequences are cut before
+    their rows are gathered (a partial top-n)."""
+    w = Window.partitionBy("seq_id").orderBy("ts", "event_id")
+    ev = event_tokens(spark, sf_dir).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= first)
+    seqs = ev.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("_rn", "event_type"))).alias("s"))
+    return seqs.select("seq_id", F.transform("s", lambda x: x["event_type"]).alias("tokens"))
 
 
 EVENT_SEQUENCES_SQL = """
