@@ -1,23 +1,36 @@
 """Decoding re-aimed as table operators over a next-token table ``next(state, token, logp)``.
 
-A decoding round is frontier JOIN next (broadcast: the table is pruned to the
-best few successors per state, and states are bounded by the vocabulary cap)
-followed by a per-query top-k window, which stays on the query partitioning.
+A decoding round is frontier JOIN next (broadcast if its count allows) followed by a per-query top-k window. What
+follows depends on the start state alone, so queries that start in the same state share one search.
+
+Log-probabilities are added as whole numbers (units of 1e-9): sums do not depend on their order, so hypotheses of equal
+probability tie in every engine and at every partitioning, and ties go by parent slot and token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqforge.functions.arrays import eos_cut, pad_array
+from seqforge.operators.joins import BROADCAST_ROW_LIMIT, checked_broadcast, skew_safe_join
+from seqforge.session import Rounds, cut_lineage
+
+UNIT = 1e-9
+
+
+def log_units(logp: Column) -> Column:
+    return F.round(logp * 1e9).cast("bigint")
+
 
 def next_token_table(pairs: DataFrame, state: str = "input_id", token: str = "label_id") -> DataFrame:
-    """Successor counts -> log relative frequency per state: (state, token, cnt, logp).
+    """Successor counts -> log relative frequency per state: (state, token, cnt, logp, units).
     Each window partition holds one state's successors (bounded by the vocabulary)."""
     c = pairs.groupBy(F.col(state).alias("state"), F.col(token).alias("token")).agg(
         F.count(F.lit(1)).cast("bigint").alias("cnt"))
     tot = F.sum("cnt").over(Window.partitionBy("state"))
-    return c.select("state", "token", "cnt", F.ln(F.col("cnt") / tot).alias("logp"))
+    logp = F.ln(F.col("cnt") / tot)
+    return c.select("state", "token", "cnt", logp.alias("logp"), log_units(logp).alias("units"))
 
 
 def log_softmax_group(df: DataFrame, group: list[str], score: str = "score") -> DataFrame:
@@ -29,172 +42,237 @@ def log_softmax_group(df: DataFrame, group: list[str], score: str = "score") ->
     return df.withColumn("logp", F.col(score) - mx - z)
 
 
+def _moves(nxt: DataFrame) -> DataFrame:
+    """state, token, units, goto of a next-token table; without ``goto`` the token itself is the next state."""
+    units = F.col("units") if "units" in nxt.columns else log_units(F.col("logp"))
+    goto = F.col("goto") if "goto" in nxt.columns else F.col("token").cast(nxt.schema["state"].dataType)
+    return nxt.select("state", "token", units.alias("units"), goto.alias("goto"))
+
+
+def _started(queries: DataFrame, nxt: DataFrame, sos: int) -> DataFrame:
+    """qid, prefix, state: without a ``state`` of their own, queries start at their prefix's last token or at SOS."""
+    last = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos))
+    state = F.col("state") if "state" in queries.columns else last.cast(nxt.schema["state"].dataType)
+    return queries.select("qid", "prefix", state.alias("state"))
+
+
 # ---------------------------------------------------------------------------- beam search
 def prune_next(nxt: DataFrame, k: int) -> DataFrame:
     """Keep the best ``k`` successors per state (an exact prune: a slot never needs more
     than k children to fill a top-k beam). Ties by token id."""
-    w = Window.partitionBy("state").orderBy(F.desc("logp"), "token")
+    w = Window.partitionBy("state").orderBy(F.desc("units" if "units" in nxt.columns else "logp"), "token")
     return nxt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def beam_search(queries: DataFrame, nxt: DataFrame, beam: int, max_len: int, eos: int = 2, sos: int = 1,
-                forced: bool = False, lineage_every: int = 1):
-    """Beam search over a bigram next-token table, one query per row.
+                forced: bool = False, run: str | None = None) -> DataFrame:
+    """Beam search over a next-token table, one query per row.
 
-    queries: (qid, prefix array<bigint>) -- the prefix is forced first when ``forced``
-    (its score is ignored and EOS is blocked at the first free step of a query that has one); otherwise decoding
-    starts from SOS. The state of a slot is its last token.
+    queries: (qid, prefix array<bigint>[, state]) -- the prefix is forced first when ``forced``
+    (its score is ignored and EOS is blocked at the first free step of a query that has one).
 
     Every round: live slots JOIN the pruned table (broadcast if its count allows) -> per-query top-``beam`` by (score desc,
     parent slot, token). EOS slots get no children; a query stops once slot 0 was EOS
-    at some step and at least ``beam`` hypotheses finished. The frontier is written to
-    the checkpoint folder each ``lineage_every`` rounds, so the plan does not grow.
+    at some step and at least ``beam`` hypotheses finished, and the search once no query is live. Rounds are written to
+    the shared folder; a run under the same name ``run`` goes on after the last finished round (see Rounds).
 
-    Returns all frontiers: (qid, step, k, parent, tokens, score, last).
+    Returns all frontiers: (qid, step, k, parent, tokens, units, score, last).
     """
-    from seqforge.operators.joins import checked_broadcast
-    from seqforge.session import cut_lineage
-
+    rounds = Rounds(queries.sparkSession, run)
+    if rounds.has("result"):
+        return rounds.read("result")
     width = beam + (1 if forced else 0)
-    # the pruned table is small (bounded by states x width) and read by every round:
-    # materialise it once instead of recomputing it from the corpus per round
-    pruned = prune_next(nxt, width).select("state", "token", "logp")
-    nk = checked_broadcast(cut_lineage(pruned))
+    # the pruned table is bounded by states x width and read by every round: it is written once
+    nk = checked_broadcast(rounds.once("next", lambda: prune_next(_moves(nxt), width)).withColumnRenamed("state", "_state"))
     start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
-    front = (queries.select("qid", F.lit(0).alias("k"), F.array().cast("array<bigint>").alias("tokens"),
-                            F.lit(0.0).alias("score"), start.alias("last"),
-                            F.lit(False).alias("eos_top"), F.lit(0).cast("bigint").alias("nfin"),
-                            (F.size("prefix") > 0).alias("led"))
-             .repartition("qid"))
+    front = _started(queries, nxt, sos).select(
+        "qid", F.lit(0).alias("k"), F.array().cast("array<bigint>").alias("tokens"), F.lit(0).cast("bigint").alias("units"), "state",
+        start.alias("last"), F.lit(False).alias("eos_top"), F.lit(0).cast("bigint").alias("nfin"), (F.size("prefix") > 0).alias("led"))
     wq = Window.partitionBy("qid")
-    wr = wq.orderBy(F.desc("score"), "parent", "token")
-    fronts = []
-    for t in range(1, max_len + 1):
-        live = front.where(F.col("last") != eos)
-        cand = live.join(nk, live["last"] == nk["state"]).select(
-            "qid", F.col("k").alias("parent"), "tokens", (F.col("score") + F.col("logp")).alias("score"),
-            "token", "eos_top", "nfin", "led")
+    wr = wq.orderBy(F.desc("units"), "parent", "token")
+
+    def advance(live: DataFrame, t: int) -> DataFrame:
+        cand = live.join(nk, live["state"] == nk["_state"]).select(
+            "qid", F.col("k").alias("parent"), "tokens", (live["units"] + nk["units"]).alias("units"),
+            "token", "goto", "eos_top", "nfin", "led")
         if t == 1 and forced:       # only what follows a prefix may not end at once
             cand = cand.where(~F.col("led") | (F.col("token") != eos))
         ranked = cand.withColumn("_rn", F.row_number().over(wr)).where(F.col("_rn") <= beam)
-        new = ranked.select(
-            "qid", (F.col("_rn") - 1).alias("k"), "parent", "led",
-            F.concat("tokens", F.array("token")).alias("tokens"), "score",
-            F.col("token").alias("last"),
+        return ranked.select(
+            "qid", F.lit(t).alias("step"), (F.col("_rn") - 1).alias("k"), "parent", "led",
+            F.concat("tokens", F.array("token")).alias("tokens"), "units",
+            F.col("token").alias("last"), F.col("goto").alias("state"),
             (F.col("eos_top") | F.max((F.col("_rn") == 1) & (F.col("token") == eos)).over(wq)).alias("eos_top"),
             (F.col("nfin") + F.sum((F.col("token") == eos).cast("bigint")).over(wq)).alias("nfin"))
-        if lineage_every and t % lineage_every == 0:
-            new = cut_lineage(new)
-        fronts.append(new.select("qid", F.lit(t).alias("step"), "k", "parent", "tokens", "score", "last"))
+
+    done = 0
+    for t in range(1, max_len + 1):
+        live = front.where(F.col("last") != eos)
+        if t > 1 and live.isEmpty():
+            break
+        new = rounds.once(t, lambda: advance(live, t))
         front = new.where(~(F.col("eos_top") & (F.col("nfin") >= beam)))
-    out = fronts[0]
-    for f in fronts[1:]:
-        out = out.unionByName(f)
-    return out
+        done = t
+    out = rounds.read(*range(1, done + 1)).select(
+        "qid", "step", "k", "parent", "tokens", "units", (F.col("units") * F.lit(UNIT)).alias("score"), "last")
+    return rounds.finish(out, range(1, done + 1))
 
 
-def beam_final(fronts: DataFrame, beam: int, eos: int = 2, rank_by: str = "sum") -> DataFrame:
+def beam_final(fronts: DataFrame, beam: int, eos: int = 2, rank_by: str = "sum", keep: int | None = None) -> DataFrame:
     """n-best per query from all frontiers: finished hypotheses (EOS) by score, then --
     when fewer than ``beam`` finished -- unfinished slots of the last step by score; with
     none finished, slot 0 of the last step leads (and may appear twice, as published).
-    ``rank_by='avg'`` ranks by average log-probability per generated token.
+    ``rank_by='avg'`` ranks by average log-probability per generated token; ``keep`` (at most ``beam``) are returned.
     Output: qid, rank (0-based), tokens (EOS cut), score, step, k, finished, rank_key (what it was ranked by)."""
     last_step = F.max("step").over(Window.partitionBy("qid"))
     f = fronts.withColumn("_last", last_step)
-    key = F.col("score") if rank_by == "sum" else F.col("score") / (F.size("tokens") + F.lit(1e-6))
-    fin = f.where(F.col("last") == eos).select("qid", F.lit(0).alias("grp"), key.alias("_key"), "step", "k",
-                                                "tokens", "score")
+    key = F.col("units").cast("double") if rank_by == "sum" else F.col("units") / (F.size("tokens") + F.lit(1e-6))
+    cols = [key.alias("_key"), "step", "k", "tokens", "score"]
+    fin = f.where(F.col("last") == eos).select("qid", F.lit(0).alias("grp"), *cols)
     nfin = F.sum(F.when(F.col("last") == eos, 1).otherwise(0)).over(Window.partitionBy("qid"))
     lastrows = f.withColumn("_nfin", nfin).where(F.col("step") == F.col("_last"))
-    slot0 = lastrows.where((F.col("_nfin") == 0) & (F.col("k") == 0)).select(
-        "qid", F.lit(0).alias("grp"), key.alias("_key"), "step", "k", "tokens", "score")
-    unfin = lastrows.where(F.col("last") != eos).select(
-        "qid", F.lit(1).alias("grp"), key.alias("_key"), "step", "k", "tokens", "score")
+    slot0 = lastrows.where((F.col("_nfin") == 0) & (F.col("k") == 0)).select("qid", F.lit(0).alias("grp"), *cols)
+    unfin = lastrows.where(F.col("last") != eos).select("qid", F.lit(1).alias("grp"), *cols)
     allc = fin.unionByName(slot0).unionByName(unfin)
     w = Window.partitionBy("qid").orderBy("grp", F.desc("_key"), "step", "k")
-    r = allc.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < beam)
-    from seqforge.functions.arrays import eos_cut
+    r = allc.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < min(keep or beam, beam))
     finished = F.array_position("tokens", eos) > 0
     return r.select("qid", F.col("rank").cast("bigint").alias("rank"), eos_cut("tokens", eos).alias("tokens"),
-                    "score", "step", "k", finished.alias("finished"), F.col("_key").alias("rank_key"))
+                    "score", "step", "k", finished.alias("finished"), (F.col("_key") * F.lit(UNIT)).alias("rank_key"))
+
+
+def shared_starts(queries: DataFrame, nxt: DataFrame, sos: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(qid, prefix, start) of every query, and one query (qid = start, prefix, state) for every different start: what
+    follows depends on nothing but the state and whether there is a prefix."""
+    q = _started(queries, nxt, sos).select("qid", "prefix", F.struct("state", (F.size("prefix") > 0).alias("led")).alias("start"))
+    return q, q.groupBy("start").agg(F.first("prefix").alias("prefix")).select(
+        F.col("start").alias("qid"), "prefix", F.col("start.state").alias("state"))
+
+
+def each_query(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """The rows of a start (``results.qid``) for every query that has it; a start may be shared by very many queries."""
+    return skew_safe_join(queries.select("qid", "prefix", "start"), results.withColumnRenamed("qid", "start"), ["start"], "qid")
+
+
+def nbest(queries: DataFrame, nxt: DataFrame, beam: int, max_len: int, forced: bool = False, rank_by: str = "sum",
+          keep: int | None = None, sos: int = 1, eos: int = 2) -> DataFrame:
+    """Beam search and final n-best of every query: qid, prefix, rank, tokens, score, step, k, finished, rank_key."""
+    q, starts = shared_starts(queries, nxt, sos)
+    final = beam_final(beam_search(starts, nxt, beam, max_len, eos, sos, forced), beam, eos, rank_by, keep)
+    return each_query(q, cut_lineage(final)).drop("start")
 
 
 def backtrace(fronts: DataFrame, finals: DataFrame, max_len: int) -> DataFrame:
-    """Rebuild hypotheses from parent pointers only: start at (qid, step, k) of each final
-    entry and follow ``parent`` down to step 1, one equi-join per step.
-    ``fronts``: (qid, step, k, parent, last); ``finals``: (qid, rank, step, k).
+    """Rebuild hypotheses from parent pointers only: every slot holds the tokens of the way to the slot it points to; by
+    joining that slot it takes over its tokens and pointer, so the distance doubles and ``max_len`` steps need
+    log2(max_len) joins. ``fronts``: (qid, step, k, parent, last); ``finals``: (qid, rank, step, k).
     Output: qid, rank, tokens (oldest first)."""
-    edges = fronts.select("qid", F.col("step").alias("_st"), F.col("k").alias("_k"), "parent",
-                          F.col("last").alias("_tok"))
-    cur = finals.select("qid", "rank", F.col("step").alias("_st"), F.col("k").alias("_k"),
-                        F.array().cast("array<bigint>").alias("tokens"))
-    for _ in range(max_len):
-        j = cur.join(edges, ["qid", "_st", "_k"], "left")
-        hit = F.col("_tok").isNotNull()
-        cur = j.select("qid", "rank",
-                       F.when(hit, F.col("_st") - 1).otherwise(F.col("_st")).alias("_st"),
-                       F.when(hit, F.col("parent")).otherwise(F.col("_k")).alias("_k"),
-                       F.when(hit, F.concat(F.array("_tok"), "tokens")).otherwise(F.col("tokens")).alias("tokens"))
-    return cur.select("qid", "rank", "tokens")
+    node = fronts.select("qid", "step", "k", F.array("last").alias("tokens"),
+                         F.when(F.col("step") > 1, F.struct((F.col("step") - 1).alias("step"), F.col("parent").alias("k"))).alias("up"))
+    reach = 1
+    while reach < max_len:
+        node = cut_lineage(node)
+        above = node.select("qid", F.struct("step", "k").alias("up"), F.col("tokens").alias("_older"), F.col("up").alias("_on"))
+        node = node.join(above, ["qid", "up"], "left").select(
+            "qid", "step", "k", F.concat(F.coalesce("_older", F.array().cast("array<bigint>")), "tokens").alias("tokens"),
+            F.col("_on").alias("up"))
+        reach *= 2
+    return finals.select("qid", "rank", "step", "k").join(node, ["qid", "step", "k"]).select("qid", "rank", "tokens")
 
 
+# ---------------------------------------------------------------------------- one token a step
 def best_successor(nxt: DataFrame) -> DataFrame:
     """argmax token per state (ties: lower token id)."""
-    return nxt.groupBy("state").agg(F.max_by("token", F.struct("logp", -F.col("token"))).alias("token"))
+    return nxt.groupBy("state").agg(F.max_by("token", F.struct("units" if "units" in nxt.columns else "logp", -F.col("token"))).alias("token"))
+
+
+def _cut_and_check(cur: DataFrame, eos: int, pad: int) -> tuple[DataFrame, bool]:
+    """The rows as written, and whether any of them goes on."""
+    cur = cut_lineage(cur)
+    return cur, not cur.where(~F.col("last").isin(eos, pad)).isEmpty()
+
+
+def _with_length(decoded: DataFrame, max_len: int, eos: int, pad: int) -> DataFrame:
+    """qid, tokens (padded to ``max_len``), len (tokens before the first EOS)."""
+    decoded = decoded.withColumn("tokens", pad_array("tokens", max_len, F.lit(pad).cast("bigint")))
+    p = F.array_position("tokens", eos)
+    length = F.when(p > 0, p - 1).otherwise(F.size(F.filter("tokens", lambda x: x != pad)))
+    return decoded.select("qid", "tokens", length.cast("bigint").alias("len"))
 
 
 def greedy_decode(queries: DataFrame, nxt: DataFrame, max_len: int, eos: int = 2, sos: int = 1,
-                  pad: int = 0, lineage_every: int = 10) -> DataFrame:
+                  pad: int = 0, lineage_every: int = 5) -> DataFrame:
     """Greedy decoding for ``max_len`` steps from SOS (or the prefix's last token).
     After EOS (or a state without successors) PAD is emitted. ``len`` counts tokens
     before the first EOS. Output: qid, tokens (length max_len), len."""
-    from seqforge.operators.joins import checked_broadcast
-    from seqforge.session import cut_lineage
     best = checked_broadcast(cut_lineage(best_successor(nxt).select(F.col("state").alias("_s"), F.col("token").alias("_t"))))
-    start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
-    cur = queries.select("qid", F.array().cast("array<bigint>").alias("tokens"), start.alias("last"))
+    q, starts = shared_starts(queries, nxt, sos)
+    cur = starts.select("qid", F.array().cast("array<bigint>").alias("tokens"), F.col("state").alias("last"))
     for t in range(1, max_len + 1):
         j = cur.join(best, cur["last"] == best["_s"], "left")
         nxt_tok = F.when((F.col("last") == eos) | (F.col("last") == pad) | F.col("_t").isNull(), F.lit(pad)) \
                    .otherwise(F.col("_t")).cast("bigint")
         cur = j.select("qid", F.concat("tokens", F.array(nxt_tok)).alias("tokens"), nxt_tok.alias("last"))
         if t % lineage_every == 0:
-            cur = cut_lineage(cur)
-    p = F.array_position("tokens", eos)
-    length = F.when(p > 0, p - 1).otherwise(F.size(F.filter("tokens", lambda x: x != pad)))
-    return cur.select("qid", "tokens", length.cast("bigint").alias("len"))
+            cur, live = _cut_and_check(cur, eos, pad)
+            if not live:
+                break
+    return _with_length(each_query(q, cur), max_len, eos, pad)
+
+
+def cumulative_cells(nxt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, cell, picks) and (state, total, width): the successors of every state laid end to end by token, each as
+    long as its count, and cut into cells of equal ``width``, as many as the state has successors (at most twice as many).
+
+    ``picks`` lists the (hi, token, total, width) that end in the cell or run through it: a number r below the state's total lies
+    in cell r / width and its token is the first whose ``hi`` is above r. total and width are those of the state
+    that the token leads to (null: it has no successors). A cell holds two picks on average. Without counts, exp(logp)
+    is taken in units of 1e-9.
+    """
+    cnt = F.col("cnt") if "cnt" in nxt.columns else F.greatest(F.round(F.exp("logp") * 1e9), F.lit(1))
+    w = Window.partitionBy("state")
+    t = cut_lineage(nxt.select("state", "token", cnt.cast("bigint").alias("cnt"))
+                    .withColumn("hi", F.sum("cnt").over(w.orderBy("token").rowsBetween(Window.unboundedPreceding, 0)))
+                    .withColumn("total", F.sum("cnt").over(w))
+                    .withColumn("width", F.greatest(F.floor(F.col("total") / F.count(F.lit(1)).over(w)), F.lit(1))))
+    states = t.groupBy("state").agg(F.max("total").alias("total"), F.max("width").alias("width"))
+    onward = states.select(F.col("state").alias("token"), F.col("total").alias("_total"), F.col("width").alias("_width"))
+    cells = F.sequence(F.floor((F.col("hi") - F.col("cnt")) / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width")))
+    pick = F.struct("hi", "token", F.col("_total").alias("total"), F.col("_width").alias("width"))
+    return (t.join(onward, "token", "left").select("state", F.explode(cells).alias("cell"), pick.alias("pick"))
+            .groupBy("state", "cell").agg(F.array_sort(F.collect_list("pick")).alias("picks"))), states
 
 
-def uniform_from_md5(*parts) -> F.Column:
-    """Deterministic u in (0, 1) from md5 of the key parts (52 bits)."""
+def draw(total: Column, *parts: Column) -> Column:
+    """A number from 0 to ``total`` - 1 from the md5 of the key parts (52 bits), equal in any engine."""
     h = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-    x = F.conv(F.substring(h, 1, 13), 16, 10).cast("double")
-    return (x + 0.5) / float(2 ** 52)
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint") % total
 
 
 def sample_decode(queries: DataFrame, nxt: DataFrame, max_len: int, seed: int = 42, eos: int = 2, sos: int = 1,
-                  pad: int = 0) -> DataFrame:
-    """Sampled decoding: at every step draw the next token from the successor distribution
-    (Gumbel-max with md5-seeded uniforms: reproducible in any engine).
-
-    Drawing needs every successor of a state, so the table is not pruned. The frontier
-    meets it in a salted left join: a state shared by very many queries (every query
-    starts at SOS) is spread over tasks, and AQE still broadcasts the table at run time
-    when it is small. Each draw is a per-query max over the successors of one state. The
-    frontier is written to the checkpoint folder every step."""
-    from seqforge.operators.joins import skew_safe_join
-    from seqforge.session import cut_lineage
-    table = nxt.select(F.col("state").alias("last"), F.col("token").alias("_t"), "logp")
-    start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
-    cur = queries.select("qid", F.array().cast("array<bigint>").alias("tokens"), start.alias("last"))
+                  pad: int = 0, lineage_every: int = 5, broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Sampled decoding: at every step one number is drawn for a query (md5-seeded, reproducible in any engine) and
+    one row of :func:`cumulative_cells` is looked up: state and cell are an exact key, so a state's other successors
+    are never met. The cells are broadcast if their count allows; otherwise the lookup is a salted join, since very
+    many queries may start in one state. After EOS (or a state without successors) PAD is emitted."""
+    cells, states = map(cut_lineage, cumulative_cells(nxt))
+    cells = cells.withColumnRenamed("state", "last")
+    small = cells.count() <= broadcast_rows
+
+    def meet(cur: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+        return cur.join(F.broadcast(table), keys, "left") if small else skew_safe_join(cur, table, keys, "qid", how="left")
+
+    cur = meet(_started(queries, nxt, sos), states, ["state"]).select(
+        "qid", F.array().cast("array<bigint>").alias("tokens"), F.col("state").alias("last"), "total", "width")
     for step in range(max_len):
-        j = skew_safe_join(cur, table, ["last"], "qid", how="left")
-        g = F.col("logp") - F.ln(-F.ln(uniform_from_md5(F.lit(seed), F.col("qid"), F.lit(step), F.col("_t"))))
-        drawn = j.groupBy("qid", "tokens", "last").agg(F.max_by("_t", F.struct(g, -F.col("_t"))).alias("_d"))
-        nxt_tok = F.when((F.col("last") == eos) | (F.col("last") == pad) | F.col("_d").isNull(), F.lit(pad)) \
-                   .otherwise(F.col("_d")).cast("bigint")
-        cur = cut_lineage(drawn.select("qid", F.concat("tokens", F.array(nxt_tok)).alias("tokens"),
-                                       nxt_tok.alias("last")))
-    p = F.array_position("tokens", eos)
-    length = F.when(p > 0, p - 1).otherwise(F.size(F.filter("tokens", lambda x: x != pad)))
-    return cur.select("qid", "tokens", length.cast("bigint").alias("len"))
+        r = draw(F.col("total"), F.lit(seed), F.col("qid"), F.lit(step))
+        j = meet(cur.withColumn("_r", r).withColumn("cell", F.floor(F.col("_r") / F.col("width"))), cells, ["last", "cell"])
+        hit = F.get(F.filter("picks", lambda p: p["hi"] > F.col("_r")), F.lit(0))
+        token = F.when(F.col("last").isin(eos, pad) | hit.isNull(), F.lit(pad)).otherwise(hit["token"]).cast("bigint")
+        cur = j.select("qid", F.concat("tokens", F.array(token)).alias("tokens"), token.alias("last"),
+                       hit["total"].alias("total"), hit["width"].alias("width"))
+        if (step + 1) % lineage_every == 0:
+            cur, live = _cut_and_check(cur, eos, pad)
+            if not live:
+                break
+    return _with_length(cur, max_len, eos, pad)

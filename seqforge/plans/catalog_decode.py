@@ -2,76 +2,130 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqforge.functions import arrays as A
+from seqforge.functions.text import tokens_ws
+from seqforge.operators import bleu as B
+from seqforge.operators import context_model as C
 from seqforge.operators import decode as D
+from seqforge.operators import vocab as V
+from seqforge.operators.joins import checked_broadcast
+from seqforge.operators.sequence import contexts
+from seqforge.plans import fixtures as fx
+from seqforge.plans import sqlgen as sg
 from seqforge.plans.catalog import _round_all
-from seqforge.plans.catalog_seq import ENC_SQL, FRAMED_SQL, SHIFT_SQL, encoded, shifted
+from seqforge.plans.catalog_seq import (DOC_TOKENS_SQL, DOC_VOCAB_SQL, ENC_SQL, EVENT_VOCAB_SQL, FRAMED_SQL, SHIFT_SQL, WHOLE_SQL,
+                                        encoded, event_ids, event_vocab, shifted)
 from seqforge.plans.registry import register
+from seqforge.session import cut_lineage
 
 BEAM = 5
-STEPS = 8
+WIDE = 12           # width of the best-first decoder, which returns KEEP hypotheses
+KEEP = 10
+STEPS = 50          # sentence length of the recurrent model
 EOS = A.EOS_ID
+DEPTH = 3           # ids of the longest context
+PREFIXES = 11       # forced prefixes have 0 to 10 tokens
 
 NEXT_SQL = f"""
-  SELECT state, token, ln(CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY state)) AS logp FROM (
-    SELECT input_id AS state, label_id AS token, count(*) AS cnt FROM ({SHIFT_SQL}) GROUP BY 1, 2)"""
-# queries: every event sequence, conditioned on its first event id
-QUERIES_SQL = f"SELECT seq_id AS qid, ids[1:1] AS prefix FROM ({ENC_SQL})"
+  SELECT state, token, token AS goto, cnt, logp, CAST(round(logp * 1e9) AS BIGINT) AS units FROM (
+    SELECT state, token, cnt, ln(CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY state)) AS logp FROM (
+      SELECT input_id AS state, label_id AS token, count(*) AS cnt FROM ({SHIFT_SQL}) GROUP BY 1, 2))"""
+# queries: every event sequence, conditioned on its first none, one or two events
+QUERIES_SQL = f"""SELECT seq_id AS qid, prefix, CASE WHEN len(prefix) > 0 THEN prefix[len(prefix)] ELSE 1 END AS state
+  FROM (SELECT seq_id, ids[1:least(seq_id % 3, len)] AS prefix FROM ({ENC_SQL}))"""
 
 
 def next_table(spark, sf):
     return D.next_token_table(shifted(spark, sf), "input_id", "label_id")
 
 
-def decode_queries(spark, sf):
-    return encoded(spark, sf).select(F.col("seq_id").alias("qid"), F.slice("ids", 1, 1).alias("prefix"))
+def prefixed_queries(spark, sf, lengths):
+    """Every event sequence with its first ``seq_id % lengths`` events as prefix (all, if it has fewer)."""
+    n = F.least(F.col("seq_id") % lengths, F.col("len")).cast("int")
+    return encoded(spark, sf).select(F.col("seq_id").alias("qid"), F.slice("ids", F.lit(1), n).alias("prefix"))
 
 
-def beam_sql(beam: int, steps: int, forced: bool, rank_by: str = "sum", next_sql: str | None = None,
-             queries_sql: str | None = None) -> str:
-    """Unrolled SQL twin of decode.beam_search + decode.beam_final."""
+def decode_queries(spark, sf):
+    return prefixed_queries(spark, sf, 3)
+
+
+# contexts of up to DEPTH ids, known from two occurrences on, and the state that each token leads to
+CONTEXT_SQL = f"""
+  WITH c AS (SELECT f[greatest(1, p - {DEPTH - 1}):p] AS c, f[p + 1] AS token FROM (
+      SELECT f, unnest(range(1, len(f))) AS p FROM (SELECT list_concat([1], ids, [2]) AS f FROM ({WHOLE_SQL})))),
+  g AS (SELECT array_to_string(c[len(c) - n + 1:], ' ') AS state, n, token FROM (SELECT *, unnest(range(0, len(c) + 1)) AS n FROM c)),
+  t AS (SELECT state, n, token, count(*) AS cnt FROM g GROUP BY ALL),
+  k AS MATERIALIZED (SELECT * FROM (SELECT *, sum(cnt) OVER (PARTITION BY state) AS total FROM t) WHERE n <= 1 OR total >= 2),
+  a AS (SELECT state, token, list_append(CASE WHEN state = '' THEN [] ELSE string_split(state, ' ') END, CAST(token AS VARCHAR)) AS x
+        FROM k WHERE token <> {EOS}),
+  s AS (SELECT state, token, array_to_string(x[len(x) - n + 1:], ' ') AS tried FROM (
+        SELECT *, unnest(range(0, least(len(x), {DEPTH}) + 1)) AS n FROM a)),
+  goes AS (SELECT s.state, s.token, arg_max(tried, w.n) AS goto FROM s JOIN (SELECT DISTINCT state, n FROM k) w ON w.state = tried GROUP BY 1, 2)
+  SELECT k.state, k.n AS "order", k.token, k.cnt, goto, CAST(round(ln(CAST(cnt AS DOUBLE) / total) * 1e9) AS BIGINT) AS units
+  FROM k LEFT JOIN goes USING (state, token)"""
+FORCED_SQL = f"""
+  WITH q AS (SELECT seq_id AS qid, ids[1:least(seq_id % {PREFIXES}, len)] AS prefix FROM ({ENC_SQL})),
+  x AS (SELECT qid, prefix, list_concat([1], prefix) AS w FROM q),
+  s AS (SELECT qid, prefix, n, array_to_string(w[len(w) - n + 1:], ' ') AS tried FROM (
+        SELECT *, unnest(range(0, least(len(w), {DEPTH}) + 1)) AS n FROM x))
+  SELECT qid, any_value(prefix) AS prefix, arg_max(tried, n) AS state FROM s
+  WHERE tried IN (SELECT state FROM ({CONTEXT_SQL})) GROUP BY qid"""
+
+
+def context_table(spark, sf):
+    return C.context_table(contexts(event_ids(spark, sf), "seq_id", ["ts", "event_id"], "id", DEPTH), DEPTH)
+
+
+def forced_nbest(spark, sf):
+    table = cut_lineage(context_table(spark, sf))
+    queries = C.start_states(prefixed_queries(spark, sf, PREFIXES), table, DEPTH)
+    return D.nbest(queries, table, BEAM, STEPS, forced=True)
+
+
+def beam_sql(beam: int, steps: int, forced: bool = False, rank_by: str = "sum", next_sql: str | None = None,
+             queries_sql: str | None = None, select: str = "qid, rank, tokens, score", keep: int | None = None) -> str:
+    """Unrolled SQL twin of decode.beam_search + decode.beam_final; ``select`` reads the n-best (qid, rank, tokens, score,
+    rank_key, finished), or any FROM clause over it or over all frontiers ``allf`` if it names one."""
     width = beam + (1 if forced else 0)
-    next_sql = next_sql or NEXT_SQL
-    queries_sql = queries_sql or QUERIES_SQL
-    ctes = [f"""nk AS (SELECT state, token, logp FROM (
-        SELECT *, row_number() OVER (PARTITION BY state ORDER BY logp DESC, token) AS r FROM ({next_sql})) WHERE r <= {width})""",
-            f"""a0 AS (SELECT qid, 0 AS k, CAST([] AS BIGINT[]) AS tokens, CAST(0.0 AS DOUBLE) AS score,
+    ctes = [f"""nk AS MATERIALIZED (SELECT state, token, units, goto FROM (
+        SELECT *, row_number() OVER (PARTITION BY state ORDER BY units DESC, token) AS r FROM ({next_sql or NEXT_SQL})) WHERE r <= {width})""",
+            f"""a0 AS MATERIALIZED (SELECT qid, 0 AS k, CAST([] AS BIGINT[]) AS tokens, CAST(0 AS BIGINT) AS units, state,
         CAST(CASE WHEN len(prefix) > 0 THEN prefix[len(prefix)] ELSE 1 END AS BIGINT) AS last,
-        false AS eos_top, CAST(0 AS BIGINT) AS nfin, len(prefix) > 0 AS led FROM ({queries_sql}))"""]
+        false AS eos_top, CAST(0 AS BIGINT) AS nfin, len(prefix) > 0 AS led FROM ({queries_sql or QUERIES_SQL}))"""]
     for t in range(1, steps + 1):
         block = f" AND (NOT a.led OR n.token <> {EOS})" if (forced and t == 1) else ""
-        ctes.append(f"""r{t} AS (SELECT a.qid, a.k AS parent, a.tokens, a.score + n.logp AS score, n.token, a.eos_top, a.nfin, a.led,
-        row_number() OVER (PARTITION BY a.qid ORDER BY a.score + n.logp DESC, a.k, n.token) AS rn
-        FROM a{t - 1} a JOIN nk n ON n.state = a.last WHERE a.last <> {EOS}{block})""")
-        ctes.append(f"""f{t} AS (SELECT qid, rn - 1 AS k, list_append(tokens, token) AS tokens, score, token AS last, led,
+        ctes.append(f"""r{t} AS (SELECT a.qid, a.k AS parent, a.tokens, a.units + n.units AS units, n.token, n.goto, a.eos_top, a.nfin, a.led,
+        row_number() OVER (PARTITION BY a.qid ORDER BY a.units + n.units DESC, a.k, n.token) AS rn
+        FROM a{t - 1} a JOIN nk n ON n.state = a.state WHERE a.last <> {EOS}{block})""")
+        ctes.append(f"""f{t} AS MATERIALIZED (SELECT qid, rn - 1 AS k, list_append(tokens, token) AS tokens, units, goto AS state, token AS last, led,
         (eos_top OR bool_or(rn = 1 AND token = {EOS}) OVER (PARTITION BY qid)) AS eos_top,
         nfin + sum(CASE WHEN token = {EOS} THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS nfin
         FROM r{t} WHERE rn <= {beam})""")
         ctes.append(f"a{t} AS (SELECT * FROM f{t} WHERE NOT (eos_top AND nfin >= {beam}))")
-    allf = " UNION ALL ".join(f"SELECT qid, {t} AS step, k, tokens, score, last FROM f{t}" for t in range(1, steps + 1))
-    ctes.append(f"allf AS ({allf})")
-    key = "score" if rank_by == "sum" else "score / (len(tokens) + 1e-6)"
+    allf = " UNION ALL ".join(f"SELECT qid, {t} AS step, k, tokens, units, units * 1e-9 AS score, last FROM f{t}" for t in range(1, steps + 1))
+    ctes.append(f"allf AS MATERIALIZED ({allf})")
+    key = "CAST(units AS DOUBLE)" if rank_by == "sum" else "units / (len(tokens) + 1e-6)"
     ctes.append(f"""fx AS (SELECT *, max(step) OVER (PARTITION BY qid) AS lst,
         sum(CASE WHEN last = {EOS} THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS nf FROM allf)""")
     ctes.append(f"""cand AS (
         SELECT qid, 0 AS grp, {key} AS kk, step, k, tokens, score FROM fx WHERE last = {EOS}
         UNION ALL SELECT qid, 0, {key}, step, k, tokens, score FROM fx WHERE step = lst AND nf = 0 AND k = 0
         UNION ALL SELECT qid, 1, {key}, step, k, tokens, score FROM fx WHERE step = lst AND last <> {EOS})""")
-    ctes.append(f"""fin AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY grp, kk DESC, step, k) - 1 AS rank,
+    ctes.append(f"""fin AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY grp, kk DESC, step, k) - 1 AS BIGINT) AS rank,
         CASE WHEN coalesce(list_position(tokens, {EOS}), 0) > 0 THEN tokens[1:list_position(tokens, {EOS}) - 1]
-             ELSE tokens END AS tokens, score, kk, coalesce(list_position(tokens, {EOS}), 0) > 0 AS fin FROM cand)""")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT qid, CAST(rank AS BIGINT) AS rank, tokens, score, kk AS rank_key FROM fin WHERE rank < {beam}"
-
+             ELSE tokens END AS tokens, score, kk * 1e-9 AS rank_key, coalesce(list_position(tokens, {EOS}), 0) > 0 AS finished FROM cand
+        QUALIFY rank < {keep or beam})""")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT {select}" + ("" if " FROM " in select else " FROM fin")
 
-def _beam_out(df):
-    return _round_all(df.select("qid", "rank", A.ids_text("tokens").alias("tokens"), "score"))
 
+OUT = "qid, rank, array_to_string(tokens, ' ') AS tokens, round({}, 6) AS score"
 
 
-def _beam_out_sql(inner: str) -> str:
-    return f"SELECT qid, rank, array_to_string(tokens, ' ') AS tokens, round(score, 6) AS score FROM ({inner})"
+def _beam_out(df, score="score"):
+    return _round_all(df.select("qid", "rank", A.ids_text("tokens").alias("tokens"), F.col(score).alias("score")))
 
 
 @register("log_softmax_group", f"""
@@ -87,85 +141,73 @@ def log_softmax_group(spark, sf):
 
 @register("topk_candidates", f"""
   SELECT state, token, CAST(r AS BIGINT) AS rank, round(logp, 6) AS logp FROM (
-    SELECT *, row_number() OVER (PARTITION BY state ORDER BY logp DESC, token) AS r FROM ({NEXT_SQL})) WHERE r <= 3""")
+    SELECT *, row_number() OVER (PARTITION BY state ORDER BY units DESC, token) AS r FROM ({NEXT_SQL})) WHERE r <= 3""")
 def topk_candidates(spark, sf):
     """Top-3 successors per state by log-probability (ties by token)."""
     p = D.prune_next(next_table(spark, sf), 3)
-    from pyspark.sql import Window
-    w = Window.partitionBy("state").orderBy(F.desc("logp"), "token")
+    w = Window.partitionBy("state").orderBy(F.desc("units"), "token")
     return _round_all(p.select("state", "token", F.row_number().over(w).cast("bigint").alias("rank"), "logp"))
 
 
-@register("beam_step", f"""
-  WITH nk AS (SELECT state, token, logp FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY logp DESC, token) AS r
-              FROM ({NEXT_SQL})) WHERE r <= {BEAM})
-  SELECT qid, CAST(rn - 1 AS BIGINT) AS k, token, round(score, 6) AS score FROM (
-    SELECT q.qid, n.token, n.logp AS score, row_number() OVER (PARTITION BY q.qid ORDER BY n.logp DESC, n.token) AS rn
-    FROM ({QUERIES_SQL}) q JOIN nk n ON n.state = q.prefix[1]) WHERE rn <= {BEAM}""")
+@register("beam_step", beam_sql(BEAM, 1, select="qid, k, last AS token, round(score, 6) AS score FROM allf"))
 def beam_step(spark, sf):
     """First beam step: expand slot 0 of every query, keep the best 5 (query partitioned)."""
     f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), BEAM, 1)
     return _round_all(f.select("qid", F.col("k").cast("bigint").alias("k"), F.col("last").alias("token"), "score"))
 
 
-@register("beam_search", _beam_out_sql(beam_sql(BEAM, STEPS, False)))
+@register("beam_search", beam_sql(BEAM, STEPS, select=OUT.format("score")))
 def beam_search(spark, sf):
-    """Beam search (width 5, 8 steps) + final n-best assembly per query."""
-    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS)
-    return _beam_out(D.beam_final(f, BEAM))
+    """Beam search (width 5, up to 50 steps) + final n-best assembly per query."""
+    return _beam_out(D.nbest(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS))
 
 
-@register("beam_finish", f"""
-  {beam_sql(12, STEPS, False).rsplit('SELECT qid, CAST(rank', 1)[0]}
-  SELECT qid, CAST(count(*) AS BIGINT) AS n_finished, CAST(min(step) AS BIGINT) AS first_step,
-         round(max(score), 6) AS best_score FROM allf WHERE last = {EOS} GROUP BY qid""")
+@register("beam_finish", beam_sql(WIDE, STEPS, select=f"""qid, CAST(count(*) AS BIGINT) AS n_finished,
+  CAST(min(step) AS BIGINT) AS first_step, round(max(score), 6) AS best_score FROM allf WHERE last = {EOS} GROUP BY qid"""))
 def beam_finish(spark, sf):
     """Finished hypotheses (slot emitted EOS) per query at width 12: count, first step, best score."""
-    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), 12, STEPS)
-    fin = f.where(F.col("last") == EOS)
-    return _round_all(fin.groupBy("qid").agg(F.count(F.lit(1)).cast("bigint").alias("n_finished"),
-                                             F.min("step").cast("bigint").alias("first_step"),
-                                             F.max("score").alias("best_score")))
+    nxt = cut_lineage(next_table(spark, sf))
+    q, starts = D.shared_starts(decode_queries(spark, sf), nxt)
+    fin = D.beam_search(starts, nxt, WIDE, STEPS).where(F.col("last") == EOS).groupBy("qid").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_finished"), F.min("step").cast("bigint").alias("first_step"),
+        F.max("score").alias("best_score"))
+    return _round_all(D.each_query(q, fin).select("qid", "n_finished", "first_step", "best_score"))
 
 
-@register("forced_prefix", _beam_out_sql(beam_sql(BEAM, STEPS, True)))
+@register("forced_prefix", beam_sql(BEAM, STEPS, True, next_sql=CONTEXT_SQL, queries_sql=FORCED_SQL, select=OUT.format("score")))
 def forced_prefix(spark, sf):
-    """Beam search forced to continue the query's first event (EOS blocked at the first free step)."""
-    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS, forced=True)
-    return _beam_out(D.beam_final(f, BEAM))
+    """Beam search forced to continue prefixes of 0 to 10 tokens, over contexts of up to 3 (EOS blocked at the first free step)."""
+    return _beam_out(forced_nbest(spark, sf))
 
 
-@register("avg_logp_rank", _beam_out_sql(beam_sql(12, STEPS, False, "avg")).replace(
-    "round(score, 6) AS score", "round(rank_key, 6) AS score"))
+@register("avg_logp_rank", beam_sql(WIDE, STEPS, False, "avg", select=OUT.format("rank_key"), keep=KEEP))
 def avg_logp_rank(spark, sf):
-    """Width-12 search, n-best ranked by average log-probability per generated token."""
-    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), 12, STEPS)
-    r = D.beam_final(f, 12, rank_by="avg")
-    return _round_all(r.select("qid", "rank", A.ids_text("tokens").alias("tokens"),
-                               F.col("rank_key").alias("score")))
+    """Width-12 search, the 10 best ranked by average log-probability per generated token."""
+    return _beam_out(D.nbest(decode_queries(spark, sf), next_table(spark, sf), WIDE, STEPS, rank_by="avg", keep=KEEP), "rank_key")
 
 
 @register("strip_prefix", f"""
   SELECT b.qid, b.rank, array_to_string(list_concat(q.prefix, b.tokens), ' ') AS whole, array_to_string(CASE
            WHEN len(b.tokens) > 0 THEN b.tokens ELSE q.prefix END, ' ') AS tokens
-  FROM ({beam_sql(BEAM, STEPS, True)}) b JOIN ({QUERIES_SQL}) q ON q.qid = b.qid""")
+  FROM ({beam_sql(BEAM, STEPS, True, next_sql=CONTEXT_SQL, queries_sql=FORCED_SQL)}) b JOIN ({FORCED_SQL}) q ON q.qid = b.qid""")
 def strip_prefix(spark, sf):
     """Prefixed hypotheses (context + forced continuation), and with each query's own context removed when longer."""
-    q = decode_queries(spark, sf)
-    f = D.beam_search(q, next_table(spark, sf), BEAM, STEPS, forced=True)
-    r = D.beam_final(f, BEAM)
-    whole = r.join(q, "qid").select("qid", "rank", F.concat("prefix", "tokens").alias("whole"), F.size("prefix").alias("led"))
+    whole = forced_nbest(spark, sf).select("qid", "rank", F.concat("prefix", "tokens").alias("whole"), F.size("prefix").alias("led"))
     return whole.select("qid", "rank", A.ids_text("whole").alias("whole"),
                         A.ids_text(A.strip_prefix("whole", F.col("led"))).alias("tokens"))
 
 
-@register("pad_hyps", f"""
-  SELECT qid, rank, array_to_string(list_concat(tokens, list_transform(range({STEPS} - len(tokens)), lambda x: CAST(0 AS BIGINT))), ' ') AS padded
-  FROM ({beam_sql(BEAM, STEPS, False)})""")
+@register("context_table", f"""SELECT state, CAST("order" AS INTEGER) AS "order", token, cnt, goto, units FROM ({CONTEXT_SQL})""")
+def context_states(spark, sf):
+    """Successors of every context of up to 3 ids, and the longest known context that each leads to."""
+    return context_table(spark, sf).select("state", "order", "token", "cnt", "goto", "units")
+
+
+@register("pad_hyps", beam_sql(BEAM, STEPS, select=f"""qid, rank, array_to_string(list_concat(tokens,
+  list_transform(range({STEPS} - len(tokens)), lambda x: CAST(0 AS BIGINT))), ' ') AS padded"""))
 def pad_hyps(spark, sf):
     """n-best hypotheses padded with 0 to the maximum length."""
-    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS)
-    r = D.beam_final(f, BEAM)
+    r = D.nbest(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS)
     return r.select("qid", "rank", A.ids_text(A.pad_array("tokens", STEPS, F.lit(0).cast("bigint"))).alias("padded"))
 
 
@@ -180,88 +222,78 @@ def eos_cut(spark, sf):
     return framed.select("qid", A.ids_text(A.eos_cut("t")).alias("ids"))
 
 
-GREEDY_SQL_STEPS = STEPS
+LENGTH_SQL = f"""CAST(CASE WHEN coalesce(list_position(tokens, {EOS}), 0) > 0 THEN list_position(tokens, {EOS}) - 1
+                   ELSE len(list_filter(tokens, lambda x: x <> 0)) END AS BIGINT) AS len"""
 
 
 def greedy_sql(steps: int) -> str:
-    ctes = [f"""best AS (SELECT state, arg_max(token, [logp, -token]) AS token FROM ({NEXT_SQL}) GROUP BY state)""",
-            f"""g0 AS (SELECT qid, CAST([] AS BIGINT[]) AS tokens,
-        CAST(CASE WHEN len(prefix) > 0 THEN prefix[len(prefix)] ELSE 1 END AS BIGINT) AS last FROM ({QUERIES_SQL}))"""]
+    ctes = [f"best AS MATERIALIZED (SELECT state, arg_max(token, [units, -token]) AS token FROM ({NEXT_SQL}) GROUP BY state)",
+            f"g0 AS (SELECT qid, CAST([] AS BIGINT[]) AS tokens, CAST(state AS BIGINT) AS last FROM ({QUERIES_SQL}))"]
     for t in range(1, steps + 1):
         ctes.append(f"""g{t} AS (SELECT g.qid,
           list_append(g.tokens, CAST(CASE WHEN g.last IN ({EOS}, 0) OR b.token IS NULL THEN 0 ELSE b.token END AS BIGINT)) AS tokens,
           CAST(CASE WHEN g.last IN ({EOS}, 0) OR b.token IS NULL THEN 0 ELSE b.token END AS BIGINT) AS last
           FROM g{t - 1} g LEFT JOIN best b ON b.state = g.last)""")
-    return "WITH " + ",\n".join(ctes) + f"""
-  SELECT qid, array_to_string(tokens, ' ') AS tokens,
-         CAST(CASE WHEN coalesce(list_position(tokens, {EOS}), 0) > 0 THEN list_position(tokens, {EOS}) - 1
-                   ELSE len(list_filter(tokens, lambda x: x <> 0)) END AS BIGINT) AS len FROM g{steps}"""
+    return "WITH " + ",\n".join(ctes) + f" SELECT qid, array_to_string(tokens, ' ') AS tokens, {LENGTH_SQL} FROM g{steps}"
 
 
 @register("greedy_decode", greedy_sql(STEPS))
 def greedy_decode(spark, sf):
-    """Greedy decoding for 8 steps from each query's first event; length counts tokens before EOS."""
+    """Greedy decoding for 50 steps from SOS or each query's prefix; length counts tokens before EOS."""
     g = D.greedy_decode(decode_queries(spark, sf), next_table(spark, sf), STEPS)
     return g.select("qid", A.ids_text("tokens").alias("tokens"), "len")
 
 
 def sample_sql(steps: int, seed: int = 42) -> str:
-    u = ("((CAST(('0x' || substr(md5('{seed}:' || CAST(g.qid AS VARCHAR) || ':' || '{step}' || ':' || CAST(n.token AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)")
-    ctes = [f"g0 AS (SELECT qid, CAST([] AS BIGINT[]) AS tokens, CAST(CASE WHEN len(prefix) > 0 THEN prefix[len(prefix)] ELSE 1 END AS BIGINT) AS last FROM ({QUERIES_SQL}))",
-            f"nt AS ({NEXT_SQL})"]
+    """The same draws, each met with the interval of counts that holds it."""
+    ctes = [f"""iv AS MATERIALIZED (SELECT state, token, sum(cnt) OVER (PARTITION BY state ORDER BY token) - cnt AS lo,
+              sum(cnt) OVER (PARTITION BY state ORDER BY token) AS hi, sum(cnt) OVER (PARTITION BY state) AS total FROM ({NEXT_SQL}))""",
+            "tot AS MATERIALIZED (SELECT DISTINCT state, total FROM iv)",
+            f"g0 AS (SELECT qid, CAST([] AS BIGINT[]) AS tokens, CAST(state AS BIGINT) AS last FROM ({QUERIES_SQL}))"]
     for t in range(steps):
-        uu = u.format(seed=seed, step=t)
-        ctes.append(f"""d{t} AS (SELECT g.qid, g.tokens, g.last,
-            arg_max(n.token, [n.logp - ln(-ln({uu})), -n.token]) AS d
-            FROM g{t} g LEFT JOIN nt n ON n.state = g.last GROUP BY g.qid, g.tokens, g.last)""")
-        ctes.append(f"""g{t + 1} AS (SELECT qid, list_append(tokens, CAST(CASE WHEN last IN ({EOS}, 0) OR d IS NULL THEN 0 ELSE d END AS BIGINT)) AS tokens,
-            CAST(CASE WHEN last IN ({EOS}, 0) OR d IS NULL THEN 0 ELSE d END AS BIGINT) AS last FROM d{t})""")
-    return "WITH " + ",\n".join(ctes) + f"""
-  SELECT qid, array_to_string(tokens, ' ') AS tokens,
-         CAST(CASE WHEN coalesce(list_position(tokens, {EOS}), 0) > 0 THEN list_position(tokens, {EOS}) - 1
-                   ELSE len(list_filter(tokens, lambda x: x <> 0)) END AS BIGINT) AS len FROM g{steps}"""
+        u = f"CAST(('0x' || substr(md5('{seed}:' || CAST(g.qid AS VARCHAR) || ':{t}'), 1, 13)) AS BIGINT) % tot.total"
+        ctes.append(f"d{t} AS (SELECT g.*, {u} AS r FROM g{t} g LEFT JOIN tot ON tot.state = g.last)")
+        tok = f"CAST(CASE WHEN last IN ({EOS}, 0) OR iv.token IS NULL THEN 0 ELSE iv.token END AS BIGINT)"
+        ctes.append(f"""g{t + 1} AS MATERIALIZED (SELECT qid, list_append(tokens, {tok}) AS tokens, {tok} AS last
+            FROM d{t} d LEFT JOIN iv ON iv.state = d.last AND d.r >= iv.lo AND d.r < iv.hi)""")
+    return "WITH " + ",\n".join(ctes) + f" SELECT qid, array_to_string(tokens, ' ') AS tokens, {LENGTH_SQL} FROM g{steps}"
 
 
 @register("sample_decode", sample_sql(STEPS))
 def sample_decode(spark, sf):
-    """Sampled decoding (seeded Gumbel-max over the successor distribution), 8 steps."""
-    g = D.sample_decode(decode_queries(spark, sf), next_table(spark, sf), STEPS)
+    """Sampled decoding (one seeded draw and one looked-up cell of the successor counts a step), 50 steps."""
+    g = D.sample_decode(decode_queries(spark, sf), cut_lineage(next_table(spark, sf)), STEPS)
     return g.select("qid", A.ids_text("tokens").alias("tokens"), "len")
 
 
 @register("nbest_predict", f"""
   SELECT b.qid, b.rank, array_to_string(list_transform(b.tokens, lambda x: v.tok[x + 1]), ' ') AS text
-  FROM ({beam_sql(BEAM, STEPS, False)}) b,
-       (SELECT list(token ORDER BY id) AS tok FROM (SELECT id, max(token) AS token FROM
-          {__import__('seqforge.plans.catalog_seq', fromlist=['x']).EVENT_VOCAB_SQL} GROUP BY id)) v""")
+  FROM ({beam_sql(BEAM, STEPS)}) b,
+       (SELECT list(token ORDER BY id) AS tok FROM (SELECT id, max(token) AS token FROM {EVENT_VOCAB_SQL} GROUP BY id)) v""")
 def nbest_predict(spark, sf):
     """Batch n-best: k decoded texts per query (ids mapped back to event names)."""
-    from seqforge.plans.catalog_seq import event_vocab
-    from seqforge.operators.vocab import invert_vocab
-    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS)
-    r = D.beam_final(f, BEAM).select("qid", "rank", F.posexplode_outer("tokens").alias("pos", "id"))
-    inv = invert_vocab(event_vocab(spark, sf))
-    j = r.join(inv, "id", "left")
+    r = D.nbest(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS)
+    r = r.select("qid", "rank", F.posexplode_outer("tokens").alias("pos", "id"))
+    j = r.join(V.invert_vocab(event_vocab(spark, sf)), "id", "left")
     g = j.groupBy("qid", "rank").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
     return g.select("qid", "rank", F.array_join(F.transform("s", lambda x: x["token"]), " ").alias("text"))
 
 
-@register("beam_final", _beam_out_sql(beam_sql(12, STEPS, False)))
+@register("beam_final", beam_sql(WIDE, STEPS, select=OUT.format("score")))
 def beam_final(spark, sf):
     """Final n-best at width 12: finished by score, topped up with unfinished slots."""
-    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), 12, STEPS)
-    return _beam_out(D.beam_final(f, 12))
+    return _beam_out(D.nbest(decode_queries(spark, sf), next_table(spark, sf), WIDE, STEPS))
 
 
-@register("backtrace", f"""
-  SELECT qid, rank, array_to_string(tokens, ' ') AS tokens FROM ({beam_sql(12, STEPS, False)})""")
+@register("backtrace", beam_sql(WIDE, STEPS, select="qid, rank, array_to_string(tokens, ' ') AS tokens"))
 def backtrace(spark, sf):
-    """Hypotheses rebuilt from parent pointers (iterated equi-joins), EOS cut: must equal
+    """Hypotheses rebuilt from parent pointers (pointer doubling), EOS cut: must equal
     the carried token arrays of the same search."""
-    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), 12, STEPS)
-    finals = D.beam_final(f, 12)
-    b = D.backtrace(f, finals, STEPS)
-    return b.select("qid", "rank", A.ids_text(A.eos_cut("tokens")).alias("tokens"))
+    nxt = cut_lineage(next_table(spark, sf))
+    q, starts = D.shared_starts(decode_queries(spark, sf), nxt)
+    f = D.beam_search(starts, nxt, WIDE, STEPS)
+    b = cut_lineage(D.backtrace(f, D.beam_final(f, WIDE), STEPS))
+    return D.each_query(q, b).select("qid", "rank", A.ids_text(A.eos_cut("tokens")).alias("tokens"))
 
 
 @register("filter_pad", f"""
@@ -273,92 +305,73 @@ def filter_pad(spark, sf):
 
 
 # ------------------------------------------------------------------ word-level decoding over documents
-WORD_STEPS = 6
-
-
 def word_inputs(spark, sf):
-    """Documents as framed word ids (<s> w1 .. wn </s>) in the capped document vocabulary
-    (unknown -> UNK): returns (ids(doc_id, pos, id), queries(qid, prefix)).
-
-    The vocabulary is materialised once in the checkpoint folder
-    and broadcast if its count allows; the exploded corpus is partitioned by doc_id once."""
-    from seqforge.functions.text import tokens_ws
-    from seqforge.operators import vocab as V
-    from seqforge.operators.joins import checked_broadcast
-    from seqforge.plans import fixtures as fx
-    from seqforge.session import cut_lineage
+    """Documents as framed word ids (<s> w1 .. wn </s>) in the document vocabulary: (ids(doc_id, pos, id), queries(qid, prefix));
+    a query's prefix is the document's first ``doc_id % 3`` words.
+
+    The exploded corpus is cut and looked up once and read from the shared folder afterwards."""
     d = fx.table(spark, sf, "documents").select("doc_id", tokens_ws(F.lower("text")).alias("tokens"))
-    v = cut_lineage(V.build_vocab(d, "tokens").select("token", "id"))
-    look = checked_broadcast(v)
-    framed = F.concat(F.array(F.lit("<s>")), F.col("tokens"), F.array(F.lit("</s>")))
-    ex = d.repartition("doc_id").select("doc_id", F.posexplode(framed).alias("pos", "token"))
-    ids = ex.join(look, "token", "left").select("doc_id", "pos", F.coalesce("id", F.lit(A.UNK_ID)).alias("id"))
-    first = d.select("doc_id", F.coalesce(F.element_at("tokens", 1), F.lit("</s>")).alias("token"))
-    queries = first.join(look, "token", "left").select(
-        F.col("doc_id").alias("qid"), F.array(F.coalesce("id", F.lit(A.UNK_ID))).alias("prefix"))
+    words = cut_lineage(d.select("doc_id", F.posexplode_outer("tokens").alias("pos", "token")))
+    look = checked_broadcast(cut_lineage(V.build_vocab(words.where("token IS NOT NULL"), "token").select("token", "id")))
+    ids = cut_lineage(words.join(look, "token", "left").select("doc_id", "pos", "id").repartition("doc_id"))
+    first = F.collect_list(F.when(F.col("pos") < F.col("doc_id") % 3, F.struct("pos", "id")))
+    queries = ids.groupBy(F.col("doc_id").alias("qid")).agg(F.array_sort(first).alias("s")).select(
+        "qid", F.transform("s", lambda x: x["id"]).alias("prefix"))
     return ids, queries
 
 
 def word_next_table(ids):
     """Bigram successor table over the whole documents (window per document: one row's words)."""
-    from pyspark.sql import Window
     w = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = ids.select("doc_id", F.col("id").alias("input_id"), F.lead("id").over(w).alias("label_id")) \
-               .where(F.col("label_id").isNotNull())
+    sos, eos = (F.lit(x).cast("bigint") for x in (A.SOS_ID, EOS))
+    x = ids.select("id", F.coalesce(F.lag("id").over(w), sos).alias("before"), F.lead("id").over(w).isNull().alias("ends"))
+    pair = F.struct(F.col("before").alias("input_id"), F.coalesce("id", eos).alias("label_id"))      # a document without words has one row
+    end = F.struct(F.col("id").alias("input_id"), eos.alias("label_id"))
+    pairs = x.select(F.inline(F.when(F.col("ends") & F.col("id").isNotNull(), F.array(pair, end)).otherwise(F.array(pair))))
     return D.next_token_table(pairs, "input_id", "label_id")
 
 
 def _word_sqls():
-    from seqforge.plans.catalog_seq import DOC_TOKENS_SQL, DOC_VOCAB_SQL
     ids = f"""SELECT t.doc_id, t.pos, CAST(coalesce(v.id, 3) AS BIGINT) AS id FROM (
         SELECT doc_id, unnest(list_concat(['<s>'], tokens, ['</s>'])) AS token,
                generate_subscripts(list_concat(['<s>'], tokens, ['</s>']), 1) - 1 AS pos FROM ({DOC_TOKENS_SQL})) t
         LEFT JOIN {DOC_VOCAB_SQL} v USING (token)"""
-    nxt = f"""SELECT state, token, ln(CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY state)) AS logp FROM (
+    nxt = f"""SELECT *, token AS goto, CAST(round(ln(CAST(cnt AS DOUBLE) / total) * 1e9) AS BIGINT) AS units FROM (
+        SELECT state, token, cnt, sum(cnt) OVER (PARTITION BY state) AS total FROM (
         SELECT input_id AS state, label_id AS token, count(*) AS cnt FROM (
           SELECT id AS input_id, lead(id) OVER (PARTITION BY doc_id ORDER BY pos) AS label_id FROM ({ids}))
-        WHERE label_id IS NOT NULL GROUP BY 1, 2)"""
-    qs = f"SELECT doc_id AS qid, [id] AS prefix FROM ({ids}) WHERE pos = 1"
+        WHERE label_id IS NOT NULL GROUP BY 1, 2))"""
+    qs = f"""SELECT qid, prefix, CASE WHEN len(prefix) > 0 THEN prefix[len(prefix)] ELSE 1 END AS state FROM (
+        SELECT doc_id AS qid, coalesce(list(id ORDER BY pos) FILTER (pos BETWEEN 1 AND doc_id % 3 AND id <> {EOS}), []) AS prefix
+        FROM ({ids}) GROUP BY doc_id)"""
     return nxt, qs
 
 
 _WN, _WQ = _word_sqls()
 
 
-@register("beam_search_words", _beam_out_sql(beam_sql(BEAM, WORD_STEPS, False, next_sql=_WN, queries_sql=_WQ)))
+@register("beam_search_words", beam_sql(BEAM, STEPS, next_sql=_WN, queries_sql=_WQ, select=OUT.format("score")))
 def beam_search_words(spark, sf):
-    """Word-level beam search (width 5, 6 rounds) for every document, conditioned on its first
-    word, over the bigram table of the whole corpus (up to 10,000 states)."""
+    """Word-level beam search (width 5, up to 50 rounds) for every document, from SOS or its first
+    one or two words, over the bigram table of the whole corpus."""
     ids, queries = word_inputs(spark, sf)
-    f = D.beam_search(queries, word_next_table(ids), BEAM, WORD_STEPS)
-    return _beam_out(D.beam_final(f, BEAM))
+    return _beam_out(D.nbest(queries, cut_lineage(word_next_table(ids)), BEAM, STEPS))
 
 
 # ------------------------------------------------------------------ n-best evaluation end to end
-def _ivocab_sql():
-    from seqforge.plans.catalog_seq import EVENT_VOCAB_SQL
-    return f"(SELECT list(token ORDER BY id) AS tok FROM (SELECT id, max(token) AS token FROM {EVENT_VOCAB_SQL} GROUP BY id))"
+_IVOCAB_SQL = f"(SELECT list(token ORDER BY id) AS tok FROM (SELECT id, max(token) AS token FROM {EVENT_VOCAB_SQL} GROUP BY id))"
 
 
 def _nbest_eval_sql() -> str:
-    beam = beam_sql(BEAM, STEPS, False)
-    iv = _ivocab_sql()
     gold = f"""SELECT f.seq_id AS qid, array_to_string(list_transform(
                  CASE WHEN coalesce(list_position(nz, 2), 0) > 0 THEN nz[1:list_position(nz, 2)] ELSE nz END,
                  lambda x: v.tok[x + 1]), ' ') AS ref
-               FROM (SELECT seq_id, list_filter(framed, lambda x: x <> 0) AS nz FROM ({FRAMED_SQL})) f, {iv} v"""
+               FROM (SELECT seq_id, list_filter(framed, lambda x: x <> 0) AS nz FROM ({FRAMED_SQL})) f, {_IVOCAB_SQL} v"""
+    beam = beam_sql(BEAM, STEPS, select="qid, rank, tokens, finished")
     samples = f"""SELECT b.qid, b.rank AS r_id, array_to_string(list_transform(
-                    CASE WHEN b.fin THEN list_append(b.tokens, CAST(2 AS BIGINT)) ELSE b.tokens END,
+                    CASE WHEN b.finished THEN list_append(b.tokens, CAST(2 AS BIGINT)) ELSE b.tokens END,
                     lambda x: v.tok[x + 1]), ' ') AS hyp
-                  FROM (SELECT qid, rank, tokens, fin FROM ({beam.replace(
-                      'SELECT qid, CAST(rank AS BIGINT) AS rank, tokens, score FROM fin',
-                      'SELECT qid, CAST(rank AS BIGINT) AS rank, tokens, score, fin FROM fin')})) b, {iv} v"""
-    return gold, samples
-
-
-def _nbest_eval_sql_full() -> str:
-    gold, samples = _nbest_eval_sql()
-    from seqforge.plans import sqlgen as sg
+                  FROM ({beam}) b, {_IVOCAB_SQL} v"""
     pairs = (f"SELECT CAST(s.qid AS VARCHAR) || ':' || CAST(s.r_id AS VARCHAR) AS seg, s.hyp, g.ref "
              f"FROM ({samples}) s JOIN ({gold}) g USING (qid)")
     stats = sg.pair_stats(pairs, sg.tokens_space("hyp"), sg.tokens_space("ref"))
@@ -372,26 +385,20 @@ def _nbest_eval_sql_full() -> str:
 def nbest_eval_frames(spark, sf):
     """(qid, r_id, hyp, ref): decoded n-best samples (EOS kept when finished) and the decoded
     gold row (only PAD skipped, so SOS and EOS stay) of every event sequence."""
-    from seqforge.operators import vocab as V
-    from seqforge.plans.catalog_seq import event_vocab
     vocab = event_vocab(spark, sf)
     e = encoded(spark, sf)
     gold = V.decode_ids(e.select("seq_id", A.frame_sos_eos_pad("ids", 50).alias("framed")), "seq_id", "framed", vocab) \
         .select(F.col("seq_id").alias("qid"), F.col("text").alias("ref"))
-    f = D.beam_search(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS)
-    nb = D.beam_final(f, BEAM).select(
-        "qid", F.col("rank").alias("r_id"),
-        F.when(F.col("finished"), F.concat("tokens", F.array(F.lit(EOS).cast("bigint")))).otherwise(F.col("tokens"))
-        .alias("ids"))
-    nb = nb.select(F.struct("qid", "r_id").alias("k"), "ids")
+    nb = D.nbest(decode_queries(spark, sf), next_table(spark, sf), BEAM, STEPS).select(
+        F.struct("qid", F.col("rank").alias("r_id")).alias("k"),
+        F.when(F.col("finished"), F.concat("tokens", F.array(F.lit(EOS).cast("bigint")))).otherwise(F.col("tokens")).alias("ids"))
     dec = V.decode_ids(nb, "k", "ids", vocab, ignore_tok=-1)
     samples = dec.select(F.col("k.qid").alias("qid"), F.col("k.r_id").alias("r_id"), F.col("text").alias("hyp"))
     return samples.join(gold, "qid")
 
 
-@register("nbest_eval", _nbest_eval_sql_full())
+@register("nbest_eval", _nbest_eval_sql())
 def nbest_eval(spark, sf):
     """n-best evaluation end to end: decode gold and samples, per-query max/mean sentence
     BLEU over space tokens, then recall/precision BLEU and F1."""
-    from seqforge.operators import bleu as B
     return _round_all(B.recall_prec_f1(B.sim_bleu(nbest_eval_frames(spark, sf))))

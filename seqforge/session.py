@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +67,46 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """The rounds of an iteration as numbered tables in the shared folder.
+
+    A round counts once Spark has committed its table (the ``_SUCCESS`` file), so the folder itself is the manifest: a
+    run under the ``name`` of a killed one finds the finished rounds and goes on after them. :meth:`finish` writes
+    the result and removes the rounds.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None):
+        self.spark = spark
+        self.top = f"{checkpoint_dir(spark).rstrip('/')}/rounds-{name or uuid.uuid4().hex}"
+
+    def _at(self, round_: int | str) -> str:
+        return f"{self.top}/{round_ if isinstance(round_, str) else f'{round_:05d}'}"
+
+    def _path(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def has(self, round_: int | str) -> bool:
+        path, fs = self._path(f"{self._at(round_)}/_SUCCESS")
+        return fs.exists(path)
+
+    def read(self, *rounds: int | str) -> DataFrame:
+        return self.spark.read.parquet(*map(self._at, rounds))
+
+    def once(self, round_: int | str, make) -> DataFrame:
+        """The round's table, made by ``make()`` unless an earlier run has finished it."""
+        if not self.has(round_):
+            make().write.mode("overwrite").parquet(self._at(round_))
+        return self.read(round_)
+
+    def drop(self, *rounds: int | str) -> None:
+        for r in rounds:
+            path, fs = self._path(self._at(r))
+            fs.delete(path, True)
+
+    def finish(self, result: DataFrame, rounds: range) -> DataFrame:
+        out = self.once("result", lambda: result)
+        self.drop(*rounds)
+        return out
