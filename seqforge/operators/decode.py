@@ -1,7 +1,6 @@
 """Decoding re-aimed as table operators over a next-token table ``next(state, token, logp)``.
 
-A decoding round is frontier JOIN next (broadcast if its count allows) followed by a per-query top-k window. What
-follows depends on the start state alone, so queries that start in the same state share one search.
+A decoding step is frontier JOIN next (broadcast if its count allows) followed by a per-query top-k. What follows depends on the start state alone, so queries that start in the same state share one search.
 
 Log-probabilities are added as whole numbers (units of 1e-9): sums do not depend on their order, so hypotheses of equal
 probability tie in every engine and at every partitioning, and ties go by parent slot and token.
@@ -65,16 +64,17 @@ def prune_next(nxt: DataFrame, k: int) -> DataFrame:
 
 
 def beam_search(queries: DataFrame, nxt: DataFrame, beam: int, max_len: int, eos: int = 2, sos: int = 1,
-                forced: bool = False, run: str | None = None) -> DataFrame:
+                forced: bool = False, run: str | None = None, per_round: int = 4) -> DataFrame:
     """Beam search over a next-token table, one query per row.
 
     queries: (qid, prefix array<bigint>[, state]) -- the prefix is forced first when ``forced``
     (its score is ignored and EOS is blocked at the first free step of a query that has one).
 
-    Every round: live slots JOIN the pruned table (broadcast if its count allows) -> per-query top-``beam`` by (score desc,
-    parent slot, token). EOS slots get no children; a query stops once slot 0 was EOS
-    at some step and at least ``beam`` hypotheses finished, and the search once no query is live. Rounds are written to
-    the shared folder; a run under the same name ``run`` goes on after the last finished round (see Rounds).
+    Every step: live slots JOIN the pruned table (broadcast if its count allows) -> per query the best ``beam`` by (score desc,
+    parent slot, token) of at most beam x beam candidates. EOS slots get no children; a query stops once slot 0 was EOS
+    at some step and at least ``beam`` hypotheses finished, and the search once no query is live. A round takes
+    ``per_round`` steps, which need no shuffle but the first, and is written to the shared folder; a run under
+    the same name ``run`` goes on after the last finished round (see Rounds).
 
     Returns all frontiers: (qid, step, k, parent, tokens, units, score, last).
     """
@@ -83,39 +83,55 @@ def beam_search(queries: DataFrame, nxt: DataFrame, beam: int, max_len: int, eos
         return rounds.read("result")
     width = beam + (1 if forced else 0)
     # the pruned table is bounded by states x width and read by every round: it is written once
-    nk = checked_broadcast(rounds.once("next", lambda: prune_next(_moves(nxt), width)).withColumnRenamed("state", "_state"))
+    nk = checked_broadcast(rounds.once("next", lambda: prune_next(_moves(nxt), width)).select(
+        F.col("state").alias("_state"), "token", F.col("units").alias("_units"), "goto"))
     start = F.when(F.size("prefix") > 0, F.element_at("prefix", -1)).otherwise(F.lit(sos)).cast("bigint")
+    none = F.array().cast("array<bigint>")
     front = _started(queries, nxt, sos).select(
-        "qid", F.lit(0).alias("k"), F.array().cast("array<bigint>").alias("tokens"), F.lit(0).cast("bigint").alias("units"), "state",
-        start.alias("last"), F.lit(False).alias("eos_top"), F.lit(0).cast("bigint").alias("nfin"), (F.size("prefix") > 0).alias("led"))
-    wq = Window.partitionBy("qid")
-    wr = wq.orderBy(F.desc("units"), "parent", "token")
-
-    def advance(live: DataFrame, t: int) -> DataFrame:
-        cand = live.join(nk, live["state"] == nk["_state"]).select(
-            "qid", F.col("k").alias("parent"), "tokens", (live["units"] + nk["units"]).alias("units"),
-            "token", "goto", "eos_top", "nfin", "led")
+        "qid", (F.size("prefix") > 0).alias("led"), F.lit(False).alias("eos_top"), F.lit(0).alias("nfin"),
+        F.array(F.struct(F.lit(0).cast("bigint").alias("units"), start.alias("last"), "state", none.alias("tokens"))).alias("slots"))
+    seen = "array<struct<step: int, k: int, parent: int, tokens: array<bigint>, units: bigint, last: bigint>>"
+    done = F.col("eos_top") & (F.col("nfin") >= beam)
+
+    def advance(front: DataFrame, t: int) -> DataFrame:
+        """One step of every query: a row a query before and after, a row a candidate in between."""
+        x = front.select("qid", "led", "eos_top", "nfin", "hist", F.posexplode_outer("slots").alias("k", "s"))
+        x = x.select("qid", "led", "eos_top", "nfin", "k", "s", F.when(F.coalesce("k", F.lit(0)) == 0, F.col("hist")).alias("hist"),
+                     F.when(~done & (F.col("s.last") != eos), F.col("s.state")).alias("_at"))
+        j = x.join(nk, F.col("_at") == F.col("_state"), "left")
+        open_ = F.col("token").isNotNull()
         if t == 1 and forced:       # only what follows a prefix may not end at once
-            cand = cand.where(~F.col("led") | (F.col("token") != eos))
-        ranked = cand.withColumn("_rn", F.row_number().over(wr)).where(F.col("_rn") <= beam)
-        return ranked.select(
-            "qid", F.lit(t).alias("step"), (F.col("_rn") - 1).alias("k"), "parent", "led",
-            F.concat("tokens", F.array("token")).alias("tokens"), "units",
-            F.col("token").alias("last"), F.col("goto").alias("state"),
-            (F.col("eos_top") | F.max((F.col("_rn") == 1) & (F.col("token") == eos)).over(wq)).alias("eos_top"),
-            (F.col("nfin") + F.sum((F.col("token") == eos).cast("bigint")).over(wq)).alias("nfin"))
-
-    done = 0
-    for t in range(1, max_len + 1):
-        live = front.where(F.col("last") != eos)
-        if t > 1 and live.isEmpty():
+            open_ &= ~F.col("led") | (F.col("token") != eos)
+        cand = F.when(open_, F.struct((-F.col("s.units") - F.col("_units")).alias("minus"), F.col("k").alias("parent"), "token", "goto",
+                                      F.concat("s.tokens", F.array("token")).alias("tokens")))
+        best = F.slice(F.array_sort(F.collect_list(cand)), 1, beam)
+        g = j.groupBy("qid").agg(F.first("led").alias("led"), F.first("eos_top").alias("eos_top"), F.first("nfin").alias("nfin"),
+                                 F.first("hist", True).alias("hist"), best.alias("best"))
+        now = F.transform("best", lambda c, i: F.struct(F.lit(t).alias("step"), i.alias("k"), c["parent"].alias("parent"), c["tokens"].alias(
+            "tokens"), (-c["minus"]).alias("units"), c["token"].alias("last"))).cast(seen)
+        return g.select(
+            "qid", "led", (F.col("eos_top") | F.coalesce(F.get("best", F.lit(0))["token"] == eos, F.lit(False))).alias("eos_top"),
+            (F.col("nfin") + F.size(F.filter("best", lambda c: c["token"] == eos))).alias("nfin"),
+            F.transform("best", lambda c: F.struct((-c["minus"]).alias("units"), c["token"].alias("last"), c["goto"].alias("state"),
+                                                   c["tokens"].alias("tokens"))).alias("slots"),
+            F.concat("hist", now).alias("hist"))
+
+    def steps_from(front: DataFrame, first: int) -> DataFrame:
+        front = front.withColumn("hist", F.array().cast(seen)).repartition("qid")
+        for t in range(first, min(first + per_round, max_len + 1)):
+            front = advance(front, t)
+        return front
+
+    made = 0
+    for first in range(1, max_len + 1, per_round):
+        if made and front.isEmpty():
             break
-        new = rounds.once(t, lambda: advance(live, t))
-        front = new.where(~(F.col("eos_top") & (F.col("nfin") >= beam)))
-        done = t
-    out = rounds.read(*range(1, done + 1)).select(
+        made += 1
+        front = (rounds.once(made, lambda: steps_from(front, first)).drop("hist")
+                 .where(~done & F.exists("slots", lambda s: s["last"] != eos)))
+    out = rounds.read(*range(1, made + 1)).select("qid", F.inline("hist")).select(
         "qid", "step", "k", "parent", "tokens", "units", (F.col("units") * F.lit(UNIT)).alias("score"), "last")
-    return rounds.finish(out, range(1, done + 1))
+    return rounds.finish(out, range(1, made + 1))
 
 
 def beam_final(fronts: DataFrame, beam: int, eos: int = 2, rank_by: str = "sum", keep: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import uuid
 from collections import Counter
 
 import pytest
@@ -105,7 +106,8 @@ def chain(spark):
 
 def test_killed_run_goes_on_from_its_last_round(spark, monkeypatch):
     q = spark.createDataFrame([(0, [4]), (1, [])], "qid long, prefix array<bigint>")
-    whole = sorted(D.beam_search(q, chain(spark), 3, 9, run="test-whole").collect(), key=str)
+    name = f"test-{uuid.uuid4().hex}"                 # the shared folder may outlive the session
+    whole = sorted(D.beam_search(q, chain(spark), 3, 9, run=f"{name}-whole", per_round=4).collect(), key=str)
     made, real = [], session.Rounds.once
 
     def once(self, round_, make):
@@ -118,10 +120,10 @@ def test_killed_run_goes_on_from_its_last_round(spark, monkeypatch):
 
     monkeypatch.setattr(session.Rounds, "once", once)
     with pytest.raises(KeyboardInterrupt):
-        D.beam_search(q, chain(spark), 3, 9, run="test-killed")
-    rounds = session.Rounds(spark, "test-killed")
+        D.beam_search(q, chain(spark), 3, 9, run=f"{name}-killed", per_round=1)
+    rounds = session.Rounds(spark, f"{name}-killed")
     assert rounds.has(5) and not rounds.has(6)
-    again = sorted(D.beam_search(q, chain(spark), 3, 9, run="test-killed").collect(), key=str)
+    again = sorted(D.beam_search(q, chain(spark), 3, 9, run=f"{name}-killed", per_round=1).collect(), key=str)
     assert again == whole and made == ["next", 1, 2, 3, 4, 5, 6, 6, 7, 8, 9, "result"]
     assert rounds.has("result") and not any(rounds.has(k) for k in range(1, 10))          # superseded rounds are gone
 
