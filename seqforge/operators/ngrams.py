@@ -1,8 +1,9 @@
 """n-gram statistics as exploded rows + hash aggregation.
 
-The n-gram key is the order ``n`` plus the tokens joined by ``\\u0001``
-(tokens never hold control characters). All counting is done by Spark
-aggregations with map-side partial combine; no in-row quadratic matching.
+Where the n-grams themselves are wanted the key is the order ``n`` plus the tokens joined by ``\\u0001``
+(tokens never hold control characters). BLEU statistics only ask which n-grams are equal: there a key is
+two 64-bit hashes of different seeds, so that rows have a fixed width and Spark aggregates them in compiled hash
+maps. All counting is done by Spark aggregations with map-side partial combine; no in-row quadratic matching.
 """
 
 from __future__ import annotations
@@ -22,11 +23,32 @@ def _tagger(n: int, *extra):
     return tag
 
 
-def _gram_structs(tokens: Column, max_n: int, h: int, r: int) -> Column:
-    """Array of struct(n, gram, h, r) over all orders 1..max_n."""
-    ladder = ngram_ladder(tokens, max_n)
-    return F.concat(*[F.transform(ladder[n - 1], _tagger(n, F.lit(h).alias("h"), F.lit(r).alias("r")))
-                      for n in range(1, max_n + 1)])
+def _token_hashes(tokens: Column, seed: int) -> Column:
+    """A 64-bit hash of every token; a null array counts as empty."""
+    t = F.coalesce(tokens, F.array().cast("array<string>"))
+    return F.transform(t, lambda x: F.xxhash64(F.lit(seed), x))
+
+
+def _key_rows(df: DataFrame, cols: list[str], sides: list[str], max_n: int) -> DataFrame:
+    """cols + (side, n, a, b): one row per n-gram occurrence of the token arrays ``sides``; a row without any token gives
+    one row of n = 0.
+
+    The hashes of all sides lie in one array that is exploded by position; a position reads its n-grams straight from
+    the array. So everything from the arrays to the partial counts is one compiled stage without arrays of n-grams.
+    """
+    x = df.select(*cols, *[F.size(F.coalesce(F.col(s), F.array().cast("array<string>"))).alias(f"_n{k}") for k, s in enumerate(sides)],
+                  *[F.concat(*[_token_hashes(F.col(s), seed) for s in sides]).alias(h) for seed, h in ((0, "_a"), (1, "_b"))])
+    x = x.select("*", F.posexplode_outer("_a").alias("_i", "_x"))
+    end, side = F.col("_n0"), F.lit(0)
+    for k in range(1, len(sides)):
+        side = F.when(F.col("_i") < end, side).otherwise(k)
+        end = F.when(F.col("_i") < end, end).otherwise(end + F.col(f"_n{k}"))
+    keys = []
+    for n in range(1, max_n + 1):
+        here = F.when(F.col("_i") + n <= end, F.lit(n))
+        keys.append(F.when(F.col("_i").isNull(), F.lit(0)).otherwise(here) if n == 1 else here)
+        keys += [F.xxhash64(F.lit(n), *[F.get(h, F.col("_i") + k) for k in range(n)]) for h in ("_a", "_b")]
+    return x.select(*cols, side.alias("side"), F.stack(F.lit(max_n), *keys).alias("n", "a", "b")).where("n IS NOT NULL")
 
 
 def explode_ngrams(df: DataFrame, key_cols: list[str], tokens: str, max_n: int = MAX_N) -> DataFrame:
@@ -65,16 +87,11 @@ def pair_stats(pairs: DataFrame, seg: str, hyp: str, ref: str, max_n: int = MAX_
     p = pairs.select(F.col(seg).alias("seg"), F.col(hyp).alias("_h"), F.col(ref).alias("_r"))
     if colocate:
         p = p.repartition("seg")
-    # one sentinel row per pair (n = 0) carries the lengths and keeps empty pairs
-    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"),
-                                F.size("_h").alias("h"), F.size("_r").alias("r")))
-    rows = p.select("seg", F.inline(F.concat(sentinel, _gram_structs(F.col("_h"), max_n, 1, 0),
-                                             _gram_structs(F.col("_r"), max_n, 0, 1))))
-    per_gram = rows.groupBy("seg", "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return (per_gram.groupBy("seg")
-            .agg(F.max(F.when(F.col("n") == 0, F.col("h"))).cast("bigint").alias("c"),
-                 F.max(F.when(F.col("n") == 0, F.col("r"))).cast("bigint").alias("r"),
-                 *[F.sum(F.when(F.col("n") == k, F.least("h", "r")).otherwise(0)).cast("bigint").alias(f"m{k}")
+    size = [F.size(F.coalesce(c, F.array().cast("array<string>"))).cast("bigint").alias(n) for c, n in ((F.col("_h"), "c"), (F.col("_r"), "r"))]
+    rows = _key_rows(p.select("*", *size), ["seg", "c", "r"], ["_h", "_r"], max_n)
+    per_gram = rows.groupBy("seg", "c", "r", "n", "a", "b").agg(F.sum(1 - F.col("side")).alias("h"), F.sum("side").alias("g"))
+    return (per_gram.groupBy("seg", "c", "r")
+            .agg(*[F.sum(F.when(F.col("n") == k, F.least("h", "g")).otherwise(0)).cast("bigint").alias(f"m{k}")
                    for k in range(1, max_n + 1)]))
 
 
@@ -98,12 +115,14 @@ def multi_ref_stats(hyps: DataFrame, refs: DataFrame, seg: str, tokens: str, ref
     # reference side: per reference counts, then max over the references (cook_refs)
     # one row per (seg, ref_no): counting is local; the max over references is a
     # partial+final aggregation, safe when a segment has very many references
-    ref_max = (ngram_count(rf, ["seg", "ref_no"], "_t", max_n, colocate=False)
-               .groupBy("seg", "n", "gram").agg(F.max("cnt").alias("r")))
-    hyp_rows = explode_ngrams(h, ["seg"], "_t", max_n).select("seg", "n", "gram", F.lit(1).alias("h"),
-                                                              F.lit(0).cast("bigint").alias("r"))
-    both = hyp_rows.unionByName(ref_max.select("seg", "n", "gram", F.lit(0).alias("h"), "r"))
-    matches = (both.groupBy("seg", "n", "gram")
+    def keys(df: DataFrame, *cols: str) -> DataFrame:
+        return _key_rows(df, [*cols], ["_t"], max_n).where("n > 0")
+
+    ref_max = (keys(rf, "seg", "ref_no").groupBy("seg", "ref_no", "n", "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
+               .groupBy("seg", "n", "a", "b").agg(F.max("cnt").alias("r")))
+    hyp_rows = keys(h, "seg").select("seg", "n", "a", "b", F.lit(1).alias("h"), F.lit(0).cast("bigint").alias("r"))
+    both = hyp_rows.unionByName(ref_max.select("seg", "n", "a", "b", F.lit(0).alias("h"), "r"))
+    matches = (both.groupBy("seg", "n", "a", "b")
                .agg(F.sum("h").alias("h"), F.max("r").alias("r"))
                .groupBy("seg")
                .agg(*[F.sum(F.when(F.col("n") == k, F.least("h", "r")).otherwise(0)).cast("bigint").alias(f"m{k}")
