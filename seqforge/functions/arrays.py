@@ -46,9 +46,10 @@ def zero_cut(arr: ColumnOrName, stop=0) -> Column:
 
 
 def pad_array(arr: ColumnOrName, max_len: int, pad=PAD_ID) -> Column:
-    """Right-pad to ``max_len`` (longer input is truncated)."""
-    a = take(arr, max_len)
-    return F.concat(a, repeat(pad, F.lit(max_len) - F.size(a)))
+    """Right-pad to ``max_len``; a longer array is an error (frames cut theirs before)."""
+    a = _c(arr)
+    long = F.raise_error(F.concat(F.lit(f"array longer than {max_len}: "), F.size(a).cast("string")))
+    return F.when(F.size(a) > max_len, long).otherwise(F.concat(a, repeat(pad, F.lit(max_len) - F.size(a))))
 
 
 def frame_sos_eos_pad(arr: ColumnOrName, max_len: int) -> Column:
@@ -102,8 +103,9 @@ def context_prefix_from_mask(ids: ColumnOrName, mask: ColumnOrName) -> Column:
 
 
 def position_ids(length: ColumnOrName, max_len: int, left_pad: bool = False) -> Column:
-    """1..len then zeros (or zeros then 1..len when left padded)."""
-    n = F.least(_c(length).cast("int"), F.lit(max_len))
+    """1..len then zeros (or zeros then 1..len when left padded); a length above ``max_len`` is an error."""
+    n = _c(length).cast("int")
+    n = F.when(n > max_len, F.raise_error(F.concat(F.lit(f"length above {max_len}: "), n.cast("string")))).otherwise(n)
     pos = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     zeros = repeat(0, F.lit(max_len) - n)
     return F.concat(zeros, pos) if left_pad else F.concat(pos, zeros)

@@ -95,6 +95,13 @@ def pair_stats(pairs: DataFrame, seg: str, hyp: str, ref: str, max_n: int = MAX_
                    for k in range(1, max_n + 1)]))
 
 
+def reference_max_counts(refs: DataFrame, seg: str, ref_no: str, tokens: str, max_n: int = MAX_N) -> DataFrame:
+    """seg, n, a, b, r: for every n-gram key of a segment its largest count in one reference."""
+    return (_key_rows(refs, [seg, ref_no], [tokens], max_n).where("n > 0")
+            .groupBy(seg, ref_no, "n", "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
+            .groupBy(seg, "n", "a", "b").agg(F.max("cnt").alias("r")))
+
+
 def multi_ref_stats(hyps: DataFrame, refs: DataFrame, seg: str, tokens: str, ref_no: str,
                     eff_ref_len: str = "shortest", max_n: int = MAX_N) -> DataFrame:
     """BLEU statistics of one hypothesis against several references per segment.
@@ -115,12 +122,8 @@ def multi_ref_stats(hyps: DataFrame, refs: DataFrame, seg: str, tokens: str, ref
     # reference side: per reference counts, then max over the references (cook_refs)
     # one row per (seg, ref_no): counting is local; the max over references is a
     # partial+final aggregation, safe when a segment has very many references
-    def keys(df: DataFrame, *cols: str) -> DataFrame:
-        return _key_rows(df, [*cols], ["_t"], max_n).where("n > 0")
-
-    ref_max = (keys(rf, "seg", "ref_no").groupBy("seg", "ref_no", "n", "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
-               .groupBy("seg", "n", "a", "b").agg(F.max("cnt").alias("r")))
-    hyp_rows = keys(h, "seg").select("seg", "n", "a", "b", F.lit(1).alias("h"), F.lit(0).cast("bigint").alias("r"))
+    ref_max = reference_max_counts(rf, "seg", "ref_no", "_t", max_n)
+    hyp_rows = _key_rows(h, ["seg"], ["_t"], max_n).where("n > 0").select("seg", "n", "a", "b", F.lit(1).alias("h"), F.lit(0).cast("bigint").alias("r"))
     both = hyp_rows.unionByName(ref_max.select("seg", "n", "a", "b", F.lit(0).alias("h"), "r"))
     matches = (both.groupBy("seg", "n", "a", "b")
                .agg(F.sum("h").alias("h"), F.max("r").alias("r"))

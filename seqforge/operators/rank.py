@@ -61,10 +61,20 @@ def schedule(n_rows: Column, batch_size: int, accum: int, epochs: int) -> list[C
 
 
 def length_bucket(df: DataFrame, batch: str, length: str, idx: str) -> DataFrame:
-    """Order inside each batch by length descending (ties by idx) -> ``sorted_pos``.
+    """Order inside each batch by length descending (ties by idx) -> ``sorted_pos``, and ``came_from``, the place before.
     Batches are bounded, so every window partition is bounded."""
-    w = Window.partitionBy(batch).orderBy(F.desc(length), F.col(idx))
-    return df.withColumn("sorted_pos", (F.row_number().over(w) - 1).cast("bigint"))
+    w = Window.partitionBy(batch)
+    return (df.withColumn("sorted_pos", (F.row_number().over(w.orderBy(F.desc(length), F.col(idx))) - 1).cast("bigint"))
+            .withColumn("came_from", (F.row_number().over(w.orderBy(idx)) - 1).cast("bigint")))
+
+
+def restore_order(df: DataFrame, batch: str, sorted_pos: str = "sorted_pos", came_from: str = "came_from") -> DataFrame:
+    """Undo :func:`length_bucket`: a batch's list of places is inverted, and every row takes the place its sorted position
+    is found at (``restored_pos``). Batches are bounded."""
+    back = F.array_sort(F.collect_list(F.struct(came_from, sorted_pos)))
+    inverse = df.groupBy(batch).agg(F.transform(back, lambda x: x[sorted_pos]).alias("_inverse"))
+    return (df.join(inverse, batch).withColumn("restored_pos", (F.array_position("_inverse", F.col(sorted_pos)) - 1).cast("bigint"))
+            .drop("_inverse"))
 
 
 def seeded_key(seed: int, *cols) -> Column:

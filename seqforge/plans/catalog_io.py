@@ -10,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqforge.functions import arrays as A
-from seqforge.functions.text import collapse_ws, lower_text, strip_text
+from seqforge.operators import bleu as B
 from seqforge.operators import rank as RK
 from seqforge.operators import runlog as RL
 from seqforge.operators import vocab as V
 from seqforge.plans import fixtures as fx
 from seqforge.plans import sqlgen as sg
-from seqforge.plans.catalog import _round_all
+from seqforge.plans.catalog import NBEST_SQL, SIM_BLEU_SQL, _round_all, nbest_fixture
 from seqforge.plans.catalog_runlog import CORPUS_SQL, METRICS_SQL, corpus_frame
-from seqforge.plans.catalog_seq import DOC_TOKENS_SQL, DOC_VOCAB_SQL, ENC_SQL, encoded
+from seqforge.plans.catalog_seq import DOC_VOCAB_SQL, ENC_SQL, encoded
 from seqforge.plans.registry import register
+from seqforge.session import cut_lineage
 from seqforge.sources import readers as R
 from seqforge.sources import sinks as S
 
@@ -272,25 +273,29 @@ def sink_id_text(spark, sf):
 
 @register("sink_eval_report", f"""
   WITH x AS (SELECT qid, r_id, dense_rank() OVER (ORDER BY qid) AS batch, 'doc ' || CAST(qid AS VARCHAR) AS q,
-               replace(ref, chr(10), ' ') AS t, replace(hyp, chr(10), ' ') AS h
-        FROM ({__import__('seqforge.plans.catalog', fromlist=['x']).NBEST_SQL})),
+               replace(ref, chr(10), ' ') AS t, replace(replace(hyp, chr(10), ' '), ' '' ', '''') AS h FROM ({NBEST_SQL})),
   l AS (SELECT DISTINCT batch, 0 AS part, 0 AS r_id, 'Batch ' || CAST(batch AS VARCHAR) || ' ' AS line FROM x
         UNION ALL SELECT DISTINCT batch, 1, 0, 'Query: ' || q || ' ' FROM x
         UNION ALL SELECT DISTINCT batch, 2, 0, 'Target >> ' || replace(t, ' '' ', '''') FROM x
-        UNION ALL SELECT batch, 3, r_id, 'Sample ' || CAST(r_id AS VARCHAR) || ' >> ' || replace(h, ' '' ', '''') FROM x)
-  SELECT CAST(row_number() OVER (ORDER BY batch, part, r_id) - 1 AS BIGINT) AS line_no, line FROM l""")
+        UNION ALL SELECT batch, 3, r_id, 'Sample ' || CAST(r_id AS VARCHAR) || ' >> ' || h FROM x
+        UNION ALL SELECT DISTINCT batch, 4, 0, '' FROM x
+        UNION ALL SELECT 1000000000000, 5, 0, 'Avg recall BLEU ' || printf('%.6f', avg(max_bleu)) || ', avg precision BLEU '
+          || printf('%.6f', avg(avg_bleu)) || ', F1 ' || printf('%.6f', {sg.f1('avg(avg_bleu)', 'avg(max_bleu)')}) FROM ({SIM_BLEU_SQL}))
+  SELECT 'all' AS file, CAST(row_number() OVER (ORDER BY batch, part, r_id) - 1 AS BIGINT) AS line_no, line FROM l
+  UNION ALL SELECT 'single', CAST(row_number() OVER (ORDER BY batch) - 1 AS BIGINT), h FROM (
+    SELECT batch, arg_min(h, r_id) AS h FROM x GROUP BY batch)""")
 def sink_eval_report(spark, sf):
-    """Human-readable n-best report file (Batch, Query, Target, Samples), read back line by line."""
-    from seqforge.plans.catalog import nbest_fixture
-    nb = nbest_fixture(spark, sf)
+    """Human-readable n-best report (Batch, Query, Target, Samples, summary) and the file of best samples, read back by line."""
+    nb = cut_lineage(nbest_fixture(spark, sf))                 # read by the report, the single-best file and the scores
     qs = RK.dense_index(nb.select("qid").distinct(), ["qid"], "b")
     x = nb.join(qs, "qid").select("qid", (F.col("b") + 1).alias("batch"), "r_id",
                                   F.concat(F.lit("doc "), F.col("qid").cast("string")).alias("query"),
                                   F.regexp_replace("ref", "\n", " ").alias("target"),
                                   F.regexp_replace("hyp", "\n", " ").alias("sample"))
     path = S.scratch_path(spark, "report")
-    S.write_ordered_text(S.eval_report(x), "line", ["batch", "part", "r_id"], path)
-    return R.read_lines(spark, path, "line").select("line_no", "line")
+    S.write_eval_report(x, B.recall_prec_f1(B.sim_bleu(nb)), f"{path}/all", f"{path}/single")
+    out = [R.read_lines(spark, f"{path}/{f}", "line").select(F.lit(f).alias("file"), "line_no", "line") for f in ("all", "single")]
+    return out[0].unionByName(out[1])
 
 
 @register("sink_metric_log", f"""
@@ -298,29 +303,30 @@ def sink_eval_report(spark, sf):
     SELECT run, epoch, 'eval_ppl' AS name, round(ppl, 5) AS value FROM ({METRICS_SQL})
     UNION ALL SELECT run, epoch, 'eval_tokens', CAST(tokens AS DOUBLE) FROM ({METRICS_SQL}))""")
 def sink_metric_log(spark, sf):
-    """Scalar metrics appended epoch by epoch to the metric log (two appends) and read back."""
+    """Scalar metrics appended to the metric log in two commits, the second one twice (a retry adds nothing), and read back."""
     m = RL.eval_metrics(fx.run_log(spark, sf), F.col("name") == "purchase")
     long = m.select("run", "epoch", F.col("epoch").cast("bigint").alias("step"), F.explode(F.array(
         F.struct(F.lit("eval_ppl").alias("name"), F.round("ppl", 5).alias("value")),
         F.struct(F.lit("eval_tokens").alias("name"), F.col("tokens").cast("double").alias("value")))).alias("kv")) \
         .select("run", "epoch", "step", "kv.name", "kv.value")
     path = S.scratch_path(spark, "metrics")
-    S.append_metrics(long.where(F.col("epoch") < 15), path)
-    S.append_metrics(long.where(F.col("epoch") >= 15), path)
-    return spark.read.parquet(path)
+    S.append_metrics(long.where(F.col("epoch") < 15), path, "first")
+    for _ in range(2):
+        S.append_metrics(long.where(F.col("epoch") >= 15), path, "second")
+    return spark.read.parquet(path).drop("commit")
 
 
 # ------------------------------------------------------------------ positional joins
 @register("join_by_position", """
-  SELECT d.idx, d.doc_id, c.conv_id FROM
+  SELECT d.idx, d.doc_id, c.conv_id, c.turn FROM
     (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents) d
-    JOIN (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS idx FROM conversations WHERE turn = 0) c USING (idx)""")
+    JOIN (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx FROM conversations) c USING (idx)""")
 def join_by_position(spark, sf):
-    """Zip two tables by position (documents, first turns), stopping at the shorter."""
+    """Zip two tables by position (documents, turns), stopping at the shorter."""
     from seqforge.operators.joins import join_by_position as jbp
     d = RK.dense_index(fx.table(spark, sf, "documents").select("doc_id"), ["doc_id"])
-    c = RK.dense_index(fx.table(spark, sf, "conversations").where(F.col("turn") == 0).select("conv_id"), ["conv_id"])
-    return jbp(d, c).select("idx", "doc_id", "conv_id")
+    c = RK.dense_index(fx.table(spark, sf, "conversations").select("conv_id", "turn"), ["conv_id", "turn"])
+    return jbp(d, c).select("idx", "doc_id", "conv_id", "turn")
 
 
 @register("inverse_lookup_strict", f"""
@@ -337,16 +343,15 @@ def inverse_lookup_strict(spark, sf):
     return j.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-_unused = (collapse_ws, lower_text, strip_text, DOC_TOKENS_SQL)
-
-
 @register("run_args_json", f"""
   SELECT run, CAST(to_json(struct_pack(run := run, epochs := epochs, steps := steps, first_step := first_step)) AS VARCHAR) AS args
   FROM (SELECT run, CAST(count(DISTINCT epoch) AS BIGINT) AS epochs, CAST(count(*) AS BIGINT) AS steps,
                min(step) AS first_step FROM ({fx.RUN_LOG_SQL}) GROUP BY run)""")
 def run_args_json(spark, sf):
-    """Run configuration saved as one JSON object per run (written next to the metric log)."""
+    """Run configuration saved as one JSON object per run, written next to the metric log and read back."""
     log = fx.run_log(spark, sf)
     cfg = log.groupBy("run").agg(F.countDistinct("epoch").cast("bigint").alias("epochs"),
                                  F.count(F.lit(1)).cast("bigint").alias("steps"), F.min("step").alias("first_step"))
-    return cfg.select("run", S.args_json_col("run", "epochs", "steps", "first_step").alias("args"))
+    path = S.scratch_path(spark, "metrics")
+    S.save_run_args(cfg, "run", ["run", "epochs", "steps", "first_step"], path)
+    return R.read_run_args(spark, path, cfg.schema["run"].dataType)

@@ -170,13 +170,16 @@ def train_schedule(spark, sf):
 
 
 @register("length_bucket", f"""
-  SELECT seq_id, batch, CAST(row_number() OVER (PARTITION BY batch ORDER BY len DESC, idx) - 1 AS BIGINT) AS sorted_pos
-  FROM (SELECT seq_id, len, idx, CAST(floor(idx / {BATCH}) AS BIGINT) AS batch FROM (
-          SELECT seq_id, len, CAST(row_number() OVER (ORDER BY seq_id) - 1 AS BIGINT) AS idx FROM ({ENC_SQL})))""")
+  WITH s AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY len DESC, idx) - 1 AS sorted_pos
+    FROM (SELECT seq_id, len, idx, CAST(floor(idx / {BATCH}) AS BIGINT) AS batch FROM (
+          SELECT seq_id, len, CAST(row_number() OVER (ORDER BY seq_id) - 1 AS BIGINT) AS idx FROM ({ENC_SQL}))))
+  SELECT seq_id, batch, CAST(sorted_pos AS BIGINT) AS sorted_pos,
+         CAST(idx - min(idx) OVER (PARTITION BY batch) AS BIGINT) AS restored_pos FROM s""")
 def length_bucket(spark, sf):
-    """Inside each batch, order by length descending (ties by position) for packing."""
+    """Inside each batch, order by length descending (ties by position) for packing, then back to the original order."""
     e = RK.batch_assign(RK.dense_index(encoded(spark, sf).select("seq_id", "len"), ["seq_id"]), "idx", BATCH)
-    return RK.length_bucket(e, "batch", "len", "idx").select("seq_id", "batch", "sorted_pos")
+    b = RK.length_bucket(e, "batch", "len", "idx").drop("idx")          # what was packed knows its places, not the index
+    return RK.restore_order(b, "batch").select("seq_id", "batch", "sorted_pos", "restored_pos")
 
 
 @register("preview_rows", f"SELECT seq_id, array_to_string(ids, ' ') AS ids FROM ({ENC_SQL}) ORDER BY seq_id LIMIT 5")
@@ -235,15 +238,21 @@ CORPUS_SQL = """
   FROM conversations GROUP BY conv_id * 1000 + turn // 5"""
 
 
-def corpus_frame(spark, sf):
-    """Corpus CSV stand-in: five turns of a conversation at a time, pivoted (missing -> null); ``conv_id`` numbers them."""
+def corpus_cells(spark, sf, value):
+    """Five turns of a conversation at a time, pivoted to one row of ``value`` (missing -> null); ``conv_id`` numbers them."""
     c = fx.table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.floor(F.col("turn") / 5)).cast("bigint").alias("conv_id"), (F.col("turn") % 5).alias("turn"), "text")
+        (F.col("conv_id") * 1000 + F.floor(F.col("turn") / 5)).cast("bigint").alias("conv_id"), (F.col("turn") % 5).alias("turn"),
+        value.alias("value"))
     cols = ["annotation", "source_code", "related_so_question", "target_api", "api_seq"]
-    return c.groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(n)
+    return c.groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.col("value"))).alias(n)
                                       for i, n in enumerate(cols)])
 
 
+def corpus_frame(spark, sf):
+    """Corpus CSV stand-in: the texts of five turns at a time."""
+    return corpus_cells(spark, sf, F.col("text"))
+
+
 @register("avg_tokens", f"""
   SELECT CAST(count(*) AS BIGINT) AS n,
     round(avg(len({sg.tokens_ws("coalesce(source_code, '')")})), 6) AS avg_code_tokens,
@@ -251,11 +260,11 @@ def corpus_frame(spark, sf):
     round(avg(len({sg.tokens_ws("coalesce(related_so_question, '')")})), 6) AS avg_post_tokens
   FROM ({CORPUS_SQL})""")
 def avg_tokens(spark, sf):
-    """data_statistics: average whitespace-token counts of code, annotation and post (missing = 0)."""
-    from seqforge.functions.text import fill_missing, tokens_ws
-    c = corpus_frame(spark, sf)
+    """data_statistics: average whitespace-token counts of code, annotation and post (missing = 0); texts are counted
+    where they are read, only the counts are grouped."""
+    from seqforge.functions.text import tokens_ws
+    c = corpus_cells(spark, sf, F.size(tokens_ws("text")))
     return _round_all(c.agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.avg(F.size(tokens_ws(fill_missing("source_code")))).alias("avg_code_tokens"),
-        F.avg(F.size(tokens_ws(fill_missing("annotation")))).alias("avg_annotation_tokens"),
-        F.avg(F.size(tokens_ws(fill_missing("related_so_question")))).alias("avg_post_tokens")))
+        *[F.avg(F.coalesce(col, F.lit(0))).alias(f"avg_{n}_tokens")
+          for n, col in (("code", "source_code"), ("annotation", "annotation"), ("post", "related_so_question"))]))

@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqforge.operators import bleu as B
-from seqforge.operators.ngrams import multiset_intersect_stats, ngram_count
+from seqforge.operators.joins import skew_safe_join
+from seqforge.operators.ngrams import multiset_intersect_stats, ngram_count, reference_max_counts
 from seqforge.plans import fixtures as fx
 from seqforge.plans import sqlgen as sg
 from seqforge.plans.catalog import _round_all
 from seqforge.plans.registry import register
+from seqforge.session import cut_lineage
 from seqforge.sources.readers import parse_gold, parse_predictions
 
 _H, _R = fx.anchor_refs_sql()
@@ -97,16 +99,25 @@ def ref_max_count(spark, sf):
 
 
 @register("cook_refs", f"""
-  SELECT seg, CAST(count(*) AS BIGINT) AS n_refs, CAST(min(len(t)) AS BIGINT) AS shortest,
-         CAST(max(len(t)) AS BIGINT) AS longest, CAST(sum(len(t)) AS BIGINT) AS total_len
-  FROM ({REFS_TOK}) GROUP BY seg""")
+  WITH m AS (SELECT seg, n, gram, max(cnt) AS m FROM (SELECT seg, ref_no, n, gram, count(*) AS cnt
+               FROM {sg.ngram_rows(f'({REFS_TOK})', 'seg, ref_no', 't')} GROUP BY ALL) GROUP BY ALL),
+  c AS (SELECT seg, {', '.join(f'CAST(coalesce(sum(m) FILTER (n = {k}), 0) AS BIGINT) AS max{k}' for k in range(1, 5))},
+          CAST(count(*) AS BIGINT) AS n_grams FROM m GROUP BY seg)
+  SELECT l.*, coalesce(n_grams, 0) AS n_grams, {', '.join(f'coalesce(max{k}, 0) AS max{k}' for k in range(1, 5))}
+  FROM (SELECT seg, CAST(count(*) AS BIGINT) AS n_refs, CAST(min(len(t)) AS BIGINT) AS shortest,
+          CAST(max(len(t)) AS BIGINT) AS longest, CAST(sum(len(t)) AS BIGINT) AS total_len
+        FROM ({REFS_TOK}) GROUP BY seg) l LEFT JOIN c USING (seg)""")
 def cook_refs(spark, sf):
-    """Reference lengths per segment (the length half of cook_refs)."""
+    """cook_refs per segment: reference lengths, and the maximum counts over its references, summed per order."""
     _, refs = fx.anchor_and_refs(spark, sf)
-    t = refs.select("seg", F.size(B.cli_tokens(F.col("text"))).alias("l"))
-    return t.groupBy("seg").agg(F.count(F.lit(1)).cast("bigint").alias("n_refs"),
-                                F.min("l").cast("bigint").alias("shortest"), F.max("l").cast("bigint").alias("longest"),
-                                F.sum("l").cast("bigint").alias("total_len"))
+    t = cut_lineage(refs.select("seg", "ref_no", B.cli_tokens(F.col("text")).alias("t")))     # lengths and counts read it
+    size = F.size("t")
+    lengths = t.groupBy("seg").agg(F.count(F.lit(1)).cast("bigint").alias("n_refs"), F.min(size).cast("bigint").alias("shortest"),
+                                   F.max(size).cast("bigint").alias("longest"), F.sum(size).cast("bigint").alias("total_len"))
+    most = reference_max_counts(t, "seg", "ref_no", "t").groupBy("seg").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_grams"),
+        *[F.sum(F.when(F.col("n") == k, F.col("r")).otherwise(0)).cast("bigint").alias(f"max{k}") for k in range(1, 5)])
+    return lengths.join(most, "seg", "left").fillna(0, ["n_grams", *[f"max{k}" for k in range(1, 5)]])
 
 
 @register("ngram_count", f"""
@@ -223,16 +234,15 @@ def last_prediction_wins(spark, sf):
 
 
 @register("group_golds", f"""
-  SELECT id, CAST(count(*) AS BIGINT) AS n_golds, CAST(min(ref_no) AS BIGINT) AS first_ref,
-         arg_min(text, ref_no) AS first_text FROM ({_GOLD_SQL}) GROUP BY id""")
+  SELECT id, CAST(ref_no AS BIGINT) AS ref_no, text, CAST(count(*) OVER (PARTITION BY id) AS BIGINT) AS n_golds FROM ({_GOLD_SQL})""")
 def group_golds(spark, sf):
-    """Several golds per id as multiple references: count and first reference per id
-    (kept in long form; no per-id list is materialised)."""
+    """Several golds per id as multiple references: every gold with its text and the number of its id's golds
+    (kept in long form; no per-id list is materialised, and an id with very many golds is spread over tasks)."""
     _, refs = fx.anchor_and_refs(spark, sf)
-    g = refs.select(F.col("seg").cast("string").alias("id"), "ref_no", F.regexp_replace("text", "\n", " ").alias("text"))
-    return g.groupBy("id").agg(F.count(F.lit(1)).cast("bigint").alias("n_golds"),
-                               F.min("ref_no").cast("bigint").alias("first_ref"),
-                               F.min_by("text", "ref_no").alias("first_text"))
+    g = refs.select(F.col("seg").cast("string").alias("id"), F.col("ref_no").cast("bigint").alias("ref_no"),
+                    F.regexp_replace("text", "\n", " ").alias("text"))
+    counts = g.groupBy("id").agg(F.count(F.lit(1)).cast("bigint").alias("n_golds"))
+    return skew_safe_join(g, counts, ["id"], "ref_no", key_counts=counts.withColumnRenamed("n_golds", "cnt"))
 
 
 _DEV_STATS = sg.multi_ref_stats(f"SELECT seg, {sg.cli_tokens('hyp')} AS t FROM ({fx.STAR_PAIRS_SQL})",

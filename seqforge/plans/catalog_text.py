@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqforge.functions import text as tx
 from seqforge.plans import fixtures as fx
 from seqforge.plans import sqlgen as sg
+from seqforge.plans.catalog_runlog import CORPUS_SQL, corpus_frame
 from seqforge.plans.registry import register
 
 
@@ -70,27 +71,21 @@ def sentinel_to_null(spark, sf):
     return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), tx.sentinel_to_null(ctx).alias("out"))
 
 
-@register("fill_missing", """
-  SELECT c.conv_id, coalesce(t.text, '') AS out
-  FROM (SELECT DISTINCT conv_id FROM conversations) c
-  LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 3) t USING (conv_id)""")
+CORPUS_COLS = ["annotation", "source_code", "related_so_question", "target_api", "api_seq"]
+
+
+@register("fill_missing", f"SELECT conv_id, {', '.join(f"coalesce({c}, '') AS {c}" for c in CORPUS_COLS)} FROM ({CORPUS_SQL})")
 def fill_missing(spark, sf):
-    """null -> "" on the (often missing) fourth turn of every conversation."""
-    conv = fx.table(spark, sf, "conversations")
-    ids = conv.select("conv_id").distinct()
-    t3 = conv.where(F.col("turn") == 3).select("conv_id", "text")
-    return ids.join(t3, "conv_id", "left").select("conv_id", tx.fill_missing("text").alias("out"))
+    """null -> "" in every column of every corpus row (the last rows of conversations miss some)."""
+    return corpus_frame(spark, sf).select("conv_id", *[tx.fill_missing(c).alias(c) for c in CORPUS_COLS])
 
 
-@register("bimodal_concat", """
-  SELECT a.conv_id, trim(regexp_replace(regexp_replace(a.text || ' ' || b.text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS out
-  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1""")
+@register("bimodal_concat", f"""
+  SELECT conv_id, trim(regexp_replace(regexp_replace(annotation || ' ' || source_code, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS out
+  FROM ({CORPUS_SQL})""")
 def bimodal_concat(spark, sf):
-    """annotation (turn 0) + ' ' + code (turn 1), whitespace collapsed."""
-    conv = fx.table(spark, sf, "conversations")
-    a = conv.where(F.col("turn") == 0).select("conv_id", F.col("text").alias("a"))
-    b = conv.where(F.col("turn") == 1).select("conv_id", F.col("text").alias("b"))
-    return a.join(b, "conv_id").select("conv_id", tx.collapse_ws(tx.bimodal_concat("a", "b")).alias("out"))
+    """annotation + ' ' + code of every corpus row, whitespace collapsed (null where one is missing)."""
+    return corpus_frame(spark, sf).select("conv_id", tx.collapse_ws(tx.bimodal_concat("annotation", "source_code")).alias("out"))
 
 
 @register("display_marker", f"""

@@ -158,3 +158,9 @@ def ragged_slice(phrases: DataFrame, index: DataFrame, max_len: int) -> DataFram
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Fixed-width float vectors stored as Parquet ``vec_id bigint, vec array<float>``."""
     return spark.read.parquet(path)
+
+
+def read_run_args(spark: SparkSession, log_path: str, run_type) -> DataFrame:
+    """(run, args): the run arguments saved beside a metric log, ``args`` as JSON text."""
+    schema = T.StructType([T.StructField("run", run_type), T.StructField("args", T.StringType())])
+    return spark.read.schema(schema).json(f"{log_path.rstrip('/')}.args")

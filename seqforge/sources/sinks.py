@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqforge.functions.text import bimodal_concat, collapse_ws, quote_repair, strip_text
+from seqforge.operators.rank import ranged
 from seqforge.session import checkpoint_dir
 
 
@@ -55,26 +56,38 @@ def split_bimodal(df: DataFrame) -> DataFrame:
                      F.col("target_api").alias("seq"))
 
 
+def write_aligned(df: DataFrame, files: dict[str, str], pos: str, write) -> None:
+    """Several files of one table in the same order: ``files`` names the path of each column.
+
+    The input is evaluated and range-sorted once, in the shared folder; every file is then a projection of its
+    partitions without a further shuffle, so line n of each file is the same row.
+    """
+    rows = ranged(df.select(pos, *files), [pos])
+    for col, path in files.items():
+        write(rows.select(F.coalesce(F.col(col).cast("string"), F.lit("")).alias("value") if write is _text else col), path)
+
+
+def _text(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").text(path)
+
+
+def _csv(df: DataFrame, path: str) -> None:
+    (df.write.mode("overwrite").option("header", False).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def write_split(df: DataFrame, prefix: str) -> dict[str, str]:
     """Write every non-key column of a split variant as its own aligned line file."""
-    out = {}
-    for c in df.columns:
-        if c == "idx":
-            continue
-        p = f"{prefix}.{c}"
-        write_ordered_text(df, c, "idx", p)
-        out[c] = p
+    out = {c: f"{prefix}.{c}" for c in df.columns if c != "idx"}
+    write_aligned(df, out, "idx", _text)
     return out
 
 
 def write_hyp_ref_csv(pairs: DataFrame, pos: str, hyp: str, ref: str, prefix: str) -> tuple[str, str]:
     """Headerless one-column CSVs of predictions (``_hyp``) and gold (``_ref``), same order."""
-    paths = []
-    for col, suffix in ((hyp, "hyp"), (ref, "ref")):
-        p = f"{prefix}_{suffix}.csv"
-        write_ordered_csv(pairs, [col], pos, p, header=False)
-        paths.append(p)
-    return paths[0], paths[1]
+    files = {hyp: f"{prefix}_hyp.csv", ref: f"{prefix}_ref.csv"}
+    write_aligned(pairs, files, pos, _csv)
+    return files[hyp], files[ref]
 
 
 def id_text_lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -84,7 +97,7 @@ def id_text_lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def eval_report(nbest: DataFrame, qid: str = "qid", query: str = "query", target: str = "target",
                 r_id: str = "r_id", sample: str = "sample", batch: str = "batch") -> DataFrame:
-    """Lines of the n-best report: ``Batch n``, ``Query:``, ``Target >>`` and a ``Sample k >>`` a sample.
+    """Lines of the n-best report: ``Batch n``, ``Query:``, ``Target >>``, a ``Sample k >>`` a sample and an empty line.
 
     One row per line (batch, part, r_id, line), to be written in the order of the first three; a query with very
     many samples is never gathered. ``batch`` is the 1-based position of the query in evaluation order.
@@ -95,14 +108,43 @@ def eval_report(nbest: DataFrame, qid: str = "qid", query: str = "query", target
         F.format_string("Target >> %s", quote_repair(F.col("t"))))).alias("part", "line"))
     body = nbest.select(F.col(batch).alias("batch"), F.lit(3).alias("part"), F.col(r_id).cast("bigint").alias("r_id"),
                         F.format_string("Sample %d >> %s", F.col(r_id), quote_repair(F.col(sample))).alias("line"))
-    return head.select("batch", "part", F.lit(0).cast("bigint").alias("r_id"), "line").unionByName(body)
+    rest = heads.select(F.col(batch).alias("batch"), F.lit(4).alias("part"), F.lit(0).cast("bigint").alias("r_id"), F.lit("").alias("line"))
+    return head.select("batch", "part", F.lit(0).cast("bigint").alias("r_id"), "line").unionByName(body).unionByName(rest)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Append scalar metrics (run, epoch, step, name, value) to the metric log (Parquet)."""
+def write_eval_report(nbest: DataFrame, scores: DataFrame, path: str, single_path: str) -> None:
+    """The whole report with its summary line (``scores``: one row of recall_bleu, prec_bleu, f1) as line files in
+    order, and beside it the file of every query's first sample alone."""
+    last = scores.select(F.lit(10 ** 12).cast("bigint").alias("batch"), F.lit(5).alias("part"), F.lit(0).cast("bigint").alias("r_id"),
+                         F.format_string("Avg recall BLEU %f, avg precision BLEU %f, F1 %f", "recall_bleu", "prec_bleu", "f1").alias("line"))
+    write_ordered_text(eval_report(nbest).unionByName(last), "line", ["batch", "part", "r_id"], path)
+    single = nbest.groupBy("batch").agg(F.min_by(quote_repair(F.col("sample")), "r_id").alias("line"))
+    write_ordered_text(single, "line", "batch", single_path)
+
+
+def append_metrics(df: DataFrame, path: str, commit: str | None = None) -> None:
+    """Append scalar metrics (run, epoch, step, name, value) to the metric log (Parquet).
+
+    An append has a ``commit`` id and a folder of its own: repeating it (a retried job, a replayed micro-batch)
+    writes the same rows over themselves and adds nothing. Without an id every append is new.
+    """
     df.select(F.col("run").cast("string"), F.col("epoch").cast("int"), F.col("step").cast("bigint"),
               F.col("name").cast("string"), F.col("value").cast("double")) \
-      .write.mode("append").parquet(path)
+      .write.mode("overwrite").parquet(f"{path.rstrip('/')}/commit={commit or uuid.uuid4().hex}")
+
+
+def stream_metrics(stream: DataFrame, path: str, name: str, checkpoint: str):
+    """Append a stream of scalar metrics to the log; the micro-batch's number is its commit, so a restart repeats none."""
+    def write(batch: DataFrame, number: int) -> None:
+        append_metrics(batch, path, f"{name}-{number}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def save_run_args(df: DataFrame, run: str, cols: list[str], log_path: str) -> None:
+    """The arguments of every run as one JSON line ``{"run": ..., "args": "..."}`` in ``<log_path>.args``."""
+    (df.select(F.col(run).alias("run"), args_json_col(*cols).alias("args"))
+       .write.mode("overwrite").json(f"{log_path.rstrip('/')}.args"))
 
 
 def args_json_col(*cols: str):

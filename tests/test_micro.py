@@ -272,3 +272,23 @@ def test_unequal_line_files_fail_whatever_is_selected(spark, tmp_path):
     gold = R.parse_gold(spark.createDataFrame([("1\ta\tb",)], "value string"))
     with pytest.raises(Exception, match="exactly 2"):
         gold.select("text").collect()
+
+
+def test_no_break_space_is_no_token(spark):
+    df = spark.createDataFrame([("a b, c é!",)], "t string")
+    assert df.select(tx.split_puncts("t").alias("s")).first().s == "a b , c é !"
+
+
+def test_over_long_rows_fail(spark):
+    df = spark.createDataFrame([([1, 2, 3], 3)], "a array<bigint>, n int")
+    assert df.select(A.pad_array("a", 4).alias("p")).first().p == [1, 2, 3, 0]
+    for c in (A.pad_array("a", 2), A.position_ids("n", 2)):
+        with pytest.raises(Exception, match="2: 3"):
+            df.select(c.alias("p")).collect()
+
+
+def test_length_order_and_back(spark):
+    from seqforge.operators import rank as RK
+    df = spark.createDataFrame([(0, 10, 3), (0, 11, 5), (0, 12, 1), (0, 13, 5), (1, 14, 2)], "batch int, idx int, len int")
+    r = RK.restore_order(RK.length_bucket(df, "batch", "len", "idx"), "batch").orderBy("idx").collect()
+    assert [x.sorted_pos for x in r] == [2, 0, 3, 1, 0] and [x.restored_pos for x in r] == [0, 1, 2, 3, 0]

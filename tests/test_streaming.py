@@ -21,3 +21,19 @@ def test_stream_matches_batch(spark, tmp_path):
     exp = {(r.run, r.epoch, r.name): (r.n, round(r.mean_loss, 9))
            for r in RL.mean_by_loss_name(log.withColumnRenamed("value", "loss")).collect()}
     assert got == exp
+
+
+def test_repeated_appends_add_nothing(spark, tmp_path):
+    row = spark.createDataFrame([("r", 1, 1, "loss", 0.5)], "run string, epoch int, step long, name string, value double")
+    path, src = str(tmp_path / "log"), str(tmp_path / "src")
+    for _ in range(2):
+        S.append_metrics(row, path, "a")
+    S.append_metrics(row, path, "b")
+    assert spark.read.parquet(path).count() == 2
+    row.write.parquet(src)
+    for _ in range(2):                                  # the second start finds nothing new
+        S.stream_metrics(spark.readStream.schema(row.schema).parquet(src), path, "s", str(tmp_path / "ckpt")).awaitTermination(60)
+    assert spark.read.parquet(path).count() == 3
+    S.save_run_args(spark.createDataFrame([("r", 3, 0.1)], "run string, epochs int, lr double"), "run", ["epochs", "lr"], path)
+    from seqforge.sources import readers as R
+    assert [tuple(x) for x in R.read_run_args(spark, path, row.schema["run"].dataType).collect()] == [("r", '{"epochs":3,"lr":0.1}')]
