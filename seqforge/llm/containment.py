@@ -3,7 +3,8 @@
 Method: size-partitioned MinHash containment search. Items fall into partitions by set size (powers of two).
 Each item's signature is the smallest hashes of its shingles, as many as its partition needs: an item of
 the partition that a document holds to the threshold misses fewer shingles than the signature has, so the
-search loses nothing however short the item and long the document. A document is a candidate for an item
+search loses nothing however short the item and long the document. An item with fewer words than a shingle is one
+shingle of its own width; documents are cut to every width that the items have. A document is a candidate for an item
 when it holds enough of the signature; the candidate is verified with all shingles of both.
 
 Items are searched in blocks of a stated size; a block is all that is ever sent to the tasks.
@@ -22,7 +23,7 @@ from seqforge.llm.common import (batches_of, binaries, chained, from_numpy, shin
                                   words)
 from seqforge.session import cut_lineage
 
-ITEM = pa.schema([("item_id", pa.int64()), ("grams", pa.binary())])
+ITEM = pa.schema([("item_id", pa.int64()), ("wide", pa.int32()), ("grams", pa.binary())])
 HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64()),
                  ("first_word", pa.int64()), ("last_word", pa.int64())])
 MASK = np.uint64(0xFFFF)
@@ -37,18 +38,31 @@ def signature_length(n: int, num: int, den: int) -> int:
 def _items(ngram: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(rows):
-            sets = [shingle_set(t, ngram) for t in binaries(batch.column("text"))]
-            yield from_numpy(ITEM, batch.column("item_id"), pa.array([s.tobytes() for s in sets], pa.binary()))
+            texts = binaries(batch.column("text"))
+            yield from_numpy(ITEM, batch.column("item_id"), [min(ngram, len(words(t))) for t in texts],
+                             pa.array([shingle_set(t, ngram).tobytes() for t in texts], pa.binary()))
 
     return run
 
 
+def cuts(text: bytes | None, widths: list[int]) -> dict[int, np.ndarray]:
+    """The shingles of a whole text in order, for each width that it has words for."""
+    h = word_hashes(words(text))
+    return {w: chained(h, w) for w in widths if len(h) >= w}
+
+
+def set_of(grams: dict[int, np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([*grams.values()])) if grams else np.empty(0, np.uint64)
+
+
 class Block:
     """Signatures and whole sets of one block of items."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], num: int, den: int):
-        self.ids = [i for i, _ in items]
-        self.sets = [np.frombuffer(g, np.uint64) for _, g in items]
+    def __init__(self, items: list[tuple[int | None, int, bytes]], num: int, den: int):
+        self.ids = [i for i, _, _ in items]
+        self.wide = [w for _, w, _ in items]
+        self.widths = sorted(set(self.wide))
+        self.sets = [np.frombuffer(g, np.uint64) for _, _, g in items]
         n = [len(s) for s in self.sets]
         length = [signature_length(k, num, den) for k in n]
         self.needed = np.array([-(-num * k // den) for k in n])
@@ -77,20 +91,16 @@ class Block:
         return out
 
 
-def _search(block, ngram: int):
+def _search(block):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Block = block.value
         for batch in batches_of(rows):
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), binaries(batch.column("text"))):
-                ws = words(text)
-                if not ws:
-                    continue
-                wide = min(ngram, len(ws))
-                grams = chained(word_hashes(ws), wide)
-                for k, shared in b.found(np.unique(grams)):
-                    at = np.flatnonzero(np.isin(grams, b.sets[k]))
-                    out.append((doc, b.ids[k], len(b.sets[k]), shared, int(at[0]), int(at[-1]) + wide - 1))
+                grams = cuts(text, b.widths)
+                for k, shared in b.found(set_of(grams)):
+                    at = np.flatnonzero(np.isin(grams[b.wide[k]], b.sets[k]))
+                    out.append((doc, b.ids[k], len(b.sets[k]), shared, int(at[0]), int(at[-1]) + b.wide[k] - 1))
             if out:
                 yield from_numpy(HIT, *map(list, zip(*out)))
 
@@ -101,7 +111,7 @@ def _blocks(items: DataFrame, threshold: tuple[int, int], ngram: int, block: int
             item_text_col: str) -> list:
     """Broadcasts of the items in blocks of about ``block`` shingles; none when no item has words."""
     asked = (items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-             .mapInArrow(_items(ngram), "item_id long, grams binary").where(F.octet_length("grams") > 0).distinct())
+             .mapInArrow(_items(ngram), "item_id long, wide int, grams binary").where(F.octet_length("grams") > 0).distinct())
     asked = cut_lineage(asked)
     total = asked.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0)) / 8).first()[0]
     n = max(1, -(-int(total) // block))
@@ -115,8 +125,8 @@ def containment_search(docs: DataFrame, items: DataFrame, threshold: tuple[int,
     """doc_id, item_id, n_item, n_shared, containment, first_word, last_word: one row for each item a document holds.
 
     A document holds an item when ``den * |I & D| >= num * |I|`` over sets of word shingles, for ``threshold
-    = (num, den)``; ``first_word`` and ``last_word`` (from 0) bound the words under shared shingles. Texts with fewer
-    words than ``ngram`` are one shingle of the whole sequence. Null, empty and wordless texts hold nothing
+    = (num, den)``; ``first_word`` and ``last_word`` (from 0) bound the words under shared shingles. Items with fewer
+    words than ``ngram`` are one shingle of the whole sequence, looked for anywhere in a document. Null, empty and wordless texts hold nothing
     and are held by nothing. Identifiers may be null or repeated: rows are independent, but equal rows of
     items count once. Empty tables give an empty result; other columns are not looked at.
     """
@@ -124,7 +134,7 @@ def containment_search(docs: DataFrame, items: DataFrame, threshold: tuple[int,
     schema = "doc_id long, item_id long, n_item long, n_shared long, first_word long, last_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     for b in _blocks(items, threshold, ngram, block, item_id_col, item_text_col):
-        out = out.unionByName(two.mapInArrow(_search(b, ngram), schema))
+        out = out.unionByName(two.mapInArrow(_search(b), schema))
     return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"),
                       "first_word", "last_word")
 
@@ -137,8 +147,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: tuple[int, i
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches_of(rows):
                 at = batch.schema.get_field_index(text_col)
-                yield batch.filter(pa.array([not b.value.found(shingle_set(t, ngram)) for t in binaries(batch.column(at))],
-                                            pa.bool_()))
+                yield batch.filter(pa.array([not b.value.found(set_of(cuts(t, b.value.widths)))
+                                             for t in binaries(batch.column(at))], pa.bool_()))
 
         return run
 

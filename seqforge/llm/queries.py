@@ -72,12 +72,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
-dg AS (SELECT doc_id, least(5, len(w)) AS wide, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5
-       THEN [{{'g': array_to_string(w, ' '), 'at': 0}}]
-       ELSE [{{'g': array_to_string(w[k:k + 4], ' '), 'at': k - 1}} for k in range(1, len(w) - 3)] END) AS s FROM d),
-ig AS (SELECT item_id, len(g) AS n, unnest(g) AS gram FROM (SELECT item_id, {SHINGLES} AS g FROM i)),
-hit AS (SELECT doc_id, item_id, n, count(DISTINCT gram) AS c, min(s['at']) AS f, max(s['at'] + wide - 1) AS l
-        FROM dg JOIN ig ON s['g'] = gram GROUP BY ALL)
+dg AS (SELECT doc_id, wide, unnest([{{'g': array_to_string(w[k:k + wide - 1], ' '), 'at': k - 1}}
+         for k in range(1, len(w) - wide + 2)]) AS s
+       FROM d, (SELECT DISTINCT least(5, len(w)) AS wide FROM i WHERE len(w) > 0) WHERE len(w) >= wide),
+ig AS (SELECT item_id, wide, len(g) AS n, unnest(g) AS gram FROM (SELECT item_id, least(5, len(w)) AS wide, {SHINGLES} AS g FROM i)),
+hit AS (SELECT doc_id, item_id, n, count(DISTINCT gram) AS c, min(s['at']) AS f, max(s['at'] + dg.wide - 1) AS l
+        FROM dg JOIN ig ON s['g'] = gram AND dg.wide = ig.wide GROUP BY ALL)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item, CAST(c AS BIGINT) AS n_shared, c / n AS containment,
   CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word FROM hit WHERE 100 * c >= 75 * n
 """)

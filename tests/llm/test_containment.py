@@ -17,9 +17,9 @@ def grams(text, n=5):
 def brute(docs, items):
     out = []
     for i, t in docs:
-        g, wide = grams(t)
         for k, q in set(items):
-            want = set(grams(q)[0])
+            want, wide = set(grams(q)[0]), grams(q)[1]
+            g = grams(t, wide)[0] if wide and len((t or "").split()) >= wide else []
             at = [x for x, y in enumerate(g) if y in want]
             shared = len({g[x] for x in at})
             if want and 100 * shared >= 75 * len(want):
@@ -75,3 +75,14 @@ def test_empty_tables(spark):
 def test_signature_misses_no_item():
     for n in range(1, 400):
         assert signature_length(n, 75, 100) > n - -(-75 * n // 100)
+
+
+def test_short_items_inside_long_documents(spark):
+    items = [(1, "secret answer key"), (2, "lone"), (3, "two words"), (4, "one two three four"), (5, "key")]
+    docs = [(1, "here is the Secret answer KEY of ten words or so"), (2, "lone"), (3, "secret answer"), (4, "answer key secret"),
+            (5, "x " * 500 + "one two three four"), (6, "two\nwords"), (7, "nothing"), (8, None)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = got(containment_search(d, q))
+    assert found == brute(docs, items)
+    assert {(r[0], r[1]) for r in found} == {(1, 1), (1, 5), (2, 2), (4, 5), (5, 4), (6, 3)}
+    assert sorted(r.doc_id for r in drop_contaminated(d, q).collect()) == [3, 7, 8]
