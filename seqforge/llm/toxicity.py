@@ -1,13 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Method: two bigram models, one of toxic and one of ordinary documents, each absolute-discounted and backed
-off to its unigrams, and those to one distribution that both share: in how many different contexts, of either
-class, a word is seen. Lower orders count contexts, not occurrences: a pair the different
-words after it, a word those before it, a stem (first ``STEM`` bytes) its different words, so that a family of near copies does not vouch for the
-words it repeats. Words with fewer than ``LEAST`` contexts have no counts of their own and fall back to their stem,
-rare stems to the shared counts, which say the same under both models. A document's evidence is the
-difference of its two log-likelihoods, length-normalised over the document and over every stretch of ``SPAN`` words;
-a logistic curve, fitted on documents that the counted models have not seen, turns it into a score.
+Method: two bigram models, one of toxic and one of ordinary documents, interpolated and absolute-discounted at
+every order. The top order holds in how many documents of the class a word pair stands. What its discount frees
+goes to the pairs of both classes together, so that a rare expression says nearly the same under both models, and
+what theirs frees to the class's words. Lower orders count contexts: a word the different words before it in the
+class, and last the different words before it in either class, the backoff that the models share. Nothing is
+filtered: rare counts are discounted. A document's evidence is the difference of its two log-likelihoods,
+length-normalised over the document and over every stretch of ``SPAN`` words, and that of its single most toxic
+word; a logistic curve, fitted on documents that the counted models have not seen, turns it into a score.
 N-grams are counted once a document, so repeated lines count once.
 """
 
@@ -16,25 +16,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqforge.llm.common import batches_of, binaries, from_numpy, held_out, signed, two_columns, word_hashes
 from seqforge.llm.sampling import labelled_sample
 
-LEAST = 6                  # contexts needed for counts of its own
-STEM = 5                   # bytes of a word's stem
-SPAN = 1                   # words of a stretch
+SPAN = 3                   # words of a stretch
 MARKS = b".,;:!?\"()[]{}*#$%&|<>"
-_START, _END = np.uint64(1), np.uint64(2)
+_START = np.uint64(1)
 
 
-def tokens(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, A-Z lower-cased and without punctuation marks, and of their stems."""
-    ws = (text or b"").lower().translate(None, MARKS).split()
-    return word_hashes(ws), word_hashes([w[:STEM] for w in ws])
+def tokens(text: bytes | None) -> np.ndarray:
+    """Hashes of the words, A-Z lower-cased and without punctuation marks."""
+    return word_hashes((text or b"").lower().translate(None, MARKS).split())
 
 
 def follows(h: np.ndarray) -> np.ndarray:
@@ -49,19 +45,18 @@ def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-GRAM = pa.schema([("kind", pa.int32()), ("fold", pa.int32()), ("label", pa.int32()), ("u", pa.int64()), ("w", pa.int64())])
+GRAM = pa.schema([("fold", pa.int32()), ("label", pa.int32()), ("u", pa.int64()), ("w", pa.int64())])
 
 
 def _grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of(rows, 256):
         for fold, label, text in zip(batch.column("fold").to_pylist(), batch.column("label").to_pylist(),
                                      binaries(batch.column("text"))):
-            h, stems = tokens(text)
+            h = tokens(text)
             if len(h):
-                for kind, (u, w) in enumerate(((follows(h), h), (h, stems), (np.append(h[1:], _END), pair_keys(follows(h), h)))):
-                    pairs = np.unique(np.stack([signed(u), signed(w)], 1), axis=0)
-                    full = np.ones(len(pairs), np.int32)
-                    yield from_numpy(GRAM, full * kind, full * fold, full * label, pairs[:, 0].copy(), pairs[:, 1].copy())
+                pairs = np.unique(np.stack([signed(follows(h)), signed(h)], 1), axis=0)
+                full = np.ones(len(pairs), np.int32)
+                yield from_numpy(GRAM, full * fold, full * label, pairs[:, 0].copy(), pairs[:, 1].copy())
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, default) -> np.ndarray:
@@ -71,86 +66,65 @@ def _lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, default) ->
     return np.where(keys[at] == asked, values[at], default)
 
 
-def _sorted(keys, values) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.asarray(keys, np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.asarray(values, float)[order]
+def discount(counts: np.ndarray) -> float:
+    """Ney's estimate n1 / (n1 + 2 n2); a half where nothing was counted once."""
+    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    return one / (one + 2 * two) if one else 0.5
 
 
 class LogRatio:
-    """log P(word | before, toxic) - log P(word | before, ordinary), as tables."""
+    """log P(word | before, toxic) - log P(word | before, ordinary), as sorted tables."""
 
-    def __init__(self, grams: DataFrame, least: int = LEAST, span: int = SPAN):
-        """grams: kind, u, w, t, o - a word pair (0), a word and its stem (1), or what follows a pair and the pair (2);
-        the toxic and ordinary documents that hold it.
-
-        Everything is grouped in Spark; only n-grams of ``least`` documents come to the driver.
-        """
+    def __init__(self, u: np.ndarray, w: np.ndarray, t: np.ndarray, o: np.ndarray, span: int = SPAN):
+        """u, w: hashes of different word pairs; t, o: the toxic and ordinary documents that hold each."""
         self.span = span
-        contexts = [F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in "to"] + [F.count("*").alias("k")]
-        stems, after = (grams.where(F.col("kind") == k).groupBy("w").agg(*contexts) for k in (1, 2))
-        grams = grams.where("kind = 0")
-        words = grams.groupBy("w").agg(*contexts)
-        words = words.withColumn("own", F.col("t") + F.col("o") >= least)
-        total = words.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("k").alias("k"), F.count("*").alias("v")).first()
-        self.none = not (total.t and total.o)
+        self.none = not (t.any() and o.any())
         if self.none:
             return
-        drop = {c: self._discount(words, c) for c in "to"}
-        w = words.where("own").select("w", "t", "o", "k").toPandas()
-        base = (w["k"] + 0.5) / (total.k + 0.5 * (total.v + 1))
-        rest = {c: max(1e-9, 1 - np.maximum(w[c] - drop[c], 0).sum() / total[c]) for c in "to"}
-        p = {c: np.maximum(w[c] - drop[c], 0) / total[c] + rest[c] * base for c in "to"}
-        self.rare = float(np.log(rest["t"] / rest["o"]))
-        self.words = _sorted(w["w"], np.log(p["t"] / p["o"]))
-        # stems: discounted counts, backed off to those of both classes
-        total_stem = stems.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
-        drop = {c: self._discount(stems, c) for c in "to"}
-        s = stems.where(F.col("t") + F.col("o") >= least).select("w", "t", "o").toPandas()
-        both = (s["t"] + s["o"]) / (total_stem.t + total_stem.o)
-        left = {c: max(1e-9, 1 - np.maximum(s[c] - drop[c], 0).sum() / total_stem[c]) for c in "to"}
-        ps = {c: np.maximum(s[c] - drop[c], 0) / total_stem[c] + left[c] * both for c in "to"}
-        self.stems = _sorted(s["w"], np.log(ps["t"] / ps["o"]))
-        # word pairs: discounted counts over what precedes, backed off to the words' models
-        heads = grams.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo")).where(F.col("ut") + F.col("uo") >= least)
-        pairs = grams.where(F.col("t") + F.col("o") >= least).join(heads, "u").toPandas()
-        key = pair_keys(pairs["u"].to_numpy(np.int64).view(np.uint64), pairs["w"].to_numpy(np.int64).view(np.uint64))
-        seen = after.where(F.col("t") + F.col("o") >= least).select("w", "t", "o").toPandas()
-        for c in "to":
-            pairs[c] = _lookup(*_sorted(seen["w"], seen[c]), key, 0.0)
-        pairs = pairs[pairs["t"] + pairs["o"] > 0].reset_index(drop=True)
-        gap = {c: self._discount(after, c) for c in "to"}
-        kept = {c: np.maximum(pairs[c] - gap[c], 0) for c in "to"}
-        head = pairs.assign(kt=kept["t"], ko=kept["o"]).groupby("u").agg({"ut": "first", "uo": "first", "kt": "sum", "ko": "sum"})
-        left = {c: np.where(head["u" + c] > 0, 1 - head["k" + c] / np.maximum(head["u" + c], 1), 1).clip(1e-6) for c in "to"}
-        self.heads = _sorted(head.index, np.log(left["t"] / left["o"]))
-        p = pd.DataFrame({"w": w["w"], "pt": p["t"], "po": p["o"]}).set_index("w").reindex(pairs["w"]).reset_index(drop=True)
-        back = pd.DataFrame({"t": left["t"], "o": left["o"]}, index=head.index).reindex(pairs["u"]).reset_index(drop=True)
-        least = 0.5 / (total.k + 0.5 * (total.v + 1))
-        full = {c: (kept[c] / np.maximum(pairs["u" + c], 1)).to_numpy()
-                + back[c].to_numpy() * p["p" + c].fillna(rest[c] * least).to_numpy() for c in "to"}
-        key = pair_keys(pairs["u"].to_numpy(np.int64).view(np.uint64), pairs["w"].to_numpy(np.int64).view(np.uint64))
-        self.pairs = _sorted(signed(key), np.log(full["t"] / full["o"]))
-
-    @staticmethod
-    def _discount(counts: DataFrame, c: str) -> float:
-        n = counts.agg(F.count(F.when(F.col(c) == 1, 1)).alias("one"), F.count(F.when(F.col(c) == 2, 1)).alias("two")).first()
-        return n.one / (n.one + 2 * n.two) if n.one else 0.5
-
-    def evidence(self, text: bytes | None) -> tuple[float, float, float]:
-        """Difference of log-likelihoods a word: over the document, and over its most toxic stretch; the
-        logarithm of the number of words, of which that stretch is the best."""
-        h, stems = tokens(text)
-        if self.none or not len(h):
-            return 0.0, 0.0, 0.0
+        words, wi = np.unique(w, return_inverse=True)
+        heads, ui = np.unique(u, return_inverse=True)
+        add = lambda at, x, n: np.bincount(at, x, n)
+        # last backoff, shared: contexts of a word in either class; half a context for words never seen
+        room = len(u) + 0.5 * (len(words) + 1)
+        shared, unseen = (np.bincount(wi, minlength=len(words)) + 0.5) / room, 0.5 / room
+        # pairs of both classes together
+        both, total = t + o, add(ui, t + o, len(heads))
+        kept = np.maximum(both - discount(both), 0)
+        free = 1 - add(ui, kept, len(heads)) / total
+        word, rare, back, full = {}, {}, {}, {}
+        for c, n in (("t", t), ("o", o)):
+            k = add(wi, n > 0, len(words))
+            own = np.maximum(k - discount(k), 0)
+            left = 1 - own.sum() / k.sum()
+            word[c], rare[c] = own / k.sum() + left * shared, left * unseen
+            joint = kept / total[ui] + free[ui] * word[c][wi]
+            own, size = np.maximum(n - discount(n), 0), add(ui, n, len(heads))
+            back[c] = np.where(size > 0, 1 - add(ui, own, len(heads)) / np.maximum(size, 1), 1.0)
+            full[c] = own / np.maximum(size, 1)[ui] + back[c][ui] * joint
+        self.rare = float(np.log(rare["t"] / rare["o"]))
+        self.words = words, np.log(word["t"] / word["o"])
+        self.heads = heads, np.log(back["t"] / back["o"])
+        key = pair_keys(u, w)
+        order = np.argsort(key)
+        self.pairs = key[order], np.log(full["t"] / full["o"])[order]
+
+    def each(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log ratio of each word alone, and after the word before it."""
         before = follows(h)
+        word = _lookup(*self.words, h, self.rare)
         x = _lookup(*self.pairs, pair_keys(before, h), np.nan)
-        word = _lookup(*self.words, h, np.nan)
-        word = np.where(np.isnan(word), _lookup(*self.stems, stems, self.rare), word)
-        x = np.where(np.isnan(x), word + _lookup(*self.heads, before, 0.0), x)
+        return word, np.where(np.isnan(x), word + _lookup(*self.heads, before, 0.0), x)
+
+    def evidence(self, text: bytes | None) -> tuple[float, float, float, float]:
+        """Difference of log-likelihoods a word: over the document, of its most toxic word alone, and over its most
+        toxic stretch; the logarithm of the number of words, of which these two are the best."""
+        h = tokens(text)
+        if self.none or not len(h):
+            return 0.0, 0.0, 0.0, 0.0
+        word, x = self.each(h)
         run = np.concatenate([[0.0], np.cumsum(x)])
         k = min(self.span, len(x))
-        return float(run[-1] / len(x)), float((run[k:] - run[:-k]).max() / k), float(np.log(len(x)))
+        return float(run[-1] / len(x)), float(word.max()), float((run[k:] - run[:-k]).max() / k), float(np.log(len(x)))
 
 
 class Toxicity:
@@ -173,7 +147,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e
 
 
 def _evidence(ratio):
-    schema = pa.schema([("label", pa.int32()), ("whole", pa.float64()), ("span", pa.float64()), ("size", pa.float64())])
+    schema = pa.schema([("label", pa.int32()), *[(c, pa.float64()) for c in ("whole", "word", "span", "size")]])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(rows):
@@ -184,34 +158,42 @@ def _evidence(ratio):
 
 
 def fit_toxicity_model(docs: DataFrame, labels: DataFrame, toxic: int = 3000, ordinary: int = 6000, seed: int = 9,
-                       id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = LEAST, span: int = SPAN) -> Toxicity:
-    """Learns from at most ``toxic`` documents marked 1 and ``ordinary`` marked 0.
+                       id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", span: int = SPAN,
+                       volume: int = 16_000_000) -> Toxicity:
+    """Learns from at most ``toxic`` documents marked 1 and ``ordinary`` marked 0, of each mark at most ``volume``
+    bytes of text; texts over a 64th of that are not drawn. So the tables on the driver have a bound.
 
     Only documents whose crc32(id) modulo 4 is not 2 are used. Three quarters count the models whose evidence on
-    the last quarter fits the score curve; the final models count all.
+    the last quarter fits the score curve; the final models count all. Null ids, texts and marks, and marks other
+    than 0 and 1, are never drawn; rows of equal text and mark count once. With no row of one mark, or an empty
+    table, every text gets the marks' share (a half if there are none).
     """
     marks = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where("label in (0, 1)").where(~held_out("doc_id", 4, 2)))
     share = marks.agg(F.avg("label")).first()[0] or 0.5
-    sample = labelled_sample(docs, marks, {1: toxic, 0: ordinary}, seed, id_col, text_col)
-    sample = (sample.withColumn("fold", (F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(4)) == 3).cast("int"))
-              .dropDuplicates(["label", "text"]).persist())
-    grams = (sample.select("fold", "label", "text").mapInArrow(_grams, "kind int, fold int, label int, u long, w long")
-             .groupBy("kind", "u", "w").agg(*[F.count(F.when((F.col("fold") == f) & (F.col("label") == c), 1)).alias(f"{n}{f}")
-                                      for f in (0, 1) for c, n in ((1, "t"), (0, "o"))]).persist())
-    half = LogRatio(grams.where("t0 + o0 > 0").select("kind", "u", "w", F.col("t0").alias("t"), F.col("o0").alias("o")),
-                    least, span)
-    whole = LogRatio(grams.select("kind", "u", "w", (F.col("t0") + F.col("t1")).alias("t"), (F.col("o0") + F.col("o1")).alias("o")),
-                     least, span)
+    short = docs.where(F.octet_length(F.col(text_col).cast("string")) <= volume // 64)
+    sample = labelled_sample(short, marks, {1: toxic, 0: ordinary}, seed, id_col, text_col)
+    sample = sample.select("label", "text").distinct().withColumn("key", F.xxhash64(F.lit(seed + 1), "text"))
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy("key", "text"))
+    # ranking put a mark's texts into one task: dealt anew for the cutting
+    sample = (sample.withColumn("upto", size).where(F.col("upto") <= volume)
+              .withColumn("fold", (F.pmod("key", F.lit(4)) == 3).cast("int")).repartition(32, "key").persist())
+    counted = (sample.select("fold", "label", "text").mapInArrow(_grams, "fold int, label int, u long, w long")
+               .groupBy("u", "w").agg(*[F.count(F.when((F.col("fold") == f) & (F.col("label") == c), 1)).cast("int").alias(f"{n}{f}")
+                                        for f in (0, 1) for c, n in ((1, "t"), (0, "o"))]).toArrow())
+    u, w = (counted.column(c).to_numpy().view(np.uint64) for c in "uw")
+    t0, o0, t1, o1 = (counted.column(c).to_numpy().astype(float) for c in ("t0", "o0", "t1", "o1"))
+    some = t0 + o0 > 0
+    half = LogRatio(u[some], w[some], t0[some], o0[some], span)
+    whole = LogRatio(u, w, t0 + t1, o0 + o1, span)
     sent = docs.sparkSession.sparkContext.broadcast(half)
     seen = sample.where("fold = 1").select("label", "text").mapInArrow(
-        _evidence(sent), "label int, whole double, span double, size double").collect()
-    grams.unpersist()
+        _evidence(sent), "label int, whole double, word double, span double, size double").collect()
     sample.unpersist()
     y = np.array([r.label for r in seen], float)
     if half.none or whole.none or len(set(y)) < 2:
-        return Toxicity(whole, np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0, 0, 0]))
-    x = np.array([[1.0, r.whole, r.span, r["size"]] for r in seen])
+        return Toxicity(whole, np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0, 0, 0, 0]))
+    x = np.array([[1.0, r.whole, r.word, r.span, r["size"]] for r in seen])
     # the sample's classes weigh what they weigh among all marked documents
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return Toxicity(whole, logistic(x, y, weight))

@@ -1,14 +1,17 @@
 """Language, quality and toxicity: held-out accuracy on the driver's labels, and odd input."""
 
 import math
+import random
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqforge.llm.language import fit_language_model, has_letter, identify_language, keep_identified
 from seqforge.llm.quality import estimate_prior, fit_quality_model, score_quality
-from seqforge.llm.toxicity import fit_toxicity_model, score_toxicity
+from seqforge.llm.toxicity import LogRatio, fit_toxicity_model, follows, score_toxicity, tokens
 
 SF = "/root/testdata/sf0.1"
 ODD = [(None, "the of and to"), (1, None), (2, ""), (3, " \n"), (4, "12 ... !!"), (5, "the and of with " * 20_000), (6, "é"), (6, "é")]
@@ -85,7 +88,6 @@ def test_quality_ignores_bad_labels_and_held_out_ones(spark, docs, labels):
 
 
 def test_prior_of_a_known_mix():
-    import numpy as np
     rng = np.random.default_rng(1)
     make = lambda m, n: np.c_[rng.normal(m, 1, (n, 3)), np.ones(n)].astype(np.float32)
     u = np.concatenate([make(2, 2100), make(-2, 900)])[rng.permutation(3000)]
@@ -105,3 +107,89 @@ def test_toxicity_with_one_class(spark, docs, labels):
     check_odd(score_toxicity(odd(spark), model))
     model = fit_toxicity_model(docs.limit(0), labels.limit(0))
     check_odd(score_toxicity(odd(spark), model))
+
+
+def dictionary_model(texts):
+    """The models over plain words: {(before, word): (toxic, ordinary)} documents, written from the definition."""
+    pairs = defaultdict(lambda: [0, 0])
+    for label, text in texts:
+        ws = text.lower().split()
+        for p in set(zip([None] + ws[:-1], ws)):
+            pairs[p][1 - label] += 1
+
+    def ney(counts):
+        n = Counter(counts)
+        return n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+
+    contexts = Counter(w for _, w in pairs)
+    both = {p: sum(c) for p, c in pairs.items()}
+    d_both = ney(both.values())
+
+    def level(counts, d, u, w, lower):
+        size = sum(c for p, c in counts.items() if p[0] == u)
+        if not size:
+            return lower
+        freed = 1 - sum(max(c - d, 0) for p, c in counts.items() if p[0] == u) / size
+        return max(counts.get((u, w), 0) - d, 0) / size + freed * lower
+
+    def model(side):
+        own = {p: c[side] for p, c in pairs.items() if c[side]}
+        d_own, k = ney(own.values()), Counter(w for _, w in own)
+        d_k, total = ney(k.values()), sum(k.values())
+
+        def word(w):
+            freed = 1 - sum(max(c - d_k, 0) for c in k.values()) / total
+            return max(k[w] - d_k, 0) / total + freed * (contexts[w] + 0.5) / (len(pairs) + 0.5 * (len(contexts) + 1))
+
+        return lambda u, w: level(own, d_own, u, w, level(both, d_both, u, w, word(w))), word
+
+    return model(0), model(1)
+
+
+def test_log_ratio_against_dictionaries():
+    rnd = random.Random(4)
+    texts = [(int(i % 3 == 0), " ".join(rnd.choice("abcdefgh" if i % 3 else "abcxyz") * rnd.randrange(1, 3) for _ in range(rnd.randrange(1, 14))))
+             for i in range(60)]
+    pairs = defaultdict(lambda: [0, 0])
+    for label, text in texts:
+        h = tokens(text.encode())
+        for p in set(zip(follows(h).tolist(), h.tolist())):
+            pairs[p][1 - label] += 1
+    u, w = np.array(list(pairs), np.uint64).T
+    t, o = np.array(list(pairs.values()), float).T
+    ratio = LogRatio(u, w, t, o)
+    (pt, wt), (po, wo) = dictionary_model(texts)
+    for _, text in texts + [(0, "never seen words"), (0, "a never xx h"), (0, "zz yy")]:
+        ws = text.split()
+        word, x = ratio.each(tokens(text.encode()))
+        for i, v in enumerate(ws):
+            before = ws[i - 1] if i else None
+            assert abs(word[i] - math.log(wt(v) / wo(v))) < 1e-9
+            assert abs(x[i] - math.log(pt(before, v) / po(before, v))) < 1e-9, (before, v)
+
+
+@pytest.mark.parametrize("fixed", [True, False])
+def test_a_set_phrase_is_caught_in_fixed_and_random_neighbours(spark, fixed):
+    rnd = random.Random(11)
+    name = lambda: "w%d" % rnd.randrange(800)
+    rows = []
+    for i in range(1200):
+        ws = [name() for _ in range(60)]
+        if i % 6 == 0:
+            at = rnd.randrange(5, 55)
+            ws[at:at] = ["left", "grobble", "snark", "vile", "right"] if fixed else ["grobble", "snark", "vile"]
+        elif fixed and i % 6 == 1:
+            ws[20:20] = ["left", "right"]
+        rows.append((i, " ".join(ws), int(i % 6 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scored = score_toxicity(df, fit_toxicity_model(df, df.select("doc_id", "toxic")))
+    clean, toxic = shares(scored, df.select("doc_id", "toxic"), "toxic")
+    assert toxic == 1 and clean > 0.97
+
+
+def test_toxicity_volume_bounds_the_sample(spark):
+    rows = [(i, ("bad " if i % 2 else "good ") * (1 + i % 7) + f"n{i}", i % 2) for i in range(400)] + [(401, "bad " * 9000, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_toxicity_model(df, df.select("doc_id", "toxic"), volume=4000)
+    assert 10 < len(model.ratio.pairs[0]) < 300
+    check_odd(score_toxicity(odd(spark), model))
