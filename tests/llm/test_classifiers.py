@@ -190,6 +190,8 @@ def test_a_set_phrase_is_caught_in_fixed_and_random_neighbours(spark, fixed):
 def test_toxicity_volume_bounds_the_sample(spark):
     rows = [(i, ("bad " if i % 2 else "good ") * (1 + i % 7) + f"n{i}", i % 2) for i in range(400)] + [(401, "bad " * 9000, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = fit_toxicity_model(df, df.select("doc_id", "toxic"), volume=4000)
-    assert 10 < len(model.ratio.pairs[0]) < 300
+    marks = df.select("doc_id", "toxic")
+    model, free = fit_toxicity_model(df, marks, volume=1000), fit_toxicity_model(df, marks)
+    # one pair of its own a text, at least 9 bytes a text, 1000 bytes a mark; two further pairs a mark
+    assert 4 < len(model.ratio.pairs[0]) <= 2 * (1000 // 9) + 4 < len(free.ratio.pairs[0])
     check_odd(score_toxicity(odd(spark), model))
