@@ -72,6 +72,12 @@ def discount(counts: np.ndarray) -> float:
     return one / (one + 2 * two) if one else 0.5
 
 
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the place of each key among them in 32 bits."""
+    different = np.unique(keys)
+    return different, np.searchsorted(different, keys).astype(np.int32)
+
+
 class LogRatio:
     """log P(word | before, toxic) - log P(word | before, ordinary), as sorted tables."""
 
@@ -81,32 +87,33 @@ class LogRatio:
         self.none = not (t.any() and o.any())
         if self.none:
             return
-        words, wi = np.unique(w, return_inverse=True)
-        heads, ui = np.unique(u, return_inverse=True)
+        words, wi = _ranks(w)
+        heads, ui = _ranks(u)
         add = lambda at, x, n: np.bincount(at, x, n)
         # last backoff, shared: contexts of a word in either class; half a context for words never seen
         room = len(u) + 0.5 * (len(words) + 1)
         shared, unseen = (np.bincount(wi, minlength=len(words)) + 0.5) / room, 0.5 / room
         # pairs of both classes together
-        both, total = t + o, add(ui, t + o, len(heads))
-        kept = np.maximum(both - discount(both), 0)
+        kept, total = t + o, add(ui, t + o, len(heads))
+        kept = np.maximum(kept - discount(kept), 0)
         free = 1 - add(ui, kept, len(heads)) / total
-        word, rare, back, full = {}, {}, {}, {}
-        for c, n in (("t", t), ("o", o)):
+        word, rare, back, log = {}, {}, {}, np.zeros(len(u))
+        for c, n, sign in (("t", t, 1), ("o", o, -1)):
             k = add(wi, n > 0, len(words))
             own = np.maximum(k - discount(k), 0)
             left = 1 - own.sum() / k.sum()
             word[c], rare[c] = own / k.sum() + left * shared, left * unseen
-            joint = kept / total[ui] + free[ui] * word[c][wi]
             own, size = np.maximum(n - discount(n), 0), add(ui, n, len(heads))
             back[c] = np.where(size > 0, 1 - add(ui, own, len(heads)) / np.maximum(size, 1), 1.0)
-            full[c] = own / np.maximum(size, 1)[ui] + back[c][ui] * joint
+            own /= np.maximum(size, 1)[ui]
+            own += back[c][ui] * (kept / total[ui] + free[ui] * word[c][wi])
+            log += sign * np.log(own)
         self.rare = float(np.log(rare["t"] / rare["o"]))
         self.words = words, np.log(word["t"] / word["o"])
         self.heads = heads, np.log(back["t"] / back["o"])
         key = pair_keys(u, w)
         order = np.argsort(key)
-        self.pairs = key[order], np.log(full["t"] / full["o"])[order]
+        self.pairs = key[order], log[order]
 
     def each(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The log ratio of each word alone, and after the word before it."""
@@ -182,16 +189,20 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, toxic: int = 3000, or
                .groupBy("u", "w").agg(*[F.count(F.when((F.col("fold") == f) & (F.col("label") == c), 1)).cast("int").alias(f"{n}{f}")
                                         for f in (0, 1) for c, n in ((1, "t"), (0, "o"))]).toArrow())
     u, w = (counted.column(c).to_numpy().view(np.uint64) for c in "uw")
-    t0, o0, t1, o1 = (counted.column(c).to_numpy().astype(float) for c in ("t0", "o0", "t1", "o1"))
+    t0, o0, t1, o1 = (counted.column(c).to_numpy() for c in ("t0", "o0", "t1", "o1"))
+    del counted
     some = t0 + o0 > 0
     half = LogRatio(u[some], w[some], t0[some], o0[some], span)
+    lone, sent = half.none, docs.sparkSession.sparkContext.broadcast(half)
+    del half, some
     whole = LogRatio(u, w, t0 + t1, o0 + o1, span)
-    sent = docs.sparkSession.sparkContext.broadcast(half)
+    del u, w, t0, o0, t1, o1
     seen = sample.where("fold = 1").select("label", "text").mapInArrow(
         _evidence(sent), "label int, whole double, word double, span double, size double").collect()
     sample.unpersist()
+    sent.destroy()
     y = np.array([r.label for r in seen], float)
-    if half.none or whole.none or len(set(y)) < 2:
+    if lone or whole.none or len(set(y)) < 2:
         return Toxicity(whole, np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0, 0, 0, 0]))
     x = np.array([[1.0, r.whole, r.word, r.span, r["size"]] for r in seen])
     # the sample's classes weigh what they weigh among all marked documents
