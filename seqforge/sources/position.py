@@ -9,10 +9,16 @@ Per-split counts (one row per split, a proven small table) give the offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def natural_order(name: str) -> Column:
+    """Sort key of file names: runs of digits compare as numbers (part-99999 before part-100000)."""
+    return F.expr(f"""array_join(transform(regexp_extract_all({name}, '([0-9]+|[^0-9]+)', 1),
+                      x -> if(x rlike '^[0-9]', lpad(x, greatest(20, length(x)), '0'), x)), '')""")
+
+
 def with_position(df: DataFrame, name: str = "idx") -> DataFrame:
     """Add a 0-based dense position in (file path, offset) order to a file-backed DataFrame.
 
@@ -24,10 +30,8 @@ def with_position(df: DataFrame, name: str = "idx") -> DataFrame:
     # a split never spans tasks, so (path, block start) plus the task-local id orders rows
     splits = (tagged.groupBy("_fp", "_fb")
               .agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")))
-    # one row per input split; runs of digits in names compare as numbers (part-99999 before part-100000)
-    natural = F.expr("""array_join(transform(regexp_extract_all(_fp, '([0-9]+|[^0-9]+)', 1),
-                        x -> if(x rlike '^[0-9]', lpad(x, greatest(20, length(x)), '0'), x)), '')""")
-    w = Window.orderBy(natural, "_fp", "_fb").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per input split
+    w = Window.orderBy(natural_order("_fp"), "_fp", "_fb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_fp", "_fb", "_first",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     out = tagged.join(offsets, ["_fp", "_fb"])

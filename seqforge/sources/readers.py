@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqforge.functions.text import fill_missing, lower_text, sentinel_to_null, strip_text
+from seqforge.sources.csv_records import read_csv
 from seqforge.sources.position import with_position  # noqa: F401  (re-exported)
 
 CORPUS_COLUMNS = ["annotation", "source_code", "target_api", "api_seq", "related_so_question"]
@@ -20,16 +21,12 @@ PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 def read_corpus_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
                     na_values: str | None = None) -> DataFrame:
     """Corpus CSV read by the names in its header, in any order and beside any other columns; quoted cells may
-    span lines. Adds ``idx`` (file position).
+    span lines, and one file is read by many tasks (``csv_records``). Adds ``idx`` (file position).
 
     ``columns`` prunes the read (``usecols``; all corpus columns by default); ``na_values='pandas'`` also maps the
     pandas default missing markers to null.
     """
-    df = (spark.read.option("header", True).option("multiLine", True)
-          .option("quote", '"').option("escape", '"')
-          .option("enforceSchema", False)
-          .csv(path))
-    df = with_position(df).select(*(columns or CORPUS_COLUMNS), "idx")
+    df = read_csv(spark, path, columns or CORPUS_COLUMNS)
     if na_values == "pandas":
         df = df.select(*[F.when(F.col(c).isin(PANDAS_NA), None).otherwise(F.col(c)).alias(c)
                          if c != "idx" else F.col(c) for c in df.columns])
