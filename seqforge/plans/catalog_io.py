@@ -23,6 +23,7 @@ from seqforge.plans.registry import register
 from seqforge.session import cut_lineage
 from seqforge.sources import readers as R
 from seqforge.sources import sinks as S
+from seqforge.sources.json_vocab import write_vocab_json
 
 CORPUS_COLS = ["annotation", "source_code", "target_api", "api_seq", "related_so_question"]
 
@@ -119,12 +120,8 @@ def src_vocab_json(spark, sf):
     d = fx.table(spark, sf, "documents").select(F.filter(F.split(F.lower("text"), r"(?U)\s+"),
                                                          lambda x: x != "").alias("tokens"))
     v = V.build_vocab(d, "tokens")
-    # one row, bounded by the vocabulary cap
-    js = v.agg(F.to_json(F.map_from_entries(F.transform(
-        F.array_sort(F.collect_list(F.struct("id", "token"))),
-        lambda x: F.struct(x["token"], x["id"])))).alias("value"))
     path = S.scratch_path(spark, "vocab-json")
-    js.write.mode("overwrite").text(path)
+    write_vocab_json(cut_lineage(v), path)
     return R.read_vocab_json(spark, path)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from seqforge.functions.text import fill_missing, lower_text, sentinel_to_null, strip_text
 from seqforge.sources.csv_records import read_csv
+from seqforge.sources.json_vocab import read_vocab_json  # noqa: F401  (re-exported)
 from seqforge.sources.position import with_position  # noqa: F401  (re-exported)
 
 CORPUS_COLUMNS = ["annotation", "source_code", "target_api", "api_seq", "related_so_question"]
@@ -107,14 +108,6 @@ def parse_gold(lines: DataFrame, value: str = "value") -> DataFrame:
     return good.select(cols.getItem(0).alias("id"), cols.getItem(1).alias("text"), *[c for c in lines.columns if c != value])
 
 
-def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
-    """Vocabulary file whose first line is a JSON object token -> id. Output: token, id, pos."""
-    lines = read_lines(spark, path, "value")
-    first = lines.where(F.col("line_no") == 0)
-    m = F.from_json("value", T.MapType(T.StringType(), T.LongType()))
-    return first.select(F.posexplode(m).alias("pos", "token", "id"))
-
-
 def read_packed(spark: SparkSession, desc_path: str, api_path: str, ctx_path: str | None = None) -> DataFrame:
     """Packed id arrays (Parquet ``row bigint, ids array<bigint>``) for description, API
     and optional context, aligned on ``row``; row counts must match."""
