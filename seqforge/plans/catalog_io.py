@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqforge.functions import arrays as A
+from seqforge.functions.text import stage_target, tokens_ws
 from seqforge.operators import bleu as B
+from seqforge.operators import features as FE
 from seqforge.operators import rank as RK
 from seqforge.operators import runlog as RL
 from seqforge.operators import vocab as V
 from seqforge.plans import fixtures as fx
 from seqforge.plans import sqlgen as sg
-from seqforge.plans.catalog import NBEST_SQL, SIM_BLEU_SQL, _round_all, nbest_fixture
+from seqforge.plans.catalog import NBEST_SQL, SIM_BLEU_SQL, _round_all, _sent_bleu_sql, nbest_fixture
 from seqforge.plans.catalog_runlog import CORPUS_SQL, METRICS_SQL, corpus_frame
-from seqforge.plans.catalog_seq import DOC_VOCAB_SQL, ENC_SQL, encoded
+from seqforge.plans.catalog_seq import DOC_VOCAB_SQL, ENC_SQL, MAX_SRC, MAX_TRG, encoded, vocab_sql
 from seqforge.plans.registry import register
 from seqforge.session import cut_lineage
 from seqforge.sources import readers as R
@@ -41,10 +43,13 @@ def _filled(col: str) -> str:
     return f"CASE WHEN {col} IS NULL OR {col} IN ({', '.join(sg.q(v) for v in R.PANDAS_NA)}) THEN '' ELSE {col} END"
 
 
-@register("src_examples_csv", f"""
+EXAMPLES_SQL = f"""
   SELECT idx, '' AS src_ant, lower({_filled('source_code')}) AS src_code,
          lower({_filled('related_so_question')}) AS sim_post, lower({_filled('target_api')}) AS target
-  FROM ({CORPUS_IDX_SQL})""")
+  FROM ({CORPUS_IDX_SQL})"""
+
+
+@register("src_examples_csv", EXAMPLES_SQL)
 def src_examples_csv(spark, sf):
     """Corpus CSV (multi-line quoted cells) -> examples: fill "", lower-case, position idx,
     annotation blanked as in the shared reader."""
@@ -58,6 +63,71 @@ def src_csv_columns(spark, sf):
     return R.read_corpus_csv(spark, _write_corpus_csv(spark, sf), ["annotation", "target_api", "api_seq"])
 
 
+# ------------------------------------------------------------------ examples to features, predictions and scores
+FIELDS = {"src_code": MAX_SRC, "src_ant": MAX_SRC, "sim_post": MAX_SRC, "target": MAX_TRG}
+_EXAMPLE_TOKENS_SQL = " UNION ALL ".join(f"SELECT {sg.tokens_ws(c)} AS tokens FROM ({EXAMPLES_SQL})" for c in ("src_code", "target"))
+
+
+def _features_sql() -> str:
+    cells = " UNION ALL ".join(f"SELECT idx, stage, '{f}' AS field, {n} AS m, ({sg.tokens_ws(f)})[1:{n - 2}] AS t FROM x"
+                               for f, n in FIELDS.items())
+    padded = "list_concat(f, list_transform(range(m - len(f)), lambda x: CAST(0 AS BIGINT)))"
+    shown = ", ".join(f"max(CASE WHEN field = '{f}' THEN array_to_string({padded}, ' ') END) AS {f}_ids, "
+                      f"CAST(max(CASE WHEN field = '{f}' THEN len(f) END) AS BIGINT) AS {f}_real" for f in FIELDS)
+    return f"""
+  WITH e AS ({EXAMPLES_SQL}), v AS (SELECT * FROM {vocab_sql(_EXAMPLE_TOKENS_SQL)}),
+  x AS (SELECT idx, 'train' AS stage, src_code, src_ant, sim_post, target FROM e
+        UNION ALL SELECT idx, 'test', src_code, src_ant, sim_post, 'None' FROM e),
+  cells AS ({cells}),
+  ids AS (SELECT idx, stage, field, list(coalesce(v.id, 3) ORDER BY pos) AS ids FROM (
+            SELECT idx, stage, field, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM cells) LEFT JOIN v USING (token)
+          GROUP BY ALL),
+  framed AS (SELECT idx, stage, field, m, list_concat([CAST(1 AS BIGINT)], coalesce(ids, []), [CAST(2 AS BIGINT)]) AS f
+             FROM cells LEFT JOIN ids USING (idx, stage, field))
+  SELECT idx, stage, {shown} FROM framed GROUP BY idx, stage"""
+
+
+def _examples(spark, sf):
+    return cut_lineage(R.examples_from_corpus(R.read_corpus_csv(spark, _write_corpus_csv(spark, sf), na_values="pandas")))
+
+
+@register("example_features", _features_sql())
+def example_features(spark, sf):
+    """Corpus CSV to model inputs: code, annotation, post and target of every example framed, padded and masked, for
+    training and for testing (target ``None``); words that only posts hold are unknown."""
+    e = _examples(spark, sf)
+    v = cut_lineage(V.build_vocab(e.select(F.explode(F.array("src_code", "target")).alias("t")).select(tokens_ws("t").alias("tokens"))))
+    staged = (e.withColumn("stage", F.explode(F.array(F.lit("train"), F.lit("test"))))
+              .withColumn("target", stage_target("target", "stage")))
+    f = FE.example_features(staged, ["idx", "stage"], FIELDS, v)
+    return f.select("idx", "stage", *[c for name in FIELDS for c in (
+        A.ids_text(f"{name}_ids").alias(f"{name}_ids"),
+        F.aggregate(f"{name}_mask", F.lit(0).cast("bigint"), lambda a, b: a + b).alias(f"{name}_real"))])
+
+
+_SCORED_SQL = f"""
+  WITH e AS ({EXAMPLES_SQL}), known AS (SELECT DISTINCT unnest({sg.tokens_ws("target")}) AS token FROM e)
+  SELECT e.idx AS seg, coalesce(h.hyp, '') AS hyp, e.target AS ref FROM e LEFT JOIN (
+    SELECT idx, array_to_string(list(CASE WHEN known.token IS NULL THEN '<unk>' ELSE w.token END ORDER BY pos), ' ') AS hyp FROM (
+      SELECT idx, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (
+        SELECT idx, ({sg.tokens_ws("src_code")})[1:{MAX_SRC - 2}] AS t FROM e)) w LEFT JOIN known USING (token) GROUP BY idx) h USING (idx)"""
+
+
+@register("csv_to_scores", _sent_bleu_sql(_SCORED_SQL))
+def csv_to_scores(spark, sf):
+    """The whole test flow: corpus CSV, examples, features, predicted ids, decoded texts, ``_hyp.csv`` and ``_ref.csv``, BLEU-1..4
+    of the two files. The prediction of an example is its code in the vocabulary of the targets."""
+    e = _examples(spark, sf)
+    v = cut_lineage(V.build_vocab(e.select(tokens_ws("target").alias("tokens"))))
+    f = FE.example_features(e, ["idx"], {"src_code": MAX_SRC}, v)
+    predicted = f.select("idx", A.eos_cut(A.safe_slice("src_code_ids", 2, MAX_SRC - 1)).alias("ids"))     # after CLS, up to SEP
+    texts = V.decode_ids(predicted, "idx", "ids", v).select("idx", F.col("text").alias("hyp"))
+    pairs = texts.join(e.select("idx", F.col("target").alias("ref")), "idx")
+    files = S.write_hyp_ref_csv(pairs, "idx", "hyp", "ref", S.scratch_path(spark, "test"))
+    read = R.read_hyp_ref_csv(spark, *files)
+    return _round_all(B.mean_sentence_bleu(read.withColumnRenamed("idx", "seg")))
+
+
 # ------------------------------------------------------------------ line files
 DOC_LINES_POS_SQL = f"SELECT CAST(row_number() OVER (ORDER BY doc_id, line_no) - 1 AS BIGINT) AS idx, line FROM ({fx.DOC_LINES_SQL})"
 CONV_LINES_SQL = """
@@ -241,16 +311,9 @@ def sink_split_bimodal(spark, sf):
   SELECT 'ref', CAST(row_number() OVER (ORDER BY seg) - 1 AS BIGINT), ref FROM ({fx.STAR_PAIRS_SQL})""")
 def sink_hyp_ref_csv(spark, sf):
     """Headerless predictions / gold CSVs written in the same order and read back."""
-    from pyspark.sql import types as T
-    pairs = fx.star_pairs(spark, sf)
-    hp, rp = S.write_hyp_ref_csv(pairs, "seg", "hyp", "ref", S.scratch_path(spark, "hypref"))
-    out = None
-    for name, p in (("hyp", hp), ("ref", rp)):
-        df = (spark.read.schema(T.StructType([T.StructField("text", T.StringType())]))
-              .option("header", False).option("multiLine", True).option("escape", '"').csv(p))
-        df = R.with_position(df, "idx").select(F.lit(name).alias("file"), "idx", F.coalesce("text", F.lit("")).alias("text"))
-        out = df if out is None else out.unionByName(df)
-    return out
+    files = S.write_hyp_ref_csv(fx.star_pairs(spark, sf), "seg", "hyp", "ref", S.scratch_path(spark, "hypref"))
+    return R.read_hyp_ref_csv(spark, *files).select("idx", F.stack(
+        F.lit(2), F.lit("hyp"), "hyp", F.lit("ref"), "ref").alias("file", "text")).select("file", "idx", "text")
 
 
 _ID_TEXT_SQL = f"""

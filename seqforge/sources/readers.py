@@ -85,6 +85,19 @@ def paired_lines_strict(spark: SparkSession, ref_path: str, cand_path: str) -> D
     return j.select(F.col("line_no").alias("idx"), "reference", "candidate")
 
 
+def read_hyp_ref_csv(spark: SparkSession, hyp_path: str, ref_path: str) -> DataFrame:
+    """Headerless one-column CSVs of predictions and gold, zipped by position; their row counts must match.
+    Cells may span lines; an empty cell is an empty text. Output: idx, hyp, ref."""
+    one = T.StructType([T.StructField("text", T.StringType())])
+
+    def cells(path: str, name: str) -> DataFrame:
+        df = (spark.read.schema(one).option("header", False).option("multiLine", True).option("escape", '"')
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+        return with_position(df, "idx").select("idx", F.coalesce("text", F.lit("")).alias(name))
+
+    return align_assert(cells(hyp_path, "hyp"), cells(ref_path, "ref"), "idx")
+
+
 def parse_predictions(lines: DataFrame, value: str = "value", pos: str = "line_no") -> DataFrame:
     """``id\\ttext`` predictions: no tab -> empty text, extra fields ignored, the
     last line of a repeated id wins. Output: id, text."""
