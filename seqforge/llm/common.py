@@ -77,6 +77,14 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column of ``df`` starts with: names made with them cannot clash."""
+    p = "__"
+    while any(c.startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def held_out(id_col: str, modulus: int, remainder: int):
     """crc32 of the identifier's decimal text, modulo ``modulus``, equals ``remainder``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))

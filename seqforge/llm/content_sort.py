@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import binaries, from_numpy, two_columns
+from seqforge.llm.common import binaries, free_prefix, from_numpy, two_columns
 
 HELD = 32 << 20            # bytes of different texts that a task collapses at a time
 HEAD = 32                  # characters of the text in the range key
@@ -113,9 +113,14 @@ def content_sort_dedup(docs: DataFrame, keep: str = "smallest", normalise: Calla
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`content_sort_dedup` keeps, with their columns."""
+    """The rows of ``docs`` that :func:`content_sort_dedup` keeps, with their columns, whatever those are called.
+
+    Null texts count as empty. Rows without identifier lose to any other; of rows repeated with the id and text that
+    stay, one stays (which one, if their other columns differ, is open). An empty table stays empty.
+    """
+    p = free_prefix(docs)
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
     stay = (content_sort_dedup(docs, keep, None, id_col, text_col).where("kept")
-            .select(F.col("doc_id").alias("__stay"), F.col("text_sha256").alias("__sha")))
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")) & (sha == F.col("__sha")))
-    return kept.dropDuplicates(["__stay", "__sha"]).drop("__stay", "__sha")
+            .select(F.col("doc_id").alias(f"{p}stay"), F.col("text_sha256").alias(f"{p}sha")))
+    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}stay")) & (sha == F.col(f"{p}sha")))
+    return kept.dropDuplicates([f"{p}stay", f"{p}sha"]).drop(f"{p}stay", f"{p}sha")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from seqforge.llm.common import batches_of, from_numpy, held_out, two_columns
 from seqforge.llm.sampling import labelled_sample
+from seqforge.session import cut_lineage
 
 ORDER = 4                  # longest n-gram of the spectrum
 SPACE = 1 << 15            # slots for n-grams
@@ -117,17 +118,24 @@ def _predict(model):
 
 
 def fit_language_model(docs: DataFrame, sample: int = 1600, landmarks: int = 256, ridge: float = 1e-4, seed: int = 5,
-                       id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelRidge:
-    """Learns from at most ``sample`` labelled training documents, the same number for each language.
+                       least: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelRidge:
+    """Learns from at most ``sample`` labelled training documents in all, the same number for each language.
 
-    Training documents are those whose crc32(id) modulo 4 is not 2. Only presence bits of whole texts come
-    to the driver: ``sample`` rows of ``SPACE`` bits.
+    Training documents are those whose crc32(id) modulo 4 is not 2. Rows with a null id, language or text take no
+    part; a language with fewer than ``least`` of the rest is not learned, nor are any but the ``sample // least``
+    most frequent. Repeated rows may be drawn repeatedly. Empty texts count as any other; of an empty table no language
+    is learned. Only presence bits of whole texts come to the driver: ``sample`` rows of ``SPACE`` bits.
     """
-    marks = (docs.where(~held_out(id_col, 4, 2)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("label")))
-    langs = marks.select("label").distinct().count()
-    picked = labelled_sample(docs, marks, max(2, sample // max(1, langs)), seed, id_col, text_col)
-    rows = picked.mapInArrow(_bits, "doc_id long, label string, bits binary").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 + seed) % 2**61)
+    marks = (docs.where(~held_out(id_col, 4, 2) & F.col(text_col).isNotNull())
+             .select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("label")).dropna())
+    learned = cut_lineage(marks.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+                          .orderBy(F.desc("n"), "label").limit(max(1, sample // least)).select("label"))
+    many = learned.count()
+    picked = labelled_sample(docs, marks.join(F.broadcast(learned), "label", "left_semi"), sample // max(1, many), seed,
+                             id_col, text_col)
+    # ranked by label, so dealt anew: cutting the texts is spread over the tasks
+    rows = picked.repartition(F.col("doc_id")).mapInArrow(_bits, "doc_id long, label string, bits binary").collect()
+    rows = sorted(rows, key=lambda r: ((r.doc_id * 0x9E3779B97F4A7C15 + seed) % 2**61, r.label, r.bits))
     x = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows]).reshape(-1, SPACE)
     return KernelRidge(x, [r.label for r in rows], landmarks, ridge)
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import WORD
+from seqforge.llm.common import WORD, free_prefix
 from seqforge.session import cut_lineage
 
 ROOM = 1 << 16             # tokens of a source that the dynamic programme fits
@@ -147,19 +147,22 @@ def mix_to_weights(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with a column ``repeats``: how often the mix takes a row.
+    """``docs`` with a column ``repeats``: how often the mix takes a row (0: not at all).
 
-    Rows that agree in id, source and size take their turns in the order of their texts' digests.
+    Rows that agree in id, source and size take their turns in the order of their texts' digests. Null texts and
+    texts without words are not taken; null sources and ids are as in :func:`mix_to_weights`. All columns of ``docs``
+    stay, whatever they are called, but for one named ``repeats``, which is replaced. An empty table stays empty.
     """
+    p = free_prefix(docs)
     units = (mix_units(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-             .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-                     "passes", "m", "picked").withColumnsRenamed({"passes": "__passes", "m": "__m", "picked": "__picked"}))
+             .select(*[F.col(c).alias(p + c) for c in ("doc_id", "source", "size", "passes", "m", "picked")]))
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.join(units, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source"))
-                     & (size == F.col("__size")))
-    alone = rows.where("__m = 1").withColumn("__turn", F.lit(1))
-    turn = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(F.col(text_col)))
-    several = rows.where("__m > 1").withColumn("__turn", F.row_number().over(turn))
-    repeats = (F.col("__passes") + (F.col("__turn") <= F.col("__picked")).cast("int")).cast("int")
-    return (alone.unionByName(several).withColumn("repeats", F.when(F.col("__size") > 0, repeats).otherwise(F.lit(0)))
-            .drop("__id", "__source", "__size", "__passes", "__m", "__picked", "__turn"))
+    rows = docs.join(units, F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}doc_id"))
+                     & F.col(source_col).eqNullSafe(F.col(f"{p}source")) & (size == F.col(f"{p}size")))
+    turn = f"{p}turn"
+    alone = rows.where(F.col(f"{p}m") == 1).withColumn(turn, F.lit(1))
+    order = Window.partitionBy(f"{p}doc_id", f"{p}source", f"{p}size").orderBy(F.xxhash64(F.col(text_col)))
+    several = rows.where(F.col(f"{p}m") > 1).withColumn(turn, F.row_number().over(order))
+    repeats = (F.col(f"{p}passes") + (F.col(turn) <= F.col(f"{p}picked")).cast("int")).cast("int")
+    return (alone.unionByName(several).withColumn("repeats", F.when(F.col(f"{p}size") > 0, repeats).otherwise(F.lit(0)))
+            .drop(*units.columns, turn))

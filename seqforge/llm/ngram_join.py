@@ -12,8 +12,9 @@ different sets is verified once.
 3. *Candidates*: per n-gram, ordered by set size, the length and positional filters are applied in a stream
    with one kept row per set size; only a spanning forest of the candidate pairs is written, never the pairs.
 4. *Verification*: the trees of that forest are candidate groups. A group is dealt into blocks of bounded
-   size, every pair of blocks is one task's group, and there each pair of sets meets once: length filter,
-   suffix filter (bucket counts bound the Hamming distance from below), then the exact intersection.
+   size and every pair of blocks is one task's group. There sets meet through an index of their prefix n-grams;
+   a pair passes the length, positional and suffix filters (bucket counts bound the Hamming distance from below)
+   and is then intersected, once.
 """
 
 from __future__ import annotations
@@ -194,31 +195,57 @@ def _forest(num: int, den: int):
 def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each position in ``left``, the positions in ``right`` whose sets are alike; each pair is looked at once.
 
-    When ``left`` is ``right`` only later positions are compared.
+    When ``left`` is ``right`` only later positions are compared. Pairs meet through an index of the prefix n-grams,
+    rare first among the sets at hand, and must pass the length, positional and suffix filters; only what is left is
+    intersected, so work grows with shared prefix n-grams and filtered pairs, not with all pairs.
     """
     size = np.array([len(s) for s in sets], np.int64)
     pivots = np.linspace(0, 2.0**64, PIVOTS + 1)[1:-1].astype(np.uint64)
     sig = np.array([np.diff(np.concatenate([[0], np.searchsorted(s, pivots), [len(s)]])) for s in sets], np.int32)
-    every = np.concatenate([sets[j] for j in right])
-    owner = np.repeat(np.arange(len(right)), size[right])
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(count), np.int64)
+    place[np.argsort(count, kind="stable")] = np.arange(len(count))
+    rank = [np.sort(r) for r in np.split(place[at], np.cumsum(size)[:-1])]
+    prefix = [r[:prefix_length(len(r), num, den)] for r in rank]
+    # postings of the right side: n-gram, owner, position
+    gram = np.concatenate([prefix[j] for j in right])
+    owner = np.repeat(np.arange(len(right)), [len(prefix[j]) for j in right])
+    place_in = np.concatenate([np.arange(len(prefix[j])) for j in right])
+    order = np.argsort(gram, kind="stable")
+    gram, owner, place_in = gram[order], owner[order], place_in[order]
+    flat, starts = np.concatenate([rank[j] for j in right]), np.concatenate([[0], np.cumsum(size[right])[:-1]])
+    flag = np.zeros(len(count), bool)
+    last_here, last_there = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
     for k, i in enumerate(left):
-        later = right[k + 1:] if left is right else right
-        start = len(right) - len(later)
-        if not len(later):
+        lo, hi = np.searchsorted(gram, prefix[i], "left"), np.searchsorted(gram, prefix[i], "right")
+        many = hi - lo
+        hit = np.repeat(hi - np.cumsum(many), many) + np.arange(many.sum())
+        who = owner[hit]
+        shared = np.bincount(who, minlength=len(right))
+        if left is right:
+            shared[:k + 1] = 0
+        met = np.flatnonzero(shared)
+        if not len(met):
             continue
-        n = size[later]
-        can = (np.minimum(n, size[i]) * den >= num * np.maximum(n, size[i]))
+        # ascending n-grams: the last shared one of each pair is what stays
+        last_here[who], last_there[who] = np.repeat(np.arange(len(many)), many), place_in[hit]
+        other = right[met]
+        n = size[other]
         need = needed(n + size[i], num, den)
-        can &= (n + size[i] - np.abs(sig[later] - sig[i]).sum(1)) // 2 >= need
-        if not can.any():
+        can = np.minimum(n, size[i]) * den >= num * np.maximum(n, size[i])
+        can &= shared[met] + np.minimum(size[i] - last_here[met], n - last_there[met]) - 1 >= need
+        met, other, n, need = met[can], other[can], n[can], need[can]
+        can = (n + size[i] - np.abs(sig[other] - sig[i]).sum(1)) // 2 >= need
+        met, other, need = met[can], other[can], need[can]
+        if not len(met):
             continue
-        lo, hi = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
-        many = hi - lo
-        at = np.repeat(hi - np.cumsum(many), many) + np.arange(many.sum())
-        common = np.bincount(owner[at], minlength=len(right))[start:]
-        yield i, later[can & (common >= need)]
+        flag[rank[i]] = True
+        if 4 * size[other].sum() > len(flat):
+            common = np.add.reduceat(flag[flat], starts, dtype=np.int64)[met]
+        else:
+            common = np.array([np.count_nonzero(flag[rank[j]]) for j in other])
+        flag[rank[i]] = False
+        yield i, other[common >= need]
 
 
 def _verified(ngram: int, num: int, den: int):

@@ -67,6 +67,48 @@ def test_language_learns_only_from_training_rows(spark, docs):
     assert {r.lang_pred for r in identify_language(odd(spark), model).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_in_all(spark):
+    rows = [(k, f"tongue {k % 90} says word{k % 90} often", None if k % 3 == 0 else f"l{k % 90}") for k in range(1, 3000)]
+    rows += [(5000 + k, f"rare {k}", f"once{k}") for k in range(400)] + [(6000, None, "l1"), (None, "x", "l1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = fit_language_model(df, sample=180, landmarks=32)
+    assert model.classes == sorted(f"l{k}" for k in range(90) if k % 3)          # no null, none seen once
+    few = fit_language_model(df, sample=20, landmarks=32, least=2)
+    assert len(few.classes) == 10
+    alone = fit_language_model(df.where("lang = 'l1'"))
+    assert alone.classes == ["l1"] and {r.lang_pred for r in identify_language(df, alone).collect()} == {"l1", "und"}
+    assert fit_language_model(df.where("lang is null")).classes == []
+
+
+def test_language_agrees_with_the_kernel_written_out(spark):
+    """Ridge regression on exact kernel features, n-grams counted as text, with every sample document a landmark."""
+    rnd = random.Random(2)
+    tongue = {"aa": "alma balma kalma dalma", "bb": "pitri mitri kitri", "cc": "oxo uxo exo ixo"}
+    rows = [(k, " ".join(rnd.choices(tongue[lang].split(), k=rnd.randrange(3, 9))), lang) for k, lang in enumerate("aa bb cc".split() * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language_model(df, sample=600, landmarks=600)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+
+    def grams(text):
+        t = f" {text} "
+        return {t[i:i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
+
+    def kernel(a, b):
+        return len(a & b) / math.sqrt(len(a) * len(b))
+
+    sets = [grams(t) for _, t, _ in train]
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[lang == c for c in sorted(tongue)] for _, _, lang in train], float)
+    centre = np.eye(len(k)) - 1 / len(k)
+    dual = np.linalg.solve(centre @ k @ centre + 1e-4 * len(k) * np.eye(len(k)), centre @ y)
+    got = {r.doc_id: r for r in identify_language(df, model).collect()}
+    for i, text, _ in rows:
+        here = np.array([kernel(grams(text), b) for b in sets])
+        out = y.mean(0) + (here - k.mean(0)) @ centre @ dual
+        assert got[i].lang_pred == sorted(tongue)[out.argmax()]
+        assert abs(got[i].score - min(1, max(0, out.max()))) < 0.02
+
+
 def test_quality(spark, docs, labels):
     model = fit_quality_model(docs, labels)
     share = labels.agg(F.avg("quality")).first()[0]

@@ -59,3 +59,12 @@ def test_normalise_and_empty(spark):
     assert [r.keep_id for r in content_sort_dedup(df, "smallest", F.lower).collect()] == [1, 1]
     none = content_sort_dedup(df.limit(0))
     assert none.count() == 0 and none.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+
+
+def test_clashing_names_stay(spark):
+    names = ["__stay", "__sha", "sha", "keep_id", "kept", "text_sha256", "___x"]
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, None), (4, ""), (None, "a"), (None, "z"), (None, "z")], "doc_id long, text string")
+    df = df.withColumns({c: F.lit(c) for c in names})
+    out = drop_copies(df, "smallest")
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == [("1", "a"), ("3", "None"), ("None", "z")]

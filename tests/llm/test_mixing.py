@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqforge.llm.mixing import fit_lengths, mix_to_weights
+from seqforge.llm.mixing import fit_lengths, mix_rows, mix_to_weights
 from tests.conftest import SF_SMALL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,3 +92,12 @@ def test_fit_of_a_large_source_is_exact_and_even():
     take = fit_lengths(size, count, total // 3, 1)
     assert int((size * take).sum()) == total // 3 and (take <= count).all()
     assert (np.abs(take / count - 1 / 3)[count > 100] < 0.02).mean() > 0.9
+
+
+def test_rows_keep_clashing_columns(spark):
+    names = ["__id", "__turn", "__m", "size", "m", "passes", "picked", "repeats"]
+    df = spark.createDataFrame([(k, f"s{k % 2}", "a b c") for k in range(40)] + [(1, "s1", "a b c"), (50, None, None), (None, "s0", "")],
+                               "doc_id long, source string, text string").withColumns({c: F.lit(c) for c in names})
+    out = mix_rows(df)
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == 43
+    assert all(r.__getitem__("__turn") == "__turn" and (r.text or r.repeats == 0) for r in out.collect())

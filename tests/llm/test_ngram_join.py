@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqforge.llm.ngram_join import ngram_jaccard_join, prefix_length
+from seqforge.llm.ngram_join import alike, ngram_jaccard_join, prefix_length
 from tests.conftest import SF_SMALL
 
 
@@ -95,3 +96,38 @@ def test_documents_against_all_pairs(spark):
 
 def test_prefix_length():
     assert [prefix_length(n, 75, 100) for n in (1, 2, 4, 100)] == [1, 1, 2, 26]
+
+
+def shared_sentences(seed, docs, each, of):
+    rnd = random.Random(seed)
+    pool = [" ".join(f"s{k}w{w}" for w in range(8)) for k in range(of)]
+    return [" ".join(rnd.sample(pool, each)) for _ in range(docs)]
+
+
+def test_documents_of_shared_sentences(spark):
+    texts = shared_sentences(8, 120, 20, 60)
+    texts += [t.replace("s3w", "z") for t in texts[:40]] + [t + " tail" for t in texts[20:50]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(ngram_jaccard_join(df)) == brute(rows)
+
+
+def test_alike_finds_every_pair_on_one_and_two_sides():
+    rnd = random.Random(11)
+    base = [np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64)) for n in (1, 2, 3, 30, 200, 200)]
+    sets = []
+    for s in base:
+        for _ in range(25):
+            keep = s[np.array([rnd.random() > 0.12 for _ in s], bool)]
+            sets.append(np.unique(np.concatenate([keep if len(keep) else s, base[rnd.randrange(6)][:rnd.randrange(20)]])))
+    every = np.arange(len(sets))
+
+    def pairs(left, right):
+        return sorted((min(i, j), max(i, j)) for i, found in alike(sets, left, right, 75, 100) for j in found.tolist())
+
+    def true(left, right, same):
+        return sorted((min(i, j), max(i, j)) for i in left for j in right if (i < j if same else True)
+                      and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j])))
+
+    assert pairs(every, every) == true(every, every, True) and len(pairs(every, every)) > 50
+    assert pairs(every[::2], every[1::2]) == true(every[::2], every[1::2], False)
