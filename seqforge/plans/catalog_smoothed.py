@@ -21,10 +21,8 @@ REFS_TOK = f"SELECT seg, ref_no, {sg.cli_tokens('text')} AS t FROM ({_R})"
 
 
 def _stats(spark, sf, eff="shortest"):
-    # the inputs are a derived plan (window + joins over documents) read by two consumers
-    # each: materialise the tokenised rows once inside this query
-    hyps, refs = fx.anchor_and_refs(spark, sf)
-    return B.smoothed_stats(hyps, refs, eff_ref_len=eff, materialize=True)
+    hyps, refs = fx.anchor_and_refs(spark, sf)      # both read the same exchanges
+    return B.smoothed_stats(hyps, refs, eff_ref_len=eff)
 
 
 def _seg_sql(eff):
@@ -167,8 +165,7 @@ def clip_join(spark, sf):
 def multiset_intersect(spark, sf):
     """Bag intersection of hypothesis and reference n-grams with INTERSECT ALL (cross-check of clip_join)."""
     p = fx.star_pairs(spark, sf)
-    t = p.select("seg", B.sentence_tokens(F.col("hyp")).alias("h"), B.sentence_tokens(F.col("ref")).alias("r"))
-    out = multiset_intersect_stats(t, "seg", "h", "r")
+    out = multiset_intersect_stats(p, "seg", "hyp", "ref", tokens=lambda c: B.sentence_tokens(F.col(c)))
     return out.select("seg", F.col("n").cast("int").alias("n"), F.col("m").cast("bigint").alias("m"))
 
 
@@ -197,8 +194,7 @@ def bleu_cli(spark, sf):
     pred = parse_predictions(pred_lines)
     gold = parse_gold(gold_lines).withColumnRenamed("line_no", "ref_no")
     pred, gold = jpg(pred, gold, gold_pos="ref_no")
-    stats = B.smoothed_stats(pred.withColumnRenamed("id", "seg"), gold.withColumnRenamed("id", "seg"),
-                             materialize=True)
+    stats = B.smoothed_stats(pred.withColumnRenamed("id", "seg"), gold.withColumnRenamed("id", "seg"))
     return _round_all(B.bleu_from_maps(stats).select("bleu"))
 
 
