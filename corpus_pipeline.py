@@ -18,10 +18,12 @@ from seqforge.llm.mixing import mix_rows
 from seqforge.llm.ngram_join import ngram_jaccard_join
 from seqforge.session import checkpoint_dir
 
+SURE = 0.5        # half way between another language (0) and the language itself (1), as the classifier is taught
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters (language ``und``) go; the classifier's score, asked to be 0 or more, rejects none."""
-    return keep_identified(docs, fit_language_model(docs))
+    """Documents without letters (language ``und``) go, and those that the classifier is not at least SURE of."""
+    return keep_identified(docs, fit_language_model(docs), SURE)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
