@@ -12,7 +12,6 @@ from seqforge.plans import fixtures as fx
 from seqforge.plans import sqlgen as sg
 from seqforge.plans.catalog import _round_all
 from seqforge.plans.registry import register
-from seqforge.session import cut_lineage
 from seqforge.sources.readers import parse_gold, parse_predictions
 
 _H, _R = fx.anchor_refs_sql()
@@ -108,13 +107,11 @@ def ref_max_count(spark, sf):
 def cook_refs(spark, sf):
     """cook_refs per segment: reference lengths, and the maximum counts over its references, summed per order."""
     _, refs = fx.anchor_and_refs(spark, sf)
-    t = cut_lineage(refs.select("seg", "ref_no", B.cli_tokens(F.col("text")).alias("t")))     # lengths and counts read it
     size = F.size("t")
-    lengths = t.groupBy("seg").agg(F.count(F.lit(1)).cast("bigint").alias("n_refs"), F.min(size).cast("bigint").alias("shortest"),
-                                   F.max(size).cast("bigint").alias("longest"), F.sum(size).cast("bigint").alias("total_len"))
-    most = reference_max_counts(t, "seg", "ref_no", "t").groupBy("seg").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_grams"),
-        *[F.sum(F.when(F.col("n") == k, F.col("r")).otherwise(0)).cast("bigint").alias(f"max{k}") for k in range(1, 5)])
+    lengths = refs.select("seg", B.cli_tokens(F.col("text")).alias("t")).groupBy("seg").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_refs"), F.min(size).cast("bigint").alias("shortest"),
+        F.max(size).cast("bigint").alias("longest"), F.sum(size).cast("bigint").alias("total_len"))
+    most = reference_max_counts(refs, "seg", "ref_no", "text", cut=lambda t: B.cli_tokens(F.col(t)))
     return lengths.join(most, "seg", "left").fillna(0, ["n_grams", *[f"max{k}" for k in range(1, 5)]])
 
 
@@ -141,11 +138,10 @@ register("ngrams", f"""
 
 def _ngrams(spark, sf):
     """All n-grams (n = 1..4) of every document: occurrences and distinct grams per order."""
-    from seqforge.operators.ngrams import explode_ngrams
     d = fx.table(spark, sf, "documents").select("doc_id", B.tokens_ws(F.lower("text")).alias("t"))
-    e = explode_ngrams(d.repartition("doc_id"), ["doc_id"], "t")   # one row per doc: colocate, then count locally
-    return e.groupBy("doc_id", F.col("n").cast("bigint").alias("n")).agg(F.count(F.lit(1)).cast("bigint").alias("n_grams"),
-                                        F.countDistinct("gram").cast("bigint").alias("n_distinct"))
+    c = ngram_count(d, ["doc_id"], "t")
+    return c.groupBy("doc_id", F.col("n").cast("bigint").alias("n")).agg(F.sum("cnt").cast("bigint").alias("n_grams"),
+                                        F.count(F.lit(1)).cast("bigint").alias("n_distinct"))
 
 
 _CLIP_SQL = sg.pair_stats(fx.STAR_PAIRS_SQL, sg.tokens_ws(sg.lower(sg.strip('hyp'))), sg.tokens_ws(sg.lower(sg.strip('ref'))))

@@ -69,3 +69,35 @@ def test_salted_references_equal_unsalted(spark, monkeypatch):
                     best[n] |= sum((grams(t, n + 1) for t in texts), Counter())
             for n in range(4):
                 assert (sum((grams(t, n + 1) for t in mine), Counter()) & best[n]).total() == m[n]
+
+
+def test_counts_of_keys_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(G, "CHUNK", 8)
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 2]), _words(rng, 6)) for _ in range(40)] + [(3, None), (4, [])]
+    df = spark.createDataFrame(rows, "k long, t array<string>")
+    got = N.ngram_count(df, ["k"], "t")
+    assert "inline" not in optimized(got) and "HashAggregate" not in optimized(got)
+    assert sorted(map(str, got.collect())) == sorted(map(str, N.ngram_count(df, ["k"], "t", colocate=False).collect()))
+
+
+def test_reference_totals_salted(spark, monkeypatch):
+    rng = random.Random(8)
+    refs = [(rng.choice([None, 1, 2, 3]), rng.randint(0, 60), _words(rng, 9)) for _ in range(150)] + [(4, 1, []), (5, 1, None)]
+    df = spark.createDataFrame(refs, "seg long, ref_no long, t array<string>")
+    best = {}
+    for seg in {s for s, _, _ in refs}:
+        by_no = {}
+        for s, no, t in refs:
+            if s == seg:
+                by_no.setdefault(no, []).append(t or [])
+        best[seg] = [Counter() for _ in range(4)]
+        for texts in by_no.values():
+            for n in range(4):
+                best[seg][n] |= sum((grams(t, n + 1) for t in texts), Counter())
+    want = sorted(((s, sum(map(len, b)), *[x.total() for x in b]) for s, b in best.items()), key=str)
+    for most in (10_000, 7):
+        monkeypatch.setattr(N, "GRAM_REFS_PER_TASK", most)
+        out = N.reference_max_counts(df, "seg", "ref_no", "t")
+        assert "posexplode" not in optimized(out)
+        assert sorted(map(tuple, out.collect()), key=str) == want
