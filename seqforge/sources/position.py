@@ -34,6 +34,6 @@ def with_position(df: DataFrame, name: str = "idx") -> DataFrame:
     w = Window.orderBy(natural_order("_fp"), "_fp", "_fb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_fp", "_fb", "_first",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = tagged.join(offsets, ["_fp", "_fb"])
+    out = tagged.join(F.broadcast(offsets), ["_fp", "_fb"])     # the cells themselves do not move
     return out.select(*[F.col(c) for c in df.columns],
                       (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint").alias(name))

@@ -42,3 +42,25 @@ def test_parquet_pruning_and_pushdown(spark):
     p = plan(df)
     assert "PushedFilters: [IsNotNull(turn), EqualTo(turn,3)]" in p
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint>" in p
+
+
+def test_texts_do_not_move_to_meet_their_group(spark):
+    # hypotheses move once, by reference; those with several references not at all
+    p = optimized(fx.star_pairs(spark, SF_SMALL))
+    assert p.count("SortMergeJoin") == 1 and p.count("BroadcastHashJoin") >= 3
+    hyps, refs = fx.anchor_and_refs(spark, SF_SMALL)
+    assert "Exchange" not in optimized(hyps) + optimized(refs) and "SortMergeJoin" not in optimized(refs)
+
+
+def test_cells_do_not_move_to_get_their_position(spark, tmp_path):
+    from seqforge.sources.readers import read_lines
+    spark.range(20).selectExpr("string(id)").write.text(str(tmp_path / "t"))
+    p = optimized(read_lines(spark, str(tmp_path / "t")))
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+
+
+def test_framed_fields_are_worked_out_once(spark):
+    from seqforge.functions import arrays as A
+    df = spark.range(1).selectExpr("array(5L, 6L) AS ids")
+    p = optimized(df.select(A.frame_cls_sep_mask("ids", 8, 1, 2, 0).alias("f")))
+    assert p.count("ids#") <= 4
