@@ -32,10 +32,7 @@ def example_features(examples: DataFrame, key: list[str], fields: dict[str, int]
     words = rows.select(*key, "field", F.posexplode_outer("t").alias("pos", "token"))
     known = words.join(vocab.select("token", "id"), "token", "left")
     entry = F.when(F.col("pos").isNotNull(), F.struct("field", "pos", F.coalesce("id", F.lit(A.UNK_ID)).cast("bigint").alias("id")))
-    whole = known.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    out = [*key]
-    for name, n in fields.items():
-        ids = F.transform(F.filter("entries", _of_field(name)), lambda e: e["id"])
-        framed = A.frame_cls_sep_mask(ids, n, A.SOS_ID, A.EOS_ID, A.PAD_ID)
-        out += [framed["ids"].alias(f"{name}_ids"), framed["mask"].alias(f"{name}_mask")]
-    return whole.select(*out)
+    whole = known.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    framed = whole.select(*key, *[A.frame_cls_sep_mask(F.transform(F.filter("entries", _of_field(name)), lambda e: e["id"]), n, A.SOS_ID, A.EOS_ID, A.PAD_ID)
+                                  .alias(name) for name, n in fields.items()])
+    return framed.select(*key, *[F.col(name)[part].alias(f"{name}_{part}") for name in fields for part in ("ids", "mask")])

@@ -94,15 +94,20 @@ def _examples(spark, sf):
 @register("example_features", _features_sql())
 def example_features(spark, sf):
     """Corpus CSV to model inputs: code, annotation, post and target of every example framed, padded and masked, for
-    training and for testing (target ``None``); words that only posts hold are unknown."""
+    training and for testing (target ``None``); words that only posts hold are unknown. Both stages share the fields
+    of an example, which are looked up once beside its two targets."""
     e = _examples(spark, sf)
     v = cut_lineage(V.build_vocab(e.select(F.explode(F.array("src_code", "target")).alias("t")).select(tokens_ws("t").alias("tokens"))))
-    staged = (e.withColumn("stage", F.explode(F.array(F.lit("train"), F.lit("test"))))
-              .withColumn("target", stage_target("target", "stage")))
-    f = FE.example_features(staged, ["idx", "stage"], FIELDS, v)
-    return f.select("idx", "stage", *[c for name in FIELDS for c in (
+    targets = {stage: f"{stage}_target" for stage in ("train", "test")}
+    staged = e.select("*", *[stage_target("target", F.lit(stage)).alias(name) for stage, name in targets.items()])
+    fields = {name: n for name, n in FIELDS.items() if name != "target"} | {name: FIELDS["target"] for name in targets.values()}
+    f = FE.example_features(staged, ["idx"], fields, v)
+    shown = f.select("idx", *[c for name in fields for c in (
         A.ids_text(f"{name}_ids").alias(f"{name}_ids"),
         F.aggregate(f"{name}_mask", F.lit(0).cast("bigint"), lambda a, b: a + b).alias(f"{name}_real"))])
+    return shown.select("idx", F.inline(F.array(*[F.struct(F.lit(stage).alias("stage"), *[
+        F.col(f"{name if name != 'target' else of}_{part}").alias(f"{name}_{part}") for name in FIELDS for part in ("ids", "real")])
+        for stage, of in targets.items()])))
 
 
 _SCORED_SQL = f"""
