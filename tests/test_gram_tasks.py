@@ -5,6 +5,7 @@ from collections import Counter
 
 import seqforge.operators.gram_tasks as G
 import seqforge.operators.ngrams as N
+from seqforge.functions.text import first_tokens_ws, tokens_ws
 from seqforge.operators import bleu as B
 from seqforge.operators.ngrams import multiset_intersect_stats, pair_stats
 from tests.test_plans import optimized
@@ -101,3 +102,44 @@ def test_reference_totals_salted(spark, monkeypatch):
         out = N.reference_max_counts(df, "seg", "ref_no", "t")
         assert "posexplode" not in optimized(out)
         assert sorted(map(tuple, out.collect()), key=str) == want
+
+
+def test_reference_grams_leave_the_task_as_results(spark, monkeypatch):
+    rng = random.Random(9)
+    refs = [(rng.choice([None, 1, 2, 3]), rng.choice([None, *range(60)]), _words(rng, 9)) for _ in range(150)] + [(4, 1, []), (5, 1, None)]
+    df = spark.createDataFrame(refs, "seg long, ref_no long, t array<string>")
+    best = {}
+    for seg, no in {(s, no) for s, no, _ in refs}:
+        for n in range(1, 5):
+            one = sum((grams(t or [], n) for s, k, t in refs if (s, k) == (seg, no)), Counter())
+            for g, c in one.items():
+                best[seg, n, "\u0001".join(g)] = max(c, best.get((seg, n, "\u0001".join(g)), 0))
+    want = sorted(((*k, c) for k, c in best.items()), key=str)
+    for most in (10_000, 7):
+        monkeypatch.setattr(N, "GRAM_REFS_PER_TASK", most)
+        out = N.reference_max_grams(df, "seg", "ref_no", "t")
+        assert ("HashAggregate" in optimized(out)) == (most == 7)
+        assert sorted(map(tuple, out.collect()), key=str) == want
+
+
+def test_bigrams_of_repeated_keys_and_empty_texts(spark, monkeypatch):
+    monkeypatch.setattr(G, "CHUNK", 8)
+    rows = [(1, "a b a b"), (1, "a b a b"), (2, ""), (2, "c"), (3, None), (None, "a a"), (4, "b " * 30)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    got = {(r.before, r.word): r.cnt for r in N.word_bigrams(df, "k", tokens_ws).collect()}
+    want = Counter()
+    for key in {k for k, _ in rows}:
+        texts = [(t or "").split() for k, t in rows if k == key]
+        want[None, None] += sum(not t for t in texts)
+        run = [t[k] for k in range(max(map(len, texts))) for t in texts if k < len(t)]
+        want.update(zip([None, *run], [*run, None]) if run else [])
+    assert got == {k: c for k, c in want.items() if c}
+    p = optimized(N.word_bigrams(df, "k", tokens_ws))
+    assert "Generate" not in p
+
+
+def test_first_words(spark):
+    texts = ["", " ", "a", " a  b", "a b c d", "\ta\u00a0b\nc ", None, "a b "]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    for r in df.select("text", first_tokens_ws("text", 2).alias("t")).collect():
+        assert r.t == (None if r.text is None else r.text.split()[:2])
