@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqforge.operators import bleu as B
 from seqforge.operators.joins import skew_safe_join
-from seqforge.operators.ngrams import multiset_intersect_stats, ngram_count, reference_max_counts
+from seqforge.operators.ngrams import multiset_intersect_stats, ngram_count, reference_max_counts, reference_max_grams
 from seqforge.plans import fixtures as fx
 from seqforge.plans import sqlgen as sg
 from seqforge.plans.catalog import _round_all
@@ -88,11 +88,8 @@ def bleu_stats_cooked(spark, sf):
 def ref_max_count(spark, sf):
     """cook_refs: per n-gram the maximum count over the references of a segment."""
     _, refs = fx.anchor_and_refs(spark, sf)
-    t = refs.select("seg", "ref_no", B.cli_tokens(F.col("text")).alias("t"))
-    c = ngram_count(t, ["seg", "ref_no"], "t")
-    return (c.groupBy("seg", "n", "gram").agg(F.max("cnt").cast("bigint").alias("maxcount"))
-            .select("seg", F.col("n").cast("bigint").alias("n"), F.regexp_replace("gram", "\u0001", " ").alias("gram"),
-                    "maxcount"))
+    c = reference_max_grams(refs, "seg", "ref_no", "text", cut=lambda t: B.cli_tokens(F.col(t)))
+    return c.select("seg", F.col("n").cast("bigint").alias("n"), F.translate("gram", "\u0001", " ").alias("gram"), "maxcount")
 
 
 @register("cook_refs", f"""
