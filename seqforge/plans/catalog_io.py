@@ -16,9 +16,10 @@ from seqforge.operators import features as FE
 from seqforge.operators import rank as RK
 from seqforge.operators import runlog as RL
 from seqforge.operators import vocab as V
+from seqforge.operators.joins import lookup_join
 from seqforge.plans import fixtures as fx
 from seqforge.plans import sqlgen as sg
-from seqforge.plans.catalog import NBEST_SQL, SIM_BLEU_SQL, _round_all, _sent_bleu_sql, nbest_fixture
+from seqforge.plans.catalog import NBEST_SQL, SIM_BLEU_SQL, _round_all, _sent_bleu_sql, nbest_pairs
 from seqforge.plans.catalog_runlog import CORPUS_SQL, METRICS_SQL, corpus_frame
 from seqforge.plans.catalog_seq import DOC_VOCAB_SQL, ENC_SQL, MAX_SRC, MAX_TRG, encoded, vocab_sql
 from seqforge.plans.registry import register
@@ -336,6 +337,24 @@ def sink_id_text(spark, sf):
     return R.parse_predictions(R.read_lines(spark, path, "value"))
 
 
+def report_rows(hyps, refs):
+    """(heads, samples, queries) of the n-best report of golds ``hyps`` (seg, text) and samples ``refs`` (seg, ref_no, text).
+
+    Queries are numbered on narrow rows and written once; no text moves to get its number. A sample comes once for every
+    gold of its query, as pairs of samples and golds do.
+    """
+    golds = hyps.groupBy("seg").agg(F.count(F.lit(1)).cast("int").alias("golds"))
+    qs = cut_lineage(RK.dense_index(refs.groupBy("seg").agg(F.count(F.lit(1)).alias("cnt")).join(golds, "seg"), ["seg"], "b"))
+    number, counts = qs.select("seg", (F.col("b") + 1).alias("batch"), "golds"), qs.select("seg", "cnt")
+    heads = (lookup_join(hyps, number, ["seg"], "seg", qs.select("seg", F.col("golds").alias("cnt")))
+             .groupBy("batch", F.concat(F.lit("doc "), F.col("seg").cast("string")).alias("query"))
+             .agg(F.min(F.regexp_replace("text", "\n", " ")).alias("target")))
+    samples = lookup_join(refs, number, ["seg"], "ref_no", counts).select(
+        "batch", F.col("ref_no").alias("r_id"), F.regexp_replace("text", "\n", " ").alias("sample"),
+        F.explode(F.sequence(F.lit(1), F.col("golds"))).alias("_copy")).drop("_copy")
+    return heads, samples, qs
+
+
 @register("sink_eval_report", f"""
   WITH x AS (SELECT qid, r_id, dense_rank() OVER (ORDER BY qid) AS batch, 'doc ' || CAST(qid AS VARCHAR) AS q,
                replace(ref, chr(10), ' ') AS t, replace(replace(hyp, chr(10), ' '), ' '' ', '''') AS h FROM ({NBEST_SQL})),
@@ -351,14 +370,11 @@ def sink_id_text(spark, sf):
     SELECT batch, arg_min(h, r_id) AS h FROM x GROUP BY batch)""")
 def sink_eval_report(spark, sf):
     """Human-readable n-best report (Batch, Query, Target, Samples, summary) and the file of best samples, read back by line."""
-    nb = cut_lineage(nbest_fixture(spark, sf))                 # read by the report, the single-best file and the scores
-    qs = RK.dense_index(nb.select("qid").distinct(), ["qid"], "b")
-    x = nb.join(qs, "qid").select("qid", (F.col("b") + 1).alias("batch"), "r_id",
-                                  F.concat(F.lit("doc "), F.col("qid").cast("string")).alias("query"),
-                                  F.regexp_replace("ref", "\n", " ").alias("target"),
-                                  F.regexp_replace("hyp", "\n", " ").alias("sample"))
+    hyps, refs = fx.anchor_and_refs(spark, sf)
+    heads, samples, qs = report_rows(hyps, refs)
     path = S.scratch_path(spark, "report")
-    S.write_eval_report(x, B.recall_prec_f1(B.sim_bleu(nb)), f"{path}/all", f"{path}/single")
+    scores = B.recall_prec_f1(B.sim_bleu(nbest_pairs(hyps, refs, qs.select("seg", "cnt"))))
+    S.write_eval_report(heads, samples, scores, f"{path}/all", f"{path}/single")
     out = [R.read_lines(spark, f"{path}/{f}", "line").select(F.lit(f).alias("file"), "line_no", "line") for f in ("all", "single")]
     return out[0].unionByName(out[1])
 
