@@ -146,8 +146,8 @@ _CLIP_SQL = sg.pair_stats(fx.STAR_PAIRS_SQL, sg.tokens_ws(sg.lower(sg.strip('hyp
 
 @register("clip_join", f"SELECT seg, m1, m2, m3, m4 FROM {_CLIP_SQL} s")
 def clip_join(spark, sf):
-    """Clipped n-gram matches per pair (union of both sides + one aggregation)."""
-    s = B.sentence_bleu_stats(fx.star_pairs(spark, sf))
+    """Clipped n-gram matches per pair: both sides meet by reference, each text moved once."""
+    s = B.sentence_bleu_stats(fx.star_shared(spark, sf))
     return s.select("seg", *B.M)
 
 
@@ -157,7 +157,7 @@ def clip_join(spark, sf):
     UNION ALL SELECT seg, 3, m3 FROM {_CLIP_SQL} c UNION ALL SELECT seg, 4, m4 FROM {_CLIP_SQL} d) WHERE m > 0""")
 def multiset_intersect(spark, sf):
     """Bag intersection of hypothesis and reference n-grams with INTERSECT ALL (cross-check of clip_join)."""
-    p = fx.star_pairs(spark, sf)
+    p = fx.star_shared(spark, sf)
     out = multiset_intersect_stats(p, "seg", "hyp", "ref", tokens=lambda c: B.sentence_tokens(F.col(c)))
     return out.select("seg", F.col("n").cast("int").alias("n"), F.col("m").cast("bigint").alias("m"))
 

@@ -3,10 +3,13 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 import seqforge.operators.gram_tasks as G
 import seqforge.operators.ngrams as N
 from seqforge.functions.text import first_tokens_ws, tokens_ws
 from seqforge.operators import bleu as B
+from seqforge.operators.joins import SharedRefs
 from seqforge.operators.ngrams import multiset_intersect_stats, pair_stats
 from tests.test_plans import optimized
 
@@ -143,3 +146,48 @@ def test_first_words(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
     for r in df.select("text", first_tokens_ws("text", 2).alias("t")).collect():
         assert r.t == (None if r.text is None else r.text.split()[:2])
+
+
+def _shared(spark, rng, key="long"):
+    ids = [None, *range(12)]
+    hyps = [(rng.choice(ids), rng.choice([*_texts(rng, 8), None]), rng.choice([*ids, 40])) for _ in range(60)]
+    hyps += [(100 + k, " ".join(_words(rng, 9)), rng.choice([3, 4, 41])) for k in range(70)]
+    refs = [(k % 9 if k < 12 else k, rng.choice([*_texts(rng, 8), None])) for k in range(42)] + [(None, "a b")]
+    h = spark.createDataFrame(hyps, "seg long, hyp string, ref_id long")
+    return SharedRefs(h if key == "long" else h.selectExpr("struct(seg AS qid, ref_id AS r_id) AS seg", "hyp", "ref_id"),
+                      spark.createDataFrame(refs, "ref_id long, ref string"))
+
+
+def _texts(rng, many):
+    return [" ".join(_words(rng, 9)) for _ in range(many)]
+
+
+def test_shared_references_equal_joined_pairs(spark, monkeypatch):
+    # repeated and null keys, repeated and missing references, null texts; chunks and salts that cut a reference's hypotheses
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=str)
+    for key in ("long", "struct"):
+        shared = _shared(spark, random.Random(6), key)
+        joined = shared.hyps.join(shared.refs, "ref_id")
+        want, swapped = rows(B.sentence_bleu_stats(joined)), rows(B.sentence_bleu_stats(joined, hyp="ref", ref="hyp"))
+        sets = rows(multiset_intersect_stats(joined, "seg", "hyp", "ref", tokens=tokens_ws))
+        assert len(want) > 100
+        for chunk, most in ((G.CHUNK, 5_000), (8, 3)):
+            with monkeypatch.context() as m:
+                m.setattr(G, "CHUNK", chunk)
+                m.setattr(N, "HYPS_PER_TASK", most)
+                assert rows(B.sentence_bleu_stats(shared)) == want
+                assert rows(B.sentence_bleu_stats(shared, hyp="ref", ref="hyp")) == swapped
+                assert rows(multiset_intersect_stats(shared, "seg", "hyp", "ref", tokens=tokens_ws)) == sets
+
+
+def test_a_step_holds_only_the_last_reference(monkeypatch):
+    # 40 hypotheses of one reference in batches of one row, and one without a reference
+    monkeypatch.setattr(G, "CHUNK", 4)
+    names = ["ref_id", "salt", "kind", "seg", "t"]
+    rows = [(1, 0, 0, None, ["a", "b", "a"]), *[(1, 0, 1, k, ["b", "a"]) for k in range(40)], (2, 0, 1, 99, ["a"]), (3, 0, 0, None, ["a"]), (3, 0, 1, 50, [])]
+    batches = [pa.RecordBatch.from_pydict({n: pa.array([v], tp) for n, v, tp in zip(names, r, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())))})
+               for r in rows]
+    schema = pa.schema([(k, pa.int64()) for k in ("seg", "c", "r", "m1", "m2", "m3", "m4")])
+    got = [tuple(x.values()) for b in G.shared_step(schema, 4)(iter(batches)) for x in b.to_pylist()]
+    assert got == [*[(k, 2, 3, 2, 1, 0, 0) for k in range(40)], (50, 0, 1, 0, 0, 0, 0)]

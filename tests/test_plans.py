@@ -52,6 +52,13 @@ def test_texts_do_not_move_to_meet_their_group(spark):
     assert "Exchange" not in optimized(hyps) + optimized(refs) and "SortMergeJoin" not in optimized(refs)
 
 
+def test_references_do_not_travel_with_their_hypotheses(spark):
+    # both sides meet in one exchange, by reference, and no row carries two texts
+    for name in ("clip_join", "sent_bleu4", "dev_bleu_swapped", "multiset_intersect"):
+        p = optimized(REGISTRY[name].fn(spark, SF_SMALL))
+        assert "SortMergeJoin" not in p and p.count("Exchange hashpartitioning(ref_id") == 1 and "Exchange hashpartitioning(seg" not in p, (name, p)
+
+
 def test_cells_do_not_move_to_get_their_position(spark, tmp_path):
     from seqforge.sources.readers import read_lines
     spark.range(20).selectExpr("string(id)").write.text(str(tmp_path / "t"))
