@@ -19,7 +19,7 @@ from seqforge.operators import vocab as V
 from seqforge.operators.joins import lookup_join
 from seqforge.plans import fixtures as fx
 from seqforge.plans import sqlgen as sg
-from seqforge.plans.catalog import NBEST_SQL, SIM_BLEU_SQL, _round_all, _sent_bleu_sql, nbest_pairs
+from seqforge.plans.catalog import NBEST_SQL, SIM_BLEU_SQL, _round_all, _sent_bleu_sql, nbest_shared
 from seqforge.plans.catalog_runlog import CORPUS_SQL, METRICS_SQL, corpus_frame
 from seqforge.plans.catalog_seq import DOC_VOCAB_SQL, ENC_SQL, MAX_SRC, MAX_TRG, encoded, vocab_sql
 from seqforge.plans.registry import register
@@ -373,7 +373,7 @@ def sink_eval_report(spark, sf):
     hyps, refs = fx.anchor_and_refs(spark, sf)
     heads, samples, qs = report_rows(hyps, refs)
     path = S.scratch_path(spark, "report")
-    scores = B.recall_prec_f1(B.sim_bleu(nbest_pairs(hyps, refs, qs.select("seg", "cnt"))))
+    scores = B.recall_prec_f1(B.sim_bleu(nbest_shared(hyps, refs, qs.select("seg", "cnt"))))
     S.write_eval_report(heads, samples, scores, f"{path}/all", f"{path}/single")
     out = [R.read_lines(spark, f"{path}/{f}", "line").select(F.lit(f).alias("file"), "line_no", "line") for f in ("all", "single")]
     return out[0].unionByName(out[1])

@@ -54,7 +54,7 @@ def test_texts_do_not_move_to_meet_their_group(spark):
 
 def test_references_do_not_travel_with_their_hypotheses(spark):
     # both sides meet in one exchange, by reference, and no row carries two texts
-    for name in ("clip_join", "sent_bleu4", "dev_bleu_swapped", "multiset_intersect"):
+    for name in ("clip_join", "sent_bleu4", "dev_bleu_swapped", "multiset_intersect", "sim_bleu", "recall_prec_f1"):
         p = optimized(REGISTRY[name].fn(spark, SF_SMALL))
         assert "SortMergeJoin" not in p and p.count("Exchange hashpartitioning(ref_id") == 1 and "Exchange hashpartitioning(seg" not in p, (name, p)
 
