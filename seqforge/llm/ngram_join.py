@@ -4,11 +4,14 @@ Method: rare-first prefix filtering with length, positional and suffix filters;
 different sets is verified once.
 
 1. *Profile*: one pass gives each document's set size and a 128-bit digest of its set (equal sets are one
-   node from here on), and adds up a table of 2^20 n-gram counters. The table has a fixed size whatever the
-   corpus; ordering n-grams by (counter, hash) is one global order, rare first, so prefix filtering is exact.
-2. *Postings*: the rarest ``n - ceil(t n) + 1`` n-grams of each set, with the set's size and what is left of
-   the set from that position on. Sets of one size that share an n-gram and could be alike are reduced to one
-   before the shuffle, so a group of copies that fills a third of the table reaches the reducers as a few rows.
+   node from here on).
+2. *Postings*: chunks of sets send their n-grams, packed, to shards of the hash space; a shard counts in how many sets
+   each is and answers every chunk with those that are in several. Ordering n-grams by (count, hash) is one
+   global order, rare first, so prefix filtering is exact, and as counts are those of the n-grams themselves a set meets
+   others only through n-grams that it shares, however large the corpus is. Of each set's rarest ``n - ceil(t n) + 1``
+   n-grams those that are in several sets become rows, with the set's size and what is left of the set from that position
+   on. Sets of one size that share an n-gram and could be alike are reduced to one before the shuffle, so a group of copies
+   that fills a third of the table reaches the reducers as a few rows.
 3. *Candidates*: per n-gram, ordered by set size, the length and positional filters are applied in a stream
    with one kept row per set size; only a spanning forest of the candidate pairs is written, never the pairs.
 4. *Verification*: the trees of that forest are candidate groups. A group is dealt into blocks of bounded
@@ -26,15 +29,16 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import (batches_of, binaries, from_numpy, pair_components, shingle_set, signed, two_columns)
+from seqforge.llm.common import batches_of, binaries, from_numpy, pair_components, shingle_set, two_columns
 from seqforge.session import cut_lineage
 
-COUNTER_BITS = 20          # 2^20 counters: 4 MB, whatever the corpus
-SLAB = 1 << 14             # counters in one row of a partial table
-FLUSH = 400_000            # postings reduced together before they are written
+KEY_BITS = 40              # of an n-gram's hash that are sent and ordered by; n-grams that agree in them count as one
+SHARD = 1 << 21            # n-grams of a chunk of sets, and those that a shard counts, about
+MOST = 255                 # counts are held up to this number
 BLOCK = 1_000_000          # n-grams of one verification block
 PIVOTS = 16                # buckets of the suffix filter
 
@@ -55,48 +59,110 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _profile(ngram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
-                        ("slab", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches_of(rows):
             sets = [shingle_set(t, ngram) for t in binaries(batch.column("text"))]
-            every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            np.add.at(table, (every >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.uint32(1))
             h = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
-            none = pa.nulls(batch.num_rows, pa.int32())
             yield from_numpy(schema, batch.column("doc_id"), np.array([len(s) for s in sets], np.int64),
-                             h[:, 0].copy(), h[:, 1].copy(), none, pa.nulls(batch.num_rows, pa.binary()))
-        full = [k for k in range(len(table) // SLAB) if table[k * SLAB:(k + 1) * SLAB].any()]
-        pack = zstandard.ZstdCompressor(level=1)
-        none = pa.nulls(len(full), pa.int64())
-        yield from_numpy(schema, none, none, none, none, np.array(full, np.int32),
-                         pa.array([pack.compress(table[k * SLAB:(k + 1) * SLAB].tobytes()) for k in full], pa.binary()))
-
-    return run, "doc_id long, n long, h1 long, h2 long, slab int, counts binary"
-
-
-def _added(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the partial tables slab by slab, as they stream in."""
-    total: dict[int, np.ndarray] = {}
-    unpack = zstandard.ZstdDecompressor()
-    for batch in rows:
-        for slab, counts in zip(batch.column("slab").to_pylist(), batch.column("counts").to_pylist()):
-            part = np.frombuffer(unpack.decompress(counts), np.uint32)
-            total[slab] = total.get(slab, 0) + part.astype(np.uint64)
-    schema = pa.schema([("slab", pa.int32()), ("counts", pa.binary())])
-    yield from_numpy(schema, np.array(list(total), np.int32), pa.array([v.tobytes() for v in total.values()], pa.binary()))
-
-
-def _counters(profile: DataFrame) -> np.ndarray:
-    """The summed table on the driver: 2^20 numbers, never more."""
-    parts = (profile.where("slab is not null").select("slab", "counts").repartition(16, "slab")
-             .mapInArrow(_added, "slab int, counts binary").collect())
-    table = np.zeros(1 << COUNTER_BITS, np.uint32)
-    for r in parts:
-        table[r.slab * SLAB:(r.slab + 1) * SLAB] = np.minimum(np.frombuffer(r.counts, np.uint64), 2**32 - 1)
-    return table
+                             h[:, 0].copy(), h[:, 1].copy())
+
+    return run, "doc_id long, n long, h1 long, h2 long"
+
+
+def packed(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers below 256^width, compressed byte by byte: the first byte of all, the second of all and so on."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
+#: A chunk's n-grams of one shard in ascending order with the number of the set that has each; one row of a chunk has its sets instead.
+PART = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("sets", pa.binary())])
+#: The same after counting: n-grams that are in several sets, and in how many.
+SHARED = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary()), ("sets", pa.binary())])
+
+
+def _parts(ngram: int, shards: int):
+    """Chunks of about ``SHARD`` n-grams of different sets, cut at the bounds of the shards."""
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() << 32, {}, 0
+
+        def out() -> pa.RecordBatch:
+            n = np.array([len(s) for s in held.values()], np.int64)
+            key = np.concatenate(list(held.values())) >> np.uint64(64 - KEY_BITS)
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], np.repeat(np.arange(len(n)), n)[order]
+            shard = (key * np.uint64(shards) >> np.uint64(KEY_BITS)).astype(np.int64)
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(key)]
+            cuts = [slice(a, b) for a, b in zip(edges, edges[1:])]
+            sets = np.stack([np.array([node for node, _ in held], np.int64), n]).tobytes()
+            return from_numpy(PART, [((chunk >> 32) + chunk) % shards, *[int(shard[c.start]) for c in cuts]], [chunk] * (len(cuts) + 1),
+                              [None, *[packed(_steps(key[c]), KEY_BITS // 8) for c in cuts]],
+                              [None, *[packed(owner[c], 4) for c in cuts]], [sets, *[None] * len(cuts)])
+
+        for batch in batches_of(rows):
+            for text in binaries(batch.column("text")):
+                s = shingle_set(text, ngram)
+                if not len(s) or (name := digest(s)) in held:
+                    continue
+                held[name], size = s, size + len(s)
+                if size >= SHARD:
+                    yield out()
+                    chunk, held, size = chunk + 1, {}, 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _counted(shard: pa.Table) -> pa.Table:
+    """Answers each chunk with its n-grams that are in several sets."""
+    parts, out = shard.filter(shard.column("sets").is_null()), shard.filter(shard.column("sets").is_valid())
+    out = [(chunk, None, None, None, sets) for chunk, sets in zip(out.column("chunk").to_pylist(), out.column("sets").to_pylist())]
+    if parts.num_rows:
+        keys = [np.cumsum(unpacked(k, KEY_BITS // 8)) for k in parts.column("keys").to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])
+        _, where, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        count = np.split(np.minimum(count, MOST)[where], ends[:-1])
+        for chunk, key, owners, c in zip(parts.column("chunk").to_pylist(), keys, parts.column("owners").to_pylist(), count):
+            several = c > 1
+            if several.any():
+                out.append((chunk, packed(_steps(key[several]), KEY_BITS // 8), packed(unpacked(owners, 4)[several], 4),
+                            packed(c[several], 1), None))
+    return pa.Table.from_batches([from_numpy(SHARED, *map(list, zip(*out)))] if out else [], SHARED)
+
+
+def _prefixes(num: int, den: int):
+    """Postings of a chunk: n-grams that no other set has come first in every set's order and need no row."""
+    def run(group: pa.Table) -> pa.Table:
+        sets = [s for s in group.column("sets").to_pylist() if s is not None]
+        parts = [p for p in zip(*(group.column(c).to_pylist() for c in ("keys", "owners", "counts"))) if p[0] is not None]
+        if not parts:
+            return pa.Table.from_batches([], POSTING)
+        node, n = np.frombuffer(sets[0], np.int64).reshape(2, -1)
+        key = np.concatenate([np.cumsum(unpacked(k, KEY_BITS // 8)) for k, _, _ in parts]).astype(np.int64)
+        owner = np.concatenate([unpacked(o, 4) for _, o, _ in parts]).astype(np.int64)
+        order = np.lexsort((key, np.concatenate([unpacked(c, 1) for _, _, c in parts]), owner))
+        key, owner = key[order], owner[order]
+        many = np.bincount(owner, minlength=len(n))
+        at = np.arange(len(key)) - (np.cumsum(many) - many)[owner] + (n - many)[owner]
+        rare = at < prefix_length(n, num, den)[owner]
+        owner = owner[rare]
+        return pa.Table.from_batches(_reduced(key[rare], n[owner].astype(np.int32), (n[owner] - at[rare]).astype(np.int32), node[owner], num, den), POSTING)
+
+    return run
 
 
 POSTING = pa.schema([("gram", pa.int64()), ("n", pa.int32()), ("rest", pa.int32()), ("node", pa.int64()),
@@ -123,32 +189,6 @@ def _reduced(gram, n, rest, node, num: int, den: int) -> Iterator[pa.RecordBatch
     yield from_numpy(POSTING, edges[:, 0], zero, zero, edges[:, 0], edges[:, 1].copy())
 
 
-def _postings(table, ngram: int, num: int, den: int):
-    shift = np.uint64(64 - COUNTER_BITS)
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, held, size = table.value, [], 0
-        for batch in batches_of(rows):
-            for text in binaries(batch.column("text")):
-                s = shingle_set(text, ngram)
-                n = len(s)
-                if not n:
-                    continue
-                node = digest(s)[0]
-                p = prefix_length(n, num, den)
-                rare = np.argsort(counters[(s >> shift).astype(np.int64)], kind="stable")[:p]
-                held.append((signed(s[rare]), np.full(p, n, np.int32), np.arange(n, n - p, -1, dtype=np.int32),
-                             np.full(p, node, np.int64)))
-                size += p
-                if size >= FLUSH:
-                    yield from _reduced(*map(np.concatenate, zip(*held)), num, den)
-                    held, size = [], 0
-        if held:
-            yield from _reduced(*map(np.concatenate, zip(*held)), num, den)
-
-    return run
-
-
 def _forest(num: int, den: int):
     """Candidate edges from postings in the order (gram, n, rest descending).
 
@@ -300,11 +340,12 @@ def ngram_jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (75, 100),
     spark = docs.sparkSession
     two = two_columns(docs, id_col, text_col)
     run, schema = _profile(ngram)
-    profile = cut_lineage(two.mapInArrow(run, schema))
-    nodes = profile.where("slab is null").select("doc_id", "n", "h1", "h2")
-    table = spark.sparkContext.broadcast(_counters(profile))
-    postings = two.where("doc_id is not null").mapInArrow(
-        _postings(table, ngram, num, den), "gram long, n int, rest int, node long, peer long")
+    nodes = cut_lineage(two.mapInArrow(run, schema))
+    shards = max(1, -(-(nodes.agg(F.sum("n")).first()[0] or 0) // SHARD))
+    postings = (two.where("doc_id is not null")
+                .mapInArrow(_parts(ngram, shards), "shard long, chunk long, keys binary, owners binary, sets binary")
+                .groupBy("shard").applyInArrow(_counted, "chunk long, keys binary, owners binary, counts binary, sets binary")
+                .groupBy("chunk").applyInArrow(_prefixes(num, den), "gram long, n int, rest int, node long, peer long"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     candidates = (postings.repartition(parts, "gram").sortWithinPartitions("gram", "n", F.desc("rest"))
                   .mapInArrow(_forest(num, den), "a long, b long").distinct())

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqforge.llm.ngram_join import alike, ngram_jaccard_join, prefix_length
+from seqforge.llm.ngram_join import alike, ngram_jaccard_join, packed, prefix_length, unpacked
 from tests.conftest import SF_SMALL
 
 
@@ -112,6 +112,41 @@ def test_documents_of_shared_sentences(spark):
     assert got(ngram_jaccard_join(df)) == brute(rows)
 
 
+def test_long_documents_that_share_passages_form_no_group(spark, monkeypatch):
+    from seqforge.llm import ngram_join
+    rnd, many = random.Random(4), 240
+    texts = [[f"w{rnd.getrandbits(48)}" for _ in range(10_000)] for _ in range(many)]
+    for k in range(many):                            # a passage of each document is in the next one too
+        at = rnd.randrange(9000)
+        texts[(k + 1) % many][at:at + 400] = texts[k][at:at + 400]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+    def refuse(*_):
+        def run(pdf):
+            raise AssertionError(f"{len(pdf)} unrelated documents are verified together")
+        return run
+    monkeypatch.setattr(ngram_join, "_verified", refuse)
+    out = ngram_jaccard_join(df)
+    assert out.where("component_id <> doc_id or n_links > 0").count() == 0 and out.count() == many
+
+
+def test_shards_and_chunks_of_any_size(spark, monkeypatch):
+    from seqforge.llm import ngram_join
+    rows = list(enumerate(near_copies(9, 12, 9, 6)))
+    rows += [(200 + k, rows[k][1]) for k in range(30)] + [(7, "other words under an id that is there before"), (None, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = got(ngram_jaccard_join(df))
+    # as workers see it: the number of shards comes from here, chunks are cut by the module's own limit
+    monkeypatch.setattr(ngram_join, "SHARD", 50)
+    assert got(ngram_jaccard_join(df)) == whole == brute(rows)
+
+
+def test_packed_numbers_come_back():
+    for a, width in ((np.array([], np.uint64), 5), (np.array([0, 1, 255, 256, 2**40 - 1], np.uint64), 5), (np.arange(300), 4)):
+        assert unpacked(packed(a, width), width).tolist() == a.tolist()
+
+
 def test_alike_finds_every_pair_on_one_and_two_sides():
     rnd = random.Random(11)
     base = [np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64)) for n in (1, 2, 3, 30, 200, 200)]
