@@ -191,3 +191,50 @@ def test_a_step_holds_only_the_last_reference(monkeypatch):
     schema = pa.schema([(k, pa.int64()) for k in ("seg", "c", "r", "m1", "m2", "m3", "m4")])
     got = [tuple(x.values()) for b in G.shared_step(schema, 4)(iter(batches)) for x in b.to_pylist()]
     assert got == [*[(k, 2, 3, 2, 1, 0, 0) for k in range(40)], (50, 0, 1, 0, 0, 0, 0)]
+
+
+def _counted_in_parts(monkeypatch, step, columns, schema):
+    """Rows of a step, whole and in small parts, and the most n-grams that were numbered at a time."""
+    rng = random.Random(12)
+    rows = [(k // 400, 0, 1, k % 400, _words(rng, 12)) for k in range(900)]
+    kinds = {"seg": pa.int64(), "salt": pa.int32(), "salts": pa.int32(), "ref_no": pa.int64(), "t": pa.list_(pa.string())}
+    batches = [pa.RecordBatch.from_pydict({n: pa.array([dict(zip(kinds, r))[n] for r in rows[a:a + 70]], kinds[n]) for n in columns}) for a in range(0, 900, 70)]
+    batches = [b.set_column(2, "salts", pa.array([1 + (s == 1) for s in b["seg"].to_pylist()], pa.int32())) if "salts" in columns else b for b in batches]
+    most, factorize, got = [], G.pd.factorize, []
+
+    def seen(values, *args, **kw):
+        most.append(len(values))
+        return factorize(values, *args, **kw)
+    monkeypatch.setattr(G.pd, "factorize", seen)
+    for part in (1 << 19, 300):
+        monkeypatch.setattr(G, "PART", part)
+        monkeypatch.setattr(G, "ROWS", part)
+        most.clear()
+        out = [b for b in step(schema, 4)(iter(batches))]
+        assert max(b.num_rows for b in out) <= max(part, 3)
+        got.append((sorted(tuple(x.values()) for b in out for x in b.to_pylist()), max(most)))
+    return got
+
+
+def test_grams_of_a_large_segment_are_counted_in_parts(monkeypatch):
+    schema = pa.schema([("seg", pa.int64()), ("n", pa.int32()), ("gram", pa.string()), ("maxcount", pa.int64())])
+    (whole, _), (parts, most) = _counted_in_parts(monkeypatch, G.most_gram_step, ["seg", "salt", "ref_no", "t"], schema)
+    assert parts == whole and len(whole) > 1000 and most < 1000
+
+
+def test_totals_of_a_large_segment_are_counted_in_parts(monkeypatch):
+    schema = pa.schema([(k, pa.int64()) for k in ("seg", "n", "a", "b", "r", "n_grams", "max1", "max2", "max3", "max4")])
+    (whole, _), (parts, most) = _counted_in_parts(monkeypatch, G.most_step, ["seg", "salt", "salts", "ref_no", "t"], schema)
+    assert parts == whole and len(whole) > 500 and most < 1000
+
+
+def test_segments_are_dealt_by_bytes_too(spark, monkeypatch):
+    rng = random.Random(13)
+    refs = [(1 + k % 2, k, " ".join(_words(rng, 40))) for k in range(60)]
+    df = spark.createDataFrame(refs, "seg long, ref_no long, t string")
+    args = ("seg", "ref_no", "t")
+    cut = lambda t: tokens_ws(t)
+    whole = [sorted(map(tuple, f(df, *args, cut=cut).collect())) for f in (N.reference_max_counts, N.reference_max_grams)]
+    monkeypatch.setattr(N, "GRAM_BYTES_PER_TASK", 300)
+    assert {r.salts > 3 for r in N._gram_salts(df.select("seg", df.t.alias("_t"))).collect()} == {True}
+    assert [sorted(map(tuple, f(df, *args, cut=cut).collect())) for f in (N.reference_max_counts, N.reference_max_grams)] == whole
